@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate
+from . import decontaminate, langid, near_dedup
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,11 +16,39 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.report(table(spark, sf_dir, "documents"))
+
+
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 QUERIES: dict[str, Query] = {
+    "op2_language_id": op2_language_id,
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_decontamination": op7_decontamination,
 }
 
 ORACLES: dict[str, str] = {
+    "op6_minhash_near_dedup": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] END AS g
+      FROM w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS t(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+k AS (SELECT g, row_number() OVER (ORDER BY count(*), g) AS r FROM s GROUP BY g HAVING count(*) > 1),
+-- sets of 85% similarity share one of their rarest 15% + 1 shingles; those of one document alone count as the very rarest
+f AS (SELECT s.doc_id, k.r, n.n, row_number() OVER (PARTITION BY s.doc_id ORDER BY k.r NULLS FIRST) AS at FROM s JOIN n USING (doc_id) LEFT JOIN k USING (g)),
+p AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM f AS x JOIN f AS y ON x.r = y.r AND x.doc_id < y.doc_id
+      WHERE x.at <= x.n - ceil(0.85 * x.n) + 1 AND y.at <= y.n - ceil(0.85 * y.n) + 1 AND 100 * least(x.n, y.n) >= 85 * greatest(x.n, y.n)),
+c AS (SELECT a, b, count(*) AS c FROM p JOIN s AS x ON x.doc_id = a JOIN s AS y ON y.doc_id = b AND y.g = x.g GROUP BY a, b),
+e AS (SELECT a, b FROM c JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT doc_id AS id, doc_id AS m FROM n UNION SELECT u.a, r.m FROM r JOIN u ON u.b = r.id WHERE r.m < u.a),
+m AS (SELECT id, min(m) AS m FROM r GROUP BY id)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(m.m, w.doc_id) AS component_id, coalesce(m.m, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.id = w.doc_id
+""",
     "op7_decontamination": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
