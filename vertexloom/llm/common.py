@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .words import slices
+
 #: White space of the contracts: blank and \x09 to \x0D, as Java regular expressions.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -52,18 +54,13 @@ def append_columns(df: DataFrame, text: str, fields: list[T.StructField], fn: Ca
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                made = fn(batch.column(at))
-                yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *[f.name for f in fields]])
+            for piece in slices(batch, at):
+                made = fn(piece.column(at))
+                yield pa.RecordBatch.from_arrays([*piece.columns, *made], names=[*piece.schema.names, *[f.name for f in fields]])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *fields]))
 
 
-def parts_for(df_bytes: float, spark: SparkSession, per_part: int = 32 << 20) -> int:
-    """Partitions so that each holds about per_part bytes, at least spark.sql.shuffle.partitions."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(df_bytes // per_part) + 1)
-
-
 def crc_mod(column: str, mod: int):
     """crc32 of a column's text form, modulo mod; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % mod

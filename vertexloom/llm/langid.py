@@ -24,14 +24,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import append_columns, crc_mod
-from .words import mix, text_bytes
+from .words import mix, slices, text_bytes
 
 ORDER = 4
 #: Most n-grams of the highest order that the models keep together: the size of what is collected and broadcast.
 MAX_GRAMS = 1_000_000
-#: A text is rejected when its cross-entropy is above SLACK times this quantile of the calibration texts of its language.
-QUANTILE, SLACK = 0.999, 1.25
-_STEP = 1 << 21
+#: A text of at least MIN_LETTERS letters is rejected when its cross-entropy is above SLACK times this quantile of the calibration
+#: texts of its language.
+QUANTILE, SLACK, MIN_LETTERS = 0.999, 1.4, 20
+_STEP = 1 << 20
 _P = np.uint64(0xC2B2AE3D27D4EB4F)
 BLANK = 32
 
@@ -85,22 +86,32 @@ def gram_counts(docs: DataFrame, label: Column, order: int = ORDER) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, of = np.unique(np.array(batch.column(0).to_pylist(), object).astype(str), return_inverse=True) if batch.num_rows else ([], [])
-            symbols, starts, _ = symbol_runs(batch.column(1), order)
-            for a, h, own in _pieces(symbols, starts, order):
-                here = np.flatnonzero(own >= 0)
-                lang = of[own[here]].astype(np.uint64)
-                codes, unique = pd.factorize(mix(h[here] + lang * _P))
+            # what each slice has counted: keys, grams, languages, counts
+            parts, row = [], 0
+            for piece in slices(batch, 1):
+                symbols, starts, _ = symbol_runs(piece.column(1), order)
+                for a, h, own in _pieces(symbols, starts, order):
+                    here = np.flatnonzero(own >= 0)
+                    lang = of[row + own[here]]
+                    codes, unique = pd.factorize(mix(h[here] + lang.astype(np.uint64) * _P))
+                    seen = np.empty(len(unique), np.int64)
+                    seen[codes[::-1]] = np.arange(len(codes))[::-1]
+                    parts.append((unique, symbols[(a + here[seen])[:, None] + np.arange(order)], lang[seen], np.bincount(codes, minlength=len(unique))))
+                row += piece.num_rows
+            if parts:
+                keys, grams, lang, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+                codes, unique = pd.factorize(keys)
                 seen = np.empty(len(unique), np.int64)
-                seen[codes[::-1]] = here[::-1]
-                grams = np.ascontiguousarray(symbols[(a + seen)[:, None] + np.arange(order)])
-                text = grams.view(f"<U{order}").ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(names[of[own[seen]]].tolist(), pa.string()), pa.array(text.tolist(), pa.string()), pa.array(np.bincount(codes), pa.int64())], names=["lang", "gram", "n"])
+                seen[codes[::-1]] = np.arange(len(codes))[::-1]
+                text = np.ascontiguousarray(grams[seen]).view(f"<U{order}").ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(names[lang[seen]].tolist(), pa.string()), pa.array(text.tolist(), pa.string()), pa.array(np.bincount(codes, n).astype(np.int64))], names=["lang", "gram", "n"])
 
     return docs.select(label.cast("string").alias("lang"), "text").where("lang is not null").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def bounded(counts: DataFrame, most: int) -> DataFrame:
-    """The rows of the highest n, at most `most` unless a single count is shared by more: cut at a power of 2^(1/8)."""
+    """The rows of the highest n, about `most` of them: n is cut at a power of 2^(1/8), and if the highest step alone has
+    more rows, a part of these is chosen by a hash of the row."""
     level = F.floor(8 * F.log2("n"))
     rows = sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True)
     total, cut = 0, None
@@ -109,7 +120,10 @@ def bounded(counts: DataFrame, most: int) -> DataFrame:
         if total > most and cut is not None:
             break
         cut = at
-    return counts.where(level >= cut) if cut is not None else counts
+    if cut is None:
+        return counts
+    kept = counts.where(level >= cut)
+    return kept if rows[0][1] <= most else kept.where(F.pmod(F.xxhash64(*counts.columns), F.lit(rows[0][1])) < most)
 
 
 @dataclass
@@ -211,7 +225,7 @@ class LanguageModel:
         best = e.argmin(axis=1)
         least = e[np.arange(len(e)), best]
         score = 1 / np.exp(-self.sharpness * (e - least[:, None])).sum(axis=1)
-        bad = (letters == 0) | (least > np.array([self.limits.get(x, math.inf) for x in self.names])[best])
+        bad = (letters == 0) | (letters >= MIN_LETTERS) & (least > np.array([self.limits.get(x, math.inf) for x in self.names])[best])
         named = np.where(letters > 0, np.array(self.names, object)[best], "und")
         return [pa.array(named.tolist(), pa.string()), pa.array(np.where(letters > 0, score, 0.0)), pa.array(least, mask=letters == 0), pa.array(bad)]
 
@@ -234,10 +248,10 @@ def _calibrated(model: LanguageModel, docs: DataFrame, label: str) -> LanguageMo
     """model with the sharpness of best likelihood, and each language's highest cross-entropy, on labelled docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            e, letters = model.entropies(batch.column(1))
+        for piece in (x for batch in batches for x in slices(batch, 1)):
+            e, letters = model.entropies(piece.column(1))
             rows = np.flatnonzero(letters > 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(e[rows].tolist(), pa.list_(pa.float64()))], names=["lang", "e"])
+            yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(rows)), pa.array(e[rows].tolist(), pa.list_(pa.float64()))], names=["lang", "e"])
 
     at = F.array_position(F.array(*[F.lit(x) for x in model.names]), F.col("lang")).cast("int")
     scored = docs.select(F.col(label).cast("string").alias("lang"), "text").where("lang is not null").mapInArrow(run, "lang string, e array<double>").where(at > 0)

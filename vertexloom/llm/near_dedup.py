@@ -2,9 +2,10 @@
 
 A document's set holds the hashes (64 bits) of its distinct word shingles. Equal sets are one class from the start, so that exact
 copies cost nothing later. Signatures of one document for each distinct set are cut into bands; documents that agree in a band are
-candidates. Within a bucket only members of different classes are compared, in rounds: first with the bucket's smallest member, and
-then, where classes still meet in a bucket, the smallest member that was not compared yet. The last round
-compares what is left, block by block, so that no link between classes is lost.
+candidates. Within a bucket members are only compared with its smallest one, and only if they are not yet of one class. Long bands, which
+very similar documents share, go first; when their classes are known, shorter bands add to them. At last, in the buckets of the
+shortest bands in which classes still meet, every member is compared with those of other classes, blocks of signatures against
+blocks, so that no link between classes is lost; only pairs that stay likely leave a block.
 
 A candidate pair is pruned as soon as, after a batch of signature values, the posterior probability of a similarity at or above
 the threshold (uniform prior, m of n values equal: a Beta distribution) falls below the chosen miss probability. Survivors are
@@ -26,16 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .words import SPACED, grams, mix, words_of
+from .words import SPACED, grams, mix, slices, words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Chance that a pair at the threshold shares no band; that pruning drops one.
 MISS = 1e-6
 ROWS, BATCH = 4, 16
-#: Rounds of comparing with one member of a bucket before all that is left is compared.
-STAR_ROUNDS = 3
-#: Rows of one block of the last round: the members of a bucket are dealt to so many blocks that each has about this many.
-BLOCK = 200
+#: Values of a signature; rows of the longer bands that go first.
+HASHES, LONG_ROWS = 192, (12, 8)
+#: Members of a block, and rows that one call of the last step gets at least.
+BLOCK, GROUP = 400, 4000
 
 
 def bands_for(threshold: float, miss: float = MISS, rows: int = ROWS) -> int:
@@ -85,7 +86,7 @@ def signatures(docs: DataFrame, k: int, hashes: int) -> DataFrame:
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for every in batches for x in slices(every, 1)):
             n, ab, sig, last = [], [], [], {}
             for s in _sets(batch.column(1), k):
                 n.append(len(s))
@@ -107,7 +108,7 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, shingles): the whole sorted set, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for every in batches for x in slices(every, 1)):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in _sets(batch.column(1), k)], pa.binary())], names=["doc_id", "shingles"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, shingles binary")
@@ -182,42 +183,64 @@ def _meeting(rows: DataFrame) -> DataFrame:
     return rows.join(some, "bucket")
 
 
-def links(docs: DataFrame, reps: DataFrame, k: int, percent: int, rows: int, bands: int) -> DataFrame:
+def links(docs: DataFrame, reps: DataFrame, k: int, percent: int, levels: list[tuple[int, int]]) -> DataFrame:
     """(id, component) of every distinct set that has a link. reps: doc_id, signature of one document for each set."""
-    labels, found = None, None
-    left = written(_buckets(reps, rows, bands), "buckets").withColumn("component", F.col("id"))
-    for turn in range(STAR_ROUNDS + 1):
-        met = written(_meeting(left), "met")
-        if turn < STAR_ROUNDS:
-            # members of the bucket against its smallest one, which then leaves the bucket
-            leaders = met.where(F.col("id") == F.col("leader")).select("bucket", F.col("component").alias("leader_component"))
-            pairs = met.join(leaders, "bucket").where("component != leader_component").select(F.col("leader").alias("x"), F.col("id").alias("y"))
-        else:
-            pairs = _across(met)
-        pairs = written(pairs.distinct(), "pairs")
-        if not pairs.limit(1).count():
-            if turn == STAR_ROUNDS or not met.limit(1).count():
-                break
-        else:
-            new = written(verified(written(pruned(pairs, reps, percent / 100), "survivors"), docs, k, percent), "links")
+    labels = reps.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("component")).where("false")
+    found = None
+
+    def meeting(rows: DataFrame) -> DataFrame:
+        return written(_meeting(rows.join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))), "met")
+
+    def confirmed(pairs: DataFrame) -> None:
+        nonlocal found, labels
+        new = written(verified(written(pairs, "survivors"), docs, k, percent), "links")
+        if new.limit(1).count():
             found = new if found is None else found.union(new)
             labels = components(found)
-        left = met.where(F.col("id") != F.col("leader")).select("bucket", "id")
-        if labels is None:
-            left = left.withColumn("component", F.col("id"))
-        else:
-            left = left.join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    return labels if labels is not None else reps.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("component")).where("false")
+
+    for rows, bands in levels:
+        met = meeting(_buckets(reps, rows, bands))
+        leaders = met.where(F.col("id") == F.col("leader")).select("bucket", F.col("component").alias("leader_component"))
+        pairs = met.join(leaders, "bucket").where("component != leader_component").select(F.col("leader").alias("x"), F.col("id").alias("y")).distinct()
+        confirmed(pruned(pairs, reps, percent / 100))
+    # leaders have been compared with all of their buckets
+    rest = meeting(met.where(F.col("id") != F.col("leader")).select("bucket", "id"))
+    confirmed(_across(rest, reps, percent / 100))
+    return labels
 
 
-def _across(met: DataFrame) -> DataFrame:
-    """All pairs of a bucket that are of different classes, a block of its members against another in one task."""
+def _across(met: DataFrame, reps: DataFrame, threshold: float, miss: float = MISS) -> DataFrame:
+    """The likely pairs among members of a bucket that are of different classes.
+
+    Members are dealt to blocks, and a group has the members of two blocks (or of one): each pair of blocks meets once.
+    """
+    least_of = lambda n: least_matches(threshold, miss, n)
+
+    def run(group: pa.Table) -> pa.Table:
+        columns = {c: group.column(c).combine_chunks() for c in group.column_names}
+        bucket, p, q, own, ids, of = (columns[c].to_numpy(zero_copy_only=False) for c in ("bucket", "p", "q", "own", "id", "component"))
+        sig = columns["signature"].flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        least, order = least_of(sig.shape[1]), np.lexsort((own, q, p, bucket))
+        key = np.stack([bucket, p, q], axis=1)[order]
+        edges = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1), [True]]))
+        out = []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            rows = order[a:b]
+            left, right = rows[own[rows] == p[rows[0]]], rows[own[rows] == q[rows[0]]]
+            for x in left:
+                y = right[of[right] != of[x]]
+                y = y[(sig[y] == sig[x]).sum(axis=1) >= least]
+                out.append(np.stack([np.minimum(ids[y], ids[x]), np.maximum(ids[y], ids[x])], axis=1))
+        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+        return pa.table({"x": pa.array(pairs[:, 0], pa.int64()), "y": pa.array(pairs[:, 1], pa.int64())})
+
+    groups = max(1, met.count() // GROUP)
     sized = met.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    one = sized.select("bucket", F.explode(F.transform(every, lambda i: F.struct(F.least("own", i).alias("p"), F.greatest("own", i).alias("q")))).alias("at"), F.col("own"), "id", "component")
-    x = one.where(F.col("own") == F.col("at.p")).select("bucket", "at", F.col("id").alias("x"), F.col("component").alias("cx"))
-    y = one.where(F.col("own") == F.col("at.q")).select("bucket", "at", F.col("id").alias("y"), F.col("component").alias("cy"))
-    return x.join(y, ["bucket", "at"]).where("cx != cy and x != y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    dealt = sized.select("bucket", "own", "id", "component", F.explode(F.transform(every, lambda i: F.struct(F.least("own", i).alias("p"), F.greatest("own", i).alias("q")))).alias("at"))
+    sigs = reps.select(F.col("doc_id").alias("id"), "signature")
+    rows = dealt.select("bucket", "own", "id", "component", "at.p", "at.q").join(sigs, "id").withColumn("g", F.pmod(F.xxhash64("bucket", "p", "q"), F.lit(groups)))
+    return rows.groupBy("g").applyInArrow(run, "x long, y long").distinct()
 
 
 def classes(docs: DataFrame, k: int = SHINGLE, percent: int = round(100 * THRESHOLD), rows: int = ROWS, miss: float = MISS) -> DataFrame:
@@ -226,12 +249,13 @@ def classes(docs: DataFrame, k: int = SHINGLE, percent: int = round(100 * THRESH
     component_id: the smallest doc_id reachable over links of 100 * intersection >= percent * union; kept: it is the row's own.
     """
     bands = bands_for(percent / 100, miss, rows)
-    every = written(signatures(docs, k, rows * bands), "signatures")
+    levels = [(r, HASHES // r) for r in LONG_ROWS] + [(rows, bands)]
+    every = written(signatures(docs, k, max(HASHES, rows * bands)), "signatures")
     sets = every.where("n_shingles > 0 and doc_id is not null")
     equal = sets.groupBy("n_shingles", "a", "b").agg(F.min("doc_id").alias("rep"))
     members = written(sets.select("doc_id", "n_shingles", "a", "b").join(equal, ["n_shingles", "a", "b"]).select("doc_id", "n_shingles", "rep"), "members")
     reps = sets.join(members.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "signature").dropDuplicates(["doc_id"])
-    labels = links(docs, written(reps, "reps"), k, percent, rows, bands)
+    labels = links(docs, written(reps, "reps"), k, percent, levels)
     linked = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     alone = every.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

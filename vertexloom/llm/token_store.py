@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared_folder
+from .words import slices
 
 END_ID = 1
 #: Ids of a shard before it is closed; a longer document is a shard of its own.
@@ -231,7 +232,7 @@ def shards(docs: DataFrame, tokenizer: str, end: int = END_ID, shard_tokens: int
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=["part", "shard", "start", "n_tokens", "doc_ids", "doc_lengths", "base", "rules", "rule_lengths", "sequence"])
 
         for batch in batches:
-            for piece in _pieces(batch):
+            for piece in slices(batch, 1, SLICE_BYTES):
                 found, n = encode(piece.column(1))
                 every, n = with_ends(found, n, end), n + 1
                 at = np.cumsum(n) - n
@@ -257,16 +258,6 @@ def shards(docs: DataFrame, tokenizer: str, end: int = END_ID, shard_tokens: int
     return ordered.select("doc_id", "text").mapInArrow(run, SHARD)
 
 
-def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Runs of rows of about SLICE_BYTES of text each."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
-    i = 0
-    while i < batch.num_rows:
-        j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + SLICE_BYTES, "right")))
-        yield batch.slice(i, j - i)
-        i = j
-
-
 def write(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, end: int = END_ID, **more) -> str:
     """Encode docs into files at path (by default in the shared folder); returns the path."""
     spark = docs.sparkSession

@@ -6,6 +6,7 @@ for a byte does not depend on the number or length of words.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -88,6 +89,16 @@ class Words:
         return np.repeat(np.arange(len(self.doc) - 1), self.counts)
 
 
+def slices(batch: pa.RecordBatch, text: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of about `most` bytes of text each, so that arrays made from them stay small; a longer text is alone."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
+    i = 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + most, "right")))
+        yield batch.slice(i, j - i)
+        i = j
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes of all texts, offsets); null counts as empty."""
     texts = pc.fill_null(texts, "")
