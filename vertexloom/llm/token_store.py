@@ -17,7 +17,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,9 @@ SHARD_TOKENS = 1 << 20
 #: Most rules of a shard, of one round; fewest times that a replaced pair occurs; share of symbols that a round must save.
 MAX_RULES, ROUND_RULES, MIN_COUNT, MIN_GAIN = 16_000, 4_000, 6, 0.004
 #: Distinct words whose ids a Python worker remembers, and bytes of text that are encoded at a time.
-CACHED_WORDS, SLICE_BYTES = 400_000, 8 << 20
+CACHED_WORDS, SLICE_BYTES = 800_000, 8 << 20
+#: Characters that can stand between words while these are encoded: the first that is a single id.
+MARKS = "\u2022\u2026\u2192\u2605\u2665\u20ac\u2014"
 
 SHARD = "part int, shard int, start long, n_tokens long, doc_ids array<long>, doc_lengths array<long>, base int, rules binary, rule_lengths binary, sequence binary"
 
@@ -55,6 +57,8 @@ class _Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size()
+        one = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in MARKS}
+        self.sign, self.mark = next((m, ids[0]) for m, ids in one.items() if len(ids) == 1)
         self._forget()
 
     def _forget(self) -> None:
@@ -62,10 +66,19 @@ class _Encoder:
         self.pool, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _learn(self, words: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
-        self.pool = np.concatenate([self.pool, np.fromiter((x for y in ids for x in y), np.uint32)])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(x) for x in ids])])
+        # a mark that is one id stands after every word; words that hold the mark are encoded one by one
+        odd = [w for w in words if self.sign in w]
+        plain = [w for w in words if self.sign not in w] if odd else words
+        runs = [f" {self.sign} ".join(plain[i : i + 64]) + f" {self.sign}" for i in range(0, len(plain), 64)]
+        ids = np.fromiter(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)), np.uint32)
+        marks = ids == self.mark
+        lengths = np.diff(np.flatnonzero(marks), prepend=-1) - 1
+        if len(lengths) != len(plain):
+            raise ValueError("the tokenizer does not treat words alone")
+        more = [e.ids for e in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)]
+        self.known.update(zip([*plain, *odd], range(len(self.known), len(self.known) + len(words)), strict=True))
+        self.pool = np.concatenate([self.pool, ids[~marks], np.fromiter(chain.from_iterable(more), np.uint32)])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate([lengths, np.array([len(x) for x in more], np.int64)]))])
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
@@ -77,8 +90,8 @@ class _Encoder:
         at = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
         if (at < 0).any():
             new = [names[i] for i in np.flatnonzero(at < 0)]
-            at[at < 0] = np.arange(len(self.known), len(self.known) + len(new))
             self._learn(new)
+            at[at < 0] = np.fromiter(map(self.known.__getitem__, new), np.int64, len(new))
         each = at[flat.indices.to_numpy(zero_copy_only=False)] if len(names) else np.zeros(0, np.int64)
         lengths = self.starts[each + 1] - self.starts[each]
         ids = self.pool[spread(self.starts[each], lengths)]
