@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 MIN_GOOD, Z = 0.5, 1.645
@@ -68,7 +70,7 @@ def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     known = outcomes.where("good is not null").groupBy("page_id").agg(F.sum(F.col("good").cast("long")).alias("k"), F.count("*").alias("n"))
     # whatever the size of a host, its pages are counted before they meet
     counted = pages.join(known, "page_id", "left").groupBy("host").agg(F.coalesce(F.sum("k"), F.lit(0)).cast("double").alias("k"), F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("n"))
-    hosts = counted.withColumn("domain", domain()).withColumn("suffix", suffix()).cache()
+    hosts = written(counted.withColumn("domain", domain()).withColumn("suffix", suffix()), "hosts")
     total = hosts.agg(F.coalesce(F.sum("k"), F.lit(0.0)).alias("k"), F.coalesce(F.sum("n"), F.lit(0.0)).alias("n")).first()
     mean = (total["k"] + 1) / (total["n"] + 2)
     sums = lambda *by: hosts.groupBy(*by).agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
@@ -84,7 +86,7 @@ def judged(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]] =
     """pages with host, path, rule, verdict and the posterior bound of the host's share of good pages."""
     own = ["host", "path", "rule", "verdict", "good_mean", "good_upper"]
     pages = pages.drop(*own).withColumn("host", host()).withColumn("path", path())
-    known = reputation(pages.select("page_id", "host"), outcomes)
+    known = written(reputation(pages.select("page_id", "host"), outcomes), "reputation")
     rule, verdict = rule_of(rules)
     out = pages.join(known.select("host", F.col("mean").alias("good_mean"), F.col("upper").alias("good_upper")), "host")
     learned = F.when(F.col("good_upper") < MIN_GOOD, F.lit("block")).otherwise(F.lit("allow"))
