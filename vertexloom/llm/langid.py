@@ -234,10 +234,10 @@ def fit(docs: DataFrame, label: str = "lang", order: int = ORDER, max_grams: int
     """Models of every label. held_back marks the documents that calibrate rejection and score; the others are counted."""
     held_back = crc_mod("doc_id", 5) == 1 if held_back is None else held_back
     counts = gram_counts(docs.where(~held_back), F.col(label), order).cache()
-    rows = bounded(counts, max_grams).toPandas()  # max_grams bounds it
+    rows = bounded(counts, max_grams).toArrow()  # max_grams bounds it
     counts.unpersist()
-    grams = np.array(rows["gram"].tolist(), f"<U{order}").view(np.uint32).reshape(-1, order) if len(rows) else np.zeros((0, order), np.uint32)
-    n, of = rows["n"].to_numpy(np.int64), rows["lang"].to_numpy(object)
+    grams = np.array(rows["gram"].to_pylist(), f"<U{order}").view(np.uint32).reshape(-1, order) if rows.num_rows else np.zeros((0, order), np.uint32)
+    n, of = rows["n"].to_numpy(), np.array(rows["lang"].to_pylist(), object)
     names = sorted(set(of))
     alphabet = len(np.unique(grams)) + 1
     model = LanguageModel(names, [kneser_ney(np.ascontiguousarray(grams[of == x]), n[of == x], alphabet) for x in names], alphabet, order)
