@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +62,22 @@ def append_columns(df: DataFrame, text: str, fields: list[T.StructField], fn: Ca
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *fields]))
 
 
+#: Bits of a bitmap of hash values (4 MB).
+BITS = 1 << 25
+
+
+def bitmap(df: DataFrame, column: str, bits: int = BITS) -> np.ndarray:
+    """Which values modulo bits a long column has: a filter of fixed size for the other side of a join, before its exchange."""
+    value = F.pmod(column, F.lit(bits)) + 1
+    maps = df.groupBy(F.bitmap_bucket_number(value).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(value)).alias("map"))
+    out = np.zeros(bits, bool)
+    for r in maps.toLocalIterator():  # bits / 32768 rows at most, of 4 KB each
+        own = np.unpackbits(np.frombuffer(r["map"], np.uint8), bitorder="little")
+        at = (r["bucket"] - 1) * len(own)  # buckets, and values in them, are numbered from 1
+        out[at : at + len(own)] = own
+    return out
+
+
 def crc_mod(column: str, mod: int):
     """crc32 of a column's text form, modulo mod; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % mod

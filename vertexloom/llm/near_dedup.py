@@ -2,7 +2,7 @@
 
 A document's set holds the hashes (64 bits) of its distinct word shingles. Equal sets are one class from the start, so that exact
 copies cost nothing later. Signatures of one document for each distinct set are cut into bands; documents that agree in a band are
-candidates. Within a bucket members are only compared with its smallest one, and only if they are not yet of one class. Long bands, which
+candidates. Within a bucket members are only compared with one of them, and only if they are not yet of one class. Long bands, which
 very similar documents share, go first; when their classes are known, shorter bands add to them. At last, in the buckets of the
 shortest bands in which classes still meet, every member is compared with those of other classes, blocks of signatures against
 blocks, so that no link between classes is lost; only pairs that stay likely leave a block.
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bitmap, written
 from .words import SPACED, grams, mix, slices, words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -104,14 +104,17 @@ def signatures(docs: DataFrame, k: int, hashes: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, a long, b long, signature array<int>")
 
 
-def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, shingles): the whole sorted set, as bytes."""
+def shingle_sets(docs: DataFrame, k: int, asked: np.ndarray) -> DataFrame:
+    """(doc_id, shingles): the whole sorted set, as bytes, of the documents whose id's place in `asked` (a bitmap) is set."""
+    packed = np.packbits(asked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (x for every in batches for x in slices(every, 1)):
+        known = np.unpackbits(packed).astype(bool)
+        some = (b.filter(pa.array(known[b.column(0).to_numpy(zero_copy_only=False) % len(known)])) for b in batches)
+        for batch in (x for every in some for x in slices(every, 1)):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in _sets(batch.column(1), k)], pa.binary())], names=["doc_id", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, shingles binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(run, "doc_id long, shingles binary")
 
 
 def pruned(pairs: DataFrame, sigs: DataFrame, threshold: float, miss: float = MISS, batch_size: int = BATCH) -> DataFrame:
@@ -149,7 +152,9 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
             yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
     asked = pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct()
-    sets = written(shingle_sets(docs.select("doc_id", "text").join(asked, "doc_id", "left_semi"), k).dropDuplicates(["doc_id"]), "sets")
+    # texts are not shuffled: a bitmap of fixed size leaves the asked documents and few others
+    sets = shingle_sets(docs.select("doc_id", "text"), k, bitmap(asked, "doc_id")).join(asked, "doc_id", "left_semi")
+    sets = written(sets.dropDuplicates(["doc_id"]), "sets")
     one = lambda c: sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"set_{c}"))
     return pairs.join(one("x"), "x").join(one("y"), "y").select("x", "y", "set_x", "set_y").mapInArrow(run, "x long, y long")
 
@@ -178,9 +183,14 @@ def _buckets(reps: DataFrame, rows: int, bands: int) -> DataFrame:
 
 
 def _meeting(rows: DataFrame) -> DataFrame:
-    """The rows (bucket, id, component) of buckets in which classes meet, with the bucket's size and smallest id."""
-    some = rows.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("id").alias("leader"), F.count("*").alias("n")).where("c0 < c1").select("bucket", "leader", "n")
-    return rows.join(some, "bucket")
+    """The rows (bucket, id, component) of buckets in which classes meet, with the bucket's size and its leader.
+
+    Leaders are chosen by a hash of member and bucket, so that a document meets other leaders in other buckets.
+    """
+    leader = F.min(F.struct(F.xxhash64("id", "bucket").alias("h"), F.col("id")))["id"]
+    some = rows.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), leader.alias("leader"), F.count("*").alias("n"))
+    # written, so that the rows of a hot bucket can be split in the join
+    return rows.join(written(some.where("c0 < c1").select("bucket", "leader", "n"), "some"), "bucket")
 
 
 def links(docs: DataFrame, reps: DataFrame, k: int, percent: int, levels: list[tuple[int, int]]) -> DataFrame:
@@ -189,7 +199,8 @@ def links(docs: DataFrame, reps: DataFrame, k: int, percent: int, levels: list[t
     found = None
 
     def meeting(rows: DataFrame) -> DataFrame:
-        return written(_meeting(rows.join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))), "met")
+        classed = rows.join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+        return written(_meeting(written(classed, "classed")), "met")
 
     def confirmed(pairs: DataFrame) -> None:
         nonlocal found, labels

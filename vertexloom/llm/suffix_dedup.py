@@ -28,15 +28,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import BITS, bitmap, written
 from .words import SPACED, Words, grams, slices, words_of
 
 MIN_WORDS = 50
 SEED, WINDOW = 10, 32
 #: Words before and after a suffix that travel with it, and bytes of a word's hash.
 REACH, BYTES = 50, 3
-#: Bits of the bitmap of seeds that repeat (4 MB).
-BITS = 1 << 25
 
 _ROW = "seed long, row long, doc_id long, at int, n_left int, n_right int, left binary, right binary"
 _OUT = "kind int, part int, row long, doc_id long, seed long, at int, n_left int, n_right int, left binary, right binary, begin int, stop int"
@@ -79,14 +77,7 @@ def _seeds(docs: DataFrame) -> DataFrame:
 def repeated_bits(docs: DataFrame, bits: int = BITS) -> np.ndarray:
     """For each hash value of a seed: whether a seed of it stands in two rows of docs."""
     twice = _seeds(docs).groupBy("seed").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a < b")
-    value = F.pmod("seed", F.lit(bits)) + 1
-    maps = twice.groupBy(F.bitmap_bucket_number(value).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(value)).alias("map"))
-    out = np.zeros(bits, bool)
-    for r in maps.toLocalIterator():  # bits / 32768 rows at most, of 4 KB each
-        own = np.unpackbits(np.frombuffer(r["map"], np.uint8), bitorder="little")
-        at = (r["bucket"] - 1) * len(own)  # buckets, and values in them, are numbered from 1
-        out[at : at + len(own)] = own
-    return out
+    return bitmap(twice, "seed", bits)
 
 
 def _suffixes(docs: DataFrame, bits: np.ndarray, size: int = BITS) -> DataFrame:
