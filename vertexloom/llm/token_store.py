@@ -13,6 +13,7 @@ another by a hash of their texts; no documents make no shards; columns other tha
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -35,7 +36,21 @@ SHARD_TOKENS = 1 << 20
 #: Most rules of a shard, of one round; fewest times that a replaced pair occurs; share of symbols that a round must save.
 MAX_RULES, ROUND_RULES, MIN_COUNT, MIN_GAIN = 16_000, 4_000, 6, 0.004
 #: Distinct words whose ids a Python worker remembers, and bytes of text that are encoded at a time.
-CACHED_WORDS, SLICE_BYTES = 800_000, 8 << 20
+CACHED_WORDS, SLICE_BYTES = 500_000, 8 << 20
+#: Words that need no more than lower case and their bytes as signs; a sample that the short way is compared with the long on.
+LETTERS = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
+SAMPLE = ("the", "Hello,", "STRASSE.", "Stra\u00dfe", "\u00c9COLE!!", "na\u00efve...", "\u00fcberm\u00e4\u00dfig", "zzzqx", "l", "inger###", "x&&&.", "to%$")
+
+
+def _byte_signs() -> dict[int, str]:
+    """Code points of two bytes as the signs that byte-level tokenizers write for them: printable bytes stay, others go up from 256."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    sign = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+    return {c: "".join(sign[b] for b in chr(c).encode()) for c in range(0x80, 0x800)}
+
+
+BYTE_SIGNS = _byte_signs()
 #: Characters that can stand between words while these are encoded: the first that is a single id.
 MARKS = "\u2022\u2026\u2192\u2605\u2665\u20ac\u2014"
 
@@ -58,27 +73,51 @@ class _Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size()
         one = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in MARKS}
+        self.pieces: dict[str, tuple[int, ...]] = {}
         self.sign, self.mark = next((m, ids[0]) for m, ids in one.items() if len(ids) == 1)
         self._forget()
 
+        self.model = self.tokenizer.model
+        if any(self._letters(w) != tuple(self.tokenizer.encode(w, add_special_tokens=False).ids) for w in SAMPLE):
+            self.model = None
+
+    def _letters(self, word: str) -> tuple[int, ...] | None:
+        """Ids of a word of Latin letters that signs may follow, straight from the tokenizer's model; None for any other word.
+
+        Such letters are one piece of the tokenizer, signs but the apostrophe another; lower-casing and bytes are all that comes before the model.
+        """
+        m = LETTERS.fullmatch(word) if self.model else None
+        if not m:
+            return None
+        out: tuple[int, ...] = ()
+        for piece in (m[1].lower(), m[2]) if m[2] else (m[1].lower(),):
+            ids = self.pieces.get(piece)
+            if ids is None:
+                ids = self.pieces[piece] = tuple(t.id for t in self.model.tokenize(piece if piece.isascii() else piece.translate(BYTE_SIGNS)))
+            out += ids
+        return out
+
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
+        if len(self.pieces) > CACHED_WORDS:
+            self.pieces = {}
         self.pool, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _learn(self, words: list[str]) -> None:
-        # a mark that is one id stands after every word; words that hold the mark are encoded one by one
-        odd = [w for w in words if self.sign in w]
-        plain = [w for w in words if self.sign not in w] if odd else words
+        ready = {w: ids for w in words if (ids := self._letters(w)) is not None}
+        # of the others, a mark that is one id stands after every word; words that hold the mark are encoded one by one
+        rest = [w for w in words if w not in ready]
+        odd, plain = [w for w in rest if self.sign in w], [w for w in rest if self.sign not in w]
         runs = [f" {self.sign} ".join(plain[i : i + 64]) + f" {self.sign}" for i in range(0, len(plain), 64)]
         ids = np.fromiter(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)), np.uint32)
         marks = ids == self.mark
         lengths = np.diff(np.flatnonzero(marks), prepend=-1) - 1
         if len(lengths) != len(plain):
             raise ValueError("the tokenizer does not treat words alone")
-        more = [e.ids for e in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)]
-        self.known.update(zip([*plain, *odd], range(len(self.known), len(self.known) + len(words)), strict=True))
+        more = [*ready.values(), *(e.ids for e in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False))]
+        self.known.update(zip([*plain, *ready, *odd], range(len(self.known), len(self.known) + len(words)), strict=True))
         self.pool = np.concatenate([self.pool, ids[~marks], np.fromiter(chain.from_iterable(more), np.uint32)])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate([lengths, np.array([len(x) for x in more], np.int64)]))])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate([lengths, np.fromiter(map(len, more), np.int64)]))])
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
