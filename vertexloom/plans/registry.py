@@ -1,6 +1,352 @@
-"""All registered queries of the engine and the SQL that each is compared with."""
+"""All registered queries of the engine on the driver's tables, each with the SQL that it is compared with."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vertexloom.functions import vectors as V
+from vertexloom.operators import evaluation, fit, mixture, runs, series, spatial
+from vertexloom.sources import views
+
+from . import sql
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+#: Parameters that the queries and their SQL share.
+SEEDS, NETWORKS, KAPPA, SIGMA, EPSILON, LOG_C, CLIP = 10, 9, 30.0, 20.0, 40.0, 3.5, 0.999999
+DIMENSION = 63
+
+
+def _r(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    """df with the columns rounded; minus zero is zero."""
+    return df.withColumns({c: F.round(c, digits) + 0.0 for c in columns})
+
+
+def _long(df: DataFrame, *by: str) -> DataFrame:
+    """(by, feature, x) of arrays x, rounded."""
+    long = df.select(*by, F.posexplode("x").alias("f", "x")).select(*by, F.col("f").cast("long").alias("feature"), "x")
+    return _r(long, "x")
+
+
+def _grid(s: SparkSession, d: str) -> DataFrame:
+    return series.grid(views.bold(s, d))
+
+
+def _correlations(s: SparkSession, d: str) -> DataFrame:
+    b = _grid(s, d)
+    return series.correlations(b, b.select("vertex").distinct().where(F.col("vertex") < SEEDS))
+
+
+def _rows(s: SparkSession, d: str) -> DataFrame:
+    return views.tensor(s, d).withColumn("x", V.unit(V.centred(F.col("x"))))
+
+
+def _directions(s: SparkSession, d: str) -> DataFrame:
+    return mixture.label_centroids(views.vectors(s, d))
+
+
+def _dots(s: SparkSession, d: str) -> DataFrame:
+    return mixture.dots(_rows(s, d).drop("label"), _directions(s, d))
+
+
+def _posterior(s: SparkSession, d: str) -> DataFrame:
+    return mixture.posteriors(mixture.likelihoods(_dots(s, d), KAPPA, LOG_C))
+
+
+def _theta(s: SparkSession, d: str) -> DataFrame:
+    return mixture.theta_mean(_posterior(s, d), 2)
+
+
+def _weighted(s: SparkSession, d: str) -> DataFrame:
+    return mixture.weighted_data(_rows(s, d).drop("label"), _posterior(s, d))
+
+
+def _sessions(s: SparkSession, d: str) -> DataFrame:
+    return mixture.session_directions(_weighted(s, d), _directions(s, d), KAPPA, SIGMA)
+
+
+def _subjects(s: SparkSession, d: str) -> DataFrame:
+    return mixture.subject_directions(_sessions(s, d), _directions(s, d), SIGMA, EPSILON)
+
+
+def bold_grid(s: SparkSession, d: str) -> DataFrame:
+    return _r(_grid(s, d), "value")
+
+
+def bold_censor(s: SparkSession, d: str) -> DataFrame:
+    b = _grid(s, d)
+    return _r(series.censored(b, b.select("frame").distinct().withColumn("keep", F.col("frame") % 5 != 4)), "value")
+
+
+def validate_constant(s: SparkSession, d: str) -> DataFrame:
+    return series.constant(_grid(s, d).where("frame < 4"))
+
+
+def seed_timeseries(s: SparkSession, d: str) -> DataFrame:
+    b = _grid(s, d)
+    roi = b.select("vertex").distinct().select("vertex", (F.col("vertex") % 10).alias("roi"))
+    return _r(series.seed_series(b, roi, 11), "value")
+
+
+def pearson_profile(s: SparkSession, d: str) -> DataFrame:
+    return _r(_correlations(s, d), "r")
+
+
+def fisher_z_profile(s: SparkSession, d: str) -> DataFrame:
+    return _r(series.fisher_z(_correlations(s, d).where("vertex <> seed"), CLIP).select("vertex", "seed", "z"), "z")
+
+
+def cutoff_value(s: SparkSession, d: str) -> DataFrame:
+    return _r(series.cutoff(_correlations(s, d)), "cutoff")
+
+
+def binary_profile(s: SparkSession, d: str) -> DataFrame:
+    return series.binary_profile(_correlations(s, d))
+
+
+def normalize_row_l2(s: SparkSession, d: str) -> DataFrame:
+    return _long(views.vectors(s, d).withColumn("x", V.unit(F.col("x"))), "vec_id")
+
+
+def normalize_centred_literal(s: SparkSession, d: str) -> DataFrame:
+    return _long(views.vectors(s, d).withColumn("x", V.literal_normal(F.transform("x", lambda v: F.round(4 * v, 0)))), "vec_id")
+
+
+def avg_profile(s: SparkSession, d: str) -> DataFrame:
+    return _r(series.averages(views.tensor(s, d), "subject", "vertex").withColumnRenamed("v", "x"), "x")
+
+
+def label_centroids(s: SparkSession, d: str) -> DataFrame:
+    return _long(_directions(s, d), "network")
+
+
+def label_centroids_mean(s: SparkSession, d: str) -> DataFrame:
+    return _long(mixture.mean_centroids(views.vectors(s, d), 11), "network")
+
+
+def valid_vertices(s: SparkSession, d: str) -> DataFrame:
+    zero = F.when(F.col("label") == 0, F.transform("x", lambda v: F.lit(0.0))).otherwise(F.col("x"))
+    return evaluation.valid_vertices(views.tensor(s, d).withColumn("x", zero))
+
+
+def vmf_dot(s: SparkSession, d: str) -> DataFrame:
+    return _r(_dots(s, d), "dot")
+
+
+def posterior_softmax(s: SparkSession, d: str) -> DataFrame:
+    return _r(_posterior(s, d), "p")
+
+
+def flagship_labels(s: SparkSession, d: str) -> DataFrame:
+    """Labels of every vertex and subject: centroids of labelled profiles, likelihoods, posterior, argmax."""
+    return mixture.labels(_posterior(s, d))
+
+
+def theta_mean(s: SparkSession, d: str) -> DataFrame:
+    return _r(_theta(s, d), "theta")
+
+
+def initial_theta(s: SparkSession, d: str) -> DataFrame:
+    return _r(mixture.initial_theta(_posterior(s, d), 2), "theta")
+
+
+def weighted_data(s: SparkSession, d: str) -> DataFrame:
+    return _r(_weighted(s, d).withColumnRenamed("v", "x"), "x")
+
+
+def kappa_update(s: SparkSession, d: str) -> DataFrame:
+    return _r(mixture.kappa_update(_dots(s, d), _posterior(s, d), DIMENSION, 5.0), "numerator", "mass", "rbar", "kappa", digits=5)
+
+
+def inverse_ratio(s: SparkSession, d: str) -> DataFrame:
+    dots = _dots(s, d).where("dot between -0.99 and 0.99").groupBy("network").agg(F.avg(F.abs("dot")).alias("rbar"))
+    return _r(dots.select("network", "rbar", V.inverse_ratio(F.col("rbar"), DIMENSION).alias("kappa")), "rbar", "kappa")
+
+
+def session_direction(s: SparkSession, d: str) -> DataFrame:
+    return _long(_sessions(s, d), "subject", "session", "network")
+
+
+def subject_direction(s: SparkSession, d: str) -> DataFrame:
+    return _long(_subjects(s, d), "subject", "network")
+
+
+def group_direction(s: SparkSession, d: str) -> DataFrame:
+    return _long(mixture.group_directions(_subjects(s, d)), "network")
+
+
+def sigma_update(s: SparkSession, d: str) -> DataFrame:
+    sessions = _sessions(s, d).where("not (subject = 1 and session = 1 and network <= 3)")
+    return _r(mixture.sigma_update(sessions, _subjects(s, d), 2, DIMENSION), "rbar", "sigma", digits=4)
+
+
+def em_cost(s: SparkSession, d: str) -> DataFrame:
+    return _r(mixture.em_cost(_dots(s, d), _posterior(s, d), _theta(s, d), KAPPA, LOG_C), "cost", digits=3)
+
+
+def em_full_fit(s: SparkSession, d: str) -> DataFrame:
+    """The group fit with few steps of each kind: labels of every vertex and subject."""
+    return fit.group_labels(_rows(s, d).select("vertex", "subject", "session", "x"), _directions(s, d), fit.Settings(start=KAPPA * 10, outer=2, middle=2, inner=3))
+
+
+def kmeans_lloyd(s: SparkSession, d: str) -> DataFrame:
+    v = views.vectors(s, d).select(F.col("vec_id").alias("vertex"), V.unit(F.col("x")).alias("x"))
+    start = v.where("vertex < 4").select(F.col("vertex").alias("network"), "x")
+    return mixture.lloyd(v, start, 3)
+
+
+def _edges(s: SparkSession, d: str) -> DataFrame:
+    return views.ring(views.tensor(s, d))
+
+
+def _one_posterior(s: SparkSession, d: str) -> DataFrame:
+    return _posterior(s, d).where("subject = 0 and vertex % 7 <> 3").select("vertex", "network", "p")
+
+
+def mrf_potential(s: SparkSession, d: str) -> DataFrame:
+    return _r(spatial.potentials(_edges(s, d), _one_posterior(s, d)), "v")
+
+
+def mrf_potential_general(s: SparkSession, d: str) -> DataFrame:
+    return _r(spatial.potentials(_edges(s, d), _one_posterior(s, d), 0.25, 1.5, fast=False), "v")
+
+
+def individual_estep(s: SparkSession, d: str) -> DataFrame:
+    """One sweep: likelihood, group prior with weight 2 and smoothing with weight 3, as posterior."""
+    like = mixture.likelihoods(_dots(s, d), KAPPA, LOG_C).where("subject = 0")
+    v = spatial.potentials(_edges(s, d), _posterior(s, d).where("subject = 0").select("vertex", "network", "p"))
+    tiny = F.lit(2.2250738585072014e-308)
+    j = like.join(_theta(s, d), ["vertex", "network"]).join(v, ["vertex", "network"])
+    scores = j.withColumn("score", F.col("score") + 2.0 * F.ln(F.greatest("theta", tiny)) - 2 * 3.0 * F.col("v"))
+    return _r(mixture.softmax(scores, ["vertex", "subject"]).select("vertex", "network", "p"), "p")
+
+
+def _similarity(s: SparkSession, d: str) -> DataFrame:
+    v = views.vectors(s, d).select("vec_id", V.unit(F.col("x")).alias("x"))
+    voxels = F.broadcast(v.where("vec_id < 40").select(F.col("vec_id").alias("voxel"), F.col("x").alias("y")))
+    return v.crossJoin(voxels).select("voxel", F.col("vec_id").alias("vertex"), V.dot(F.col("x"), F.col("y")).alias("r"))
+
+
+def winner_take_all(s: SparkSession, d: str) -> DataFrame:
+    return _r(spatial.winner_take_all(_similarity(s, d), views.vectors(s, d).select(F.col("vec_id").alias("vertex"), "label"), 25), "confidence")
+
+
+def vol2surf_fc(s: SparkSession, d: str) -> DataFrame:
+    """The mean over two runs of Fisher-Z correlations, odd and even frames being the runs."""
+    b = _grid(s, d)
+    seeds = b.select("vertex").distinct().where(F.col("vertex") < SEEDS)
+    z = [series.fisher_z(series.correlations(b.where(F.col("frame") % 2 == k), seeds).where("vertex <> seed"), CLIP) for k in (0, 1)]
+    return _r(z[0].union(z[1]).groupBy("vertex", "seed").agg((F.sum("z") / 2).alias("z")), "z")
+
+
+def homogeneity(s: SparkSession, d: str) -> DataFrame:
+    return _r(mixture.homogeneity(views.vectors(s, d)), "homogeneity")
+
+
+def _two_labels(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    t = views.tensor(s, d)
+    return tuple(t.where(f"subject = {k} and session = 0").select("vertex", "label") for k in (0, 1))
+
+
+def dice_report(s: SparkSession, d: str) -> DataFrame:
+    return _r(evaluation.dice(*_two_labels(s, d)), "dice")
+
+
+def agreement_report(s: SparkSession, d: str) -> DataFrame:
+    return _r(evaluation.agreement(*_two_labels(s, d)), "agreement", "union_agreement")
+
+
+def tolerance_report(s: SparkSession, d: str) -> DataFrame:
+    a, b = (mixture.mean_centroids(v, 9) for v in (views.vectors(s, d), views.vectors(s, d).where("vec_id % 50 <> 0")))
+    long = lambda x: x.select("network", F.posexplode("x").alias("f", "value")).where("network + f < 70")
+    return _r(evaluation.tolerance(long(a), long(b).where("f <> 3"), ["network", "f"], 1e-3, 1e-2), "max_absolute", "max_relative")
+
+
+def neighbours(s: SparkSession, d: str) -> DataFrame:
+    """Triangles of customers, suppliers' cousins: each nation's key with the next two."""
+    faces = views.table(s, d, "customer").select(F.col("c_custkey").alias("a"), (F.col("c_custkey") + 1).alias("b"), (F.col("c_custkey") + F.col("c_nationkey") + 2).alias("c"))
+    return spatial.neighbours(faces).select("src", F.array_join("neighbours", ",").alias("neighbours"))
+
+
+def _points(s: SparkSession, d: str) -> DataFrame:
+    return views.vectors(s, d).select(F.col("vec_id").alias("vertex"), *[F.get("x", F.lit(i)).alias(c) for i, c in enumerate("xyz")])
+
+
+def nearest_seed(s: SparkSession, d: str) -> DataFrame:
+    p = _points(s, d)
+    return _r(spatial.nearest(p, p.where("vertex % 25 = 0").withColumnRenamed("vertex", "seed")), "distance")
+
+
+def boundary_fill(s: SparkSession, d: str) -> DataFrame:
+    edges = _edges(s, d).withColumn("length", 1.0 + F.least("src", "dst") % 3 * 0.5)
+    valid = views.template(s, d).where("label > 3").select("vertex")
+    return _r(spatial.filled(edges, valid, 4.0), "distance")
+
+
+def coverage_counts(s: SparkSession, d: str) -> DataFrame:
+    t = views.tensor(s, d)
+    zero = F.when(F.col("label") == 0, F.transform("x", lambda v: F.lit(0.0))).otherwise(F.col("x"))
+    cortex = t.select("vertex").distinct().withColumn("cortex", F.col("vertex") % 11 != 0)
+    return evaluation.coverage(t.withColumn("x", zero).where("vertex % 5 <> 2 or session = 0"), cortex)
+
+
+def support_masks(s: SparkSession, d: str) -> DataFrame:
+    zero = F.when(F.col("label") < 4, F.transform("x", lambda v: F.lit(0.0))).otherwise(F.col("x"))
+    return evaluation.support(views.tensor(s, d).withColumn("x", zero))
+
+
+def _files(s: SparkSession, d: str) -> DataFrame:
+    o = views.table(s, d, "orders")
+    path = F.format_string("in/sub-%02d/func/sub-%02d_ses-%d_task-rest_run-%d_hemi-%s_bold.func.gii", F.col("o_custkey") % 40, F.col("o_custkey") % 40, F.col("o_orderkey") % 12, F.expr("o_orderkey div 12 % 7"), F.when(F.col("o_totalprice") > 150000, "L").otherwise("R"))
+    return o.select(path.alias("path")).distinct()
+
+
+def _runs(s: SparkSession, d: str) -> DataFrame:
+    e = runs.entities(_files(s, d))
+    return e.select("path", *[F.try_element_at("entities", F.lit(k)).alias(n) for k, n in (("sub", "subject"), ("ses", "session"), ("task", "task"), ("run", "run"), ("hemi", "hemi"))])
+
+
+def entity_parse(s: SparkSession, d: str) -> DataFrame:
+    return _runs(s, d)
+
+
+def run_pairing(s: SparkSession, d: str) -> DataFrame:
+    return runs.paired(_runs(s, d), ["subject", "session", "task", "run"])
+
+
+def session_numbering(s: SparkSession, d: str) -> DataFrame:
+    own = _runs(s, d).where("hemi = 'L'").select("subject", "session", "task", "run")
+    return runs.numbered(own, "subject", ["session", "task", "run"])
+
+
+def profile_list_grid(s: SparkSession, d: str) -> DataFrame:
+    own = runs.numbered(_runs(s, d).where("hemi = 'L'").select("subject", "session", "task", "run", "path"), "subject", ["session", "task", "run"])
+    return runs.gaps(own.where("session_number % 4 <> 2"), "subject", "session_number", "path", 30)
+
+
+def manifest_json(s: SparkSession, d: str) -> DataFrame:
+    return runs.manifest(_runs(s, d), "subject", "session", "run", "hemi")
+
+
+def requested_missing(s: SparkSession, d: str) -> DataFrame:
+    asked = s.range(60).select(F.format_string("%02d", F.col("id")).alias("subject"))
+    return runs.missing(asked.join(F.broadcast(_runs(s, d).agg(F.max("subject").alias("top")))).where("subject <= concat(top, '9')").select("subject"), _runs(s, d), "subject")
+
+
+QUERIES: dict[str, Query] = {
+    q.__name__: q
+    for q in (
+        bold_grid, bold_censor, validate_constant, seed_timeseries, pearson_profile, fisher_z_profile, cutoff_value, binary_profile,
+        normalize_row_l2, normalize_centred_literal, avg_profile, label_centroids, label_centroids_mean, valid_vertices, vmf_dot,
+        posterior_softmax, flagship_labels, theta_mean, initial_theta, weighted_data, kappa_update, inverse_ratio, session_direction,
+        subject_direction, group_direction, sigma_update, em_cost, em_full_fit, kmeans_lloyd, mrf_potential, mrf_potential_general,
+        individual_estep, winner_take_all, vol2surf_fc, homogeneity, dice_report, agreement_report, tolerance_report, neighbours,
+        nearest_seed, boundary_fill, coverage_counts, support_masks, entity_parse, run_pairing, session_numbering, profile_list_grid,
+        manifest_json, requested_missing,
+    )
+}
+
+ORACLES: dict[str, str] = {name: text for name, text in sql.ORACLES.items() if name in QUERIES}
