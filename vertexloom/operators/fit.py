@@ -12,8 +12,6 @@ ratio; the cost of the step before the group's update is recorded; on convergenc
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vertexloom.functions.bessel import log_normaliser
+from vertexloom.sources.scratch import written
 
 GROUPS = 8
 TINY = 20 * float(np.log(np.finfo(float).eps))
@@ -63,17 +62,6 @@ def _inverse(d: int, r):
         return (d - 1) * r / (1 - r * r) + d * r / (d - 1)
 
 
-def _written(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}/fit-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 class _Data:
     """The vertices' rows, written once, and passes over them."""
 
@@ -83,7 +71,7 @@ class _Data:
         s = F.array_position(F.array(*[F.lit(x) for x in self.subjects]), F.col("subject")) - 1
         t = F.array_position(F.array(*[F.lit(x) for x in self.sessions]), F.col("session")) - 1
         cell = F.struct((s * len(self.sessions) + t).cast("int").alias("cell"), F.col("x").cast("array<double>").alias("x"))
-        self.rows = _written(rows.groupBy("vertex").agg(F.sort_array(F.collect_list(cell)).alias("cells")))
+        self.rows = written(rows.groupBy("vertex").agg(F.sort_array(F.collect_list(cell)).alias("cells")), "blocks")
         self.features = self.rows.select(F.size(F.col("cells")[0]["x"])).first()[0]
 
     def step(self, state: DataFrame | None, nu: np.ndarray, kappa: float, log_c: float, first: bool) -> tuple[DataFrame, np.ndarray, np.ndarray]:
@@ -127,7 +115,7 @@ class _Data:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *lists, sums], names=["vertex", "theta", "lam", "sums"])
 
         both = self.rows if state is None else self.rows.join(state.select("vertex", "theta"), "vertex")
-        out = _written(both.mapInArrow(run, "vertex long, theta array<double>, lam array<double>, sums binary"))
+        out = written(both.mapInArrow(run, "vertex long, theta array<double>, lam array<double>, sums binary"), "state")
         size = n_s * n_t * n_l * d + n_s
 
         def add(table: pa.Table) -> pa.Table:

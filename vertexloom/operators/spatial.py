@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vertexloom.sources.scratch import written
+
 
 def neighbours(faces: DataFrame) -> DataFrame:
     """(src, neighbours) of triangles (a, b, c): sorted sets."""
@@ -50,7 +52,7 @@ def filled(edges: DataFrame, valid: DataFrame, limit: float) -> DataFrame:
     best = F.min(F.struct("distance", "source"))
     while True:
         step = known.join(edges, known.vertex == edges.src).select(F.col("dst").alias("vertex"), "source", F.round(F.col("distance") + F.col("length"), 9).alias("distance")).where(F.col("distance") <= limit)
-        known = known.union(step).groupBy("vertex").agg(best.alias("b")).select("vertex", "b.source", "b.distance").checkpoint()
+        known = written(known.union(step).groupBy("vertex").agg(best.alias("b")).select("vertex", "b.source", "b.distance"), "known")
         now = known.agg(F.count("*"), F.round(F.sum("distance"), 6), F.sum("source")).first()
         if now == n:
             return known

@@ -333,7 +333,7 @@ def manifest_json(s: SparkSession, d: str) -> DataFrame:
 
 def requested_missing(s: SparkSession, d: str) -> DataFrame:
     asked = s.range(60).select(F.format_string("%02d", F.col("id")).alias("subject"))
-    return runs.missing(asked.join(F.broadcast(_runs(s, d).agg(F.max("subject").alias("top")))).where("subject <= concat(top, '9')").select("subject"), _runs(s, d), "subject")
+    return runs.missing(asked, _runs(s, d), "subject")
 
 
 QUERIES: dict[str, Query] = {

@@ -141,5 +141,5 @@ CASE WHEN count(*) FILTER (hemi = 'L') > 1 OR count(*) FILTER (hemi = 'R') > 1 T
     "profile_list_grid": _with(FILES) + """, o AS (SELECT subject, path, row_number() OVER (PARTITION BY subject ORDER BY session, task, run) AS k FROM runs WHERE hemi = 'L'), h AS (SELECT * FROM o WHERE k % 4 <> 2)
 SELECT s.subject, n.k AS session_number, coalesce(h.path, 'NONE') AS path FROM (SELECT DISTINCT subject FROM h) s CROSS JOIN (SELECT unnest(range(1, 31)) AS k) n LEFT JOIN h ON h.subject = s.subject AND h.k = n.k""",
     "manifest_json": _with(FILES) + """SELECT '{"subject":"' || subject || '","session":"' || session || '","run":"' || run || '","hemi":"' || hemi || '"}' AS manifest FROM runs""",
-    "requested_missing": _with(FILES) + ", a AS (SELECT printf('%02d', unnest(range(60))) AS subject) SELECT subject FROM a WHERE subject <= (SELECT max(subject) FROM runs) || '9' AND subject NOT IN (SELECT subject FROM runs)",
+    "requested_missing": _with(FILES) + ", a AS (SELECT printf('%02d', unnest(range(60))) AS subject) SELECT subject FROM a WHERE subject NOT IN (SELECT subject FROM runs)",
 }
