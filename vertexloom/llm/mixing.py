@@ -100,7 +100,7 @@ def pieces(sized: DataFrame, sources: DataFrame, block_words: int = BLOCK_WORDS)
     before = Window.partitionBy("sid").orderBy("bucket")
     totals = rows.groupBy("sid", "bucket").agg(F.sum("_size").alias("total")).select("sid", "bucket", (F.sum("total").over(before) - F.col("total")).alias("offset"))
     inside = Window.partitionBy("sid", "bucket").orderBy("doc_id", "_size", "_row").rowsBetween(Window.unboundedPreceding, 0)
-    placed = rows.withColumn("end", F.sum("_size").over(inside)).join(totals, ["sid", "bucket"]).select("_row", "sid", "_size", (F.col("offset") + F.col("end") - F.col("_size")).alias("start"))
+    placed = rows.withColumn("end", F.sum("_size").over(inside)).join(totals.hint("merge"), ["sid", "bucket"]).select("_row", "sid", "_size", (F.col("offset") + F.col("end") - F.col("_size")).alias("start"))
     spans = placed.select("*", F.explode(F.expr(f"sequence(start div {block_words}, (start + _size - 1) div {block_words})")).alias("block"))
     a = F.greatest("start", F.col("block") * block_words)
     b = F.least(F.col("start") + F.col("_size"), (F.col("block") + 1) * block_words)
@@ -108,10 +108,14 @@ def pieces(sized: DataFrame, sources: DataFrame, block_words: int = BLOCK_WORDS)
 
 
 def _mixed(sized: DataFrame, block_words: int, seed: int, **more) -> tuple[DataFrame, DataFrame]:
-    """(sources, pieces with the number of slots that hold their block)."""
+    """(sources, pieces with the number of slots that hold their block).
+
+    Slots come from a few rows of sources, from which Spark would take them for a small table; the hints keep it from broadcasting
+    what grows with the documents.
+    """
     sources = written(targets(sized, **more), "sources")
     uses = slots(sources, block_words, seed=seed).groupBy("sid", "block").agg(F.count("*").alias("uses"))
-    return sources, pieces(sized, sources, block_words).join(uses, ["sid", "block"])
+    return sources, pieces(sized, sources, block_words).join(uses.hint("merge"), ["sid", "block"])
 
 
 def report(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 0, **more) -> DataFrame:
@@ -120,7 +124,7 @@ def report(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 0, **mor
     sources, used = _mixed(sized, block_words, seed, **more)
     taken = used.groupBy("_row").agg(F.sum(F.col("n") * F.col("uses")).alias("taken"))
     s = sources.select(F.col("source").alias("_source"), "source_size", "target")
-    out = sized.join(taken, "_row", "left").join(s, F.col("source").eqNullSafe(F.col("_source")))
+    out = sized.join(taken.hint("merge"), "_row", "left").join(s, F.col("source").eqNullSafe(F.col("_source")))
     return out.select("doc_id", "source", F.col("_size").alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
 
 
@@ -132,7 +136,7 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int =
     sized = written(sizes(docs, docs.columns), "sized")
     _, used = _mixed(sized.select("doc_id", "source", "_size", "_row"), block_words, seed, **more)
     ranges = used.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("at", "n", "uses"))).alias("_ranges"), F.max("uses").alias("_times"), F.sum("n").alias("_covered"))
-    rows = sized.join(ranges, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
+    rows = sized.join(ranges.hint("merge"), "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
     rows = rows.withColumn("_own", F.filter("_ranges", lambda r: r["uses"] >= F.col("_copy")))
     whole = F.aggregate("_own", F.lit(0).cast("long"), lambda a, r: a + r["n"]) == F.col("_size")
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
