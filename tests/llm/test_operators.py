@@ -323,3 +323,33 @@ def test_empty_tables(name, spark, tmp_path):
     for t in ("documents", "pages", "labels", "benchmark"):
         spark.read.parquet(f"{SF}/{t}.parquet").where("false").write.parquet(f"{tmp_path}/{t}.parquet")
     assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0
+
+
+def test_lm_prices_every_ngram(docs):
+    """However few prices are broadcast, each text is priced by the whole trie."""
+    import numpy as np
+    import pyarrow as pa
+
+    texts, grams = [(plain.crc(i, 10) == 0, t) for i, t in rows(docs)], Counter()
+    own = [np.concatenate([c for c, _ in ppm._codes(pa.array([t], pa.string()), ppm.CONTEXT)]) for _, t in texts]
+    for (held_out, _), x in zip(texts, own, strict=True):
+        if not held_out:
+            grams.update(x.tolist())
+    whole = Counter()
+    for g, c in grams.items():
+        for k in range(ppm.CONTEXT + 1):
+            whole[k, g & ((1 << 8 * (k + 1)) - 1)] += c
+    level, key = (np.array(x, np.int64) for x in zip(*whole, strict=True))
+    trie = ppm.Trie(level, key, np.array(list(whole.values())), ppm.CONTEXT)
+    want = sorted(round(trie.price(x).sum() / ppm.LOG10, 4) for x in own)
+    for max_nodes in (50, ppm.MAX_NODES):
+        got = sorted(r["score"] for r in ppm.report(docs, max_nodes=max_nodes).collect())
+        assert max(abs(a - b) for a, b in zip(got, want, strict=True)) < 1e-3
+
+
+def test_lm_counts_are_exact_above_float32():
+    import numpy as np
+
+    n = np.array([2**24 + 1, 2**24 + 3])
+    got = ppm.Trie(np.zeros(2, np.int64), np.array([97, 98]), n, 0).price(np.array([97, 98]))
+    assert np.abs(got - np.log(n / (n.sum() + 2))).max() < 1e-12
