@@ -353,3 +353,37 @@ def test_lm_counts_are_exact_above_float32():
     n = np.array([2**24 + 1, 2**24 + 3])
     got = ppm.Trie(np.zeros(2, np.int64), np.array([97, 98]), n, 0).price(np.array([97, 98]))
     assert np.abs(got - np.log(n / (n.sum() + 2))).max() < 1e-12
+
+
+def test_mixing_draws_shards(spark):
+    sources = spark.createDataFrame([(1, 64 * 3000, 64 * 6000.0), (2, 64 * 9000, 64 * 3000.0), (3, 640, 64 * 1000.0)], "sid long, source_size long, target double")
+    dealt = [tuple(r) for r in mixing.slots(sources, 64, 100).collect()]
+    assert {(a, b) for a, b, _, _ in dealt} == {(a, b) for a in range(100) for b in range(100)} and len(dealt) == 10_000
+    n = Counter((shard, sid) for shard, _, sid, _ in dealt)
+    assert {(r["shard"], r["sid"]): r["n"] for r in mixing.shard_counts(mixing.slots(sources, 64, 100)).collect()} == n
+    # 100 shards, variance of a draw of 100 from 10,000
+    for sid, share in ((1, 0.6), (2, 0.3), (3, 0.1)):
+        spread = sum((n[shard, sid] - 100 * share) ** 2 for shard in range(100)) / 100
+        assert 0.5 < spread / (100 * share * (1 - share) * 0.99) < 1.6
+        # the draw deals out blocks: pass after pass over the source in the order of shards
+        own = [block for _, _, s, block in sorted(dealt) if s == sid]
+        blocks = {1: 3000, 2: 9000, 3: 10}[sid]
+        for a in range(0, len(own), blocks):
+            assert len(set(own[a : a + blocks])) == len(own[a : a + blocks])
+
+
+def test_mixing_carries_shards(docs):
+    held, of = Counter(), {}
+    for r in mixing.report(docs, shard_slots=8).collect():
+        assert sum(x["n"] for x in r["slots"]) == r["taken"]
+        for x in r["slots"]:
+            held[r["doc_id"], x["shard"], x["slot"]] += x["n"]
+            of.setdefault((x["shard"], x["slot"]), set()).add(r["source"])
+            assert 0 <= x["slot"] < 8
+    assert all(len(x) == 1 for x in of.values())
+    out = Counter()
+    for r in mixing.mixed_documents(docs.drop("_row"), shard_slots=8).collect():
+        assert sum(x["n"] for x in r["slots"]) == len(plain.words(r["text"]))
+        for x in r["slots"]:
+            out[r["doc_id"], x["shard"], x["slot"]] += x["n"]
+    assert out == held

@@ -2,8 +2,10 @@
 
 The words of a source, its documents in a pseudorandom order, are packed into blocks of a fixed number of words. Output shards have a
 fixed number of slots. How many slots of a shard each source gets is a multinomial draw, conditioned on the totals that meet the
-targets: all slots of all sources go through one keyed permutation, and a slot's place says its shard. A source's slots, numbered, go
-through a keyed permutation of its blocks, a new one for each pass over the source; blocks and documents are then joined by index.
+targets: all slots of all sources go through one keyed permutation, and a slot's place says its shard. The drawn counts deal out the
+sources: shard after shard takes so many of the next blocks of a source as it has slots for it, in the order of a keyed permutation of
+the source's blocks, a new one for each pass over it; blocks and documents are then joined by index. As the totals are given, the draw
+says where words go; how often they are taken follows from the targets. Results name the shard and slot of all that is taken.
 
 Permutations are swap-or-not networks: each round pairs x with (k - x) mod n and swaps by a hash bit of the larger one, so that any n
 is permuted without search or state.
@@ -78,9 +80,13 @@ def slots(sources: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int =
     chunks = s.where("n > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {CHUNK_SLOTS}"))).alias("chunk")).repartition("sid", "chunk")
     each = chunks.select("*", F.explode(F.sequence(F.col("chunk") * chunk, F.least(F.col("n"), (F.col("chunk") + 1) * chunk) - 1)).alias("t"))
     place = permuted(F.col("first") + F.col("t"), F.col("all"), F.lit(seed))
+    placed = each.select("sid", "blocks", place.alias("place"))
+    placed = written(placed.select(F.expr(f"place div {shard_slots}").alias("shard"), F.expr(f"place % {shard_slots}").alias("slot"), "sid", "blocks"), "placed")
+    counts = shard_counts(placed).withColumn("before", F.sum("n").over(Window.partitionBy("sid").orderBy("shard")) - F.col("n"))
+    number = F.row_number().over(Window.partitionBy("shard", "sid").orderBy("slot"))
+    dealt = placed.withColumn("number", number).join(counts.hint("merge"), ["shard", "sid"]).withColumn("t", F.col("before") + F.col("number") - 1)
     block = permuted(F.pmod(F.col("t"), F.col("blocks")), F.col("blocks"), F.lit(seed), F.col("sid"), F.expr("t div blocks"))
-    placed = each.select("sid", place.alias("place"), block.alias("block"))
-    return placed.select(F.expr(f"place div {shard_slots}").alias("shard"), F.expr(f"place % {shard_slots}").alias("slot"), "sid", "block")
+    return dealt.select("shard", "slot", "sid", block.alias("block"))
 
 
 def shard_counts(slots: DataFrame) -> DataFrame:
@@ -107,39 +113,49 @@ def pieces(sized: DataFrame, sources: DataFrame, block_words: int = BLOCK_WORDS)
     return spans.select("_row", "sid", "block", (a - F.col("start")).alias("at"), (b - a).alias("n"))
 
 
-def _mixed(sized: DataFrame, block_words: int, seed: int, **more) -> tuple[DataFrame, DataFrame]:
-    """(sources, pieces with the number of slots that hold their block).
+def _mixed(sized: DataFrame, block_words: int, shard_slots: int, seed: int, **more) -> tuple[DataFrame, DataFrame]:
+    """(sources, pieces with the places, array of (shard, slot), that hold their block).
 
     Slots come from a few rows of sources, from which Spark would take them for a small table; the hints keep it from broadcasting
     what grows with the documents.
     """
     sources = written(targets(sized, **more), "sources")
-    uses = slots(sources, block_words, seed=seed).groupBy("sid", "block").agg(F.count("*").alias("uses"))
+    uses = slots(sources, block_words, shard_slots, seed).groupBy("sid", "block").agg(F.array_sort(F.collect_list(F.struct("shard", "slot"))).alias("places"))
     return sources, pieces(sized, sources, block_words).join(uses.hint("merge"), ["sid", "block"])
 
 
-def report(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 0, **more) -> DataFrame:
-    """One row for each document: doc_id, source, size, source_size, target, taken (words that the mix takes, with repeats)."""
+def _held(place: Column, n: Column) -> Column:
+    return F.struct(place["shard"].alias("shard"), place["slot"].alias("slot"), n.alias("n"))
+
+
+def report(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 0, **more) -> DataFrame:
+    """One row for each document: doc_id, source, size, source_size, target, taken (words that the mix takes, with repeats) and
+    slots, the sorted (shard, slot, n) that hold n of its words."""
     sized = written(sizes(docs, ["doc_id", "source"]), "sizes")
-    sources, used = _mixed(sized, block_words, seed, **more)
-    taken = used.groupBy("_row").agg(F.sum(F.col("n") * F.col("uses")).alias("taken"))
+    sources, used = _mixed(sized, block_words, shard_slots, seed, **more)
+    held = F.array_sort(F.flatten(F.collect_list(F.transform("places", lambda p: _held(p, F.col("n"))))))
+    taken = used.groupBy("_row").agg(F.sum(F.col("n") * F.size("places")).alias("taken"), held.alias("slots"))
     s = sources.select(F.col("source").alias("_source"), "source_size", "target")
     out = sized.join(taken.hint("merge"), "_row", "left").join(s, F.col("source").eqNullSafe(F.col("_source")))
-    return out.select("doc_id", "source", F.col("_size").alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+    none = F.expr("cast(array() as array<struct<shard:bigint,slot:bigint,n:bigint>>)")
+    return out.select("doc_id", "source", F.col("_size").alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), F.coalesce("slots", none).alias("slots"))
 
 
-def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 0, **more) -> DataFrame:
-    """The mix as documents: for each time that words of a document are taken, a row of its columns with these words as text.
+def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 0, **more) -> DataFrame:
+    """The mix as documents: for each time that words of a document are taken, a row of its columns with these words as text, and
+    slots, the (shard, slot, n) that hold the next n words of it. A column of docs of that name is replaced.
 
     A text that is taken whole stays as it is; of others the taken words are joined by blanks. n_chars, if there, follows the text.
     """
+    docs = docs.drop("slots")
     sized = written(sizes(docs, docs.columns), "sized")
-    _, used = _mixed(sized.select("doc_id", "source", "_size", "_row"), block_words, seed, **more)
-    ranges = used.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("at", "n", "uses"))).alias("_ranges"), F.max("uses").alias("_times"), F.sum("n").alias("_covered"))
+    _, used = _mixed(sized.select("doc_id", "source", "_size", "_row"), block_words, shard_slots, seed, **more)
+    ranges = used.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("at", "n", "places"))).alias("_ranges"), F.max(F.size("places")).cast("long").alias("_times"))
     rows = sized.join(ranges.hint("merge"), "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
-    rows = rows.withColumn("_own", F.filter("_ranges", lambda r: r["uses"] >= F.col("_copy")))
+    rows = rows.withColumn("_own", F.filter("_ranges", lambda r: F.size(r["places"]) >= F.col("_copy")))
     whole = F.aggregate("_own", F.lit(0).cast("long"), lambda a, r: a + r["n"]) == F.col("_size")
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     some = rows.withColumn("_words", F.when(~whole, words)).withColumn("_text", F.when(whole, F.col("text")).otherwise(F.array_join(F.flatten(F.transform("_own", lambda r: F.slice("_words", (r["at"] + 1).cast("int"), r["n"].cast("int")))), " ")))
     n_chars = {"n_chars": F.char_length("text").cast("long")} if "n_chars" in docs.columns else {}
-    return some.withColumn("text", F.col("_text")).withColumns(n_chars).select(docs.columns)
+    held = F.transform("_own", lambda r: _held(F.element_at(r["places"], F.col("_copy").cast("int")), r["n"]))
+    return some.withColumn("text", F.col("_text")).withColumns(n_chars).select(*docs.columns, held.alias("slots"))
