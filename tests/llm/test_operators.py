@@ -387,3 +387,15 @@ def test_mixing_carries_shards(docs):
         for x in r["slots"]:
             out[r["doc_id"], x["shard"], x["slot"]] += x["n"]
     assert out == held
+
+
+def test_language_keeps_every_ngram(spark):
+    """Models above the bound of what is broadcast give the same results, and no language disappears."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    rare = spark.createDataFrame([(10**6 + i, "žluťoučký kůň úpěl ďábelské ódy", "cs") for i in range(10)], docs.schema)
+    docs = docs.unionByName(rare)
+    got, want = ({r["doc_id"]: r for r in langid.report(docs, max_grams=m).collect()} for m in (200, langid.MAX_GRAMS))
+    assert got.keys() == want.keys() and all(got[10**6 + i]["lang_pred"] == "cs" for i in range(10))
+    for i, r in want.items():
+        assert (got[i]["lang_pred"], got[i]["rejected"]) == (r["lang_pred"], r["rejected"])
+        assert abs((got[i]["cross_entropy"] or 0) - (r["cross_entropy"] or 0)) < 1e-4 and abs(got[i]["score"] - r["score"]) < 1e-3

@@ -5,6 +5,9 @@ documents by one Spark aggregation; the lower orders of Kneser-Ney are counts of
 text goes to the language of least cross-entropy per symbol. Texts whose cross-entropy is far above what held-back training documents
 of that language have are rejected.
 
+Models of up to MAX_GRAMS n-grams are broadcast whole. Larger ones are tables with every n-gram, discount and continuation count: the
+distinct n-grams of the texts are priced by joins order by order, prices of the most frequent ones are broadcast and the others joined.
+
 Defined results: a null text, or one without letters, is `und` with score 0 and rejected; without any labelled training text all
 are; ties go to the language that sorts first; columns of the documents whose names equal an output's are replaced.
 """
@@ -23,11 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, crc_mod
+from .common import append_columns, crc_mod, written
 from .words import mix, slices, text_bytes
 
 ORDER = 4
-#: Most n-grams of the highest order that the models keep together: the size of what is collected and broadcast.
+#: Most n-grams of the highest order, of all languages together, that are collected and broadcast. None is lost above it.
 MAX_GRAMS = 1_000_000
 #: A text of at least MIN_LETTERS letters is rejected when its cross-entropy is above SLACK times this quantile of the calibration
 #: texts of its language.
@@ -230,22 +233,120 @@ class LanguageModel:
         return [pa.array(named.tolist(), pa.string()), pa.array(np.where(letters > 0, score, 0.0)), pa.array(least, mask=letters == 0), pa.array(bad)]
 
 
-def fit(docs: DataFrame, label: str = "lang", order: int = ORDER, max_grams: int = MAX_GRAMS, held_back: Column | None = None) -> LanguageModel:
+def _strings(grams: list[str], order: int) -> np.ndarray:
+    """A row of symbols for each."""
+    return np.ascontiguousarray(np.array(grams, f"<U{order}").view(np.uint32).reshape(-1, order)) if grams else np.zeros((0, order), np.uint32)
+
+
+class JoinedModel:
+    """The same models as tables: (lang, gram, logp) and (lang, context, backoff) for each order, of any size."""
+
+    def __init__(self, counts: DataFrame, order: int, max_grams: int) -> None:
+        self.order, self.max_grams, self.sharpness, self.limits = order, max_grams, 8.0, {}
+        self.names = sorted(r[0] for r in counts.select("lang").distinct().collect())
+        self.alphabet = counts.select(F.explode(F.split("gram", "")).alias("c")).where("c <> ''").distinct().count() + 1
+        tables = [counts.select("lang", "gram", F.col("n").alias("c"))]
+        for k in range(order - 1, 0, -1):
+            tables.append(written(tables[-1].groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("c")), f"order{k}"))  # distinct left neighbours
+        self.levels: list[tuple[DataFrame, DataFrame]] = []
+        for k, t in enumerate(reversed(tables), 1):
+            ones = {r["lang"]: (r["n1"], r["n2"]) for r in t.groupBy("lang").agg(F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).collect()}
+            discounts = [(x, float(np.clip(n1 / max(1, n1 + 2 * n2), 0.1, 0.9))) for x, (n1, n2) in ones.items()]
+            t = t.join(F.broadcast(counts.sparkSession.createDataFrame(discounts, "lang string, d double")), "lang").withColumn("context", F.substring("gram", 1, k - 1))
+            contexts = t.groupBy("lang", "context").agg(F.sum("c").alias("total"), (F.first("d") * F.count("*") / F.sum("c")).alias("weight"))
+            contexts = written(contexts, f"contexts{k}")
+            t = t.join(F.broadcast(contexts) if k == 1 else contexts.hint("merge"), ["lang", "context"])
+            if k == 1:
+                t = t.withColumn("lower", F.lit(1 / self.alphabet))
+            else:
+                below = self.levels[-1][0].select("lang", F.col("gram").alias("suffix"), F.exp("logp").alias("lower"))
+                t = t.withColumn("suffix", F.substring("gram", 2, k - 1)).join(below.hint("merge"), ["lang", "suffix"])
+            logp = F.log((F.col("c") - F.col("d")) / F.col("total") + F.col("weight") * F.col("lower"))
+            self.levels.append((written(t.select("lang", "gram", logp.alias("logp")), f"grams{k}"), contexts.select("lang", "context", F.log("weight").alias("backoff"))))
+
+    def prices(self, asked: DataFrame) -> DataFrame:
+        """(gram, n, e) for asked (gram, n): e the log probabilities under each language, in the order of names."""
+        names = F.explode(F.array(*[F.lit(x) for x in self.names]))
+        open_, done = asked.select("gram", "n", names.alias("lang")).withColumn("out", F.lit(0.0)), []
+        for k in range(self.order, 0, -1):
+            grams, contexts = self.levels[k - 1]
+            last = F.substring("gram", self.order - k + 1, k)
+            own = grams.select("lang", F.col("gram").alias("g"), "logp")
+            open_ = open_.withColumn("g", last).withColumn("context", F.substring(last, 1, k - 1))
+            found = open_.join(own.hint("merge"), ["lang", "g"], "left").join(F.broadcast(contexts) if k == 1 else contexts.hint("merge"), ["lang", "context"], "left")
+            value = F.col("out") + F.coalesce("logp", "backoff", F.lit(0.0))
+            found = written(found.select("gram", "n", "lang", value.alias("out"), F.col("logp").isNotNull().alias("found")), f"priced{k}")
+            done.append(found.where("found").drop("found"))
+            open_ = found.where("not found").drop("found")
+        out = open_.withColumn("out", F.col("out") - math.log(self.alphabet))
+        for x in done:
+            out = out.unionByName(x)
+        e = F.transform(F.array_sort(F.collect_list(F.struct("lang", "out"))), lambda x: x["out"])
+        return written(out.groupBy("gram", "n").agg(e.alias("e")), "prices")
+
+    def entropies(self, docs: DataFrame) -> DataFrame:
+        """docs (with text) and _e (nats a symbol under each language) and _letters."""
+        order, size = self.order, len(self.names)
+        kept = written(docs.withColumn("_number", F.monotonically_increasing_id()), "numbered")
+        asked = gram_counts(kept, F.lit(""), order).groupBy("gram").agg(F.sum("n").alias("n"))
+        priced = self.prices(written(asked, "asked"))
+        hot = bounded(priced.select("gram", "n", "e"), self.max_grams).toArrow()  # max_grams bounds it
+        h = _row_hashes(_strings(hot["gram"].to_pylist(), order))
+        by = np.argsort(h)
+        h, value = h[by], np.array(hot["e"].to_pylist(), float).reshape(-1, size)[by]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for piece in (x for batch in batches for x in slices(batch, 1)):
+                symbols, starts, letters = symbol_runs(piece.column(1), order)
+                total, rest = np.zeros((piece.num_rows, size)), [[] for _ in range(piece.num_rows)]
+                for a, g, own in _pieces(symbols, starts, order):
+                    here = np.flatnonzero(own >= 0)
+                    found, at = _find(h, np.arange(len(h)), g[here]) if len(h) else (np.zeros(len(here), bool), np.zeros(len(here), np.int64))
+                    for i in range(size):
+                        total[:, i] += np.bincount(own[here[found]], value[at[found], i], minlength=piece.num_rows)
+                    left = here[~found]
+                    text = np.ascontiguousarray(symbols[(a + left)[:, None] + np.arange(order)]).view(f"<U{order}").ravel()
+                    for o, x in zip(own[left].tolist(), text.tolist(), strict=True):
+                        rest[o].append(x)
+                n = np.maximum(1, np.diff(starts) - order + 1)
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(total.tolist(), pa.list_(pa.float64())), pa.array(n), pa.array(letters), pa.array(rest, pa.list_(pa.string()))], names=["_number", "_sum", "_n", "_letters", "_rest"])
+
+        first = written(kept.select("_number", "text").mapInArrow(run, "_number long, _sum array<double>, _n long, _letters long, _rest array<string>"), "first")
+        more = first.select("_number", F.explode("_rest").alias("gram")).join(priced.select("gram", "e").hint("merge"), "gram").groupBy("_number").agg(F.array(*[F.sum(F.col("e")[i]) for i in range(size)]).alias("_more"))
+        e = F.transform("_sum", lambda x, i: -(x + F.coalesce(F.get("_more", i), F.lit(0.0))) / F.col("_n"))
+        out = first.join(more.hint("merge"), "_number", "left").select("_number", e.alias("_e"), "_letters")
+        return kept.join(out.hint("merge"), "_number").drop("_number")
+
+    def identified(self, docs: DataFrame) -> DataFrame:
+        names = F.array(*[F.lit(x) for x in self.names])
+        limits = F.array(*[F.lit(float(self.limits.get(x, math.inf))) for x in self.names])
+        out = self.entropies(docs.drop(*[f.name for f in FIELDS])).withColumn("_least", F.array_min("_e"))
+        best, some = F.array_position("_e", F.col("_least")).cast("int"), F.col("_letters") > 0
+        score = 1 / F.aggregate("_e", F.lit(0.0), lambda a, x: a + F.exp(-self.sharpness * (x - F.col("_least"))))
+        bad = ~some | (F.col("_letters") >= MIN_LETTERS) & (F.col("_least") > F.element_at(limits, best))
+        made = [F.when(some, F.element_at(names, best)).otherwise("und").alias("lang_pred"), F.when(some, score).otherwise(0.0).alias("score"), F.when(some, F.col("_least")).alias("cross_entropy"), bad.alias("rejected")]
+        return out.select(*[c for c in out.columns if c not in ("_e", "_letters", "_least")], *made)
+
+
+def fit(docs: DataFrame, label: str = "lang", order: int = ORDER, max_grams: int = MAX_GRAMS, held_back: Column | None = None) -> LanguageModel | JoinedModel:
     """Models of every label. held_back marks the documents that calibrate rejection and score; the others are counted."""
     held_back = crc_mod("doc_id", 5) == 1 if held_back is None else held_back
-    counts = gram_counts(docs.where(~held_back), F.col(label), order).cache()
-    rows = bounded(counts, max_grams).toArrow()  # max_grams bounds it
-    counts.unpersist()
-    grams = np.array(rows["gram"].to_pylist(), f"<U{order}").view(np.uint32).reshape(-1, order) if rows.num_rows else np.zeros((0, order), np.uint32)
+    counts = written(gram_counts(docs.where(~held_back), F.col(label), order), "grams")
+    if counts.count() > max_grams:
+        model = JoinedModel(counts, order, max_grams)
+        labelled = docs.where(held_back).select(F.col(label).cast("string").alias("lang"), "text").where("lang is not null")
+        return _calibrated(model, model.entropies(labelled).where("_letters > 0").select("lang", F.col("_e").alias("e")))
+    rows = counts.toArrow()  # max_grams bounds it
+    grams = _strings(rows["gram"].to_pylist(), order)
     n, of = rows["n"].to_numpy(), np.array(rows["lang"].to_pylist(), object)
     names = sorted(set(of))
     alphabet = len(np.unique(grams)) + 1
     model = LanguageModel(names, [kneser_ney(np.ascontiguousarray(grams[of == x]), n[of == x], alphabet) for x in names], alphabet, order)
-    return _calibrated(model, docs.where(held_back), label) if names else model
+    return _calibrated(model, _entropies(model, docs.where(held_back), label)) if names else model
 
 
-def _calibrated(model: LanguageModel, docs: DataFrame, label: str) -> LanguageModel:
-    """model with the sharpness of best likelihood, and each language's highest cross-entropy, on labelled docs."""
+def _entropies(model: LanguageModel, docs: DataFrame, label: str) -> DataFrame:
+    """(lang, e) of labelled docs that have letters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in (x for batch in batches for x in slices(batch, 1)):
@@ -253,8 +354,13 @@ def _calibrated(model: LanguageModel, docs: DataFrame, label: str) -> LanguageMo
             rows = np.flatnonzero(letters > 0)
             yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(rows)), pa.array(e[rows].tolist(), pa.list_(pa.float64()))], names=["lang", "e"])
 
+    return docs.select(F.col(label).cast("string").alias("lang"), "text").where("lang is not null").mapInArrow(run, "lang string, e array<double>")
+
+
+def _calibrated(model: LanguageModel | JoinedModel, scored: DataFrame) -> LanguageModel | JoinedModel:
+    """model with the sharpness of best likelihood, and each language's highest cross-entropy, on labelled docs."""
     at = F.array_position(F.array(*[F.lit(x) for x in model.names]), F.col("lang")).cast("int")
-    scored = docs.select(F.col(label).cast("string").alias("lang"), "text").where("lang is not null").mapInArrow(run, "lang string, e array<double>").where(at > 0)
+    scored = scored.where(at > 0)
     own, least = F.element_at("e", at), F.array_min("e")
 
     def likelihood(b: int) -> Column:
@@ -269,9 +375,9 @@ def _calibrated(model: LanguageModel, docs: DataFrame, label: str) -> LanguageMo
     return model
 
 
-def identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
+def identified(docs: DataFrame, model: LanguageModel | JoinedModel) -> DataFrame:
     """docs with lang_pred, score, cross_entropy and rejected."""
-    return append_columns(docs, "text", FIELDS, model)
+    return model.identified(docs) if isinstance(model, JoinedModel) else append_columns(docs, "text", FIELDS, model)
 
 
 def report(docs: DataFrame, folds: int = 5, **more) -> DataFrame:
