@@ -399,3 +399,12 @@ def test_language_keeps_every_ngram(spark):
     for i, r in want.items():
         assert (got[i]["lang_pred"], got[i]["rejected"]) == (r["lang_pred"], r["rejected"])
         assert abs((got[i]["cross_entropy"] or 0) - (r["cross_entropy"] or 0)) < 1e-4 and abs(got[i]["score"] - r["score"]) < 1e-3
+
+
+@pytest.mark.parametrize("blocks", [1_000_000, 1])
+def test_decontamination_without_ids(spark, blocks):
+    docs = spark.createDataFrame([(1, "see one two three here"), (2, "four five"), (3, "clean")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "one two three"), (None, "four"), (7, "five")], "item_id long, text string")
+    got = [tuple(r) for r in decontaminate.report(docs, bench, max_windows=blocks).collect()]
+    same(got, [(1, 5, 3, 1, plain.sha([]), True), (2, 2, 2, 2, plain.sha(["7"]), True), (3, 1, 0, 0, plain.sha([]), False)])
+    assert [r["doc_id"] for r in decontaminate.clean_documents(docs, bench, max_windows=blocks).collect()] == [3]

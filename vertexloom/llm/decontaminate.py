@@ -4,6 +4,7 @@ Words are runs of ASCII letters, digits and non-ASCII characters, with A-Z lower
 item; an item of fewer words, but not none, is one window. Every hash hit is verified against the window's own words.
 
 Defined results: a null or wordless text has no words and no hits; a null or wordless item has no windows; equal items all count;
+items without an id contaminate as others do: together they are one item, null, which n_items counts and items_sha256 leaves out (as in SQL);
 repeated documents are judged alike; an empty benchmark leaves every document clean; a column of the documents whose name equals
 an output's is replaced.
 """
@@ -48,7 +49,7 @@ def benchmark_windows(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.string()), strict=True)], names=["hash", "length", "words", "item_id"])
 
-    return benchmark.select(F.col("item_id").cast("string"), "text").mapInArrow(run, "hash long, length int, words binary, item_id string").where("item_id is not null").distinct()
+    return benchmark.select(F.col("item_id").cast("string"), "text").mapInArrow(run, "hash long, length int, words binary, item_id string").distinct()
 
 
 class _Scan:
@@ -87,7 +88,7 @@ class _Scan:
             base = int(w.text_at[i])
             chars = lambda x, base=base: len(w.data[base:x].tobytes().decode("utf-8", "replace"))
             spans.append([{"start": chars(x["start"]), "end": chars(x["end"])} for x in own])
-        arrow = [pa.array(counts, pa.int64()), pa.array(words, pa.list_(pa.int64())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
+        arrow = [pa.array(counts, pa.int64()), pa.array(words, pa.list_(pa.int64())), pa.array([sorted(x, key=lambda i: (i is None, i or "")) for x in items], pa.list_(pa.string()))]
         return [*arrow, pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
 
 
