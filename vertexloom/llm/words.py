@@ -89,7 +89,7 @@ class Words:
         return np.repeat(np.arange(len(self.doc) - 1), self.counts)
 
 
-def slices(batch: pa.RecordBatch, text: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of rows of about `most` bytes of text each, so that arrays made from them stay small; a longer text is alone."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
     i = 0
