@@ -2,10 +2,12 @@
 
 A document's set holds the hashes (64 bits) of its distinct word shingles. Equal sets are one class from the start, so that exact
 copies cost nothing later. Signatures of one document for each distinct set are cut into bands; documents that agree in a band are
-candidates. Within a bucket members are only compared with one of them, and only if they are not yet of one class. Long bands, which
-very similar documents share, go first; when their classes are known, shorter bands add to them. At last, in the buckets of the
-shortest bands in which classes still meet, every member is compared with those of other classes, blocks of signatures against
-blocks, so that no link between classes is lost; only pairs that stay likely leave a block.
+candidates. Long bands, which very similar documents share, go first; shorter ones follow when the classes of these are known. Only
+buckets in which classes meet go on. In each of them members are compared with one leader, the member that shares the most bands with
+others: in a group of copies of one text that is a text in their midst, the same one in most buckets, so that a group of n makes about
+n pairs. At last, in the buckets of the shorter bands in which classes still meet, the members outside a bucket's largest class are
+compared with all of it, blocks of signatures against blocks, so that no link between classes is lost; only pairs that stay likely
+leave a block.
 
 A candidate pair is pruned as soon as, after a batch of signature values, the posterior probability of a similarity at or above
 the threshold (uniform prior, m of n values equal: a Beta distribution) falls below the chosen miss probability. Survivors are
@@ -32,9 +34,9 @@ from .words import SPACED, grams, mix, slices, words_of
 SHINGLE, THRESHOLD = 5, 0.8
 #: Chance that a pair at the threshold shares no band; that pruning drops one.
 MISS = 1e-6
-ROWS, BATCH = 4, 16
-#: Values of a signature; rows of the longer bands that go first.
-HASHES, LONG_ROWS = 192, (12, 8)
+ROWS, BATCH = 5, 16
+#: Values of a signature, of VALUE bytes each; rows of the longer bands that go first.
+HASHES, VALUE, LONG_ROWS = 192, 4, (8,)
 #: Members of a block, and rows that one call of the last step gets at least.
 BLOCK, GROUP = 400, 4000
 
@@ -74,7 +76,7 @@ def _sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
 
 
 def signatures(docs: DataFrame, k: int, hashes: int) -> DataFrame:
-    """(doc_id, n_shingles, a, b, signature): a and b identify the set, the signature has `hashes` minima (int)."""
+    """(doc_id, n_shingles, a, b, signature): a and b identify the set, the signature has `hashes` minima (binary)."""
     rng = np.random.default_rng(11)
     multiply = (rng.integers(1, 1 << 32, hashes, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
     add = rng.integers(0, 1 << 32, hashes, dtype=np.uint64).astype(np.uint32)[:, None]
@@ -97,11 +99,27 @@ def signatures(docs: DataFrame, k: int, hashes: int) -> DataFrame:
                 sig.append(last[key])
             if n:
                 two = np.array(ab, np.uint64).view(np.int64)
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in sig])]).astype(np.int32)
-                values = pa.array(np.concatenate(sig).view(np.int32), pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(two[:, 0]), pa.array(two[:, 1]), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["doc_id", "n_shingles", "a", "b", "signature"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(two[:, 0]), pa.array(two[:, 1]), pa.array([x.tobytes() for x in sig], pa.binary())], names=["doc_id", "n_shingles", "a", "b", "signature"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, a long, b long, signature array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, a long, b long, signature binary")
+
+
+def _matrix(x: pa.Array) -> np.ndarray:
+    """A row of values for each signature."""
+    offsets = np.frombuffer(x.buffers()[1], np.int32)[x.offset : x.offset + len(x) + 1]
+    return np.frombuffer(x.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].view(np.uint32).reshape(len(x), -1)
+
+
+def _asked(reps: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, signature) of the ids (id): a bitmap of fixed size keeps most others from being moved."""
+    packed = np.packbits(bitmap(ids, "id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.unpackbits(packed).astype(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(known[batch.column(0).to_numpy(zero_copy_only=False) % len(known)]))
+
+    return reps.select(F.col("doc_id").alias("id"), "signature").mapInArrow(run, "id long, signature binary")
 
 
 def shingle_sets(docs: DataFrame, k: int, asked: np.ndarray) -> DataFrame:
@@ -117,14 +135,14 @@ def shingle_sets(docs: DataFrame, k: int, asked: np.ndarray) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(run, "doc_id long, shingles binary")
 
 
-def pruned(pairs: DataFrame, sigs: DataFrame, threshold: float, miss: float = MISS, batch_size: int = BATCH) -> DataFrame:
+def pruned(pairs: DataFrame, reps: DataFrame, threshold: float, miss: float = MISS, batch_size: int = BATCH) -> DataFrame:
     """The pairs (x, y) whose signatures leave a similarity at the threshold possible."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            p, q = (c.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for c in batch.columns[2:])
+            p, q = _matrix(batch.column(2)), _matrix(batch.column(3))
             alive, equal = np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64)
             for a in range(0, p.shape[1], batch_size):
                 b = min(a + batch_size, p.shape[1])
@@ -133,7 +151,8 @@ def pruned(pairs: DataFrame, sigs: DataFrame, threshold: float, miss: float = MI
                 alive, equal = alive[keep], equal[keep]
             yield batch.select([0, 1]).take(pa.array(alive))
 
-    one = lambda c: sigs.select(F.col("doc_id").alias(c), F.col("signature").alias(f"sig_{c}"))
+    sigs = _asked(reps, pairs.select(F.col("x").alias("id")).union(pairs.select("y")))
+    one = lambda c: sigs.select(F.col("id").alias(c), F.col("signature").alias(f"sig_{c}"))
     return pairs.join(one("x"), "x").join(one("y"), "y").select("x", "y", "sig_x", "sig_y").mapInArrow(run, "x long, y long")
 
 
@@ -178,19 +197,25 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _buckets(reps: DataFrame, rows: int, bands: int) -> DataFrame:
-    keys = F.array(*[F.xxhash64(F.lit(i), F.slice("signature", i * rows + 1, rows)) for i in range(bands)])
+    keys = F.array(*[F.xxhash64(F.lit(i), F.substring("signature", i * rows * VALUE + 1, rows * VALUE)) for i in range(bands)])
     return reps.select(F.col("doc_id").alias("id"), F.explode(keys).alias("bucket"))
 
 
-def _meeting(rows: DataFrame) -> DataFrame:
-    """The rows (bucket, id, component) of buckets in which classes meet, with the bucket's size and its leader.
-
-    Leaders are chosen by a hash of member and bucket, so that a document meets other leaders in other buckets.
-    """
-    leader = F.min(F.struct(F.xxhash64("id", "bucket").alias("h"), F.col("id")))["id"]
-    some = rows.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), leader.alias("leader"), F.count("*").alias("n"))
+def _meeting(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, id, component, n) of the rows (bucket, id) in buckets of n members in which classes meet."""
+    rows = written(rows.join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component")), "classed")
+    some = rows.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n"))
     # written, so that the rows of a hot bucket can be split in the join
-    return rows.join(written(some.where("c0 < c1").select("bucket", "leader", "n"), "some"), "bucket")
+    return rows.join(written(some.where("c0 < c1").select("bucket", "n"), "some"), "bucket")
+
+
+def _led(met: DataFrame) -> DataFrame:
+    """(bucket, id, component, leader, leader_component): each bucket's leader is the member whose buckets are largest in all."""
+    own = met.groupBy("id").agg(F.first("component").alias("component"), F.sum("n").alias("near"), F.collect_list("bucket").alias("buckets"))  # a few dozen buckets at most
+    rows = written(own.select("id", "component", "near", F.explode("buckets").alias("bucket")), "met")
+    leaders = rows.groupBy("bucket").agg(F.max_by(F.struct("id", "component"), F.struct("near", F.xxhash64("id"))).alias("l"))
+    leaders = written(leaders.select("bucket", F.col("l.id").alias("leader"), F.col("l.component").alias("leader_component")), "leaders")
+    return rows.select("bucket", "id", "component").join(leaders, "bucket")
 
 
 def links(docs: DataFrame, reps: DataFrame, k: int, percent: int, levels: list[tuple[int, int]]) -> DataFrame:
@@ -198,10 +223,6 @@ def links(docs: DataFrame, reps: DataFrame, k: int, percent: int, levels: list[t
     labels = reps.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("component")).where("false")
     found = None
 
-    def meeting(rows: DataFrame) -> DataFrame:
-        classed = rows.join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-        return written(_meeting(written(classed, "classed")), "met")
-
     def confirmed(pairs: DataFrame) -> None:
         nonlocal found, labels
         new = written(verified(written(pairs, "survivors"), docs, k, percent), "links")
@@ -210,12 +231,11 @@ def links(docs: DataFrame, reps: DataFrame, k: int, percent: int, levels: list[t
             labels = components(found)
 
     for rows, bands in levels:
-        met = meeting(_buckets(reps, rows, bands))
-        leaders = met.where(F.col("id") == F.col("leader")).select("bucket", F.col("component").alias("leader_component"))
-        pairs = met.join(leaders, "bucket").where("component != leader_component").select(F.col("leader").alias("x"), F.col("id").alias("y")).distinct()
-        confirmed(pruned(pairs, reps, percent / 100))
+        led = written(_led(_meeting(_buckets(reps, rows, bands), labels)), "led")
+        pairs = led.where("component != leader_component").select(F.col("leader").alias("x"), F.col("id").alias("y")).distinct()
+        confirmed(pruned(written(pairs, "pairs"), reps, percent / 100))
     # leaders have been compared with all of their buckets
-    rest = meeting(met.where(F.col("id") != F.col("leader")).select("bucket", "id"))
+    rest = written(_meeting(led.where("id != leader").select("bucket", "id"), labels), "rest")
     confirmed(_across(rest, reps, percent / 100))
     return labels
 
@@ -223,22 +243,22 @@ def links(docs: DataFrame, reps: DataFrame, k: int, percent: int, levels: list[t
 def _across(met: DataFrame, reps: DataFrame, threshold: float, miss: float = MISS) -> DataFrame:
     """The likely pairs among members of a bucket that are of different classes.
 
-    Members are dealt to blocks, and a group has the members of two blocks (or of one): each pair of blocks meets once.
+    A bucket's members are dealt to blocks. Those outside its largest class also go to every block, to be compared with the block's
+    members of other classes; those of the largest class are moved once.
     """
     least_of = lambda n: least_matches(threshold, miss, n)
 
     def run(group: pa.Table) -> pa.Table:
         columns = {c: group.column(c).combine_chunks() for c in group.column_names}
-        bucket, p, q, own, ids, of = (columns[c].to_numpy(zero_copy_only=False) for c in ("bucket", "p", "q", "own", "id", "component"))
-        sig = columns["signature"].flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-        least, order = least_of(sig.shape[1]), np.lexsort((own, q, p, bucket))
-        key = np.stack([bucket, p, q], axis=1)[order]
-        edges = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1), [True]]))
+        bucket, block, asks, ids, of = (columns[c].to_numpy(zero_copy_only=False) for c in ("bucket", "block", "asks", "id", "component"))
+        sig = _matrix(columns["signature"])
+        least, order = least_of(sig.shape[1]), np.lexsort((block, bucket))
+        edges = np.flatnonzero(np.concatenate([[True], (bucket[order][1:] != bucket[order][:-1]) | (block[order][1:] != block[order][:-1]), [True]]))
         out = []
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             rows = order[a:b]
-            left, right = rows[own[rows] == p[rows[0]]], rows[own[rows] == q[rows[0]]]
-            for x in left:
+            right = rows[~asks[rows]]
+            for x in rows[asks[rows]]:
                 y = right[of[right] != of[x]]
                 y = y[(sig[y] == sig[x]).sum(axis=1) >= least]
                 out.append(np.stack([np.minimum(ids[y], ids[x]), np.maximum(ids[y], ids[x])], axis=1))
@@ -246,11 +266,13 @@ def _across(met: DataFrame, reps: DataFrame, threshold: float, miss: float = MIS
         return pa.table({"x": pa.array(pairs[:, 0], pa.int64()), "y": pa.array(pairs[:, 1], pa.int64())})
 
     groups = max(1, met.count() // GROUP)
-    sized = met.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    dealt = sized.select("bucket", "own", "id", "component", F.explode(F.transform(every, lambda i: F.struct(F.least("own", i).alias("p"), F.greatest("own", i).alias("q")))).alias("at"))
-    sigs = reps.select(F.col("doc_id").alias("id"), "signature")
-    rows = dealt.select("bucket", "own", "id", "component", "at.p", "at.q").join(sigs, "id").withColumn("g", F.pmod(F.xxhash64("bucket", "p", "q"), F.lit(groups)))
+    sizes = met.groupBy("bucket", "component").agg(F.count("*").alias("c"))
+    largest = written(sizes.groupBy("bucket").agg(F.max_by("component", F.struct("c", "component")).alias("largest")), "largest")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.array(F.struct(F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), F.lit(False).alias("asks")))
+    every = F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.struct(i.alias("block"), F.lit(True).alias("asks")))
+    dealt = met.join(largest, "bucket").select("bucket", "id", "component", F.explode(F.when(F.col("component") == F.col("largest"), own).otherwise(F.concat(own, every))).alias("at"))
+    rows = dealt.select("bucket", "id", "component", "at.block", "at.asks").join(_asked(reps, met.select("id")), "id").withColumn("g", F.pmod(F.xxhash64("bucket", "block"), F.lit(groups)))
     return rows.groupBy("g").applyInArrow(run, "x long, y long").distinct()
 
 
@@ -263,7 +285,8 @@ def classes(docs: DataFrame, k: int = SHINGLE, percent: int = round(100 * THRESH
     levels = [(r, HASHES // r) for r in LONG_ROWS] + [(rows, bands)]
     every = written(signatures(docs, k, max(HASHES, rows * bands)), "signatures")
     sets = every.where("n_shingles > 0 and doc_id is not null")
-    equal = sets.groupBy("n_shingles", "a", "b").agg(F.min("doc_id").alias("rep"))
+    # written, so that the rows of a hot set can be split in the join
+    equal = written(sets.groupBy("n_shingles", "a", "b").agg(F.min("doc_id").alias("rep")), "equal")
     members = written(sets.select("doc_id", "n_shingles", "a", "b").join(equal, ["n_shingles", "a", "b"]).select("doc_id", "n_shingles", "rep"), "members")
     reps = sets.join(members.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "signature").dropDuplicates(["doc_id"])
     labels = links(docs, written(reps, "reps"), k, percent, levels)
