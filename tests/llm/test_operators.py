@@ -408,3 +408,17 @@ def test_decontamination_without_ids(spark, blocks):
     got = [tuple(r) for r in decontaminate.report(docs, bench, max_windows=blocks).collect()]
     same(got, [(1, 5, 3, 1, plain.sha([]), True), (2, 2, 2, 2, plain.sha(["7"]), True), (3, 1, 0, 0, plain.sha([]), False)])
     assert [r["doc_id"] for r in decontaminate.clean_documents(docs, bench, max_windows=blocks).collect()] == [3]
+
+
+def test_encoder_over_the_vocabulary():
+    """Every entry of the vocabulary, alone, joined with others and between odd characters, as the tokenizers library encodes it."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(token_store.public_tokenizer())
+    names = [t.decode([i]).strip() for i in range(t.get_vocab_size())]
+    texts = [" ".join(names[i : i + 50]) for i in range(0, len(names), 50)] + ["".join(names[i : i + 9]) for i in range(0, len(names), 9)]
+    texts += [x.upper() + "'s-" + x + "×" + x + "́ 1" + x for x in names[::7]] + [None, "", " \n", "AÀßÿz", "é", " x y", "<|endoftext|>", "don't I'LL 'tis ''s"]
+    ids, n = token_store._encoder(token_store.public_tokenizer())(pa.array(texts, pa.string()))
+    want = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert n.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]

@@ -18,7 +18,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,18 +28,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared_folder
-from .words import slices
+from .words import slices, text_bytes
 
 END_ID = 1
 #: Ids of a shard before it is closed; a longer document is a shard of its own.
 SHARD_TOKENS = 1 << 20
 #: Most rules of a shard, of one round; fewest times that a replaced pair occurs; share of symbols that a round must save.
 MAX_RULES, ROUND_RULES, MIN_COUNT, MIN_GAIN = 16_000, 4_000, 6, 0.004
-#: Distinct words whose ids a Python worker remembers, and bytes of text that are encoded at a time.
-CACHED_WORDS, SLICE_BYTES = 500_000, 8 << 20
-#: Words that need no more than lower case and their bytes as signs; a sample that the short way is compared with the long on.
-LETTERS = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
-SAMPLE = ("the", "Hello,", "STRASSE.", "Stra\u00dfe", "\u00c9COLE!!", "na\u00efve...", "\u00fcberm\u00e4\u00dfig", "zzzqx", "l", "inger###", "x&&&.", "to%$")
+#: Distinct pieces whose ids a Python worker remembers, and bytes of text that are encoded at a time.
+CACHED_PIECES, SLICE_BYTES = 500_000, 4 << 20
+#: Words that the short way is compared with the long on.
+SAMPLE = ("the", "Hello,", "STRASSE.", "Stra\u00dfe", "\u00c9COLE!!", "na\u00efve...", "\u00fcberm\u00e4\u00dfig", "zzzqx", "l", "inger###", "x&&&.", "to%$", "(a)b", "12a3", "a.b@c-d.com", "2024-01-05", "***", "don't", "a|b", "\u00d7a\u00f7")
 
 
 def _byte_signs() -> dict[int, str]:
@@ -53,6 +52,53 @@ def _byte_signs() -> dict[int, str]:
 BYTE_SIGNS = _byte_signs()
 #: Characters that can stand between words while these are encoded: the first that is a single id.
 MARKS = "\u2022\u2026\u2192\u2605\u2665\u20ac\u2014"
+#: Kinds of bytes: white space, letters, digits, signs, and others, whose words go to the tokenizer whole.
+_BLANK, _LETTER, _DIGIT, _SIGN, _OTHER = range(5)
+
+
+def _kinds() -> np.ndarray:
+    out = np.full(256, _OTHER, np.uint8)
+    out[[0x20, *range(0x09, 0x0E)]] = _BLANK
+    out[[c for c in range(0x21, 0x7F)]] = _SIGN
+    out[[ord("'"), ord("|")]] = _OTHER  # contractions and the names of special tokens
+    out[ord("0") : ord("9") + 1] = _DIGIT
+    out[ord("A") : ord("Z") + 1] = out[ord("a") : ord("z") + 1] = _LETTER
+    return out
+
+
+KINDS = _kinds()
+#: Pieces that go straight to the tokenizer's model.
+SHORT = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[!-&(-/:-@\\[-`{}~]+")
+
+
+def pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(pieces of all texts, first piece of each text and the number of all).
+
+    A piece is a run of letters in lower case, a digit, or a run of signs. A word with any other character than ASCII's and Latin-1's letters
+    is one piece as it stands.
+    """
+    data, at = text_bytes(texts)
+    kind, low = KINDS[data], data.copy()
+    low[(data >= ord("A")) & (data <= ord("Z"))] += 32
+    lead = np.flatnonzero(data[:-1] == 0xC3)  # two bytes: letters from U+00C0 on, capitals 32 before the small ones
+    second = data[lead + 1]
+    letter = (second != 0x97) & (second != 0xB7)
+    kind[lead[letter]] = kind[lead[letter] + 1] = _LETTER
+    low[lead[letter & (second <= 0x9E)] + 1] += 32
+    word = kind != _BLANK
+    start = word.copy()
+    start[1:] &= ~word[:-1]
+    begin = at[:-1][at[:-1] < len(data)]
+    start[begin] = word[begin]
+    start, kind, low, data, rank = start[word], kind[word], low[word], data[word], np.concatenate([[0], np.cumsum(word, dtype=np.int32)])
+    first = np.flatnonzero(start)
+    odd = np.repeat(np.maximum.reduceat(kind, first) == _OTHER, np.diff(first, append=len(kind))) if len(first) else np.zeros(0, bool)
+    kind[odd], low[odd] = _OTHER, data[odd]
+    start[1:] |= (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    bounds = np.flatnonzero(np.concatenate([start, [True]])).astype(np.int64)
+    every = pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), pa.py_buffer(low))
+    return every, np.searchsorted(bounds[:-1], rank[at])
+
 
 SHARD = "part int, shard int, start long, n_tokens long, doc_ids array<long>, doc_lengths array<long>, base int, rules binary, rule_lengths binary, sequence binary"
 
@@ -64,7 +110,7 @@ def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
 
 
 class _Encoder:
-    """Ids of texts. The tokenizer drops white space and treats each word alone, so that each distinct word is encoded once."""
+    """Ids of texts. The tokenizer drops white space and treats pieces alone, so that each distinct piece is encoded once."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -73,70 +119,59 @@ class _Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size()
         one = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in MARKS}
-        self.pieces: dict[str, tuple[int, ...]] = {}
         self.sign, self.mark = next((m, ids[0]) for m, ids in one.items() if len(ids) == 1)
-        self._forget()
-
         self.model = self.tokenizer.model
-        if any(self._letters(w) != tuple(self.tokenizer.encode(w, add_special_tokens=False).ids) for w in SAMPLE):
-            self.model = None
-
-    def _letters(self, word: str) -> tuple[int, ...] | None:
-        """Ids of a word of Latin letters that signs may follow, straight from the tokenizer's model; None for any other word.
-
-        Such letters are one piece of the tokenizer, signs but the apostrophe another; lower-casing and bytes are all that comes before the model.
-        """
-        m = LETTERS.fullmatch(word) if self.model else None
-        if not m:
-            return None
-        out: tuple[int, ...] = ()
-        for piece in (m[1].lower(), m[2]) if m[2] else (m[1].lower(),):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                ids = self.pieces[piece] = tuple(t.id for t in self.model.tokenize(piece if piece.isascii() else piece.translate(BYTE_SIGNS)))
-            out += ids
-        return out
-
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        if len(self.pieces) > CACHED_WORDS:
-            self.pieces = {}
-        self.pool, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def _learn(self, words: list[str]) -> None:
-        ready = {w: ids for w in words if (ids := self._letters(w)) is not None}
-        # of the others, a mark that is one id stands after every word; words that hold the mark are encoded one by one
-        rest = [w for w in words if w not in ready]
-        odd, plain = [w for w in rest if self.sign in w], [w for w in rest if self.sign not in w]
+        self.short = True
+        self.forget()
+        long = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in SAMPLE]
+        self.short = np.array_equal(self(pa.array(SAMPLE))[0], np.concatenate(long))
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.pool, self.starts = pa.array([], pa.large_string()), np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _learn(self, new: pa.Array) -> None:
+        names = new.to_pylist()
+        short = self.short and SHORT.fullmatch
+        ids = [[t.id for t in self.model.tokenize(x if x.isascii() else x.translate(BYTE_SIGNS))] if short and short(x) else None for x in names]
+        long = [i for i, x in enumerate(ids) if x is None]
+        for i, x in zip(long, self._whole([names[i] for i in long]), strict=True):
+            ids[i] = x
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
+        self.known = pa.concat_arrays([self.known, new])
+
+    def _whole(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of words from the tokenizer. A mark that is one id stands after every word; words that hold the mark are encoded one by one."""
+        plain = [w for w in words if self.sign not in w]
         runs = [f" {self.sign} ".join(plain[i : i + 64]) + f" {self.sign}" for i in range(0, len(plain), 64)]
         ids = np.fromiter(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)), np.uint32)
-        marks = ids == self.mark
-        lengths = np.diff(np.flatnonzero(marks), prepend=-1) - 1
-        if len(lengths) != len(plain):
+        ends = np.flatnonzero(ids == self.mark)
+        if len(ends) != len(plain):
             raise ValueError("the tokenizer does not treat words alone")
-        more = [*ready.values(), *(e.ids for e in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False))]
-        self.known.update(zip([*plain, *ready, *odd], range(len(self.known), len(self.known) + len(words)), strict=True))
-        self.pool = np.concatenate([self.pool, ids[~marks], np.fromiter(chain.from_iterable(more), np.uint32)])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate([lengths, np.fromiter(map(len, more), np.int64)]))])
+        own = iter(np.split(ids, ends + 1)[:-1])
+        return [np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32) if self.sign in w else next(own)[:-1] for w in words]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
-        words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-        flat = pc.dictionary_encode(words.flatten())
-        if len(self.known) > CACHED_WORDS:
-            self._forget()
-        names = flat.dictionary.to_pylist()
-        at = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
-        if (at < 0).any():
-            new = [names[i] for i in np.flatnonzero(at < 0)]
-            self._learn(new)
-            at[at < 0] = np.fromiter(map(self.known.__getitem__, new), np.int64, len(new))
-        each = at[flat.indices.to_numpy(zero_copy_only=False)] if len(names) else np.zeros(0, np.int64)
+        if self.short:
+            every, bounds = pieces(texts)
+        else:
+            words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+            every, bounds = words.flatten().cast(pa.large_string()), words.offsets.to_numpy() - words.offsets[0].as_py()
+        flat = pc.dictionary_encode(every)
+        if len(self.known) > CACHED_PIECES:
+            self.forget()
+        at = pc.fill_null(pc.index_in(flat.dictionary, self.known), -1).to_numpy()
+        new = at < 0
+        if new.any():
+            at = np.where(new, len(self.known) + np.cumsum(new) - 1, at)
+            self._learn(flat.dictionary.filter(pa.array(new)))
+        each = at[flat.indices.to_numpy()]
         lengths = self.starts[each + 1] - self.starts[each]
         ids = self.pool[spread(self.starts[each], lengths)]
-        bounds = words.offsets.to_numpy() - words.offsets[0].as_py()
-        total = np.concatenate([[0], np.cumsum(lengths)])[bounds]
-        return ids, np.diff(total)
+        return ids, np.diff(np.concatenate([[0], np.cumsum(lengths)])[bounds])
 
 
 @cache
