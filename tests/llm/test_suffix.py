@@ -68,3 +68,37 @@ def test_planted(spark, ranges):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("others", [1, 400])
+def test_straddling(spark, others):
+    """A passage on both sides of its minimiser, among texts that share more of it on one side each."""
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(100000)}"
+    shared, texts = [word() for _ in range(50)], []
+    for _ in range(2):
+        texts.append([word() for _ in range(60)] + shared + [word() for _ in range(60)])
+    for i in range(others):
+        part = shared[:46] if i % 2 else shared[4:]
+        texts.append([word() for _ in range(rng.randrange(60))] + part + [word() for _ in range(rng.randrange(60))])
+    rng.shuffle(texts)
+    check(spark, [" ".join(t) for t in texts], 3)
+
+
+def test_families(spark):
+    """Edited copies of one text, so that each passage has other partners."""
+    rng = random.Random(3)
+    base, texts = [f"b{i}" for i in range(300)], []
+    for i in range(120):
+        t = list(base[rng.randrange(100) : 200 + rng.randrange(100)])
+        for _ in range(rng.randrange(1, 8)):
+            t[rng.randrange(len(t))] = f"e{rng.randrange(40)}"
+        texts.append(" ".join(t))
+    check(spark, texts, 4)
+
+
+def test_clashing_columns(spark):
+    text = " ".join(f"w{i}" for i in range(70))
+    docs = spark.createDataFrame([(1, text, 5, "x"), (None, text, 6, "y"), (1, text, 7, "z"), (2, "w1", 8, None)], "doc_id long, text string, row int, begin string")
+    got = sorted((r["doc_id"] or 0, r["begin"], r["stop"]) for r in suffix_dedup.report(docs).collect())
+    assert got == [(0, 0, 70), (1, 0, 70), (1, 0, 70)]

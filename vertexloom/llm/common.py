@@ -67,17 +67,24 @@ BITS = 1 << 25
 
 
 def bitmap(df: DataFrame, column: str, bits: int = BITS) -> np.ndarray:
-    """Which values modulo bits a long column has: a filter of fixed size for the other side of a join, before its exchange."""
+    """Which values modulo bits (a power of two) a long column has, as bits: a filter of fixed size for the other side of a join,
+    before its exchange."""
     value = F.pmod(column, F.lit(bits)) + 1
     maps = df.groupBy(F.bitmap_bucket_number(value).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(value)).alias("map"))
-    out = np.zeros(bits, bool)
+    out = np.zeros(bits // 8, np.uint8)
     for r in maps.toLocalIterator():  # bits / 32768 rows at most, of 4 KB each
-        own = np.unpackbits(np.frombuffer(r["map"], np.uint8), bitorder="little")
+        own = np.frombuffer(r["map"], np.uint8)
         at = (r["bucket"] - 1) * len(own)  # buckets, and values in them, are numbered from 1
         out[at : at + len(own)] = own
     return out
 
 
+def has(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether the bit of each 64-bit value is set in a bitmap."""
+    at = (values.view(np.uint64) & np.uint64(8 * len(bits) - 1)).astype(np.int64)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
 def crc_mod(column: str, mod: int):
     """crc32 of a column's text form, modulo mod; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % mod

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, written
+from .common import bitmap, has, written
 from .words import SPACED, grams, mix, slices, words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -112,23 +112,20 @@ def _matrix(x: pa.Array) -> np.ndarray:
 
 def _asked(reps: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, signature) of the ids (id): a bitmap of fixed size keeps most others from being moved."""
-    packed = np.packbits(bitmap(ids, "id"))
+    bits = bitmap(ids, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(packed).astype(bool)
         for batch in batches:
-            yield batch.filter(pa.array(known[batch.column(0).to_numpy(zero_copy_only=False) % len(known)]))
+            yield batch.filter(pa.array(has(bits, batch.column(0).to_numpy(zero_copy_only=False))))
 
     return reps.select(F.col("doc_id").alias("id"), "signature").mapInArrow(run, "id long, signature binary")
 
 
 def shingle_sets(docs: DataFrame, k: int, asked: np.ndarray) -> DataFrame:
     """(doc_id, shingles): the whole sorted set, as bytes, of the documents whose id's place in `asked` (a bitmap) is set."""
-    packed = np.packbits(asked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(packed).astype(bool)
-        some = (b.filter(pa.array(known[b.column(0).to_numpy(zero_copy_only=False) % len(known)])) for b in batches)
+        some = (b.filter(pa.array(has(asked, b.column(0).to_numpy(zero_copy_only=False)))) for b in batches)
         for batch in (x for every in some for x in slices(every, 1)):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in _sets(batch.column(1), k)], pa.binary())], names=["doc_id", "shingles"])
 
