@@ -1,9 +1,15 @@
 """The whole group fit: nested expectation-maximisation of group, subject and session directions, by Spark jobs over vertices.
 
-A vertex's rows of all subjects and sessions lie in one row of Spark. An iteration is one pass over these and the state (prior and
-posterior of each vertex): the E-step for every vertex, with the sums that the M-step needs. Sums are made within tasks, then in a few
-groups, so that the driver gets a handful of arrays of networks x features x subjects x sessions. The M-step and the
-updates of directions and concentrations work on these arrays alone. State is written in each iteration, which also cuts lineage.
+A vertex's rows of all subjects and sessions lie in one row of Spark. An iteration is one pass over these and the prior of each vertex:
+the E-step for every vertex, with the sums that the M-step needs. Rows of one session of a subject are multiplied with its directions
+at once; sums are kept by a task for each session of a subject and leave it once, to be added up by session. State is written in each
+iteration, which also cuts lineage; the prior is broadcast while it is of a bounded size, and else joined.
+
+The M-step and the updates of directions and concentrations work on the model's parameters in the driver: directions of networks x
+features for each subject and session. These are the model, which grows with subjects but not with vertices.
+
+A session that a subject does not have has no rows. It has no direction, counts neither for the subject's concentration nor in the
+prior's cost, and the session is left out of sigma for all subjects.
 
 Literal rules that are kept: concentrations and session directions start anew in every middle step, subject directions in every outer
 one; a direction that has converged once counts as converged; the signed change of sigma; the closed form of the inverse Bessel
@@ -14,16 +20,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vertexloom.functions.bessel import log_normaliser
 from vertexloom.sources.scratch import written
 
-GROUPS = 8
+#: Bytes of prior up to which it is broadcast; sums of one session of a subject that are added up in one call.
+BROADCAST_BYTES, ADDED = 64 << 20, 64
 TINY = 20 * float(np.log(np.finfo(float).eps))
 
 
@@ -40,7 +49,10 @@ class Settings:
 
 @dataclass
 class Model:
-    """Directions (networks x features, by subject, by subject and session), concentrations, and costs of the outer steps."""
+    """Directions (networks x features, by subject, by subject and session), concentrations, and costs of the outer steps.
+
+    there: which subject has which session; nu is zero where it has not.
+    """
 
     mu: np.ndarray
     psi: np.ndarray
@@ -48,6 +60,7 @@ class Model:
     epsilon: np.ndarray
     sigma: np.ndarray
     kappa: float
+    there: np.ndarray
     record: list[float] = field(default_factory=list)
     state: DataFrame | None = None
 
@@ -62,42 +75,50 @@ def _inverse(d: int, r):
         return (d - 1) * r / (1 - r * r) + d * r / (d - 1)
 
 
+def _array(x: pa.Array, width: int) -> np.ndarray:
+    return x.flatten().to_numpy().reshape(-1, width)
+
+
 class _Data:
     """The vertices' rows, written once, and passes over them."""
 
     def __init__(self, rows: DataFrame) -> None:
-        self.subjects = sorted(r[0] for r in rows.select("subject").distinct().collect())
-        self.sessions = sorted(r[0] for r in rows.select("session").distinct().collect())
+        cells = rows.select("subject", "session").distinct().collect()  # one for each recording
+        self.subjects, self.sessions = (sorted({r[c] for r in cells}) for c in ("subject", "session"))
+        self.there = np.zeros((len(self.subjects), len(self.sessions)), bool)
+        for r in cells:
+            self.there[self.subjects.index(r["subject"]), self.sessions.index(r["session"])] = True
         s = F.array_position(F.array(*[F.lit(x) for x in self.subjects]), F.col("subject")) - 1
         t = F.array_position(F.array(*[F.lit(x) for x in self.sessions]), F.col("session")) - 1
         cell = F.struct((s * len(self.sessions) + t).cast("int").alias("cell"), F.col("x").cast("array<double>").alias("x"))
         self.rows = written(rows.groupBy("vertex").agg(F.sort_array(F.collect_list(cell)).alias("cells")), "blocks")
-        self.features = self.rows.select(F.size(F.col("cells")[0]["x"])).first()[0]
+        self.vertices, self.features = self.rows.agg(F.count("*"), F.max(F.size(F.col("cells")[0]["x"]))).first()
 
     def step(self, state: DataFrame | None, nu: np.ndarray, kappa: float, log_c: float, first: bool) -> tuple[DataFrame, np.ndarray, np.ndarray]:
         """(new state, weighted data, costs by subject). state: vertex, theta, lam (subjects x networks)."""
         n_s, n_t, d, n_l = len(self.subjects), len(self.sessions), self.features, nu.shape[2]
-        directions = np.ascontiguousarray(nu.reshape(n_s * n_t, n_l, d))
+        directions = self.rows.sparkSession.sparkContext.broadcast(np.ascontiguousarray(nu.reshape(n_s * n_t, n_l, d)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            weighted: dict[int, np.ndarray] = {}
+            costs, part = np.zeros(n_s), TaskContext.get().partitionId()
             for batch in batches:
-                n = batch.num_rows
-                cells = batch.column(1)
+                n, cells = batch.num_rows, batch.column(1)
                 owner = np.repeat(np.arange(n), np.diff(cells.offsets.to_numpy()))
                 flat = cells.flatten()
-                cell = flat.field("cell").to_numpy()
-                x = flat.field("x").flatten().to_numpy().reshape(len(cell), d)
-                dot = np.einsum("rd,rld->rl", x, directions[cell])
+                cell, x = flat.field("cell").to_numpy(), _array(flat.field("x"), d)
+                order = np.argsort(cell, kind="stable")
+                runs = np.split(order, np.flatnonzero(np.diff(cell[order])) + 1) if len(order) else []
                 score, like = np.zeros((n, n_s, n_l)), np.zeros((n, n_s, n_l))
-                lv = kappa * dot
-                np.add.at(like, (owner, cell // n_t), lv + log_c)
-                full = (lv != 0).all(axis=1, keepdims=True)
-                np.add.at(score, (owner, cell // n_t), lv + (log_c * full if not first else log_c))
+                for own in runs:  # the rows of one session of one subject, one for each vertex
+                    c = int(cell[own[0]])
+                    lv = kappa * (x[own] @ directions.value[c].T)
+                    like[owner[own], c // n_t] += lv + log_c
+                    score[owner[own], c // n_t] += lv + (log_c if first else log_c * (lv != 0).all(axis=1, keepdims=True))
                 zero = (score == 0).any(axis=2) if not first else (score == score.max(axis=2, keepdims=True)).all(axis=2)
                 if not first:
-                    theta = batch.column(2).flatten().to_numpy().reshape(n, n_l)
                     with np.errstate(divide="ignore"):
-                        score = score + np.log(theta)[:, None, :]
+                        score = score + np.log(_array(batch.column(2), n_l))[:, None, :]
                 top = score.max(axis=2, keepdims=True)
                 e = np.exp(score - np.where(np.isfinite(top), top, 0))
                 lam = e / np.where((total := e.sum(axis=2, keepdims=True)) == 0, 1, total)
@@ -107,28 +128,48 @@ class _Data:
                     count = (lam != 0).sum(axis=1)
                     theta = np.where(count > 0, theta / np.maximum(count, 1), 0)
                 ln = lambda v: np.log(np.where(v > 0, v, 1)) + np.where(v > 0, 0, TINY)
-                cost = (lam * (like + ln(theta)[:, None, :] - ln(lam))).sum(axis=2)
-                weighted = np.zeros((n_s * n_t, n_l, d))
-                np.add.at(weighted, cell, lam[owner, cell // n_t][:, :, None] * x[:, None, :])
-                lists = [pa.array(list(v.reshape(n, -1))) for v in (theta, lam)]
-                sums = pa.array([weighted.tobytes() + cost.sum(axis=0).tobytes()] + [None] * (n - 1), pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0), *lists, sums], names=["vertex", "theta", "lam", "sums"])
-
-        both = self.rows if state is None else self.rows.join(state.select("vertex", "theta"), "vertex")
-        out = written(both.mapInArrow(run, "vertex long, theta array<double>, lam array<double>, sums binary"), "state")
-        size = n_s * n_t * n_l * d + n_s
-
-        def add(table: pa.Table) -> pa.Table:
-            total = np.zeros(size)
-            for v in table.column("sums"):
-                total += np.frombuffer(v.as_py())
-            return pa.table({"sums": pa.array([total.tobytes()], pa.binary())})
-
-        parts = out.where("sums is not null").select(F.pmod(F.xxhash64("vertex"), F.lit(GROUPS)).alias("g"), "sums")
-        total = np.zeros(size)
-        for r in sorted(bytes(r[0]) for r in parts.groupBy("g").applyInArrow(add, "sums binary").collect()):  # GROUPS rows at most
-            total += np.frombuffer(r)
-        return out.select("vertex", "theta", "lam"), total[:-n_s].reshape(n_s, n_t, n_l, d), total[-n_s:]
+                costs += (lam * (like + ln(theta)[:, None, :] - ln(lam))).sum(axis=(0, 2))
+                for own in runs:
+                    c = int(cell[own[0]])
+                    sums = lam[owner[own], c // n_t].T @ x[own]
+                    weighted[c] = weighted[c] + sums if c in weighted else sums
+                none = lambda kind: pa.nulls(n, kind)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(theta), pa.list_(pa.float64())), pa.array(list(lam.reshape(n, -1)), pa.list_(pa.float64())), none(pa.int32()), none(pa.int32()), none(pa.binary())], names=_STATE)
+            made = [*weighted.items(), (-1, costs)]
+            none = lambda kind: pa.nulls(len(made), kind)
+            yield pa.RecordBatch.from_arrays([none(pa.int64()), none(pa.list_(pa.float64())), none(pa.list_(pa.float64())), pa.array([part] * len(made), pa.int32()), pa.array([c for c, _ in made], pa.int32()), pa.array([v.tobytes() for _, v in made], pa.binary())], names=_STATE)
+
+        both = self.rows
+        if state is not None:
+            prior = state.select("vertex", "theta")
+            both = both.join(F.broadcast(prior) if 8 * n_l * self.vertices <= BROADCAST_BYTES else prior.hint("merge"), "vertex")
+        out = written(both.mapInArrow(run, "vertex long, theta array<double>, lam array<double>, part int, cell int, sums binary"), "state")
+        total, costs = np.zeros((n_s * n_t, n_l, d)), np.zeros(n_s)
+        sums = out.where("cell is not null").select("part", "cell", "sums")
+        parts = F.floor(F.col("part") / ADDED).cast("int")
+        for r in _added(_added(sums.withColumn("part", parts)).withColumn("part", F.lit(0))).collect():  # one row for each session of a subject
+            if r["cell"] < 0:
+                costs = np.frombuffer(r["sums"])
+            else:
+                total[r["cell"]] = np.frombuffer(r["sums"]).reshape(n_l, d)
+        directions.unpersist()
+        return out.where("cell is null").select("vertex", "theta", "lam"), total.reshape(n_s, n_t, n_l, d), costs
+
+
+_STATE = ["vertex", "theta", "lam", "part", "cell", "sums"]
+
+
+def _added(sums: DataFrame) -> DataFrame:
+    """The sums of each part and cell, added up."""
+
+    def add(table: pa.Table) -> pa.Table:
+        order = np.argsort([crc32(v.as_py()) for v in table.column("sums")], kind="stable")  # whatever the order of arrival
+        total = np.zeros(len(table.column("sums")[0].as_py()) // 8)
+        for i in order:
+            total += np.frombuffer(table.column("sums")[int(i)].as_py())
+        return pa.table({"part": table.column("part")[:1], "cell": table.column("cell")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+
+    return sums.groupBy("part", "cell").applyInArrow(add, "part int, cell int, sums binary")
 
 
 def group_fit(rows: DataFrame, directions: DataFrame, settings: Settings | None = None) -> Model:
@@ -137,7 +178,7 @@ def group_fit(rows: DataFrame, directions: DataFrame, settings: Settings | None
     start = np.array([r["x"] for r in directions.orderBy("network").collect()])
     data = _Data(rows)
     n_s, n_t, n_l, d = len(data.subjects), len(data.sessions), len(start), data.features - 1
-    m = Model(start.copy(), np.tile(start, (n_s, 1, 1)), np.tile(start, (n_s, n_t, 1, 1)), np.full(n_l, at.start), np.full(n_l, at.start), at.start)
+    m = Model(start.copy(), np.tile(start, (n_s, 1, 1)), np.tile(start, (n_s, n_t, 1, 1)), np.full(n_l, at.start), np.full(n_l, at.start), at.start, data.there)
     m.state, weighted, _ = data.step(None, m.nu, at.start, log_normaliser(at.start, d), first=True)
     before = 0.0
     for outer in range(at.outer):
@@ -157,8 +198,11 @@ def group_fit(rows: DataFrame, directions: DataFrame, settings: Settings | None
         if outer and before and abs((intra - before) / before) <= at.convergence:
             break
         before = intra
-    if not (np.isfinite(m.kappa) and m.kappa > 0 and (m.sigma > 0).all() and (m.epsilon > 0).all() and np.isfinite(m.mu).all()):
-        raise ValueError("the fit ended with concentrations or directions that are not finite and positive")
+    finite = lambda c: F.forall(c, lambda v: ~F.isnan(v) & (F.abs(v) != float("inf")))
+    odd = m.state.where(~(finite("theta") & finite("lam"))).limit(1).count()
+    sound = [np.isfinite(x).all() for x in (m.mu, m.psi, m.nu, m.epsilon, m.sigma, m.kappa)]
+    if odd or not all(sound) or not (m.kappa > 0 and (m.sigma > 0).all() and (m.epsilon > 0).all()):
+        raise ValueError("the fit ended with concentrations, directions or posteriors that are not finite and positive")
     return m
 
 
@@ -185,14 +229,13 @@ def _mass(state: DataFrame) -> float:
 
 
 def _m_step(m: Model, weighted: np.ndarray, mass: float, at: Settings, d: int) -> None:
-    flags = np.zeros(m.nu.shape[:2], bool)
-    there = np.abs(weighted).sum(axis=(2, 3)) > 0  # sessions that a subject has
+    flags, there = ~m.there, m.there
     for _ in range(at.numerical):
         value = (weighted * m.nu).sum(axis=3)
         numerator = (value.sum(axis=1) / np.maximum(1, there.sum(axis=1))[:, None]).sum()
         old, new = m.kappa, max(float(_inverse(d, numerator / mass)), at.start)
         m.kappa = old if np.isinf(new) else new
-        nu = _unit(m.kappa * weighted + m.sigma[None, None, :, None] * m.psi[:, None])
+        nu = _unit(m.kappa * weighted + m.sigma[None, None, :, None] * m.psi[:, None]) * there[:, :, None, None]
         flags |= (1 - (nu * m.nu).sum(axis=3) < at.epsilon).all(axis=2)
         m.nu = nu
         if flags.all() and abs(old - m.kappa) / old < at.epsilon:
@@ -206,7 +249,7 @@ def _intra(m: Model, at: Settings, d: int) -> None:
         psi = _unit((m.sigma[None, None, :, None] * m.nu).sum(axis=1) + m.epsilon[None, :, None] * m.mu[None])
         flags |= (1 - (psi * m.psi).sum(axis=2) < at.epsilon).all(axis=1)
         m.psi = psi
-        sigma = _inverse(d, (psi[:, None] * m.nu).sum(axis=3).mean(axis=0).mean(axis=0))
+        sigma = _inverse(d, (psi[:, None] * m.nu).sum(axis=3).mean(axis=0)[m.there.all(axis=0)].mean(axis=0))
         done = flags.all() and np.mean(np.abs(m.sigma - sigma) / m.sigma) < at.epsilon
         m.sigma = sigma
         if done:
@@ -222,7 +265,7 @@ def _inter(m: Model, at: Settings, d: int) -> None:
 
 def _prior(m: Model, d: int) -> float:
     log_c = lambda c: np.array([log_normaliser(float(x), d) for x in c])
-    sessions = m.sigma * (m.psi[:, None] * m.nu).sum(axis=3) + log_c(m.sigma)
+    sessions = (m.sigma * (m.psi[:, None] * m.nu).sum(axis=3) + log_c(m.sigma))[:, m.there.all(axis=0)]
     subjects = m.epsilon * (m.mu[None] * m.psi).sum(axis=2) + log_c(m.epsilon)
     return float(np.nansum(sessions) + np.nansum(subjects))
 
