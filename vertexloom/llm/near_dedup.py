@@ -6,8 +6,9 @@ candidates. Long bands, which very similar documents share, go first; shorter on
 buckets in which classes meet go on. In each of them members are compared with one leader, the member that shares the most bands with
 others: in a group of copies of one text that is a text in their midst, the same one in most buckets, so that a group of n makes about
 n pairs. At last, in the buckets of the shorter bands in which classes still meet, the members outside a bucket's largest class are
-compared with all of it, blocks of signatures against blocks, so that no link between classes is lost; only pairs that stay likely
-leave a block.
+compared with all of it, blocks of signatures against blocks, so that no link between classes is lost. A pair is compared in the
+first band that it shares. Pairs don't leave a block: documents that have a likely partner do, meet again with their full sets, and
+only confirmed links go on. So a large group of copies that are nearly, but not quite, similar enough takes comparisons but no rows.
 
 A candidate pair is pruned as soon as, after a batch of signature values, the posterior probability of a similarity at or above
 the threshold (uniform prior, m of n values equal: a Beta distribution) falls below the chosen miss probability. Survivors are
@@ -37,8 +38,8 @@ MISS = 1e-6
 ROWS, BATCH = 5, 16
 #: Values of a signature, of VALUE bytes each; rows of the longer bands that go first.
 HASHES, VALUE, LONG_ROWS = 192, 4, (8,)
-#: Members of a block, and rows that one call of the last step gets at least.
-BLOCK, GROUP = 400, 4000
+#: Bytes of a block of a bucket's members, and bytes that one call of the last step gets at least.
+BLOCK_BYTES, CALL_BYTES = 2 << 20, 8 << 20
 
 
 def bands_for(threshold: float, miss: float = MISS, rows: int = ROWS) -> int:
@@ -121,6 +122,17 @@ def _asked(reps: DataFrame, ids: DataFrame) -> DataFrame:
     return reps.select(F.col("doc_id").alias("id"), "signature").mapInArrow(run, "id long, signature binary")
 
 
+def _likely(p: np.ndarray, q: np.ndarray, threshold: float, miss: float, batch_size: int) -> np.ndarray:
+    """Which rows of the signatures p and q (one row, or as many) leave a similarity at the threshold possible, batch after batch."""
+    alive, equal = np.arange(len(q)), np.zeros(len(q), np.int64)
+    for a in range(0, q.shape[1], batch_size):
+        b = min(a + batch_size, q.shape[1])
+        equal = equal + ((p[:, a:b] if len(p) == 1 else p[alive, a:b]) == q[alive, a:b]).sum(axis=1)
+        keep = equal >= least_matches(threshold, miss, b)
+        alive, equal = alive[keep], equal[keep]
+    return alive
+
+
 def shingle_sets(docs: DataFrame, k: int, asked: np.ndarray) -> DataFrame:
     """(doc_id, shingles): the whole sorted set, as bytes, of the documents whose id's place in `asked` (a bitmap) is set."""
 
@@ -140,12 +152,7 @@ def pruned(pairs: DataFrame, reps: DataFrame, threshold: float, miss: float = MI
             if not batch.num_rows:
                 continue
             p, q = _matrix(batch.column(2)), _matrix(batch.column(3))
-            alive, equal = np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64)
-            for a in range(0, p.shape[1], batch_size):
-                b = min(a + batch_size, p.shape[1])
-                equal = equal + (p[alive, a:b] == q[alive, a:b]).sum(axis=1)
-                keep = equal >= least_matches(threshold, miss, b)
-                alive, equal = alive[keep], equal[keep]
+            alive = _likely(p, q, threshold, miss, batch_size)
             yield batch.select([0, 1]).take(pa.array(alive))
 
     sigs = _asked(reps, pairs.select(F.col("x").alias("id")).union(pairs.select("y")))
@@ -153,6 +160,13 @@ def pruned(pairs: DataFrame, reps: DataFrame, threshold: float, miss: float = MI
     return pairs.join(one("x"), "x").join(one("y"), "y").select("x", "y", "sig_x", "sig_y").mapInArrow(run, "x long, y long")
 
 
+def _sets_of(docs: DataFrame, k: int, ids: DataFrame) -> DataFrame:
+    """(id, shingles) of the documents of these ids (id), written. Texts are not moved: a bitmap leaves the asked ones and few others."""
+    asked = ids.distinct()
+    sets = shingle_sets(docs.select("doc_id", "text"), k, bitmap(asked, "id")).withColumnRenamed("doc_id", "id")
+    return written(sets.join(asked, "id", "left_semi").dropDuplicates(["id"]), "sets")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (x, y) with 100 * intersection >= percent * union of their full sets."""
 
@@ -167,11 +181,8 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
                     keep.append(i)
             yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
 
-    asked = pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct()
-    # texts are not shuffled: a bitmap of fixed size leaves the asked documents and few others
-    sets = shingle_sets(docs.select("doc_id", "text"), k, bitmap(asked, "doc_id")).join(asked, "doc_id", "left_semi")
-    sets = written(sets.dropDuplicates(["doc_id"]), "sets")
-    one = lambda c: sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"set_{c}"))
+    sets = _sets_of(docs, k, pairs.select(F.col("x").alias("id")).union(pairs.select("y")))
+    one = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"set_{c}"))
     return pairs.join(one("x"), "x").join(one("y"), "y").select("x", "y", "set_x", "set_y").mapInArrow(run, "x long, y long")
 
 
@@ -195,24 +206,24 @@ def components(links: DataFrame) -> DataFrame:
 
 def _buckets(reps: DataFrame, rows: int, bands: int) -> DataFrame:
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("signature", i * rows * VALUE + 1, rows * VALUE)) for i in range(bands)])
-    return reps.select(F.col("doc_id").alias("id"), F.explode(keys).alias("bucket"))
+    return reps.select(F.col("doc_id").alias("id"), F.posexplode(keys).alias("band", "bucket"))
 
 
 def _meeting(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """(bucket, id, component, n) of the rows (bucket, id) in buckets of n members in which classes meet."""
-    rows = written(rows.join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component")), "classed")
+    """(bucket, band, id, component, n) of the rows (bucket, band, id) in buckets of n members in which classes meet."""
+    rows = written(rows.join(labels, "id", "left").select("bucket", "band", "id", F.coalesce("component", "id").alias("component")), "classed")
     some = rows.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n"))
     # written, so that the rows of a hot bucket can be split in the join
     return rows.join(written(some.where("c0 < c1").select("bucket", "n"), "some"), "bucket")
 
 
 def _led(met: DataFrame) -> DataFrame:
-    """(bucket, id, component, leader, leader_component): each bucket's leader is the member whose buckets are largest in all."""
-    own = met.groupBy("id").agg(F.first("component").alias("component"), F.sum("n").alias("near"), F.collect_list("bucket").alias("buckets"))  # a few dozen buckets at most
-    rows = written(own.select("id", "component", "near", F.explode("buckets").alias("bucket")), "met")
+    """(bucket, band, id, component, leader, leader_component): each bucket's leader is the member whose buckets are largest in all."""
+    own = met.groupBy("id").agg(F.first("component").alias("component"), F.sum("n").alias("near"), F.collect_list(F.struct("bucket", "band")).alias("buckets"))  # a few dozen buckets at most
+    rows = written(own.select("id", "component", "near", F.inline("buckets")), "met")
     leaders = rows.groupBy("bucket").agg(F.max_by(F.struct("id", "component"), F.struct("near", F.xxhash64("id"))).alias("l"))
     leaders = written(leaders.select("bucket", F.col("l.id").alias("leader"), F.col("l.component").alias("leader_component")), "leaders")
-    return rows.select("bucket", "id", "component").join(leaders, "bucket")
+    return rows.select("bucket", "band", "id", "component").join(leaders, "bucket")
 
 
 def links(docs: DataFrame, reps: DataFrame, k: int, percent: int, levels: list[tuple[int, int]]) -> DataFrame:
@@ -220,9 +231,9 @@ def links(docs: DataFrame, reps: DataFrame, k: int, percent: int, levels: list[t
     labels = reps.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("component")).where("false")
     found = None
 
-    def confirmed(pairs: DataFrame) -> None:
+    def confirmed(new: DataFrame) -> None:
         nonlocal found, labels
-        new = written(verified(written(pairs, "survivors"), docs, k, percent), "links")
+        new = written(new, "links")
         if new.limit(1).count():
             found = new if found is None else found.union(new)
             labels = components(found)
@@ -230,47 +241,67 @@ def links(docs: DataFrame, reps: DataFrame, k: int, percent: int, levels: list[t
     for rows, bands in levels:
         led = written(_led(_meeting(_buckets(reps, rows, bands), labels)), "led")
         pairs = led.where("component != leader_component").select(F.col("leader").alias("x"), F.col("id").alias("y")).distinct()
-        confirmed(pruned(written(pairs, "pairs"), reps, percent / 100))
+        confirmed(verified(written(pruned(written(pairs, "pairs"), reps, percent / 100), "survivors"), docs, k, percent))
     # leaders have been compared with all of their buckets
-    rest = written(_meeting(led.where("id != leader").select("bucket", "id"), labels), "rest")
-    confirmed(_across(rest, reps, percent / 100))
+    rest = written(_meeting(led.where("id != leader").select("bucket", "band", "id"), labels), "rest")
+    confirmed(_across(rest, docs, reps, k, percent, rows, bands))
     return labels
 
 
-def _across(met: DataFrame, reps: DataFrame, threshold: float, miss: float = MISS) -> DataFrame:
-    """The likely pairs among members of a bucket that are of different classes.
+def _across(met: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int, rows: int, bands: int) -> DataFrame:
+    """The links (x, y) among members of a bucket that are of different classes, from the buckets (bucket, band, id, component)."""
+    columns = met.select("bucket", "band", "id", "component")
+    sigs = _asked(reps, columns.select("id"))
+    likely = _compared(columns.join(sigs, "id").withColumn("shingles", F.lit(None).cast("binary")), percent, rows, bands, "bucket long, id long")
+    some = written(columns.join(written(likely.distinct(), "likely"), ["bucket", "id"], "left_semi"), "some")
+    sets = _sets_of(docs, k, some.select("id"))
+    return _compared(some.join(_asked(reps, some.select("id")), "id").join(sets, "id"), percent, rows, bands, "x long, y long").distinct()
+
+
+def _compared(members: DataFrame, percent: int, rows: int, bands: int, schema: str, miss: float = MISS) -> DataFrame:
+    """What comparisons of members (bucket, band, id, component, signature, shingles) across classes find: members (bucket, id) that have
+    a likely partner, or, with full sets, links (x, y).
 
     A bucket's members are dealt to blocks. Those outside its largest class also go to every block, to be compared with the block's
     members of other classes; those of the largest class are moved once.
     """
-    least_of = lambda n: least_matches(threshold, miss, n)
+    links = schema.startswith("x")
 
     def run(group: pa.Table) -> pa.Table:
-        columns = {c: group.column(c).combine_chunks() for c in group.column_names}
-        bucket, block, asks, ids, of = (columns[c].to_numpy(zero_copy_only=False) for c in ("bucket", "block", "asks", "id", "component"))
-        sig = _matrix(columns["signature"])
-        least, order = least_of(sig.shape[1]), np.lexsort((block, bucket))
+        c = {name: group.column(name).combine_chunks() for name in group.column_names}
+        bucket, band, block, asks, ids, of = (c[name].to_numpy(zero_copy_only=False) for name in ("bucket", "band", "block", "asks", "id", "component"))
+        sig, order = _matrix(c["signature"]), np.lexsort((block, bucket))
         edges = np.flatnonzero(np.concatenate([[True], (bucket[order][1:] != bucket[order][:-1]) | (block[order][1:] != block[order][:-1]), [True]]))
+        sets = [np.frombuffer(x, np.uint64) for x in c["shingles"].to_pylist()] if links else []
         out = []
         for a, b in zip(edges[:-1], edges[1:], strict=True):
-            rows = order[a:b]
-            right = rows[~asks[rows]]
-            for x in rows[asks[rows]]:
+            own = order[a:b]
+            right = own[~asks[own]]
+            for x in own[asks[own]]:
                 y = right[of[right] != of[x]]
-                y = y[(sig[y] == sig[x]).sum(axis=1) >= least]
-                out.append(np.stack([np.minimum(ids[y], ids[x]), np.maximum(ids[y], ids[x])], axis=1))
+                y = y[_likely(sig[[x]], sig[y], percent / 100, miss, 3 * BATCH)]
+                shared = (sig[y, : rows * bands] == sig[x, : rows * bands]).reshape(len(y), bands, rows).all(axis=2)
+                y = y[shared.argmax(axis=1) == band[x]]
+                if links and len(y):
+                    size, every = np.array([len(sets[i]) for i in y]), np.concatenate([sets[i] for i in y])
+                    at = np.minimum(np.searchsorted(sets[x], every), len(sets[x]) - 1)
+                    common = np.add.reduceat(sets[x][at] == every, np.cumsum(size) - size)
+                    y = y[100 * common >= percent * (len(sets[x]) + size - common)]
+                if len(y):
+                    first, second = (ids[y], np.full(len(y), ids[x])) if links else (np.full(len(y) + 1, bucket[x]), np.append(ids[y], ids[x]))
+                    out.append(np.sort(np.stack([first, second], axis=1), axis=1) if links else np.stack([first, second], axis=1))
         pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-        return pa.table({"x": pa.array(pairs[:, 0], pa.int64()), "y": pa.array(pairs[:, 1], pa.int64())})
-
-    groups = max(1, met.count() // GROUP)
-    sizes = met.groupBy("bucket", "component").agg(F.count("*").alias("c"))
-    largest = written(sizes.groupBy("bucket").agg(F.max_by("component", F.struct("c", "component")).alias("largest")), "largest")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.array(F.struct(F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), F.lit(False).alias("asks")))
-    every = F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.struct(i.alias("block"), F.lit(True).alias("asks")))
-    dealt = met.join(largest, "bucket").select("bucket", "id", "component", F.explode(F.when(F.col("component") == F.col("largest"), own).otherwise(F.concat(own, every))).alias("at"))
-    rows = dealt.select("bucket", "id", "component", "at.block", "at.asks").join(_asked(reps, met.select("id")), "id").withColumn("g", F.pmod(F.xxhash64("bucket", "block"), F.lit(groups)))
-    return rows.groupBy("g").applyInArrow(run, "x long, y long").distinct()
+        return pa.table(dict(zip(("x", "y") if links else ("bucket", "id"), (pa.array(v, pa.int64()) for v in pairs.T), strict=True)))
+
+    members = written(members, "members")
+    size = F.length("signature") + F.coalesce(F.length("shingles"), F.lit(0)) + 64
+    sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("c"), F.sum(size).alias("bytes"))
+    buckets = written(sizes.groupBy("bucket").agg(F.max_by("component", F.struct("c", "component")).alias("largest"), F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("blocks")), "buckets")
+    own = F.array(F.struct(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("asks")))
+    every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(i.alias("block"), F.lit(True).alias("asks")))
+    dealt = members.join(buckets, "bucket").select("bucket", "band", "id", "component", "signature", "shingles", F.inline(F.when(F.col("component") == F.col("largest"), own).otherwise(F.concat(own, every))))
+    calls = max(1, (sizes.agg(F.sum("bytes")).first()[0] or 0) // CALL_BYTES)
+    return dealt.withColumn("call", F.pmod(F.xxhash64("bucket", "block"), F.lit(calls))).groupBy("call").applyInArrow(run, schema)
 
 
 def classes(docs: DataFrame, k: int = SHINGLE, percent: int = round(100 * THRESHOLD), rows: int = ROWS, miss: float = MISS) -> DataFrame:
