@@ -85,19 +85,26 @@ def pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     letter = (second != 0x97) & (second != 0xB7)
     kind[lead[letter]] = kind[lead[letter] + 1] = _LETTER
     low[lead[letter & (second <= 0x9E)] + 1] += 32
-    word = kind != _BLANK
-    start = word.copy()
-    start[1:] &= ~word[:-1]
-    begin = at[:-1][at[:-1] < len(data)]
-    start[begin] = word[begin]
-    start, kind, low, data, rank = start[word], kind[word], low[word], data[word], np.concatenate([[0], np.cumsum(word, dtype=np.int32)])
-    first = np.flatnonzero(start)
-    odd = np.repeat(np.maximum.reduceat(kind, first) == _OTHER, np.diff(first, append=len(kind))) if len(first) else np.zeros(0, bool)
-    kind[odd], low[odd] = _OTHER, data[odd]
-    start[1:] |= (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
-    bounds = np.flatnonzero(np.concatenate([start, [True]])).astype(np.int64)
-    every = pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), pa.py_buffer(low))
-    return every, np.searchsorted(bounds[:-1], rank[at])
+    word, begin = kind != _BLANK, at[:-1][at[:-1] < len(data)]
+    first = word.copy()
+    first[1:] &= ~word[:-1]
+    first[begin] = word[begin]
+    words = np.flatnonzero(first)
+    odd = np.flatnonzero(np.maximum.reduceat(kind, words) == _OTHER) if len(words) else words
+    if len(odd):
+        inside = spread(words[odd], np.append(words, len(data))[odd + 1] - words[odd])
+        inside = inside[word[inside]]
+        kind[inside], low[inside] = _OTHER, data[inside]
+    start = kind == _DIGIT
+    start[1:] |= kind[1:] != kind[:-1]
+    start[begin] = True
+    start[:1] = True
+    start = np.flatnonzero(start & word)
+    rank = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(word, out=rank[1:])
+    bounds = np.append(rank[start], rank[-1])
+    every = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(bounds), pa.py_buffer(low[word]))
+    return every, np.searchsorted(start, at)
 
 
 SHARD = "part int, shard int, start long, n_tokens long, doc_ids array<long>, doc_lengths array<long>, base int, rules binary, rule_lengths binary, sequence binary"
@@ -128,7 +135,14 @@ class _Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known, self.pool, self.starts = pa.array([], pa.large_string()), np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.known, self.pool, self.starts, self.uses = pa.array([], pa.large_string()), np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int64)
+
+    def trim(self) -> None:
+        """Keep the half of the pieces that were used most."""
+        keep = np.sort(np.argsort(self.uses, kind="stable")[len(self.uses) // 2 :])
+        lengths = self.starts[keep + 1] - self.starts[keep]
+        self.pool, self.known, self.uses = self.pool[spread(self.starts[keep], lengths)], self.known.take(pa.array(keep)), self.uses[keep]
+        self.starts = np.concatenate([[0], np.cumsum(lengths)])
 
     def _learn(self, new: pa.Array) -> None:
         names = new.to_pylist()
@@ -140,7 +154,7 @@ class _Encoder:
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
-        self.known = pa.concat_arrays([self.known, new])
+        self.known, self.uses = pa.concat_arrays([self.known, new]), np.append(self.uses, np.zeros(len(new), np.int64))
 
     def _whole(self, words: list[str]) -> list[np.ndarray]:
         """Ids of words from the tokenizer. A mark that is one id stands after every word; words that hold the mark are encoded one by one."""
@@ -162,13 +176,15 @@ class _Encoder:
             every, bounds = words.flatten().cast(pa.large_string()), words.offsets.to_numpy() - words.offsets[0].as_py()
         flat = pc.dictionary_encode(every)
         if len(self.known) > CACHED_PIECES:
-            self.forget()
+            self.trim()
         at = pc.fill_null(pc.index_in(flat.dictionary, self.known), -1).to_numpy()
         new = at < 0
         if new.any():
             at = np.where(new, len(self.known) + np.cumsum(new) - 1, at)
             self._learn(flat.dictionary.filter(pa.array(new)))
-        each = at[flat.indices.to_numpy()]
+        indices = flat.indices.to_numpy()
+        self.uses[at] += np.bincount(indices, minlength=len(at))
+        each = at[indices]
         lengths = self.starts[each + 1] - self.starts[each]
         ids = self.pool[spread(self.starts[each], lengths)]
         return ids, np.diff(np.concatenate([[0], np.cumsum(lengths)])[bounds])
@@ -193,24 +209,16 @@ def with_ends(ids: np.ndarray, lengths: np.ndarray, end: int) -> np.ndarray:
 
 
 def _chosen(codes: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
-    """The most frequent pairs of which no symbol stands first in one and second in another."""
-    first: set[int] = set()
-    second: set[int] = set()
-    alike: set[int] = set()
-    out = []
-    for i in np.lexsort((codes, -counts))[: 4 * most].tolist():
-        a, b = int(codes[i]) >> 32, int(codes[i]) & 0xFFFFFFFF
-        if a in second or b in first or a in alike or b in alike or (a == b and a in first):
-            continue
-        if a == b:
-            alike.add(a)
-        else:
-            first.add(a)
-            second.add(b)
-        out.append(i)
-        if len(out) == most:
-            break
-    return np.array(out, np.int64)
+    """The most frequent pairs of which no symbol stands first in one and second in another: a symbol's most frequent pair says where
+    it stands, and a pair of twice the same symbol is that symbol's only one."""
+    order = np.lexsort((codes, -counts))[: 4 * most]
+    a, b, rank = codes[order] >> 32, codes[order] & 0xFFFFFFFF, np.arange(len(order))
+    symbols, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(order)], at[len(order) :]
+    first, second = np.full(len(symbols), len(order)), np.full(len(symbols), len(order))
+    first[a[::-1]], second[b[::-1]] = rank[::-1], rank[::-1]  # the smallest rank is written last
+    good = np.where(a == b, (first[a] == rank) & (second[a] == rank), (first[a] < second[a]) & (second[b] < first[b]))
+    return order[good][:most]
 
 
 def repair(x: np.ndarray, base: int, end: int, max_rules: int = MAX_RULES, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray]:
