@@ -422,3 +422,46 @@ def test_encoder_over_the_vocabulary():
     ids, n = token_store._encoder(token_store.public_tokenizer())(pa.array(texts, pa.string()))
     want = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
     assert n.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
+def test_pii_many_matches(spark):
+    """Places stay right where one text has very many matches, and short secrets are seen."""
+    text = " ".join(f"é{i} a{i}@b.de 10.0.{i % 300}.1 +1 555 {1000000 + i}" for i in range(700))
+    docs = [(1, text), (2, None), (3, ""), (None, "x@y.z"), (3, "a@b.c" * 3)]
+    got = pii.report(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    want = [plain.sha([f"{k}:{a}:{b}" for k, a, b in plain.base_spans(t)]) for _, t in docs]
+    assert sorted(r["base_sha256"] for r in got) == sorted(want)
+
+
+def test_pii_short_secrets(spark):
+    prose = "the quick brown fox jumps over the lazy dog and the pin was lost: nobody knew why"
+    docs = [(i, f"{prose} see part-{i}-of-the-manual or key: words") for i in range(200)] + [(1000 + i, f"{prose} password=hunt{i} and {prose}") for i in range(30)] + [(2000 + i, f'{prose} secret: "correcthorse" {prose}') for i in range(10)]
+    got = {r["doc_id"]: r["spans"] for r in pii.report(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    text = dict(docs)
+    for i, t in text.items():
+        found = [t[int(a) : int(b)] for _, a, b in (s.split(":") for s in got[i].split(",") if s)]
+        assert found == ([] if i < 1000 else [f"hunt{i - 1000}"] if i < 2000 else ["correcthorse"])
+
+
+def test_url_domains(spark):
+    hosts = ["a.b.co.uk", "b.co.uk:8080", "co.uk", "x.example.com", "example.com.", "com", "10.0.0.1:80", "", "www.shop.com.au"]
+    got = spark.createDataFrame([(h,) for h in hosts], "host string").select("host", url_filter.domain().alias("d"), url_filter.suffix().alias("s")).collect()
+    want = [("b.co.uk", "co.uk"), ("b.co.uk", "co.uk"), ("co.uk", "co.uk"), ("example.com", "com"), ("example.com", "com"), ("com", "com"), ("10.0.0.1", ""), ("", ""), ("shop.com.au", "com.au")]
+    assert [tuple(r)[1:] for r in got] == want
+
+
+def test_url_repeated_and_without_id(spark):
+    pages = spark.createDataFrame([(1, "http://a.x.org/"), (1, "http://a.x.org/"), (None, "http://a.x.org/1"), (None, None), (2, "http://b.x.org/")], "page_id long, url string").withColumn("host", F.lit("clash")).withColumn("k", F.lit(1))
+    labels = spark.createDataFrame([(1, 0, 0), (1, 0, 0), (None, 1, 0), (2, None, None), (9, 1, 0)], "doc_id long, quality int, toxic int")
+    got = sorted((r["page_id"] or 0, r["host"], r["verdict"]) for r in url_filter.report(pages, labels).collect())
+    assert [x[:2] for x in got] == [(0, ""), (0, "a.x.org"), (1, "a.x.org"), (1, "a.x.org"), (2, "b.x.org")]
+    assert len({v for _, h, v in got if h == "a.x.org"}) == 1
+
+
+def test_mixing_without_ids(spark):
+    """Rows without doc_id are spread over buckets by their texts, and reruns over other partitions agree."""
+    docs = spark.range(3000).selectExpr("cast(null as long) as doc_id", "concat_ws(' ', 'w', id, repeat('x ', cast(id % 40 as int))) as text", "if(id % 3 = 0, null, 's') as source", "1 as bucket", "'q' as sid")
+    key = lambda df: sorted((r["source"] or "", r["size"], r["taken"]) for r in mixing.report(df).collect())
+    a = key(docs)
+    assert len(a) == 3000 and a == key(docs.repartition(7))
+    assert spark.createDataFrame([], docs.schema).count() == 0

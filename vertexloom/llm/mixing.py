@@ -26,10 +26,10 @@ WEIGHTS = (5, 2, 1)
 MAX_PASSES = 3
 BLOCK_WORDS = 64
 SHARD_SLOTS = 4096
-#: Documents of one bucket, within which running sums are made.
-BUCKET_DOCUMENTS = 20_000
-#: Slots that one row of a source stands for before they are dealt out.
-CHUNK_SLOTS = 4096
+#: Documents of one bucket, within which running sums are made, and fewest buckets.
+BUCKET_DOCUMENTS, LEAST_BUCKETS = 20_000, 64
+#: Slots that one row of a source stands for before they are dealt out, rows that are made from one, and slots that one task makes.
+CHUNK_SLOTS, CHUNKS, TASK_SLOTS = 4096, 4096, 1 << 17
 ROUNDS = 12
 
 
@@ -44,9 +44,9 @@ def permuted(x: Column, n: Column, *key: Column) -> Column:
 
 
 def sizes(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The columns, with size (words of the whole text) and a number for each row."""
+    """The columns, with size (words of the whole text), a hash of the text, and a number for each row."""
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    return docs.select(*columns, size.alias("_size"), F.monotonically_increasing_id().alias("_row"))
+    return docs.select(*columns, size.alias("_size"), F.xxhash64("text").alias("_hash"), F.monotonically_increasing_id().alias("_row"))
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = MAX_PASSES, share: float = 1.0) -> DataFrame:
@@ -76,19 +76,33 @@ def slots(sources: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int =
     s = sources.where("source_size > 0").select("sid", n_blocks.cast("long").alias("blocks"), F.round(F.col("target") * n_blocks / F.col("source_size")).cast("long").alias("n"))
     running = Window.orderBy("sid")
     s = s.withColumn("first", F.sum("n").over(running) - F.col("n")).withColumn("all", F.sum("n").over(running.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    chunk = F.lit(CHUNK_SLOTS).cast("long")
-    chunks = s.where("n > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {CHUNK_SLOTS}"))).alias("chunk")).repartition("sid", "chunk")
+    # sources, then runs of chunks, then chunks, then slots: no array grows with the source, and tasks follow the number of slots
+    total, zero = s.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], F.lit(0).cast("long")
+    chunk, run = F.lit(CHUNK_SLOTS).cast("long"), CHUNK_SLOTS * CHUNKS
+    runs = s.where("n > 0").select("*", F.explode(F.sequence(zero, F.expr(f"(n - 1) div {run}"))).alias("run")).repartition(1 + total // (run * 16), "sid", "run")
+    last = F.least(F.expr(f"(n - 1) div {CHUNK_SLOTS}"), (F.col("run") + 1) * CHUNKS - 1)
+    chunks = runs.select("*", F.explode(F.sequence(F.col("run") * CHUNKS, last)).alias("chunk")).repartition(1 + total // TASK_SLOTS, "sid", "chunk")
     each = chunks.select("*", F.explode(F.sequence(F.col("chunk") * chunk, F.least(F.col("n"), (F.col("chunk") + 1) * chunk) - 1)).alias("t"))
     place = permuted(F.col("first") + F.col("t"), F.col("all"), F.lit(seed))
     placed = each.select("sid", "blocks", place.alias("place"))
     placed = written(placed.select(F.expr(f"place div {shard_slots}").alias("shard"), F.expr(f"place % {shard_slots}").alias("slot"), "sid", "blocks"), "placed")
-    counts = shard_counts(placed).withColumn("before", F.sum("n").over(Window.partitionBy("sid").orderBy("shard")) - F.col("n"))
+    counts = _before(shard_counts(placed), "shard", "n", CHUNKS)
     number = F.row_number().over(Window.partitionBy("shard", "sid").orderBy("slot"))
     dealt = placed.withColumn("number", number).join(counts.hint("merge"), ["shard", "sid"]).withColumn("t", F.col("before") + F.col("number") - 1)
     block = permuted(F.pmod(F.col("t"), F.col("blocks")), F.col("blocks"), F.lit(seed), F.col("sid"), F.expr("t div blocks"))
     return dealt.select("shard", "slot", "sid", block.alias("block"))
 
 
+def _before(rows: DataFrame, order: str, n: str, width: int) -> DataFrame:
+    """rows (sid, order, n) with before: the sum of n over smaller `order` of the sid. Sums of runs of `width` come first, so that no
+    task gets all rows of a sid."""
+    rows = rows.withColumn("_run", F.expr(f"{order} div {width}"))
+    runs = rows.groupBy("sid", "_run").agg(F.sum(n).alias("_n"))
+    runs = runs.select("sid", "_run", (F.sum("_n").over(Window.partitionBy("sid").orderBy("_run")) - F.col("_n")).alias("_first"))
+    inside = F.sum(n).over(Window.partitionBy("sid", "_run").orderBy(order)) - F.col(n)
+    return rows.join(runs.hint("merge"), ["sid", "_run"]).withColumn("before", F.col("_first") + inside).drop("_run", "_first")
+
+
 def shard_counts(slots: DataFrame) -> DataFrame:
     """(shard, sid, n): the slots of each source in each output shard."""
     return slots.groupBy("shard", "sid").agg(F.count("*").alias("n"))
@@ -99,13 +113,13 @@ def pieces(sized: DataFrame, sources: DataFrame, block_words: int = BLOCK_WORDS)
 
     A row's place in its source is the sum of the sizes before it: of all earlier buckets, and of the earlier rows of its bucket.
     """
-    buckets = max(16, sized.count() // BUCKET_DOCUMENTS + 1)
+    buckets = max(LEAST_BUCKETS, sized.count() // BUCKET_DOCUMENTS + 1)
     numbers = sources.select(F.col("source").alias("_source"), "sid")
-    rows = sized.where("_size > 0").join(numbers, F.col("source").eqNullSafe(F.col("_source"))).select("_row", "doc_id", "_size", "sid")
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
-    before = Window.partitionBy("sid").orderBy("bucket")
-    totals = rows.groupBy("sid", "bucket").agg(F.sum("_size").alias("total")).select("sid", "bucket", (F.sum("total").over(before) - F.col("total")).alias("offset"))
-    inside = Window.partitionBy("sid", "bucket").orderBy("doc_id", "_size", "_row").rowsBetween(Window.unboundedPreceding, 0)
+    rows = sized.where("_size > 0").join(numbers, F.col("source").eqNullSafe(F.col("_source"))).select("_row", "doc_id", "_size", "_hash", "sid")
+    # rows that agree in id and text are interchangeable; without an id the text decides
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "_hash"), F.lit(buckets)))
+    totals = _before(rows.groupBy("sid", "bucket").agg(F.sum("_size").alias("total")), "bucket", "total", CHUNKS).select("sid", "bucket", F.col("before").alias("offset"))
+    inside = Window.partitionBy("sid", "bucket").orderBy("doc_id", "_size", "_hash", "_row").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.withColumn("end", F.sum("_size").over(inside)).join(totals.hint("merge"), ["sid", "bucket"]).select("_row", "sid", "_size", (F.col("offset") + F.col("end") - F.col("_size")).alias("start"))
     spans = placed.select("*", F.explode(F.expr(f"sequence(start div {block_words}, (start + _size - 1) div {block_words})")).alias("block"))
     a = F.greatest("start", F.col("block") * block_words)
@@ -149,7 +163,7 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots
     """
     docs = docs.drop("slots")
     sized = written(sizes(docs, docs.columns), "sized")
-    _, used = _mixed(sized.select("doc_id", "source", "_size", "_row"), block_words, shard_slots, seed, **more)
+    _, used = _mixed(sized.select("doc_id", "source", "_size", "_hash", "_row"), block_words, shard_slots, seed, **more)
     ranges = used.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("at", "n", "places"))).alias("_ranges"), F.max(F.size("places")).cast("long").alias("_times"))
     rows = sized.join(ranges.hint("merge"), "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
     rows = rows.withColumn("_own", F.filter("_ranges", lambda r: F.size(r["places"]) >= F.col("_copy")))

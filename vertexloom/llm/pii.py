@@ -1,7 +1,7 @@
 """Personal data (8): base patterns, and spans found by weak supervision, with DataFrame functions only.
 
 Four kinds have patterns of their own (email, ip, card, phone) and are always reported. Secrets have none: candidates are long runs of
-letters, digits and signs. Labelers vote on each candidate: patterns of known key formats, a gazetteer of words before it, its
+letters, digits and signs, and whatever is assigned to a word of the gazetteer. Labelers vote on each candidate: patterns of known key formats, a gazetteer of words before it, its
 context (an assignment, quotes) and its make-up. Expectation-maximisation over the patterns of votes estimates how reliable each labeler
 is and how likely each candidate is a secret; with these likelihoods as labels a naive Bayes classifier over the features of spans is
 trained, and it decides. Votes and features are counted by Spark; the driver sees one row for each pattern of votes (3 ^ labelers at
@@ -41,7 +41,14 @@ PATTERNS = {
 }
 #: A candidate: a run of at least 16 such characters with a digit in it.
 _CANDIDATE = r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*+[0-9])[A-Za-z0-9_/+-]{16,}+"
+#: Matches whose places are added up one by one; more are taken in runs of so many.
+_RUN = 64
 GAZETTEER = ["token", "password", "passwd", "pwd", "secret", "key", "apikey", "api_key", "access_key", "credential", "auth", "bearer", "pin", "passcode"]
+_NAMES = "(?i:" + "|".join(sorted(GAZETTEER)) + ")"
+#: A shorter or wordlike candidate: what stands behind a word of the gazetteer and an equals sign, or a colon if it is quoted or has a digit.
+_BEFORE, _VALUE = rf"(?<![A-Za-z_]){_NAMES}[\"']{{0,1}}[\x20\t]{{0,2}}", r"[^\s\"',;=:]{4,}+"
+_ASSIGNED = rf"(?:(?<={_BEFORE}=[\x20\t]{{0,2}}[\"']{{0,1}})|(?<={_BEFORE}:[\x20\t]{{0,2}}[\"'])|(?<={_BEFORE}:[\x20\t]{{0,2}})(?=[^\s0-9]*+[0-9])){_VALUE}"
+_ASSIGNMENT = rf"{_NAMES}[\"']?[\x20\t]{{0,2}}[=:]"
 #: Code points before a candidate that labelers look at.
 CONTEXT = 24
 VOTERS = ["format", "gazetteer", "assignment", "quotes", "mixture"]
@@ -74,14 +81,26 @@ def matches(text: str, pattern: str, first: str) -> Column:
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     both = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(F.char_length(g).alias("g"), h.alias("h")))
     none = F.expr("cast(array() as array<struct<start:int,end:int,x:string>>)")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    numbers = F.expr("cast(array() as array<int>)")
 
     def step(a: Column, p: Column) -> Column:
         begin = a["at"] + p["g"]
         end = begin + F.char_length(p["h"])
         return F.struct(end.alias("at"), F.array_append(a["out"], F.struct(begin.alias("start"), end.alias("end"), p["h"].alias("x"))).alias("out"))
 
-    return F.when(F.col(text).rlike(first), F.aggregate(both, start, step, lambda a: a["out"])).otherwise(none)
+    def placed(p: Column, at: Column) -> Column:
+        return F.aggregate(p, F.struct(at.alias("at"), none.alias("out")), step, lambda a: a["out"])
+
+    def in_runs(all_: Column) -> Column:
+        # an array of runs, their lengths in the text, where each begins: none of the arrays that grow by steps is long
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / _RUN).cast("int")), lambda i: F.slice(all_, i * _RUN + 1, F.lit(_RUN)))
+        length = lambda r: F.aggregate(r, F.lit(0), lambda a, p: a + p["g"] + F.char_length(p["h"]))
+        more = lambda a, n: F.struct((a["at"] + n).alias("at"), F.array_append(a["out"], a["at"]).alias("out"))
+        begins = lambda r: F.aggregate(F.transform(r, length), F.struct(F.lit(0).alias("at"), numbers.alias("out")), more, lambda a: a["out"])
+        return F.flatten(F.get(F.transform(F.array(runs), lambda r: F.zip_with(r, begins(r), placed)), F.lit(0)))
+
+    found = F.get(F.transform(F.array(both), lambda m: F.when(F.size(m) <= _RUN, placed(m, F.lit(0))).otherwise(in_runs(m))), F.lit(0))
+    return F.when(F.col(text).rlike(first), found).otherwise(none)
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
@@ -99,14 +118,16 @@ def _kept(kind: str) -> Column:
 def candidates(df: DataFrame) -> DataFrame:
     """df with `found`: array of (start, end, x, before, after) of the candidates that overlap no base span."""
     spans = F.flatten(F.array(*[F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in BASE_KINDS]))
-    df = df.withColumn("_base", spans)
-    clear = F.filter(matches("text", _CANDIDATE, _CANDIDATE), lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"])))
+    apart = lambda s, of: ~F.exists(of, lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
+    df = df.withColumn("_base", spans).withColumn("_long", F.filter(matches("text", _CANDIDATE, _CANDIDATE), lambda s: apart(s, "_base")))
+    assigned = F.filter(matches("text", _ASSIGNED, _ASSIGNMENT), lambda s: apart(s, "_base") & apart(s, "_long"))
+    clear = F.array_sort(F.concat("_long", assigned))
 
     def context(s: Column) -> Column:
         a = F.greatest(s["start"] - CONTEXT, F.lit(0))
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["x"].alias("x"), F.substring("text", a + 1, s["start"] - a).alias("before"), F.substring("text", s["end"] + 1, F.lit(2)).alias("after"))
 
-    return df.withColumn("_clear", clear).withColumn("found", F.transform("_clear", context)).drop("_base", "_clear")
+    return df.withColumn("_clear", clear).withColumn("found", F.transform("_clear", context)).drop("_base", "_long", "_clear")
 
 
 def votes(x: Column, before: Column, after: Column) -> dict[str, Column]:

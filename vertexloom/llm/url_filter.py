@@ -10,7 +10,9 @@ one wins.
 
 Defined results: a null url, or one without ://, has an empty host and path and is judged like any host; hosts without outcomes have
 their domain's or suffix's reputation; without any outcomes all is allowed; outcomes that are null or of unknown pages teach nothing;
-repeated pages are judged alike and repeated outcomes count each time.
+repeated pages are judged alike and repeated outcomes count each time; a page without page_id has no outcomes and is judged by its host.
+A port does not count for domain and suffix; the host of an IPv4 address is its own domain. Names of two labels that are public suffixes
+are given by SUFFIXES.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/"
 MIN_GOOD, Z = 0.5, 1.645
 #: Bounds of the overdispersion, so that a prior weighs between 1 and 999 pages.
 LEAST_RHO, MOST_RHO = 0.001, 0.5
+#: Public suffixes of two labels; any other suffix is one label.
+SUFFIXES = ["ac.uk", "co.uk", "gov.uk", "me.uk", "net.uk", "org.uk", "com.au", "edu.au", "gov.au", "net.au", "org.au", "co.nz", "org.nz", "co.jp", "ne.jp", "or.jp", "ac.jp", "co.kr", "co.in", "co.za", "com.br", "com.mx", "com.ar", "com.cn", "com.tw", "com.hk", "com.sg", "com.tr"]
 _PARTS = r"^(?s:.*?)://([^/?#]*)([^?#]*)"
 
 
@@ -36,13 +40,25 @@ def path(url: str = "url") -> Column:
     return F.coalesce(F.regexp_extract(url, _PARTS, 2), F.lit(""))
 
 
+def _name(of: str) -> Column:
+    return F.rtrim(F.regexp_replace(of, ":[0-9]*$", ""), F.lit("."))
+
+
+def _labels(of: str) -> Column:
+    """Labels of a host's public suffix; 0 for an IPv4 address."""
+    two = F.substring_index(_name(of), ".", -2).isin(SUFFIXES)
+    return F.when(_name(of).rlike(r"^[0-9]+(\.[0-9]+){3}$"), 0).when(two, 2).otherwise(1)
+
+
 def domain(of: str = "host") -> Column:
-    """The last two labels of a host; the whole host if it has fewer."""
-    return F.substring_index(of, ".", -2)
+    """The registered domain: the public suffix and the label before it; the whole name if it has no more."""
+    n = _labels(of)
+    return F.when(n == 0, _name(of)).when(n == 2, F.substring_index(_name(of), ".", -3)).otherwise(F.substring_index(_name(of), ".", -2))
 
 
 def suffix(of: str = "host") -> Column:
-    return F.substring_index(of, ".", -1)
+    n = _labels(of)
+    return F.when(n == 0, F.lit("")).when(n == 2, F.substring_index(_name(of), ".", -2)).otherwise(F.substring_index(_name(of), ".", -1))
 
 
 def rule_of(rules: list[tuple[str, str]] = RULES) -> tuple[Column, Column]:
