@@ -38,8 +38,8 @@ MISS = 1e-6
 ROWS, BATCH = 5, 16
 #: Values of a signature, of VALUE bytes each; rows of the longer bands that go first.
 HASHES, VALUE, LONG_ROWS = 192, 4, (8,)
-#: Bytes of a block of a bucket's members, and bytes that one call of the last step gets at least.
-BLOCK_BYTES, CALL_BYTES = 2 << 20, 8 << 20
+#: Bytes of a block of a bucket's members; bytes, or else pairs to compare, that one call of the last step gets at least.
+BLOCK_BYTES, CALL_BYTES, CALL_PAIRS = 2 << 20, 8 << 20, 1 << 20
 
 
 def bands_for(threshold: float, miss: float = MISS, rows: int = ROWS) -> int:
@@ -262,8 +262,9 @@ def _compared(members: DataFrame, percent: int, rows: int, bands: int, schema: s
     """What comparisons of members (bucket, band, id, component, signature, shingles) across classes find: members (bucket, id) that have
     a likely partner, or, with full sets, links (x, y).
 
-    A bucket's members are dealt to blocks. Those outside its largest class also go to every block, to be compared with the block's
-    members of other classes; those of the largest class are moved once.
+    A bucket's members are dealt to blocks, and those outside its largest class once more. Each block of the latter meets each block
+    of all, and its members are compared with those of other classes. Where few members are outside, they are one block, so that all
+    others are moved once.
     """
     links = schema.startswith("x")
 
@@ -296,12 +297,20 @@ def _compared(members: DataFrame, percent: int, rows: int, bands: int, schema: s
     members = written(members, "members")
     size = F.length("signature") + F.coalesce(F.length("shingles"), F.lit(0)) + 64
     sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("c"), F.sum(size).alias("bytes"))
-    buckets = written(sizes.groupBy("bucket").agg(F.max_by("component", F.struct("c", "component")).alias("largest"), F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("blocks")), "buckets")
-    own = F.array(F.struct(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("asks")))
-    every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(i.alias("block"), F.lit(True).alias("asks")))
-    dealt = members.join(buckets, "bucket").select("bucket", "band", "id", "component", "signature", "shingles", F.inline(F.when(F.col("component") == F.col("largest"), own).otherwise(F.concat(own, every))))
-    calls = max(1, (sizes.agg(F.sum("bytes")).first()[0] or 0) // CALL_BYTES)
-    return dealt.withColumn("call", F.pmod(F.xxhash64("bucket", "block"), F.lit(calls))).groupBy("call").applyInArrow(run, schema)
+    most = F.max_by(F.struct("component", "c", "bytes"), F.struct("c", "component"))
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(c / BLOCK_BYTES)).cast("int")
+    buckets = sizes.groupBy("bucket").agg(most.alias("m"), F.sum("c").alias("c"), F.sum("bytes").alias("bytes"))
+    buckets = buckets.select("bucket", F.col("m.component").alias("largest"), blocks(F.col("bytes") - F.col("m.bytes")).alias("p"), blocks(F.col("bytes")).alias("q"), ((F.col("c") - F.col("m.c")) * F.col("c")).alias("pairs"), (F.col("bytes") * blocks(F.col("bytes") - F.col("m.bytes"))).alias("moved"))
+    buckets = written(buckets, "buckets")
+    place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    tile = lambda i, j, asks: F.struct((i * F.col("q") + j).alias("block"), F.lit(asks).alias("asks"))
+    right = F.transform(F.sequence(F.lit(0), F.col("p") - 1), lambda i: tile(i, place("q"), False))
+    left = F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda j: tile(place("p"), j, True))
+    dealt = members.join(buckets, "bucket").select("bucket", "band", "id", "component", "signature", "shingles", F.inline(F.when(F.col("component") == F.col("largest"), right).otherwise(F.concat(right, left))))
+    pairs, moved = buckets.agg(F.coalesce(F.sum("pairs"), F.lit(0)), F.coalesce(F.sum("moved"), F.lit(0))).first()
+    calls = 1 + max(pairs // CALL_PAIRS, moved // CALL_BYTES)
+    # as many partitions as the comparisons need, however few bytes there are
+    return dealt.withColumn("call", F.pmod(F.xxhash64("bucket", "block"), F.lit(calls))).repartition(min(calls, 1 << 12), "call").groupBy("call").applyInArrow(run, schema)
 
 
 def classes(docs: DataFrame, k: int = SHINGLE, percent: int = round(100 * THRESHOLD), rows: int = ROWS, miss: float = MISS) -> DataFrame:
