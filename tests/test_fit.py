@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from tests import plain_fit
 
-from vertexloom.operators import fit
+from vertexloom.operators import fit, individual
 
 
 def frames(spark, x, mu):
@@ -28,3 +28,24 @@ def test_group_fit_cases(spark, kind):
     state = sorted(got.state.collect(), key=lambda r: r["vertex"])
     assert np.allclose([r["theta"] for r in state], want["theta"], rtol=1e-4, atol=1e-4)
     assert np.allclose(np.array([r["lam"] for r in state]).reshape(want["lam"].shape), want["lam"], rtol=1e-4, atol=1e-4)
+
+
+@pytest.mark.parametrize("slice_bytes", [64 << 20, 1])
+def test_individual_fit(spark, monkeypatch, slice_bytes):
+    """Three subjects, one of them with one session, on a chain that does not cross hemispheres, all at once and one after another."""
+    monkeypatch.setattr(individual, "SLICE_BYTES", slice_bytes)
+    x, mu = plain_fit.case("missing", n=60, d=21)
+    rng = np.random.default_rng(5)
+    theta = rng.dirichlet(np.ones(3), size=60)
+    near = [[u for u in (v - 1, v + 1) if 0 <= u < 60 and (u < 30) == (v < 30)] for v in range(60)]
+    rows, directions = frames(spark, x, mu)
+    edges = spark.createDataFrame([(v, u) for v in range(60) for u in near[v]], "src long, dst long")
+    prior = spark.createDataFrame([(v, theta[v].tolist()) for v in range(60)], "vertex long, theta array<double>")
+    at = individual.Settings(start=50.0, prior=2.0, smooth=1.0, outer=3, inner=3, numerical=10, sweeps=4)
+    got = individual.fit(rows, edges, individual.Priors(directions, prior, 40.0, 30.0), at)
+    p = {(r["vertex"], r["subject"]): r["p"] for r in got.posterior.collect()}
+    for s in range(3):
+        own = x[:, s][:, ~np.isnan(x[:, s]).any(axis=(0, 2))]
+        lam, kappa, costs = plain_fit.individual(own, mu, theta, near, 30.0, 40.0, 50.0, 2.0, 1.0, 3, 3, 10, 4)
+        assert np.allclose([p[v, s] for v in range(60)], lam, atol=1e-6)
+        assert np.isclose(got.kappa[s], kappa, rtol=1e-6) and np.allclose(got.costs[s], costs, rtol=1e-6)

@@ -40,7 +40,9 @@ def log_normaliser(kappa: float, d: int) -> float:
     """
     if not kappa > 0:
         return math.nan
-    at = next((k for most, k in _SWITCH if d < most), math.nan)
+    at = next((k for most, k in _SWITCH if d < most), None)
+    if at is None:
+        raise ValueError(f"dimension {d} is too high: the normaliser is defined below {_SWITCH[-1][0]}")
     order = d / 2 - 1
 
     def direct(k: float) -> float:

@@ -45,9 +45,9 @@ def literal_normal(x: Column) -> Column:
 
 
 def standardised(x: Column) -> Column:
-    """Centred and of length one; zero if it does not vary or has a NaN."""
+    """Centred and of length one; zero if it does not vary or has a value that is not finite."""
     zero = F.transform(x, lambda v: F.lit(0.0))
-    return F.when(F.forall(x, lambda v: ~F.isnan(v)), unit(centred(x))).otherwise(zero)
+    return F.when(F.forall(x, lambda v: ~F.isnan(v) & (F.abs(v) != float("inf"))), unit(centred(x))).otherwise(zero)
 
 
 def clipped_atanh(r: Column, most: float = 1 - 1e-15) -> Column:

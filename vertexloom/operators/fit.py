@@ -65,7 +65,7 @@ class Model:
     state: DataFrame | None = None
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
+def unit_rows(x: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(x, axis=-1, keepdims=True)
     return x / np.where(n == 0, 1, n)
 
@@ -75,7 +75,7 @@ def _inverse(d: int, r):
         return (d - 1) * r / (1 - r * r) + d * r / (d - 1)
 
 
-def _array(x: pa.Array, width: int) -> np.ndarray:
+def array(x: pa.Array, width: int) -> np.ndarray:
     return x.flatten().to_numpy().reshape(-1, width)
 
 
@@ -106,7 +106,7 @@ class _Data:
                 n, cells = batch.num_rows, batch.column(1)
                 owner = np.repeat(np.arange(n), np.diff(cells.offsets.to_numpy()))
                 flat = cells.flatten()
-                cell, x = flat.field("cell").to_numpy(), _array(flat.field("x"), d)
+                cell, x = flat.field("cell").to_numpy(), array(flat.field("x"), d)
                 order = np.argsort(cell, kind="stable")
                 runs = np.split(order, np.flatnonzero(np.diff(cell[order])) + 1) if len(order) else []
                 score, like = np.zeros((n, n_s, n_l)), np.zeros((n, n_s, n_l))
@@ -118,7 +118,7 @@ class _Data:
                 zero = (score == 0).any(axis=2) if not first else (score == score.max(axis=2, keepdims=True)).all(axis=2)
                 if not first:
                     with np.errstate(divide="ignore"):
-                        score = score + np.log(_array(batch.column(2), n_l))[:, None, :]
+                        score = score + np.log(array(batch.column(2), n_l))[:, None, :]
                 top = score.max(axis=2, keepdims=True)
                 e = np.exp(score - np.where(np.isfinite(top), top, 0))
                 lam = e / np.where((total := e.sum(axis=2, keepdims=True)) == 0, 1, total)
@@ -145,9 +145,7 @@ class _Data:
             both = both.join(F.broadcast(prior) if 8 * n_l * self.vertices <= BROADCAST_BYTES else prior.hint("merge"), "vertex")
         out = written(both.mapInArrow(run, "vertex long, theta array<double>, lam array<double>, part int, cell int, sums binary"), "state")
         total, costs = np.zeros((n_s * n_t, n_l, d)), np.zeros(n_s)
-        sums = out.where("cell is not null").select("part", "cell", "sums")
-        parts = F.floor(F.col("part") / ADDED).cast("int")
-        for r in _added(_added(sums.withColumn("part", parts)).withColumn("part", F.lit(0))).collect():  # one row for each session of a subject
+        for r in added(out.where("cell is not null").select("part", "cell", "sums")).collect():  # one row for each session of a subject
             if r["cell"] < 0:
                 costs = np.frombuffer(r["sums"])
             else:
@@ -159,8 +157,8 @@ class _Data:
 _STATE = ["vertex", "theta", "lam", "part", "cell", "sums"]
 
 
-def _added(sums: DataFrame) -> DataFrame:
-    """The sums of each part and cell, added up."""
+def added(sums: DataFrame) -> DataFrame:
+    """(cell, sums) of what the tasks (part, cell, sums) have gathered, added up in two steps."""
 
     def add(table: pa.Table) -> pa.Table:
         order = np.argsort([crc32(v.as_py()) for v in table.column("sums")], kind="stable")  # whatever the order of arrival
@@ -169,7 +167,8 @@ def _added(sums: DataFrame) -> DataFrame:
             total += np.frombuffer(table.column("sums")[int(i)].as_py())
         return pa.table({"part": table.column("part")[:1], "cell": table.column("cell")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
 
-    return sums.groupBy("part", "cell").applyInArrow(add, "part int, cell int, sums binary")
+    step = lambda df, part: df.withColumn("part", part).groupBy("part", "cell").applyInArrow(add, "part int, cell int, sums binary")
+    return step(step(sums, F.floor(F.col("part") / ADDED).cast("int")), F.lit(0)).drop("part")
 
 
 def group_fit(rows: DataFrame, directions: DataFrame, settings: Settings | None = None) -> Model:
@@ -235,7 +234,7 @@ def _m_step(m: Model, weighted: np.ndarray, mass: float, at: Settings, d: int) -
         numerator = (value.sum(axis=1) / np.maximum(1, there.sum(axis=1))[:, None]).sum()
         old, new = m.kappa, max(float(_inverse(d, numerator / mass)), at.start)
         m.kappa = old if np.isinf(new) else new
-        nu = _unit(m.kappa * weighted + m.sigma[None, None, :, None] * m.psi[:, None]) * there[:, :, None, None]
+        nu = unit_rows(m.kappa * weighted + m.sigma[None, None, :, None] * m.psi[:, None]) * there[:, :, None, None]
         flags |= (1 - (nu * m.nu).sum(axis=3) < at.epsilon).all(axis=2)
         m.nu = nu
         if flags.all() and abs(old - m.kappa) / old < at.epsilon:
@@ -246,7 +245,7 @@ def _m_step(m: Model, weighted: np.ndarray, mass: float, at: Settings, d: int) -
 def _intra(m: Model, at: Settings, d: int) -> None:
     flags = np.zeros(len(m.psi), bool)
     for _ in range(at.numerical):
-        psi = _unit((m.sigma[None, None, :, None] * m.nu).sum(axis=1) + m.epsilon[None, :, None] * m.mu[None])
+        psi = unit_rows((m.sigma[None, None, :, None] * m.nu).sum(axis=1) + m.epsilon[None, :, None] * m.mu[None])
         flags |= (1 - (psi * m.psi).sum(axis=2) < at.epsilon).all(axis=1)
         m.psi = psi
         sigma = _inverse(d, (psi[:, None] * m.nu).sum(axis=3).mean(axis=0)[m.there.all(axis=0)].mean(axis=0))
@@ -258,7 +257,7 @@ def _intra(m: Model, at: Settings, d: int) -> None:
 
 
 def _inter(m: Model, at: Settings, d: int) -> None:
-    m.mu = _unit(m.psi.sum(axis=0))
+    m.mu = unit_rows(m.psi.sum(axis=0))
     new = np.maximum(_inverse(d, (m.psi * m.mu[None]).sum(axis=2).mean(axis=0)), at.start)
     m.epsilon = np.where(np.isinf(new), m.epsilon, new)
 

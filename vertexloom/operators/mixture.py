@@ -1,24 +1,27 @@
-"""The parts of the hierarchical mixture of directions, as aggregations: centroids, likelihoods, posteriors, updates, labels.
+"""The parts of the hierarchical mixture of directions: centroids, likelihoods, posteriors, updates, labels.
 
 rows: (vertex, subject, session, x) with unit rows; a missing session has no row, a zero row is an observation without signal.
-directions: (network, x), a few rows of one array each, which are broadcast.
+directions: (network, x), the model's few rows. What belongs to the networks of one row is an array in the order of network numbers, so
+that likelihoods become posteriors and labels within the row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vertexloom.functions.vectors import centred, dot, inverse_ratio, norm, total, unit
+from vertexloom.functions.vectors import centred, dot, inverse_ratio, let, norm, total, unit
 
-from .series import averages, gathered
+from vertexloom.sources.scratch import written
 
+from . import blocks
 
-def unit_sums(rows: DataFrame, *by: str, weight: Column | None = None) -> DataFrame:
+_TINY = 20 * -36.04365338911715  # ln of the machine's epsilon to the power 20 stands for ln 0
+
+
+def unit_sums(rows: DataFrame, *by: str, weight: str | None = None) -> DataFrame:
     """(by, x): the sum of the arrays of each group, scaled to length one."""
-    w = F.lit(1.0) if weight is None else weight
-    long = rows.select(*by, w.alias("w"), F.posexplode("x").alias("feature", "v")).groupBy(*by, "feature").agg(F.sum(F.col("w") * F.col("v")).alias("v"))
-    return gathered(long, *by).withColumn("x", unit(F.col("x")))
+    return blocks.summed(rows, list(by), weight).select(*by, unit(F.col("x")).alias("x"))
 
 
 def label_centroids(labelled: DataFrame) -> DataFrame:
@@ -27,91 +30,104 @@ def label_centroids(labelled: DataFrame) -> DataFrame:
     return unit_sums(usable.select(F.col("label").alias("network"), unit(centred(F.col("x"))).alias("x")), "network")
 
 
+def means(rows: DataFrame, *by: str) -> DataFrame:
+    """(by, n, x): the mean of each of a few groups."""
+    return blocks.summed(rows, list(by)).withColumn("x", F.transform("x", lambda v: v / F.col("n")))
+
+
 def mean_centroids(labelled: DataFrame, networks: int) -> DataFrame:
     """(network, x) for networks 1 .. n: unit means of the raw rows; an empty network is zero."""
-    means = gathered(averages(labelled.where("label > 0").select(F.col("label").alias("network"), "x"), "network"), "network")
-    size = labelled.agg(F.max(F.size("x")).alias("d"))
+    found = means(labelled.where("label > 0").select(F.col("label").alias("network"), "x"), "network")
+    size = labelled.agg(F.max(F.size("x")).alias("d"))  # one row
     every = labelled.sparkSession.range(1, networks + 1).select(F.col("id").alias("network")).join(F.broadcast(size))
     zero = F.transform(F.sequence(F.lit(1), F.col("d")), lambda _: F.lit(0.0))
-    return every.join(means, "network", "left").select("network", F.coalesce(unit(F.col("x")), zero).alias("x"))
+    return every.join(found, "network", "left").select("network", F.coalesce(unit(F.col("x")), zero).alias("x"))
+
+
+def networks_of(directions: DataFrame) -> list[int]:
+    return sorted(r[0] for r in directions.select("network").collect())
 
 
 def dots(rows: DataFrame, directions: DataFrame) -> DataFrame:
-    """rows without x, for each network the inner product with its direction."""
-    d = F.broadcast(directions.select("network", F.col("x").alias("_d")))
-    return rows.crossJoin(d).select(*[c for c in rows.columns if c != "x"], "network", dot(F.col("x"), F.col("_d")).alias("dot"))
+    """rows with dots instead of x: inner products with the networks' directions."""
+    return blocks.dot_arrays(rows, next(blocks.slices(directions, "network"))[1], "dots")
+
 
+def by_network(df: DataFrame, array: str, value: str, networks: list[int]) -> DataFrame:
+    """df with a row for each network instead of an array."""
+    each = F.posexplode(array).alias("_i", value)
+    return df.select(*[c for c in df.columns if c != array], each).select(*[c for c in df.columns if c != array], F.get(F.array(*[F.lit(n).cast("long") for n in networks]), F.col("_i")).alias("network"), value)
 
-def softmax(scores: DataFrame, by: list[str], value: str = "score") -> DataFrame:
-    """scores with p: exp of value over the group's sum, after subtraction of the group's maximum."""
-    group = Window.partitionBy(*by)
-    e = scores.withColumn("_e", F.exp(F.col(value) - F.max(value).over(group)))
-    return e.withColumn("p", F.col("_e") / F.sum("_e").over(group)).drop("_e")
 
+def _sums(n: int, term) -> Column:
+    return F.array(*[F.sum(term(F.lit(i))) for i in range(n)])
 
-def likelihoods(dots: DataFrame, kappa: float, log_c: float = 0.0) -> DataFrame:
-    """(vertex, subject, network, score): kappa * dot summed over sessions, with log_c where no network's dot is zero."""
-    row = Window.partitionBy("vertex", "subject", "session")
-    constant = F.when(F.bool_and(F.col("dot") != 0).over(row), F.lit(log_c)).otherwise(F.lit(0.0))
-    return dots.withColumn("s", kappa * F.col("dot") + constant).groupBy("vertex", "subject", "network").agg(F.sum("s").alias("score"))
+
+def likelihoods(dots: DataFrame, n: int, kappa: float, log_c: float = 0.0, always: bool = False) -> DataFrame:
+    """(vertex, subject, score): kappa * dot summed over sessions for each of n networks, with log_c where no network's dot is zero, or always."""
+    constant = F.lit(log_c) if always else F.when(F.forall("dots", lambda v: v != 0), F.lit(log_c)).otherwise(F.lit(0.0))
+    return dots.groupBy("vertex", "subject").agg(_sums(n, lambda i: kappa * F.get("dots", i) + constant).alias("score"))
+
+
+def softmax(x: Column) -> Column:
+    """exp of an array over the sum, after subtraction of the maximum."""
+    return let(x, lambda a: let(F.transform(a, lambda v: F.exp(v - F.array_max(a))), lambda e: let(total(e), lambda t: F.transform(e, lambda v: v / t))))
 
 
 def posteriors(scores: DataFrame, theta: DataFrame | None = None) -> DataFrame:
-    """(vertex, subject, network, p); all zero for a row in which any score is zero. theta (vertex, network, theta) is a prior."""
-    by = ["vertex", "subject"]
-    s = scores.withColumn("_zero", F.bool_or(F.col("score") == 0).over(Window.partitionBy(*by)))
-    if theta is not None:
-        prior = F.when(F.col("theta") > 0, F.ln("theta")).otherwise(F.lit(float("-inf")))
-        s = s.join(theta, ["vertex", "network"]).withColumn("score", F.col("score") + prior)
-    return softmax(s, by).select(*by, "network", F.when(F.col("_zero"), 0.0).otherwise(F.col("p")).alias("p"))
+    """(vertex, subject, p); all zero for a row in which any score is zero. theta (vertex, theta) is a prior."""
+    log = lambda v: F.when(v > 0, F.ln(v)).otherwise(F.lit(float("-inf")))
+    score = F.col("score") if theta is None else F.zip_with("score", "theta", lambda a, t: a + log(t))
+    s = scores if theta is None else scores.join(theta, "vertex")
+    zero = F.exists("score", lambda v: v == 0)
+    return s.select("vertex", "subject", F.when(zero, F.transform("score", lambda v: F.lit(0.0))).otherwise(softmax(score)).alias("p"))
 
 
-def labels(posterior: DataFrame) -> DataFrame:
+def labels(posterior: DataFrame, networks: list[int]) -> DataFrame:
     """(vertex, subject, label): the most likely network, the lowest of equal ones; 0 where the posterior is all zero."""
-    best = F.min(F.struct((-F.col("p")).alias("q"), F.col("network")))
-    return posterior.groupBy("vertex", "subject").agg(best.alias("b")).select("vertex", "subject", F.when(F.col("b.q") < 0, F.col("b.network")).otherwise(F.lit(0).cast("long")).alias("label"))
+    best = F.element_at(F.array(*[F.lit(n).cast("long") for n in networks]), F.array_position("p", F.array_max("p")).cast("int"))
+    return posterior.select("vertex", "subject", F.when(F.array_max("p") > 0, best).otherwise(F.lit(0).cast("long")).alias("label"))
 
 
-def theta_mean(posterior: DataFrame, subjects: int) -> DataFrame:
-    return posterior.groupBy("vertex", "network").agg((F.sum("p") / subjects).alias("theta"))
+def theta_mean(posterior: DataFrame, n: int, subjects: int) -> DataFrame:
+    """(vertex, theta): the posterior's mean over subjects."""
+    return posterior.groupBy("vertex").agg(_sums(n, lambda i: F.get("p", i) / subjects).alias("theta"))
 
 
-def initial_theta(posterior: DataFrame, subjects: int) -> DataFrame:
+def initial_theta(posterior: DataFrame, n: int, subjects: int) -> DataFrame:
     """The mean over subjects over the number of subjects that are not zero; zero if none is."""
-    n = F.count_if(F.col("p") != 0)
-    return posterior.groupBy("vertex", "network").agg(F.coalesce(F.sum("p") / subjects / F.nullif(n, F.lit(0).cast("long")), F.lit(0.0)).alias("theta"))
+    one = lambda i: F.coalesce(F.sum(F.get("p", i)) / subjects / F.nullif(F.count_if(F.get("p", i) != 0), F.lit(0).cast("long")), F.lit(0.0))
+    return posterior.groupBy("vertex").agg(F.array(*[one(F.lit(i)) for i in range(n)]).alias("theta"))
 
 
-def weighted_data(rows: DataFrame, posterior: DataFrame) -> DataFrame:
-    """(subject, session, network, feature, v): rows summed with the posterior as weight."""
-    joined = rows.join(posterior, ["vertex", "subject"]).where("p > 0")
-    each = joined.select("subject", "session", "network", "p", F.posexplode("x").alias("feature", "v"))
-    return each.groupBy("subject", "session", "network", F.col("feature").cast("long").alias("feature")).agg(F.sum(F.col("p") * F.col("v")).alias("v"))
+def weighted_data(rows: DataFrame, posterior: DataFrame, networks: list[int]) -> DataFrame:
+    """(subject, session, network, x): rows summed with the posterior as weight; a network without any weight has no row."""
+    joined = rows.join(posterior, ["vertex", "subject"]).select("subject", "session", "x", "p")
+    each = by_network(joined, "p", "p", networks).where("p > 0")
+    return blocks.summed(each.select("subject", "session", "network", "p", "x"), ["subject", "session", "network"], "p").drop("n")
 
 
-def kappa_update(dots: DataFrame, posterior: DataFrame, d: int, least: float) -> DataFrame:
+def kappa_update(dots: DataFrame, posterior: DataFrame, n: int, d: int, least: float) -> DataFrame:
     """(numerator, mass, rbar, kappa): one concentration for all networks, at least `least`.
 
     Inner products weighted by the posterior are summed over vertices, averaged over the sessions of a subject, and summed.
     """
-    s = dots.join(posterior, ["vertex", "subject", "network"]).groupBy("subject", "session", "network").agg(F.sum(F.col("p") * F.col("dot")).alias("v"))
-    numerator = s.groupBy("subject", "network").agg(F.avg("v").alias("v")).agg(F.sum("v").alias("numerator"))
-    r = numerator.join(posterior.agg(F.sum("p").alias("mass"))).withColumn("rbar", F.col("numerator") / F.col("mass"))
+    s = dots.join(posterior, ["vertex", "subject"]).groupBy("subject", "session").agg(_sums(n, lambda i: F.get("p", i) * F.get("dots", i)).alias("v"))
+    numerator = s.groupBy("subject").agg(F.avg(total(F.col("v"))).alias("v")).agg(F.sum("v").alias("numerator"))
+    r = numerator.join(posterior.agg(F.sum(total(F.col("p"))).alias("mass"))).withColumn("rbar", F.col("numerator") / F.col("mass"))
     return r.withColumn("kappa", F.greatest(inverse_ratio(F.col("rbar"), d), F.lit(least)))
 
 
 def session_directions(weighted: DataFrame, directions: DataFrame, kappa: float, sigma: float) -> DataFrame:
     """(subject, session, network, x): kappa * weighted data + sigma * the subject's direction, of length one."""
-    w = gathered(weighted, "subject", "session", "network")
-    prior = F.broadcast(directions.select("network", F.col("x").alias("_d")))
     x = F.zip_with("x", "_d", lambda a, b: kappa * a + sigma * b)
-    return w.join(prior, "network").select("subject", "session", "network", unit(x).alias("x"))
+    return weighted.join(directions.select("network", F.col("x").alias("_d")), "network").select("subject", "session", "network", unit(x).alias("x"))
 
 
 def subject_directions(sessions: DataFrame, group: DataFrame, sigma: float, epsilon: float) -> DataFrame:
     """(subject, network, x): sigma * session directions + epsilon * the group's direction, of length one."""
-    s = sessions.select("subject", "network", F.lit(sigma).alias("w"), "x").union(sessions.select("subject", "network").distinct().join(group, "network").select("subject", "network", F.lit(epsilon), "x"))
-    return unit_sums(s, "subject", "network", weight=F.col("w"))
+    prior = sessions.select("subject", "network").distinct().join(group, "network").select("subject", "network", F.lit(epsilon), "x")
+    return unit_sums(sessions.select("subject", "network", F.lit(sigma).alias("w"), "x").union(prior), "subject", "network", weight="w")
 
 
 def group_directions(subjects: DataFrame) -> DataFrame:
@@ -125,35 +141,45 @@ def sigma_update(sessions: DataFrame, subjects: DataFrame, n_subjects: int, d: i
     return mean.groupBy("network").agg(F.avg("c").alias("rbar")).withColumn("sigma", inverse_ratio(F.col("rbar"), d))
 
 
-def em_cost(dots: DataFrame, posterior: DataFrame, theta: DataFrame, kappa: float, log_c: float) -> DataFrame:
+def em_cost(dots: DataFrame, posterior: DataFrame, theta: DataFrame, n: int, kappa: float, log_c: float) -> DataFrame:
     """(subject, cost): likelihood, prior and entropy under the posterior."""
-    tiny = 20 * -36.04365338911715  # ln of the machine's epsilon to the power 20 stands for ln 0
-    ln = lambda c: F.when(F.col(c) > 0, F.ln(c)).otherwise(F.lit(tiny))
-    s = dots.groupBy("vertex", "subject", "network").agg(F.sum(kappa * F.col("dot") + log_c).alias("s"))
-    j = s.join(posterior, ["vertex", "subject", "network"]).join(theta, ["vertex", "network"])
-    return j.groupBy("subject").agg(F.sum(F.col("p") * (F.col("s") + ln("theta") - ln("p"))).alias("cost"))
+    ln = lambda v: F.when(v > 0, F.ln(v)).otherwise(F.lit(_TINY))
+    j = likelihoods(dots, n, kappa, log_c, always=True).join(posterior, ["vertex", "subject"]).join(theta, "vertex")
+    terms = F.zip_with(F.zip_with("score", "theta", lambda s, t: s + ln(t)), "p", lambda v, p: p * (v - ln(p)))
+    return j.groupBy("subject").agg(F.sum(total(terms)).alias("cost"))
 
 
 def lloyd(rows: DataFrame, start: DataFrame, steps: int) -> DataFrame:
     """(vertex, network) after steps of spherical k-means from start (network, x); an empty network keeps no direction."""
-    directions = start
-    for _ in range(steps - 1):
-        near = nearest(rows, directions)
-        directions = unit_sums(rows.join(near, "vertex").select("network", "x"), "network")
-    return nearest(rows, directions)
+    return nearest(rows, _moved(rows, start, steps - 1)).select("vertex", "network")
+
+
+def _moved(rows: DataFrame, directions: DataFrame, steps: int) -> DataFrame:
+    for _ in range(steps):
+        directions = written(unit_sums(nearest(rows, directions, keep=True).select("network", "x"), "network"), "directions")
+    return directions
+
+
+def restarts(rows: DataFrame, starts: list[DataFrame], steps: int) -> DataFrame:
+    """(vertex, network) of the start from which k-means ends with the largest sum of inner products, the first of equal ones."""
+    found = [written(nearest(rows, _moved(rows, s, steps - 1)), "restart") for s in starts]
+    sums = [r.agg(F.coalesce(F.sum("dot"), F.lit(0.0))).first()[0] for r in found]
+    return found[max(range(len(sums)), key=lambda i: (round(sums[i], 9), -i))].select("vertex", "network")
 
 
-def nearest(rows: DataFrame, directions: DataFrame) -> DataFrame:
-    """(vertex, network): the network of the largest inner product (9 decimals), the lowest of equal ones."""
-    best = F.min(F.struct((-F.round("dot", 9)).alias("q"), F.col("network")))
-    return dots(rows.select("vertex", "x"), directions).groupBy("vertex").agg(best["network"].alias("network"))
+def nearest(rows: DataFrame, directions: DataFrame, keep: bool = False) -> DataFrame:
+    """(vertex, network): the network of the largest inner product (9 decimals), the lowest of equal ones; with keep also x."""
+    names, vectors = next(blocks.slices(directions, "network"))
+    d = F.transform("dots", lambda v: F.round(v, 9))
+    best = F.element_at(F.array(*[F.lit(int(n)).cast("long") for n in names]), F.array_position(d, F.array_max(d)).cast("int"))
+    own = rows.select("vertex", F.col("x").alias("_x"), "x") if keep else rows.select("vertex", "x")
+    out = blocks.dot_arrays(own, vectors, "dots")
+    return out.select("vertex", best.alias("network"), *([F.col("_x").alias("x")] if keep else [F.array_max(d).alias("dot")]))
 
 
 def homogeneity(labelled: DataFrame) -> DataFrame:
     """(homogeneity, n): mean cosine of members with their label's mean row; labels of fewer than two members or zero mean are skipped."""
     members = labelled.where("label > 0")
-    big = members.groupBy("label").agg(F.count("*").alias("n")).where("n >= 2").select("label")
-    means = gathered(averages(members, "label"), "label").where(norm(F.col("x")) > 0).join(big, "label", "left_semi")
-    m = F.broadcast(means.select("label", unit(F.col("x")).alias("_m")))
+    m = means(members.select("label", "x"), "label").where((F.col("n") >= 2) & (norm(F.col("x")) > 0)).select("label", unit(F.col("x")).alias("_m"))
     c = members.join(m, "label").select(dot(unit(F.col("x")), F.col("_m")).alias("c"))
     return c.agg(F.coalesce(F.avg("c"), F.lit(0.0)).alias("homogeneity"), F.count("*").alias("n"))

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from vertexloom.functions.vectors import clipped_atanh
 from vertexloom.functions.vectors import standardised as zscore
+from vertexloom.sources.scratch import written
+
+from .blocks import products
 
 
 def grid(bold: DataFrame, fill: float = 0.0) -> DataFrame:
@@ -57,51 +60,76 @@ def standardised(bold: DataFrame) -> DataFrame:
 
 
 def correlations(bold: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(vertex, seed, r): Pearson of every series with those of the seeds; zero where one does not vary.
+    """(vertex, seed, r): Pearson of every series with those of the seeds; zero where one does not vary or is not finite.
 
-    The seeds' standardised series are broadcast: a few hundred vertices of one mesh, whatever the number of subjects.
+    Series are multiplied in blocks with the seeds', which travel to the tasks in slices of a bounded size.
     """
-    z = standardised(bold)
-    s = z.join(seeds.select("vertex"), "vertex", "left_semi").select(F.col("vertex").alias("seed"), F.col("z").alias("zs"))
-    r = F.aggregate(F.zip_with("z", "zs", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
-    return z.crossJoin(F.broadcast(s)).select("vertex", "seed", r.alias("r"))
+    z = written(standardised(bold), "series")
+    s = z.join(seeds.select("vertex"), "vertex", "left_semi").select(F.col("vertex").alias("seed"), F.col("z").alias("x"))
+    return products(z.withColumnRenamed("z", "x"), s, "seed", "r")
 
 
 def fisher_z(r: DataFrame, most: float = 1 - 1e-15) -> DataFrame:
     return r.withColumn("z", clipped_atanh(F.col("r"), most))
 
 
-def cutoff(r: DataFrame, share: float = 0.1, digits: int = 9) -> DataFrame:
+def cutoff(r: DataFrame, share: float = 0.1, digits: int | None = None) -> DataFrame:
     """(rank, cutoff): the rank-th largest correlation, rank the share of all of them rounded half up; all hemispheres together.
 
-    Equal values are counted before the running sum over distinct values, from the largest down, so that only value counts are
-    ordered. A rank below one or a cutoff that is not positive is an error of the data: then there is no row.
+    Equal values (to so many digits, if given) are counted before the running sum over distinct values, from the largest down, so that
+    only value counts are ordered. A rank below one or a cutoff that is not positive is an error.
     """
-    values = r.groupBy(F.round("r", digits).alias("v")).agg(F.count("*").alias("n"))
-    bins = values.withColumn("bin", F.floor(F.col("v") * 4096))
+    values = r.groupBy((F.col("r") if digits is None else F.round("r", digits)).alias("v")).agg(F.count("*").alias("n"))
+    bins = written(values.withColumn("bin", F.floor(F.col("v") * 4096)), "values")
     # two passes: which bin of values has the rank, then the place inside it
     down = Window.orderBy(F.col("bin").desc())
     per_bin = bins.groupBy("bin").agg(F.sum("n").alias("n"))
     per_bin = per_bin.withColumn("upto", F.sum("n").over(down)).withColumn("all", F.sum("n").over(Window.partitionBy()))
     rank = F.floor(F.col("all") * share + 0.5).cast("long")
-    hit = per_bin.withColumn("rank", rank).where("rank >= 1 and upto >= rank and upto - n < rank").select("bin", "rank", (F.col("upto") - F.col("n")).alias("before"))
+    hit = per_bin.withColumn("rank", rank).where("rank >= 1 and upto >= rank and upto - n < rank").select("bin", "rank", (F.col("upto") - F.col("n")).alias("before"))  # one row at most
     inside = bins.join(F.broadcast(hit), "bin").withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("bin").orderBy(F.col("v").desc())))
-    return inside.where("upto >= rank and upto - n < rank and v > 0").select("rank", F.col("v").alias("cutoff"))
+    found = inside.where("upto >= rank and upto - n < rank and v > 0").agg(F.max(F.struct("rank", "v")).alias("c"))
+    c = F.when(F.col("c").isNull(), F.raise_error(F.lit("no positive cutoff: too few correlations, or none of the largest is positive"))).otherwise(F.col("c"))
+    return found.select(c.alias("c")).select("c.rank", F.col("c.v").alias("cutoff"))
 
 
-def binary_profile(r: DataFrame, share: float = 0.1, digits: int = 9) -> DataFrame:
-    """(vertex, seed, bit): 1 for correlations at or above the joint cutoff, ties kept."""
-    c = F.broadcast(cutoff(r, share, digits))
-    return r.join(c).select("vertex", "seed", (F.round("r", digits) >= F.col("cutoff")).cast("long").alias("bit"))
+def binary_profile(r: DataFrame, share: float = 0.1, digits: int | None = None) -> DataFrame:
+    """(vertex, seed, bit): 1 for correlations at or above the joint cutoff, ties kept. r is computed once."""
+    r = written(r, "correlations")
+    c = F.broadcast(cutoff(r, share, digits))  # one row
+    value = F.col("r") if digits is None else F.round("r", digits)
+    return r.join(c).select("vertex", "seed", (value >= F.col("cutoff")).cast("long").alias("bit"))
 
 
 def averages(profiles: DataFrame, *by: str) -> DataFrame:
-    """The mean of x (an array) over rows with equal `by`, feature by feature; absent sessions do not count."""
-    each = profiles.select(*by, F.posexplode("x").alias("feature", "v")).groupBy(*by, "feature").agg(F.avg("v").alias("v"))
-    return each.withColumn("feature", F.col("feature").cast("long"))
+    """(by, x): the mean of x (an array) over rows with equal `by`, the few sessions of one vertex; absent sessions do not count."""
+    rows = profiles.groupBy(*by).agg(F.collect_list("x").alias("all"))
+    sums = F.aggregate(F.slice("all", F.lit(2), F.size("all")), F.col("all")[0], lambda a, x: F.zip_with(a, x, lambda v, w: v + w))
+    return rows.select(*by, F.transform(sums, lambda v: v / F.size("all")).alias("x"))
+
+
+def masked(profiles: DataFrame, cortex: DataFrame) -> DataFrame:
+    """profiles (vertex, x) with zero rows for vertices that cortex (vertex, cortex) does not mark, or does not know."""
+    keep = F.coalesce("cortex", F.lit(False))
+    j = profiles.join(cortex.select("vertex", "cortex"), "vertex", "left")
+    return j.withColumn("x", F.when(keep, F.col("x")).otherwise(F.transform("x", lambda v: v * 0))).select(profiles.columns)
+
+
+def finite_series(bold: DataFrame) -> DataFrame:
+    """bold (vertex, frame, value) in which a series with a value that is not finite is zero altogether."""
+    odd = bold.where(F.isnan("value") | (F.abs("value") == float("inf"))).select("vertex").distinct()
+    marked = bold.join(odd.withColumn("odd", F.lit(True)), "vertex", "left")
+    return marked.select("vertex", "frame", F.when(F.col("odd"), F.lit(0.0)).otherwise(F.col("value")).alias("value"))
+
+
+def hemispheres(left: DataFrame, right: DataFrame, size: int) -> DataFrame:
+    """The rows of both hemispheres (vertex, ...): the right one's vertices follow the `size` of the left one. Vertices outside a
+    hemisphere are an error."""
+    at = F.when(F.col("vertex").between(0, size - 1), F.col("vertex")).otherwise(F.raise_error(F.lit("a vertex is outside its hemisphere")))
+    return left.withColumn("vertex", at).unionByName(right.withColumn("vertex", at + F.lit(size)))
 
 
-def gathered(long: DataFrame, *by: str, value: str = "v") -> DataFrame:
-    """(by, x): features in order as an array."""
-    x = F.transform(F.array_sort(F.collect_list(F.struct("feature", value))), lambda p: p[value])
-    return long.groupBy(*by).agg(x.alias("x"))
+def expanded(rows: DataFrame, vertices: DataFrame, fill: str = "0") -> DataFrame:
+    """rows (place, value) of a reduced list, on all of vertices (vertex, place): those without place get `fill`."""
+    value = F.coalesce("value", F.lit(fill).cast(rows.schema["value"].dataType))
+    return vertices.select("vertex", "place").join(rows.select("place", "value"), "place", "left").select("vertex", value.alias("value"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vertexloom.functions.vectors import total
 from vertexloom.sources.scratch import written
 
 
@@ -14,32 +15,56 @@ def neighbours(faces: DataFrame) -> DataFrame:
     return faces.select(F.explode(pairs).alias("e")).groupBy("e.src").agg(F.sort_array(F.collect_set("e.dst")).alias("neighbours"))
 
 
-def potentials(edges: DataFrame, posterior: DataFrame, same: float = 0.0, differ: float = 1.0, fast: bool = True) -> DataFrame:
-    """(vertex, network, v): cost of a network at a vertex, by its neighbours' posterior (vertex, network, p).
+def potentials(edges: DataFrame, posterior: DataFrame, n: int, same: float = 0.0, differ: float = 1.0, fast: bool = True) -> DataFrame:
+    """(vertex, subject, v): cost of each of n networks at a vertex, by its neighbours' posterior (vertex, subject, p).
 
     fast: the number of neighbours less their posterior (for costs 0 and 1). Otherwise the general sum, which differs where a
     neighbour's posterior does not add up to one.
     """
     near = edges.join(posterior.withColumnRenamed("vertex", "dst"), "dst")
+    own = F.array(*[F.sum(F.get("p", F.lit(i))) for i in range(n)])
+    sums = near.groupBy("src", "subject").agg(own.alias("own"), F.sum(total(F.col("p"))).alias("mass"))
     if fast:
         degree = edges.groupBy("src").agg(F.count("*").alias("degree"))
-        own = near.groupBy("src", "network").agg(F.sum("p").alias("own")).join(degree, "src")
-        return own.select(F.col("src").alias("vertex"), "network", (F.col("degree") - F.col("own")).alias("v"))
-    mass = posterior.groupBy(F.col("vertex").alias("dst")).agg(F.sum("p").alias("mass"))
-    total = edges.join(mass, "dst").groupBy("src").agg(F.sum("mass").alias("total"))
-    own = near.groupBy("src", "network").agg(F.sum("p").alias("own")).join(total, "src")
-    return own.select(F.col("src").alias("vertex"), "network", ((same - differ) * F.col("own") + differ * F.col("total")).alias("v"))
+        v = F.transform("own", lambda p: F.col("degree") - p)
+        return sums.join(degree, "src").select(F.col("src").alias("vertex"), "subject", v.alias("v"))
+    v = F.transform("own", lambda p: (same - differ) * p + differ * F.col("mass"))
+    return sums.select(F.col("src").alias("vertex"), "subject", v.alias("v"))
 
 
 def nearest(points: DataFrame, seeds: DataFrame) -> DataFrame:
     """(vertex, seed, distance): the nearest of seeds (seed, x, y, z) to points (vertex, x, y, z), the lowest of equal ones.
 
-    The seeds are the vertices of one coarse mesh (a few hundred), and are broadcast.
+    Space is cut into cells of about one seed each. A point meets the seeds of its own cell and the cells around it; when the nearest
+    of them is nearer than a cell is wide, no other can be. Points for which it is not go on with cells of twice the width.
     """
-    s = F.broadcast(seeds.select("seed", *[F.col(c).alias(f"s{c}") for c in "xyz"]))
-    d = F.sqrt(sum(((F.col(c) - F.col(f"s{c}")) ** 2 for c in "xyz"), F.lit(0.0)))
-    best = F.min(F.struct(F.round(d, 9).alias("distance"), F.col("seed")))
-    return points.crossJoin(s).groupBy("vertex").agg(best.alias("b")).select("vertex", "b.seed", "b.distance")
+    box = seeds.agg(F.count("*").alias("n"), *[F.max(c).alias(f"max_{c}") for c in "xyz"], *[F.min(c).alias(f"min_{c}") for c in "xyz"]).first()
+    if not box["n"]:
+        return points.sparkSession.createDataFrame([], "vertex long, seed long, distance double")
+    spans = [box[f"max_{c}"] - box[f"min_{c}"] for c in "xyz"]
+    width = max(max(spans) / max(1.0, box["n"] ** (1 / 3)), 1e-9)
+    far = points.agg(*[F.max(F.greatest(F.abs(F.col(c) - box[f"min_{c}"]), F.abs(F.col(c) - box[f"max_{c}"]))).alias(c) for c in "xyz"]).first()
+    furthest = max([v or 0.0 for v in far])
+    cell = lambda c: F.floor(F.col(c) / width)
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
+    open_, done = points.select("vertex", *"xyz"), []
+    while True:
+        of = seeds.select("seed", *[F.col(c).alias(f"s{c}") for c in "xyz"], *[cell(c).alias(f"c{c}") for c in "xyz"])
+        asked = open_.select("*", F.explode(around).alias("o")).select("vertex", *"xyz", *[(cell(c) + F.col(f"o.{o}")).alias(f"c{c}") for c, o in zip("xyz", "ijk", strict=True)])
+        d = F.sqrt(sum(((F.col(c) - F.col(f"s{c}")) ** 2 for c in "xyz"), F.lit(0.0)))
+        best = F.min(F.struct(F.round(d, 9).alias("distance"), F.col("seed")))
+        found = asked.join(of, ["cx", "cy", "cz"]).groupBy("vertex").agg(best.alias("b"))
+        step = written(open_.join(found, "vertex", "left"), "nearest")
+        sure = F.col("b.distance") < width
+        done.append(step.where(sure).select("vertex", "b.seed", "b.distance"))
+        open_ = step.where(~F.coalesce(sure, F.lit(False))).drop("b")
+        if not open_.limit(1).count():
+            break
+        width = min(2 * width, 2 * furthest + 1) if width <= 2 * furthest else 2 * width
+    out = done[0]
+    for more in done[1:]:
+        out = out.union(more)
+    return out
 
 
 def filled(edges: DataFrame, valid: DataFrame, limit: float) -> DataFrame:
@@ -59,6 +84,47 @@ def filled(edges: DataFrame, valid: DataFrame, limit: float) -> DataFrame:
         n = now
 
 
+def boundary_filled(vertices: DataFrame, edges: DataFrame, valid: DataFrame, limit: float, zero: bool = False, refined: DataFrame | None = None) -> DataFrame:
+    """(vertex, source, distance) for all vertices: filled() ones, then those that a finer distance reaches.
+
+    refined: (vertex, source, distance) of a better measure for vertices that edges leave out; it counts up to the limit. What is left is
+    an error, or with zero gets source -1 and no distance.
+    """
+    found = filled(edges, valid, limit)
+    if refined is not None:
+        more = refined.where(F.col("distance") <= limit).join(valid.select(F.col("vertex").alias("source")), "source", "left_semi").join(found, "vertex", "left_anti")
+        best = F.min(F.struct("distance", "source"))
+        found = found.unionByName(more.groupBy("vertex").agg(best.alias("b")).select("vertex", "b.source", "b.distance"))
+    out = vertices.select("vertex").join(found, "vertex", "left")
+    source = F.coalesce("source", F.lit(-1).cast("long") if zero else F.raise_error(F.lit("a vertex is further from all valid ones than the limit")).cast("long"))
+    return out.select("vertex", source.alias("source"), "distance")
+
+
+def face_labels(faces: DataFrame, labels: DataFrame) -> DataFrame:
+    """(face, label): the label that most corners of a triangle (face, a, b, c) have, the lowest of equal ones; a corner without label has 0."""
+    corners = faces.select("face", F.explode(F.array("a", "b", "c")).alias("vertex")).join(labels, "vertex", "left")
+    counts = corners.groupBy("face", F.coalesce("label", F.lit(0)).alias("label")).agg(F.count("*").alias("n"))
+    return counts.groupBy("face").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("label")))["label"].alias("label"))
+
+
+def scattered(mask: DataFrame, values: DataFrame) -> DataFrame:
+    """mask (voxel, inside) with the values (place, value) put into the voxels inside, in their order; others are zero.
+
+    Numbers of voxels and values that differ are an error.
+    """
+    inside = written(mask.where("inside").select("voxel"), "inside")
+    n, m = inside.count(), values.count()
+    if n != m:
+        raise ValueError(f"{m} values for {n} voxels inside the mask")
+    # places by runs of sorted voxels, so that no task gets all of them
+    runs = written(inside.repartitionByRange("voxel").sortWithinPartitions("voxel").select(F.spark_partition_id().alias("run"), "voxel"), "runs")
+    before = Window.orderBy("run")
+    sizes = runs.groupBy("run").agg(F.count("*").alias("n")).select("run", (F.sum("n").over(before) - F.col("n")).alias("first"))
+    placed = runs.join(sizes, "run").select("voxel", (F.col("first") + F.row_number().over(Window.partitionBy("run").orderBy("voxel")) - 1).alias("place"))
+    found = placed.join(values, "place").select("voxel", "value")
+    return mask.select("voxel").join(found, "voxel", "left").select("voxel", F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
 def winner_take_all(similarity: DataFrame, labels: DataFrame, top: int) -> DataFrame:
     """(voxel, label, confidence): the most frequent label among the `top` most similar vertices of similarity (voxel, vertex, r).
 

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vertexloom.functions import vectors as V
-from vertexloom.operators import evaluation, fit, mixture, runs, series, spatial
+from vertexloom.operators import blocks, evaluation, fit, individual, mixture, runs, series, spatial
 from vertexloom.sources import views
+from vertexloom.sources.scratch import written
 
 from . import sql
 
@@ -52,24 +53,33 @@ def _dots(s: SparkSession, d: str) -> DataFrame:
     return mixture.dots(_rows(s, d).drop("label"), _directions(s, d))
 
 
+def _networks(s: SparkSession, d: str) -> list[int]:
+    return mixture.networks_of(views.vectors(s, d).where("label <> 0").select(F.col("label").alias("network")).distinct())
+
+
+def _scores(s: SparkSession, d: str, n: int) -> DataFrame:
+    return mixture.likelihoods(_dots(s, d), n, KAPPA, LOG_C)
+
+
 def _posterior(s: SparkSession, d: str) -> DataFrame:
-    return mixture.posteriors(mixture.likelihoods(_dots(s, d), KAPPA, LOG_C))
+    """Written, as most queries use it more than once."""
+    return written(mixture.posteriors(_scores(s, d, len(_networks(s, d)))), "posterior")
 
 
-def _theta(s: SparkSession, d: str) -> DataFrame:
-    return mixture.theta_mean(_posterior(s, d), 2)
+def _theta(s: SparkSession, d: str, posterior: DataFrame) -> DataFrame:
+    return mixture.theta_mean(posterior, len(_networks(s, d)), 2)
 
 
 def _weighted(s: SparkSession, d: str) -> DataFrame:
-    return mixture.weighted_data(_rows(s, d).drop("label"), _posterior(s, d))
+    return mixture.weighted_data(_rows(s, d).drop("label"), _posterior(s, d), _networks(s, d))
 
 
 def _sessions(s: SparkSession, d: str) -> DataFrame:
-    return mixture.session_directions(_weighted(s, d), _directions(s, d), KAPPA, SIGMA)
+    return written(mixture.session_directions(_weighted(s, d), _directions(s, d), KAPPA, SIGMA), "sessions")
 
 
-def _subjects(s: SparkSession, d: str) -> DataFrame:
-    return mixture.subject_directions(_sessions(s, d), _directions(s, d), SIGMA, EPSILON)
+def _subjects(s: SparkSession, d: str, sessions: DataFrame | None = None) -> DataFrame:
+    return mixture.subject_directions(_sessions(s, d) if sessions is None else sessions, _directions(s, d), SIGMA, EPSILON)
 
 
 def bold_grid(s: SparkSession, d: str) -> DataFrame:
@@ -82,7 +92,7 @@ def bold_censor(s: SparkSession, d: str) -> DataFrame:
 
 
 def validate_constant(s: SparkSession, d: str) -> DataFrame:
-    return series.constant(_grid(s, d).where("frame < 4"))
+    return series.constant(_grid(s, d))
 
 
 def seed_timeseries(s: SparkSession, d: str) -> DataFrame:
@@ -100,11 +110,11 @@ def fisher_z_profile(s: SparkSession, d: str) -> DataFrame:
 
 
 def cutoff_value(s: SparkSession, d: str) -> DataFrame:
-    return _r(series.cutoff(_correlations(s, d)), "cutoff")
+    return _r(series.cutoff(_correlations(s, d), digits=9), "cutoff")
 
 
 def binary_profile(s: SparkSession, d: str) -> DataFrame:
-    return series.binary_profile(_correlations(s, d))
+    return series.binary_profile(_correlations(s, d), digits=9)
 
 
 def normalize_row_l2(s: SparkSession, d: str) -> DataFrame:
@@ -116,7 +126,7 @@ def normalize_centred_literal(s: SparkSession, d: str) -> DataFrame:
 
 
 def avg_profile(s: SparkSession, d: str) -> DataFrame:
-    return _r(series.averages(views.tensor(s, d), "subject", "vertex").withColumnRenamed("v", "x"), "x")
+    return _long(series.averages(views.tensor(s, d), "subject", "vertex"), "subject", "vertex")
 
 
 def label_centroids(s: SparkSession, d: str) -> DataFrame:
@@ -132,37 +142,45 @@ def valid_vertices(s: SparkSession, d: str) -> DataFrame:
     return evaluation.valid_vertices(views.tensor(s, d).withColumn("x", zero))
 
 
+def _each(df: DataFrame, array: str, value: str, s: SparkSession, d: str) -> DataFrame:
+    """df with a row for each network, its value rounded."""
+    return _r(mixture.by_network(df, array, value, _networks(s, d)), value)
+
+
 def vmf_dot(s: SparkSession, d: str) -> DataFrame:
-    return _r(_dots(s, d), "dot")
+    return _each(_dots(s, d), "dots", "dot", s, d)
 
 
 def posterior_softmax(s: SparkSession, d: str) -> DataFrame:
-    return _r(_posterior(s, d), "p")
+    n = len(_networks(s, d))
+    return _each(mixture.posteriors(_scores(s, d, n)), "p", "p", s, d)
 
 
 def flagship_labels(s: SparkSession, d: str) -> DataFrame:
     """Labels of every vertex and subject: centroids of labelled profiles, likelihoods, posterior, argmax."""
-    return mixture.labels(_posterior(s, d))
+    networks = _networks(s, d)
+    return mixture.labels(mixture.posteriors(_scores(s, d, len(networks))), networks)
 
 
 def theta_mean(s: SparkSession, d: str) -> DataFrame:
-    return _r(_theta(s, d), "theta")
+    return _each(_theta(s, d, _posterior(s, d)), "theta", "theta", s, d)
 
 
 def initial_theta(s: SparkSession, d: str) -> DataFrame:
-    return _r(mixture.initial_theta(_posterior(s, d), 2), "theta")
+    return _each(mixture.initial_theta(_posterior(s, d), len(_networks(s, d)), 2), "theta", "theta", s, d)
 
 
 def weighted_data(s: SparkSession, d: str) -> DataFrame:
-    return _r(_weighted(s, d).withColumnRenamed("v", "x"), "x")
+    return _long(_weighted(s, d), "subject", "session", "network")
 
 
 def kappa_update(s: SparkSession, d: str) -> DataFrame:
-    return _r(mixture.kappa_update(_dots(s, d), _posterior(s, d), DIMENSION, 5.0), "numerator", "mass", "rbar", "kappa", digits=5)
+    return _r(mixture.kappa_update(_dots(s, d), _posterior(s, d), len(_networks(s, d)), DIMENSION, 5.0), "numerator", "mass", "rbar", "kappa", digits=5)
 
 
 def inverse_ratio(s: SparkSession, d: str) -> DataFrame:
-    dots = _dots(s, d).where("dot between -0.99 and 0.99").groupBy("network").agg(F.avg(F.abs("dot")).alias("rbar"))
+    each = mixture.by_network(_dots(s, d), "dots", "dot", _networks(s, d))
+    dots = each.where("dot between -0.99 and 0.99").groupBy("network").agg(F.avg(F.abs("dot")).alias("rbar"))
     return _r(dots.select("network", "rbar", V.inverse_ratio(F.col("rbar"), DIMENSION).alias("kappa")), "rbar", "kappa")
 
 
@@ -179,12 +197,14 @@ def group_direction(s: SparkSession, d: str) -> DataFrame:
 
 
 def sigma_update(s: SparkSession, d: str) -> DataFrame:
-    sessions = _sessions(s, d).where("not (subject = 1 and session = 1 and network <= 3)")
-    return _r(mixture.sigma_update(sessions, _subjects(s, d), 2, DIMENSION), "rbar", "sigma", digits=4)
+    every = _sessions(s, d)
+    sessions = every.where("not (subject = 1 and session = 1 and network <= 3)")
+    return _r(mixture.sigma_update(sessions, _subjects(s, d, every), 2, DIMENSION), "rbar", "sigma", digits=4)
 
 
 def em_cost(s: SparkSession, d: str) -> DataFrame:
-    return _r(mixture.em_cost(_dots(s, d), _posterior(s, d), _theta(s, d), KAPPA, LOG_C), "cost", digits=3)
+    p = _posterior(s, d)
+    return _r(mixture.em_cost(_dots(s, d), p, _theta(s, d, p), len(_networks(s, d)), KAPPA, LOG_C), "cost", digits=3)
 
 
 def em_full_fit(s: SparkSession, d: str) -> DataFrame:
@@ -202,36 +222,36 @@ def _edges(s: SparkSession, d: str) -> DataFrame:
     return views.ring(views.tensor(s, d))
 
 
-def _one_posterior(s: SparkSession, d: str) -> DataFrame:
-    return _posterior(s, d).where("subject = 0 and vertex % 7 <> 3").select("vertex", "network", "p")
-
-
 def mrf_potential(s: SparkSession, d: str) -> DataFrame:
-    return _r(spatial.potentials(_edges(s, d), _one_posterior(s, d)), "v")
+    return _each(spatial.potentials(_edges(s, d), _posterior(s, d), len(_networks(s, d))), "v", "v", s, d)
 
 
 def mrf_potential_general(s: SparkSession, d: str) -> DataFrame:
-    return _r(spatial.potentials(_edges(s, d), _one_posterior(s, d), 0.25, 1.5, fast=False), "v")
+    return _each(spatial.potentials(_edges(s, d), _posterior(s, d), len(_networks(s, d)), 0.25, 1.5, fast=False), "v", "v", s, d)
 
 
 def individual_estep(s: SparkSession, d: str) -> DataFrame:
-    """One sweep: likelihood, group prior with weight 2 and smoothing with weight 3, as posterior."""
-    like = mixture.likelihoods(_dots(s, d), KAPPA, LOG_C).where("subject = 0")
-    v = spatial.potentials(_edges(s, d), _posterior(s, d).where("subject = 0").select("vertex", "network", "p"))
-    tiny = F.lit(2.2250738585072014e-308)
-    j = like.join(_theta(s, d), ["vertex", "network"]).join(v, ["vertex", "network"])
-    scores = j.withColumn("score", F.col("score") + 2.0 * F.ln(F.greatest("theta", tiny)) - 2 * 3.0 * F.col("v"))
-    return _r(mixture.softmax(scores, ["vertex", "subject"]).select("vertex", "network", "p"), "p")
+    """One sweep of every subject: likelihood, group prior with weight 2 and smoothing with weight 3, as posterior."""
+    p, n = _posterior(s, d), len(_networks(s, d))
+    sweep = individual.sweep(_scores(s, d, n), _theta(s, d, p), spatial.potentials(_edges(s, d), p, n), 2.0, 3.0)
+    return _each(sweep, "p", "p", s, d)
 
 
-def _similarity(s: SparkSession, d: str) -> DataFrame:
-    v = views.vectors(s, d).select("vec_id", V.unit(F.col("x")).alias("x"))
-    voxels = F.broadcast(v.where("vec_id < 40").select(F.col("vec_id").alias("voxel"), F.col("x").alias("y")))
-    return v.crossJoin(voxels).select("voxel", F.col("vec_id").alias("vertex"), V.dot(F.col("x"), F.col("y")).alias("r"))
+def individual_fit(s: SparkSession, d: str) -> DataFrame:
+    """The individual fit of every subject from the group's directions and prior, with few steps of each kind: labels."""
+    p, networks = _posterior(s, d), _networks(s, d)
+    priors = individual.Priors(_directions(s, d), _theta(s, d, p), KAPPA * 10, KAPPA * 10)
+    rows = _rows(s, d).select("vertex", "subject", "session", "x")
+    found = individual.fit(rows, _edges(s, d), priors, individual.Settings(start=KAPPA * 10, prior=2.0, smooth=3.0, outer=2, inner=2, numerical=3, sweeps=3))
+    return mixture.labels(found.posterior, networks)
 
 
 def winner_take_all(s: SparkSession, d: str) -> DataFrame:
-    return _r(spatial.winner_take_all(_similarity(s, d), views.vectors(s, d).select(F.col("vec_id").alias("vertex"), "label"), 25), "confidence")
+    """Voxels are the rows of subject 1, the surface those of subject 0."""
+    v = views.vectors(s, d).select("vec_id", "label", V.unit(F.col("x")).alias("x"))
+    surface, voxels = v.where("vec_id % 2 = 0").withColumnRenamed("vec_id", "vertex"), v.where("vec_id % 2 = 1").select(F.col("vec_id").alias("voxel"), "x")
+    near = blocks.most_similar(surface.where("label <> 0").select("vertex", "x"), "vertex", voxels, "voxel", 25)
+    return _r(spatial.winner_take_all(near, surface.select("vertex", "label"), 25), "confidence")
 
 
 def vol2surf_fc(s: SparkSession, d: str) -> DataFrame:
@@ -260,9 +280,10 @@ def agreement_report(s: SparkSession, d: str) -> DataFrame:
 
 
 def tolerance_report(s: SparkSession, d: str) -> DataFrame:
-    a, b = (mixture.mean_centroids(v, 9) for v in (views.vectors(s, d), views.vectors(s, d).where("vec_id % 50 <> 0")))
-    long = lambda x: x.select("network", F.posexplode("x").alias("f", "value")).where("network + f < 70")
-    return _r(evaluation.tolerance(long(a), long(b).where("f <> 3"), ["network", "f"], 1e-3, 1e-2), "max_absolute", "max_relative")
+    """Directions of subject 0 against those of subject 1."""
+    v = views.vectors(s, d)
+    a, b = (mixture.mean_centroids(v.where(f"vec_id % 2 = {k}"), 9).select("network", F.posexplode("x").alias("f", "value")) for k in (0, 1))
+    return _r(evaluation.tolerance(a, b, ["network", "f"], 1e-3, 1e-2), "max_absolute", "max_relative")
 
 
 def neighbours(s: SparkSession, d: str) -> DataFrame:
@@ -318,13 +339,13 @@ def run_pairing(s: SparkSession, d: str) -> DataFrame:
 
 
 def session_numbering(s: SparkSession, d: str) -> DataFrame:
-    own = _runs(s, d).where("hemi = 'L'").select("subject", "session", "task", "run")
-    return runs.numbered(own, "subject", ["session", "task", "run"])
+    own = _runs(s, d).select("subject", "session", "task", "run", "hemi")
+    return runs.numbered(own, "subject", ["session", "task", "run", "hemi"])
 
 
 def profile_list_grid(s: SparkSession, d: str) -> DataFrame:
-    own = runs.numbered(_runs(s, d).where("hemi = 'L'").select("subject", "session", "task", "run", "path"), "subject", ["session", "task", "run"])
-    return runs.gaps(own.where("session_number % 4 <> 2"), "subject", "session_number", "path", 30)
+    own = runs.numbered(_runs(s, d).select("subject", "session", "task", "run", "hemi", "path"), "subject", ["session", "task", "run", "hemi"])
+    return runs.gaps(own, "subject", "session_number", "path", 200)
 
 
 def manifest_json(s: SparkSession, d: str) -> DataFrame:
@@ -343,7 +364,7 @@ QUERIES: dict[str, Query] = {
         normalize_row_l2, normalize_centred_literal, avg_profile, label_centroids, label_centroids_mean, valid_vertices, vmf_dot,
         posterior_softmax, flagship_labels, theta_mean, initial_theta, weighted_data, kappa_update, inverse_ratio, session_direction,
         subject_direction, group_direction, sigma_update, em_cost, em_full_fit, kmeans_lloyd, mrf_potential, mrf_potential_general,
-        individual_estep, winner_take_all, vol2surf_fc, homogeneity, dice_report, agreement_report, tolerance_report, neighbours,
+        individual_estep, individual_fit, winner_take_all, vol2surf_fc, homogeneity, dice_report, agreement_report, tolerance_report, neighbours,
         nearest_seed, boundary_fill, coverage_counts, support_masks, entity_parse, run_pairing, session_numbering, profile_list_grid,
         manifest_json, requested_missing,
     )

@@ -44,7 +44,7 @@ INVERSE = "62 * rbar / (1 - rbar * rbar) + 63 * rbar / 62"
 ORACLES: dict[str, str] = {
     "bold_grid": _with(DAYS, GRID) + "SELECT vertex, frame, round(value, 6) + 0.0 AS value FROM grid",
     "bold_censor": _with(DAYS, GRID) + "SELECT vertex, frame, round(value, 6) + 0.0 AS value FROM grid WHERE frame % 5 <> 4",
-    "validate_constant": _with(DAYS, GRID) + "SELECT vertex, max(value) = min(value) AS is_constant, bool_and(value = 0) AS all_zero, bool_and(isfinite(value)) AS finite FROM grid WHERE frame < 4 GROUP BY vertex",
+    "validate_constant": _with(DAYS, GRID) + "SELECT vertex, max(value) = min(value) AS is_constant, bool_and(value = 0) AS all_zero, bool_and(isfinite(value)) AS finite FROM grid GROUP BY vertex",
     "seed_timeseries": _with(DAYS, GRID) + "SELECT r.roi, f.frame, round(coalesce(avg(g.value), 0.0), 6) + 0.0 AS value FROM (SELECT unnest(range(11)) AS roi) r CROSS JOIN (SELECT DISTINCT frame FROM grid) f LEFT JOIN grid g ON g.vertex % 10 = r.roi AND g.frame = f.frame GROUP BY ALL",
     "pearson_profile": _with(DAYS, GRID, CORR) + "SELECT vertex, seed, round(r, 6) + 0.0 AS r FROM corr",
     "fisher_z_profile": _with(DAYS, GRID, CORR) + "SELECT vertex, seed, round(atanh(greatest(-0.999999, least(0.999999, r))), 6) + 0.0 AS z FROM corr WHERE vertex <> seed",
@@ -87,16 +87,16 @@ g{i} AS (SELECT network, f, sum(x) AS y FROM v JOIN a{i} USING (vertex) GROUP BY
 k{i + 1} AS (SELECT network, f, y / sqrt(sum(y * y) OVER (PARTITION BY network)) AS x FROM g{i})"""
         for i in range(3)
     ) + " SELECT vertex, network FROM a2",
-    "mrf_potential": _with(*MODEL, EDGES) + """, q AS (SELECT vertex, network, p FROM post WHERE subject = 0 AND vertex % 7 <> 3), n AS (SELECT src, count(*) AS n FROM edges GROUP BY src)
-SELECT src AS vertex, network, round(any_value(n) - sum(p), 6) + 0.0 AS v FROM edges JOIN q ON q.vertex = dst JOIN n USING (src) GROUP BY src, network""",
-    "mrf_potential_general": _with(*MODEL, EDGES) + """, q AS (SELECT vertex, network, p FROM post WHERE subject = 0 AND vertex % 7 <> 3), n AS (SELECT src, sum(p) AS n FROM edges JOIN q ON q.vertex = dst GROUP BY src)
-SELECT src AS vertex, network, round(-1.25 * sum(p) + 1.5 * any_value(n), 6) + 0.0 AS v FROM edges JOIN q ON q.vertex = dst JOIN n USING (src) GROUP BY src, network""",
+    "mrf_potential": _with(*MODEL, EDGES) + """, n AS (SELECT src, count(*) AS n FROM edges GROUP BY src)
+SELECT src AS vertex, subject, network, round(any_value(n) - sum(p), 6) + 0.0 AS v FROM edges JOIN post ON post.vertex = dst JOIN n USING (src) GROUP BY src, subject, network""",
+    "mrf_potential_general": _with(*MODEL, EDGES) + """, n AS (SELECT src, subject, sum(p) AS n FROM edges JOIN post ON post.vertex = dst GROUP BY src, subject)
+SELECT src AS vertex, subject, network, round(-1.25 * sum(p) + 1.5 * any_value(n), 6) + 0.0 AS v FROM edges JOIN post ON post.vertex = dst JOIN n USING (src, subject) GROUP BY src, subject, network""",
     "individual_estep": _with(*MODEL, THETA, EDGES) + """, n AS (SELECT src, count(*) AS n FROM edges GROUP BY src),
-v AS (SELECT src AS vertex, network, any_value(n) - sum(p) AS v FROM edges JOIN post ON post.vertex = dst AND subject = 0 JOIN n USING (src) GROUP BY src, network),
-j AS (SELECT vertex, network, s + 2.0 * ln(greatest(theta, 2.2250738585072014e-308)) - 6.0 * v AS s FROM score JOIN theta USING (vertex, network) JOIN v USING (vertex, network) WHERE subject = 0),
-e AS (SELECT *, exp(s - max(s) OVER (PARTITION BY vertex)) AS e FROM j)
-SELECT vertex, network, round(e / sum(e) OVER (PARTITION BY vertex), 6) + 0.0 AS p FROM e""",
-    "winner_take_all": _with(P, "v AS (SELECT vec_id, label, f, x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)) AS x FROM p)") + """, s AS (SELECT b.vec_id AS voxel, a.vec_id AS vertex, any_value(a.label) AS label, round(sum(a.x * b.x), 9) AS r FROM v a JOIN v b USING (f) WHERE b.vec_id < 40 GROUP BY ALL),
+v AS (SELECT src AS vertex, subject, network, any_value(n) - sum(p) AS v FROM edges JOIN post ON post.vertex = dst JOIN n USING (src) GROUP BY src, subject, network),
+j AS (SELECT vertex, subject, network, s + 2.0 * ln(greatest(theta, 2.2250738585072014e-308)) - 6.0 * v AS s FROM score JOIN theta USING (vertex, network) JOIN v USING (vertex, subject, network)),
+e AS (SELECT *, exp(s - max(s) OVER (PARTITION BY vertex, subject)) AS e FROM j)
+SELECT vertex, subject, network, round(e / sum(e) OVER (PARTITION BY vertex, subject), 6) + 0.0 AS p FROM e""",
+    "winner_take_all": _with(P, "v AS (SELECT vec_id, label, f, x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)) AS x FROM p)") + """, s AS (SELECT b.vec_id AS voxel, a.vec_id AS vertex, any_value(a.label) AS label, round(sum(a.x * b.x), 9) AS r FROM v a JOIN v b USING (f) WHERE a.vec_id % 2 = 0 AND b.vec_id % 2 = 1 GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY voxel ORDER BY r DESC, vertex DESC) AS k FROM s WHERE label <> 0),
 c AS (SELECT voxel, label, count(*) AS n FROM k WHERE k <= 25 GROUP BY ALL),
 o AS (SELECT voxel, label, n, lead(n) OVER w AS next, row_number() OVER w AS k FROM c WINDOW w AS (PARTITION BY voxel ORDER BY n DESC, label DESC))
@@ -116,11 +116,10 @@ SELECT label, n_a, n_b, n_both, round(2 * n_both / (n_a + n_b), 6) + 0.0 AS dice
     "agreement_report": """WITH l AS (SELECT vec_id // 4 AS vertex, vec_id % 2 AS subject, label FROM embeddings WHERE (vec_id // 2) % 2 = 0), j AS (SELECT a.label AS la, b.label AS lb FROM l a JOIN l b ON a.vertex = b.vertex AND a.subject = 0 AND b.subject = 1)
 SELECT count(*) AS n, count(*) FILTER (la = lb) AS n_equal, round(count(*) FILTER (la = lb) / count(*), 6) + 0.0 AS agreement,
 round(count(*) FILTER (la = lb AND la > 0) / nullif(count(*) FILTER (la > 0 OR lb > 0), 0), 6) + 0.0 AS union_agreement FROM j""",
-    "tolerance_report": _with(P) + """, m1 AS (SELECT label AS network, f, avg(x) AS v FROM p WHERE label BETWEEN 1 AND 9 GROUP BY ALL), m2 AS (SELECT label AS network, f, avg(x) AS v FROM p WHERE label BETWEEN 1 AND 9 AND vec_id % 50 <> 0 GROUP BY ALL),
-a AS (SELECT network, f, a FROM (SELECT network, f, v / sqrt(sum(v * v) OVER (PARTITION BY network)) AS a FROM m1) WHERE network + f < 70),
-b AS (SELECT network, f, b FROM (SELECT network, f, v / sqrt(sum(v * v) OVER (PARTITION BY network)) AS b FROM m2) WHERE network + f < 70 AND f <> 3),
-j AS (SELECT a, b, abs(a - b) AS d FROM a FULL JOIN b USING (network, f))
-SELECT count(*) AS n, count(*) FILTER (a IS NULL OR b IS NULL) AS n_missing, count(*) FILTER (a IS NULL OR b IS NULL OR d > 1e-3 + 1e-2 * abs(b)) AS n_violations,
+    "tolerance_report": _with(P) + """, m AS (SELECT vec_id % 2 AS subject, label AS network, f, avg(x) AS v FROM p WHERE label BETWEEN 1 AND 9 GROUP BY ALL),
+u AS (SELECT *, v / sqrt(sum(v * v) OVER (PARTITION BY subject, network)) AS x FROM m), g AS (SELECT k.network, g.f FROM (SELECT unnest(range(1, 10)) AS network) k CROSS JOIN (SELECT unnest(range(64)) AS f) g),
+j AS (SELECT coalesce(a.x, 0) AS a, coalesce(b.x, 0) AS b, abs(coalesce(a.x, 0) - coalesce(b.x, 0)) AS d FROM g LEFT JOIN u a ON a.network = g.network AND a.f = g.f AND a.subject = 0 LEFT JOIN u b ON b.network = g.network AND b.f = g.f AND b.subject = 1)
+SELECT count(*) AS n, CAST(0 AS BIGINT) AS n_missing, count(*) FILTER (d > 1e-3 + 1e-2 * abs(b)) AS n_violations,
 round(max(d), 6) + 0.0 AS max_absolute, round(max(d / greatest(abs(b), 1e-3)), 6) + 0.0 AS max_relative FROM j""",
     "neighbours": """WITH f AS (SELECT c_custkey AS a, c_custkey + 1 AS b, c_custkey + c_nationkey + 2 AS c FROM customer), e AS (SELECT unnest([a, a, b, b, c, c]) AS src, unnest([b, c, a, c, a, b]) AS dst FROM f)
 SELECT src, string_agg(dst, ',' ORDER BY dst) AS neighbours FROM (SELECT DISTINCT src, dst FROM e) GROUP BY src""",
@@ -137,9 +136,9 @@ SELECT v.vertex, count(*) FILTER (usable) AS n_usable, any_value(n.n) AS n_sessi
     "entity_parse": _with(FILES) + "SELECT path, subject, session, task, run, hemi FROM runs",
     "run_pairing": _with(FILES) + """SELECT subject, session, task, run, min(path) FILTER (hemi = 'L') AS "left", min(path) FILTER (hemi = 'R') AS "right",
 CASE WHEN count(*) FILTER (hemi = 'L') > 1 OR count(*) FILTER (hemi = 'R') > 1 THEN 'repeated' WHEN count(DISTINCT hemi) < 2 THEN 'single' END AS problem FROM runs GROUP BY ALL""",
-    "session_numbering": _with(FILES) + "SELECT subject, session, task, run, row_number() OVER (PARTITION BY subject ORDER BY session, task, run) AS session_number FROM runs WHERE hemi = 'L'",
-    "profile_list_grid": _with(FILES) + """, o AS (SELECT subject, path, row_number() OVER (PARTITION BY subject ORDER BY session, task, run) AS k FROM runs WHERE hemi = 'L'), h AS (SELECT * FROM o WHERE k % 4 <> 2)
-SELECT s.subject, n.k AS session_number, coalesce(h.path, 'NONE') AS path FROM (SELECT DISTINCT subject FROM h) s CROSS JOIN (SELECT unnest(range(1, 31)) AS k) n LEFT JOIN h ON h.subject = s.subject AND h.k = n.k""",
+    "session_numbering": _with(FILES) + "SELECT subject, session, task, run, hemi, row_number() OVER (PARTITION BY subject ORDER BY session, task, run, hemi) AS session_number FROM runs",
+    "profile_list_grid": _with(FILES) + """, h AS (SELECT subject, path, row_number() OVER (PARTITION BY subject ORDER BY session, task, run, hemi) AS k FROM runs)
+SELECT s.subject, n.k AS session_number, coalesce(h.path, 'NONE') AS path FROM (SELECT DISTINCT subject FROM h) s CROSS JOIN (SELECT unnest(range(1, 201)) AS k) n LEFT JOIN h ON h.subject = s.subject AND h.k = n.k""",
     "manifest_json": _with(FILES) + """SELECT '{"subject":"' || subject || '","session":"' || session || '","run":"' || run || '","hemi":"' || hemi || '"}' AS manifest FROM runs""",
     "requested_missing": _with(FILES) + ", a AS (SELECT printf('%02d', unnest(range(60))) AS subject) SELECT subject FROM a WHERE subject NOT IN (SELECT subject FROM runs)",
 }
