@@ -2,6 +2,7 @@
 
 import math
 import os
+import time
 
 import duckdb
 import numpy as np
@@ -13,6 +14,7 @@ from vertexloom.functions import bessel
 from vertexloom.functions import vectors as V
 from vertexloom.operators import evaluation, fit, mixture, runs, series, spatial
 from vertexloom.plans import registry
+from vertexloom.sources import scratch
 
 SF = "/root/testdata/sf0.001"
 
@@ -130,3 +132,97 @@ def test_group_fit(spark):
     start = spark.createDataFrame([(k + 1, d.tolist()) for k, d in enumerate(directions)], "network long, x array<double>")
     got = {(r["vertex"], r["subject"]): r["label"] for r in fit.group_labels(df, start, fit.Settings(outer=1, middle=1, inner=3)).collect()}
     assert all(got[v, s] == (0 if v == 39 else v % 2 + 1) for v in range(40) for s in (0, 1))
+
+
+def test_no_cutoff_is_an_error(spark):
+    flat = spark.createDataFrame([(v, f, 1.0) for v in range(4) for f in range(5)], "vertex long, frame long, value double")
+    r = series.correlations(flat, spark.createDataFrame([(0,)], "vertex long"))
+    for odd in (r, r.where("false")):
+        with pytest.raises(Exception, match="no positive cutoff"):
+            series.binary_profile(odd).collect()
+    bold = flat.withColumn("value", F.when((F.col("vertex") == 1) & (F.col("frame") == 2), float("inf")).otherwise(F.col("value") + F.col("frame") * F.col("vertex")))
+    got = {x["vertex"]: x["r"] for x in series.correlations(bold, spark.createDataFrame([(2,)], "vertex long")).collect()}
+    assert got[0] == got[1] == 0.0 and abs(got[3] - 1) < 1e-12
+
+
+def test_dimension_and_assets(spark):
+    with pytest.raises(ValueError):
+        bessel.log_normaliser(700.0, 1800)
+    labels = spark.range(64).selectExpr("id as vertex", "id % 16 as label")
+    assert evaluation.verified_labels(labels).count() == 64
+    for odd in (labels.where("label <> 3"), labels.withColumn("label", F.col("label") + 1), labels.withColumn("label", F.nullif("label", F.lit(2)))):
+        with pytest.raises(ValueError):
+            evaluation.verified_labels(odd)
+
+
+def test_discovery(spark, tmp_path):
+    names = ["sub-1/func/sub-1_task-rest_hemi-L_bold.func.gii", "sub-1/func/sub-1_task-rest_hemi-R_bold.func.gii", "sub-2/ses-a/func/sub-2_ses-a_hemi-L_bold.func.gii", "sub-2/ses-b/func/sub-2_ses-a_hemi-L_bold.func.gii", "other/sub-3_hemi-L_bold.func.gii"]
+    for n in names:
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_text("x")
+    got = runs.discovered(runs.listed(spark, str(tmp_path)))
+    assert {(r["subject"], r["session"], r["hemi"]) for r in got.collect()} == {("1", None, "L"), ("1", None, "R"), ("2", "a", "L")}
+    assert runs.chosen(got, subject=["sub-1"]).count() == 2 and runs.chosen(got, session=["ses-a"], subject=["1", "2"]).count() == 1
+    with pytest.raises(ValueError):
+        runs.chosen(got, subject=["sub-1_x"])
+    (tmp_path / "sub-1/func/sub-1_task-rest_hemi-L_desc-x_bold.func.gii").write_text("x")
+    with pytest.raises(Exception, match="two files"):
+        runs.discovered(runs.listed(spark, str(tmp_path))).collect()
+    (tmp_path / "list.txt").write_text("a/b\n\nNONE\n c \n")
+    assert [r["line"] for r in runs.profile_list(spark, str(tmp_path / "list.txt")).orderBy("place").collect()] == ["a/b", None, "c"]
+
+
+def test_publish(spark, tmp_path):
+    df = spark.range(100).selectExpr("id", "cast(id as string) as t")
+    assert runs.publish(df, f"{tmp_path}/out").first()["n_rows"] == 100
+    with pytest.raises(Exception, match="exist"):
+        runs.publish(df, f"{tmp_path}/out")
+    with pytest.raises(ValueError):
+        runs.publish(df.withColumn("t", F.udf(lambda i: str(time.time_ns()))("id")), f"{tmp_path}/other")
+
+
+def test_errors_of_geometry(spark):
+    side = spark.createDataFrame([(0, 1), (5, 2)], "vertex long, label long")
+    assert {r["vertex"] for r in series.hemispheres(side, side, 6).collect()} == {0, 5, 6, 11}
+    with pytest.raises(Exception, match="outside"):
+        series.hemispheres(side, side, 5).collect()
+    v = spark.range(4).selectExpr("id as vertex")
+    edges = spark.createDataFrame([(0, 1, 1.0), (1, 0, 1.0)], "src long, dst long, length double")
+    one = v.where("vertex = 0")
+    with pytest.raises(Exception, match="further"):
+        spatial.boundary_filled(v, edges, one, 1.5).collect()
+    finer = spark.createDataFrame([(2, 0, 1.4), (3, 0, 1.6)], "vertex long, source long, distance double")
+    got = {r["vertex"]: (r["source"], r["distance"]) for r in spatial.boundary_filled(v, edges, one, 1.5, zero=True, refined=finer).collect()}
+    assert got == {0: (0, 0.0), 1: (0, 1.0), 2: (0, 1.4), 3: (-1, None)}
+    with pytest.raises(ValueError):
+        spatial.scattered(v.select(F.col("vertex").alias("voxel"), F.lit(True).alias("inside")), spark.createDataFrame([(0, 1.0)], "place long, value double"))
+
+
+def test_nearest_far_away(spark):
+    rng = np.random.default_rng(8)
+    p, q = rng.normal(size=(80, 3)) * 50, np.concatenate([rng.normal(size=(30, 3)), [[500.0, 0, 0]]])
+    rows = lambda x, name: spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], f"{name} long, x double, y double, z double")
+    got = {r["vertex"]: r["seed"] for r in spatial.nearest(rows(p, "vertex"), rows(q, "seed")).collect()}
+    assert got == {i: int(((q - v) ** 2).sum(axis=1).argmin()) for i, v in enumerate(p)}
+
+
+def test_shared_folder(monkeypatch):
+    class Conf:
+        def get(self, key, default):
+            return None
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://host:7077"})()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.shared_folder(Session())
+
+
+def test_saved_model(spark, tmp_path):
+    m = fit.Model(np.eye(2, 3), np.ones((1, 2, 3)), np.ones((1, 1, 2, 3)), np.full(2, 5.0), np.full(2, 6.0), 7.0, np.ones((1, 1), bool), [1.0, 2.0])
+    fit.save(m, spark, f"{tmp_path}/m")
+    t = fit.load(spark, f"{tmp_path}/m", posterior=False)
+    assert t["directions"].count() == 6 and t["record"].count() == 2 and t["concentrations"].first()["sigma"] == 6.0
+    with pytest.raises(ValueError, match="posterior"):
+        fit.load(spark, f"{tmp_path}/m")

@@ -55,3 +55,23 @@ def support(rows: DataFrame) -> DataFrame:
 def valid_vertices(rows: DataFrame) -> DataFrame:
     """(vertex, valid): whether any row of the vertex has a value that is not zero."""
     return rows.groupBy("vertex").agg(F.bool_or(F.exists("x", lambda v: v != 0)).alias("valid"))
+
+
+def partition_problems(masks: DataFrame) -> DataFrame:
+    """(vertex, n): the vertices of masks (mask, vertex, inside) that are not in exactly one of them."""
+    n = F.count_if("inside")
+    return masks.groupBy("vertex").agg(n.alias("n")).where("n <> 1")
+
+
+def common(masks: DataFrame) -> DataFrame:
+    """(vertex) of the vertices that are inside every one of the masks (mask, vertex, inside)."""
+    n = masks.select("mask").distinct().count()
+    return masks.where("inside").groupBy("vertex").agg(F.count_distinct("mask").alias("n")).where(F.col("n") == n).select("vertex")
+
+
+def verified_labels(labels: DataFrame, most: int = 15) -> DataFrame:
+    """labels (vertex, label), which must be whole numbers, exactly those from 0 to `most`; anything else is an error."""
+    found = sorted(r[0] for r in labels.select("label").distinct().limit(most + 3).collect() if r[0] is not None)
+    if found != list(range(most + 1)) or labels.where("label is null").limit(1).count():
+        raise ValueError(f"labels are not exactly 0 to {most}: {found}")
+    return labels

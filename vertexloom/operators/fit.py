@@ -25,7 +25,8 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vertexloom.functions.bessel import log_normaliser
@@ -277,3 +278,28 @@ def group_labels(rows: DataFrame, directions: DataFrame, settings: Settings | No
     each = F.explode(F.array(*[F.struct(F.lit(s).alias("subject"), F.slice("lam", i * n_l + 1, n_l).alias("p")) for i, s in enumerate(subjects)])).alias("e")
     best = F.array_position("p", F.array_max("p"))
     return m.state.select("vertex", each).select("vertex", "e.subject", "e.p").select("vertex", "subject", F.when(F.array_max("p") > 0, best).otherwise(F.lit(0).cast("long")).alias("label"))
+
+
+def save(m: Model, spark: SparkSession, path: str) -> None:
+    """The model as tables below a new path: directions, concentrations, record, posterior."""
+    rows = [("group", None, None, k + 1, v) for k, v in enumerate(m.mu.tolist())]
+    rows += [("subject", s, None, k + 1, v) for s, x in enumerate(m.psi.tolist()) for k, v in enumerate(x)]
+    rows += [("session", int(s), int(t), k + 1, v) for s, t in np.argwhere(m.there) for k, v in enumerate(m.nu[s, t].tolist())]
+    spark.createDataFrame(rows, "kind string, subject int, session int, network int, x array<double>").write.parquet(f"{path}/directions")
+    values = [(k + 1, float(a), float(b), float(m.kappa)) for k, (a, b) in enumerate(zip(m.epsilon, m.sigma, strict=True))]
+    spark.createDataFrame(values, "network int, epsilon double, sigma double, kappa double").write.parquet(f"{path}/concentrations")
+    spark.createDataFrame(list(enumerate(map(float, m.record), 1)), "step int, cost double").write.parquet(f"{path}/record")
+    if m.state is not None:
+        m.state.write.parquet(f"{path}/posterior")
+
+
+def load(spark: SparkSession, path: str, posterior: bool = True) -> dict[str, DataFrame]:
+    """The tables of a saved model; without a posterior among them, asking for it is an error."""
+    names = ["directions", "concentrations", "record"]
+    tables = {n: spark.read.parquet(f"{path}/{n}") for n in names}
+    if posterior:
+        try:
+            tables["posterior"] = spark.read.parquet(f"{path}/posterior")
+        except AnalysisException as e:
+            raise ValueError(f"{path} has no posterior: fit with state, or load with posterior=False") from e
+    return tables

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -42,3 +42,64 @@ def manifest(frame: DataFrame, *columns: str) -> DataFrame:
 def missing(asked: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """What was asked for and not found."""
     return asked.join(found, key, "left_anti").select(key).distinct()
+
+
+def listed(spark: SparkSession, root: str, pattern: str = "*.func.gii") -> DataFrame:
+    """(path) of all files below root whose name fits; their contents are not read."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root).select("path")
+
+
+def discovered(files: DataFrame) -> DataFrame:
+    """Recordings (subject, session, task, run, hemi, path) among files (path).
+
+    Only files in sub-*/func and sub-*/ses-*/func count, and only where the name agrees with its folders. Two files for one recording and
+    hemisphere are an error: nothing is guessed. An absent entity is null.
+    """
+    inside = files.where(F.col("path").rlike(r"(^|/)sub-([^/_]+)/(func/sub-\2_|ses-([^/_]+)/func/sub-\2_ses-\4_)[^/]*$"))
+    e = entities(inside)
+    names = {"subject": "sub", "session": "ses", "task": "task", "run": "run", "hemi": "hemi"}
+    runs = e.select(*[F.try_element_at("entities", F.lit(k)).alias(n) for n, k in names.items()], "path")
+    g = runs.groupBy(*names).agg(F.min("path").alias("path"), F.max("path").alias("last"))
+    one = F.when(F.col("path") == F.col("last"), F.col("path")).otherwise(F.raise_error(F.concat(F.lit("two files for one recording: "), "path", F.lit(" and "), "last")))
+    return g.select(*names, one.alias("path"))
+
+
+def chosen(runs: DataFrame, **wanted: list[str]) -> DataFrame:
+    """runs whose columns (subject=..., session=..., task=..., run=...) have one of the wanted values; entity prefixes may be given.
+
+    Values are letters and digits; anything else is an error. Columns that are not named are not restricted.
+    """
+    prefix = {"subject": "sub-", "session": "ses-", "task": "task-", "run": "run-"}
+    for column, values in wanted.items():
+        bare = [v.removeprefix(prefix[column]) for v in values]
+        if bad := [v for v in bare if not v.isalnum()]:
+            raise ValueError(f"{column} values have letters and digits only: {bad}")
+        runs = runs.where(F.col(column).isin(bare))
+    return runs
+
+
+def profile_list(spark: SparkSession, path: str) -> DataFrame:
+    """(line) of a list of profiles, one path a line; blank lines are skipped and NONE is null. Lines of one file keep their order."""
+    lines = spark.read.text(path).select(F.trim("value").alias("line"), F.monotonically_increasing_id().alias("place")).where("line <> ''")
+    return lines.select(F.nullif("line", F.lit("NONE")).alias("line"), "place")
+
+
+def publish(df: DataFrame, path: str) -> DataFrame:
+    """Write df to a new path and return one row (path, n_rows, digest). An existing path is refused.
+
+    The digest adds up hashes of the rows, whatever their order; it is taken before and after, and an input that changed meanwhile
+    is an error.
+    """
+    digest = lambda x: tuple(x.select(F.count("*"), F.coalesce(F.sum(F.xxhash64(*x.columns).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first())
+    before = digest(df)
+    df.write.mode("errorifexists").parquet(path)
+    after = digest(df.sparkSession.read.schema(df.schema).parquet(path))
+    if before != after:
+        raise ValueError(f"{path} was written from an input that changed")
+    return df.sparkSession.createDataFrame([(path, before[0], str(before[1]))], "path string, n_rows long, digest string")
+
+
+def record_changes(record: DataFrame) -> DataFrame:
+    """record (step, cost) with change: the relative change against the step before, infinite where that cost is zero, null at the start."""
+    before = F.lag("cost").over(Window.orderBy("step"))  # a row for each step of a fit
+    return record.select("step", "cost", F.when(before == 0, F.lit(float("inf"))).otherwise(F.abs((F.col("cost") - before) / before)).alias("change"))

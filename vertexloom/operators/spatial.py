@@ -107,21 +107,25 @@ def face_labels(faces: DataFrame, labels: DataFrame) -> DataFrame:
     return counts.groupBy("face").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("label")))["label"].alias("label"))
 
 
+def placed(df: DataFrame, column: str) -> DataFrame:
+    """df with place: how many rows have a smaller value of the column (of distinct values). Rows are numbered within sorted ranges, so
+    that no task gets all of them."""
+    runs = written(df.repartitionByRange(column).sortWithinPartitions(column).withColumn("_run", F.spark_partition_id()), "runs")
+    sizes = runs.groupBy("_run").agg(F.count("*").alias("n")).select("_run", (F.sum("n").over(Window.orderBy("_run")) - F.col("n")).alias("_first"))  # a row for each range
+    place = F.col("_first") + F.row_number().over(Window.partitionBy("_run").orderBy(column)) - 1
+    return runs.join(sizes, "_run").withColumn("place", place).drop("_run", "_first")
+
+
 def scattered(mask: DataFrame, values: DataFrame) -> DataFrame:
     """mask (voxel, inside) with the values (place, value) put into the voxels inside, in their order; others are zero.
 
     Numbers of voxels and values that differ are an error.
     """
-    inside = written(mask.where("inside").select("voxel"), "inside")
+    inside = written(placed(mask.where("inside").select("voxel"), "voxel"), "inside")
     n, m = inside.count(), values.count()
     if n != m:
         raise ValueError(f"{m} values for {n} voxels inside the mask")
-    # places by runs of sorted voxels, so that no task gets all of them
-    runs = written(inside.repartitionByRange("voxel").sortWithinPartitions("voxel").select(F.spark_partition_id().alias("run"), "voxel"), "runs")
-    before = Window.orderBy("run")
-    sizes = runs.groupBy("run").agg(F.count("*").alias("n")).select("run", (F.sum("n").over(before) - F.col("n")).alias("first"))
-    placed = runs.join(sizes, "run").select("voxel", (F.col("first") + F.row_number().over(Window.partitionBy("run").orderBy("voxel")) - 1).alias("place"))
-    found = placed.join(values, "place").select("voxel", "value")
+    found = inside.join(values, "place").select("voxel", "value")
     return mask.select("voxel").join(found, "voxel", "left").select("voxel", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 

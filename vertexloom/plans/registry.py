@@ -357,6 +357,95 @@ def requested_missing(s: SparkSession, d: str) -> DataFrame:
     return runs.missing(asked, _runs(s, d), "subject")
 
 
+def run_discovery(s: SparkSession, d: str) -> DataFrame:
+    return runs.discovered(_files(s, d))
+
+
+def run_filters(s: SparkSession, d: str) -> DataFrame:
+    return runs.chosen(runs.discovered(_files(s, d)), subject=["sub-03", "17", "21"], session=["1", "ses-10"])
+
+
+def censor_once(s: SparkSession, d: str) -> DataFrame:
+    b = _grid(s, d)
+    mask = b.select("frame").distinct().withColumn("keep", (F.col("frame") % 5 != 4).cast("int"))
+    return _r(series.censor_mask(series.censor_mask(b, mask), mask), "value")
+
+
+def nonfinite_to_zero(s: SparkSession, d: str) -> DataFrame:
+    """Series whose value is above 400 somewhere are taken as not finite."""
+    b = _grid(s, d)
+    return _r(series.finite_series(b.withColumn("value", F.when(F.col("value") > 400, float("inf")).otherwise(F.col("value")))), "value")
+
+
+def _cortex(s: SparkSession, d: str) -> DataFrame:
+    return views.tensor(s, d).select("vertex").distinct().withColumn("cortex", F.col("vertex") % 11 != 0)
+
+
+def cortex_mask(s: SparkSession, d: str) -> DataFrame:
+    return _long(series.masked(views.tensor(s, d).select("vertex", "subject", "session", "x"), _cortex(s, d)), "vertex", "subject", "session")
+
+
+def expanded_labels(s: SparkSession, d: str) -> DataFrame:
+    """Labels of the cortex, listed by places, on all vertices."""
+    place = F.when(F.col("cortex"), F.col("vertex") * 3)
+    known = views.template(s, d).select((F.col("vertex") * 3).alias("place"), F.col("label").alias("value"))
+    return series.expanded(known, _cortex(s, d).select("vertex", place.alias("place"))).withColumnRenamed("value", "label")
+
+
+def hemisphere_concat(s: SparkSession, d: str) -> DataFrame:
+    """Subject 0 stands for the left hemisphere, subject 1 for the right one."""
+    t = views.tensor(s, d).where("session = 0").select("vertex", "subject", "label")
+    size = t.agg(F.max("vertex") + 1).first()[0] or 0
+    return series.hemispheres(t.where("subject = 0").drop("subject"), t.where("subject = 1").drop("subject"), size)
+
+
+def _masks(s: SparkSession, d: str) -> DataFrame:
+    """A mask for each subject and session: whether the row's label is above 2."""
+    return views.tensor(s, d).select((F.col("subject") * 2 + F.col("session")).alias("mask"), "vertex", (F.col("label") > 2).alias("inside"))
+
+
+def mask_partition(s: SparkSession, d: str) -> DataFrame:
+    return evaluation.partition_problems(_masks(s, d))
+
+
+def mask_intersection(s: SparkSession, d: str) -> DataFrame:
+    return evaluation.common(_masks(s, d))
+
+
+def scatter_into_mask(s: SparkSession, d: str) -> DataFrame:
+    """Account balances, in the order of customers, into the voxels (suppliers' and customers' keys) that have one."""
+    c = views.table(s, d, "customer")
+    mask = c.select(F.col("c_custkey").alias("voxel"), (F.col("c_nationkey") < 20).alias("inside"))
+    order = spatial.placed(c.where("c_nationkey < 20").select("c_custkey", "c_acctbal"), "c_custkey")
+    return _r(spatial.scattered(mask, order.select("place", F.col("c_acctbal").alias("value"))), "value")
+
+
+def face_majority(s: SparkSession, d: str) -> DataFrame:
+    c = views.table(s, d, "customer")
+    faces = c.select(F.col("c_custkey").alias("face"), F.col("c_custkey").alias("a"), (F.col("c_custkey") + 1).alias("b"), (F.col("c_custkey") + F.col("c_nationkey") + 2).alias("c"))
+    return spatial.face_labels(faces, c.select(F.col("c_custkey").alias("vertex"), (F.col("c_nationkey") % 4).cast("long").alias("label")))
+
+
+def boundary_fill_zero(s: SparkSession, d: str) -> DataFrame:
+    """All vertices: filled along edges up to 1.5, others by a finer distance to the first valid vertex, the rest with source -1."""
+    edges = _edges(s, d).withColumn("length", 1.0 + F.least("src", "dst") % 3 * 0.5)
+    valid = written(views.template(s, d).where("label > 7").select("vertex"), "valid")
+    first = F.broadcast(valid.agg(F.min("vertex").alias("source")))  # one row
+    finer = views.tensor(s, d).select("vertex").distinct().join(first).select("vertex", "source", (F.abs(F.col("vertex") - F.col("source")) / 20.0).alias("distance"))
+    return _r(spatial.boundary_filled(views.tensor(s, d).select("vertex").distinct(), edges, valid, 1.5, zero=True, refined=finer), "distance")
+
+
+def kmeans_restarts(s: SparkSession, d: str) -> DataFrame:
+    v = views.vectors(s, d).select(F.col("vec_id").alias("vertex"), V.unit(F.col("x")).alias("x"))
+    starts = [v.where(f"vertex between {k} and {k + 3}").select((F.col("vertex") - k).alias("network"), "x") for k in (0, 8)]
+    return mixture.restarts(v, starts, 2)
+
+
+def relative_change(s: SparkSession, d: str) -> DataFrame:
+    """Totals of the days stand for the costs of a fit's steps."""
+    return _r(runs.record_changes(_grid(s, d).groupBy(F.col("frame").alias("step")).agg(F.round(F.sum("value"), 6).alias("cost"))), "cost", "change")
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
@@ -366,7 +455,9 @@ QUERIES: dict[str, Query] = {
         subject_direction, group_direction, sigma_update, em_cost, em_full_fit, kmeans_lloyd, mrf_potential, mrf_potential_general,
         individual_estep, individual_fit, winner_take_all, vol2surf_fc, homogeneity, dice_report, agreement_report, tolerance_report, neighbours,
         nearest_seed, boundary_fill, coverage_counts, support_masks, entity_parse, run_pairing, session_numbering, profile_list_grid,
-        manifest_json, requested_missing,
+        manifest_json, requested_missing, run_discovery, run_filters, censor_once, nonfinite_to_zero, cortex_mask, expanded_labels,
+        hemisphere_concat, mask_partition, mask_intersection, scatter_into_mask, face_majority, boundary_fill_zero, kmeans_restarts,
+        relative_change,
     )
 }
 

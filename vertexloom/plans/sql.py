@@ -141,4 +141,32 @@ CASE WHEN count(*) FILTER (hemi = 'L') > 1 OR count(*) FILTER (hemi = 'R') > 1 T
 SELECT s.subject, n.k AS session_number, coalesce(h.path, 'NONE') AS path FROM (SELECT DISTINCT subject FROM h) s CROSS JOIN (SELECT unnest(range(1, 201)) AS k) n LEFT JOIN h ON h.subject = s.subject AND h.k = n.k""",
     "manifest_json": _with(FILES) + """SELECT '{"subject":"' || subject || '","session":"' || session || '","run":"' || run || '","hemi":"' || hemi || '"}' AS manifest FROM runs""",
     "requested_missing": _with(FILES) + ", a AS (SELECT printf('%02d', unnest(range(60))) AS subject) SELECT subject FROM a WHERE subject NOT IN (SELECT subject FROM runs)",
+    "run_discovery": _with(FILES) + "SELECT subject, session, task, run, hemi, path FROM runs",
+    "run_filters": _with(FILES) + "SELECT subject, session, task, run, hemi, path FROM runs WHERE subject IN ('03', '17', '21') AND session IN ('1', '10')",
+    "censor_once": _with(DAYS, GRID) + "SELECT vertex, frame, round(value, 6) + 0.0 AS value FROM grid WHERE frame % 5 <> 4",
+    "nonfinite_to_zero": _with(DAYS, GRID) + "SELECT vertex, frame, CASE WHEN max(value) OVER (PARTITION BY vertex) > 400 THEN 0.0 ELSE round(value, 6) + 0.0 END AS value FROM grid",
+    "cortex_mask": _with(P, T) + "SELECT vertex, subject, session, f AS feature, CASE WHEN vertex % 11 = 0 THEN 0.0 ELSE round(x, 6) + 0.0 END AS x FROM t",
+    "expanded_labels": "SELECT v.vertex, CASE WHEN v.vertex % 11 = 0 THEN 0 ELSE coalesce(l.label, 0) END AS label FROM (SELECT DISTINCT vec_id // 4 AS vertex FROM embeddings) v LEFT JOIN (SELECT vec_id // 4 AS vertex, CAST(label AS BIGINT) AS label FROM embeddings WHERE vec_id % 2 = 0 AND (vec_id // 2) % 2 = 0) l USING (vertex)",
+    "hemisphere_concat": "SELECT vec_id // 4 + (vec_id % 2) * (SELECT max(vec_id // 4) + 1 FROM embeddings WHERE (vec_id // 2) % 2 = 0) AS vertex, CAST(label AS BIGINT) AS label FROM embeddings WHERE (vec_id // 2) % 2 = 0",
+    "mask_partition": "SELECT vec_id // 4 AS vertex, count(*) FILTER (label > 2) AS n FROM embeddings GROUP BY ALL HAVING count(*) FILTER (label > 2) <> 1",
+    "mask_intersection": "SELECT vec_id // 4 AS vertex FROM embeddings GROUP BY ALL HAVING count(DISTINCT vec_id % 4) FILTER (label > 2) = 4",
+    "scatter_into_mask": "SELECT c_custkey AS voxel, CASE WHEN c_nationkey < 20 THEN round(c_acctbal, 6) + 0.0 ELSE 0.0 END AS value FROM customer",
+    "face_majority": """WITH f AS (SELECT c_custkey AS face, unnest([c_custkey, c_custkey + 1, c_custkey + c_nationkey + 2]) AS vertex FROM customer),
+n AS (SELECT face, coalesce(CAST(c_nationkey % 4 AS BIGINT), 0) AS label, count(*) AS n FROM f LEFT JOIN customer ON c_custkey = vertex GROUP BY ALL)
+SELECT face, label FROM (SELECT *, row_number() OVER (PARTITION BY face ORDER BY n DESC, label) AS k FROM n) WHERE k = 1""",
+    "boundary_fill_zero": """WITH RECURSIVE """ + EDGES + """, valid AS (SELECT vec_id // 4 AS vertex FROM embeddings WHERE vec_id % 2 = 0 AND (vec_id // 2) % 2 = 0 AND label > 7),
+r AS (SELECT vertex, vertex AS source, 0.0::DOUBLE AS distance FROM valid UNION SELECT dst, source, distance + 1.0 + least(src, dst) % 3 * 0.5 FROM r JOIN edges ON src = vertex WHERE distance + 1.0 + least(src, dst) % 3 * 0.5 <= 1.5),
+b AS (SELECT vertex, source, distance FROM (SELECT *, row_number() OVER (PARTITION BY vertex ORDER BY distance, source) AS k FROM r) WHERE k = 1),
+g AS (SELECT v.vertex, m.s AS source, abs(v.vertex - m.s) / 20.0 AS distance FROM verts v, (SELECT min(vertex) AS s FROM valid) m)
+SELECT v.vertex, coalesce(b.source, g.source, -1) AS source, round(coalesce(b.distance, CAST(g.distance AS DOUBLE)), 6) + 0.0 AS distance
+FROM verts v LEFT JOIN b USING (vertex) LEFT JOIN g ON g.vertex = v.vertex AND g.distance <= 1.5""",
+    "kmeans_restarts": _with(P, "v AS (SELECT vec_id AS vertex, f, x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)) AS x FROM p)", "s AS (SELECT * FROM (VALUES (0), (8)) AS t(start))", "k0 AS (SELECT start, vertex - start AS network, f, x FROM v, s WHERE vertex BETWEEN start AND start + 3)") + "".join(
+        f""", d{i} AS (SELECT start, vertex, network, round(sum(v.x * k.x), 9) AS dot FROM v JOIN k{i} k USING (f) GROUP BY ALL),
+a{i} AS (SELECT start, vertex, network, dot FROM (SELECT *, row_number() OVER (PARTITION BY start, vertex ORDER BY dot DESC, network) AS r FROM d{i}) WHERE r = 1),
+g{i} AS (SELECT start, network, f, sum(x) AS y FROM v JOIN a{i} USING (vertex) GROUP BY ALL),
+k{i + 1} AS (SELECT start, network, f, y / sqrt(sum(y * y) OVER (PARTITION BY start, network)) AS x FROM g{i})"""
+        for i in range(2)
+    ) + ", q AS (SELECT start FROM a1 GROUP BY start ORDER BY round(sum(dot), 9) DESC, start LIMIT 1) SELECT vertex, network FROM a1 JOIN q USING (start)",
+    "relative_change": _with(DAYS, GRID) + """, c AS (SELECT frame AS step, round(sum(value), 6) AS cost FROM grid GROUP BY frame), b AS (SELECT *, lag(cost) OVER (ORDER BY step) AS before FROM c)
+SELECT step, round(cost, 6) + 0.0 AS cost, round(CASE WHEN before = 0 THEN 'inf'::DOUBLE ELSE abs((cost - before) / before) END, 6) + 0.0 AS change FROM b""",
 }
