@@ -19,12 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns
+from .common import append_columns, written
 from .words import ALPHANUMERIC, Words, grams, words_of
 
 WINDOW = 10
 #: Windows that are broadcast at a time; a larger benchmark is scanned in several blocks, which are then united.
-MAX_WINDOWS = 1_000_000
+MAX_WINDOWS = 250_000
 
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 FIELDS = [T.StructField("n_words", T.LongType()), T.StructField("hit_words", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("hit_spans", _SPANS)]
@@ -53,24 +53,30 @@ def benchmark_windows(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
 
 
 class _Scan:
-    """What a task needs to find one block of windows."""
+    """What a task needs to find one block of windows: these, as Arrow columns in the order of length and hash."""
 
-    def __init__(self, rows: list) -> None:
-        self.items: dict[tuple[int, bytes], list[str]] = {}
-        by_length: dict[int, set[int]] = {}
-        for h, k, words, item in rows:
-            self.items.setdefault((k, words), []).append(item)
-            by_length.setdefault(k, set()).add(h)
-        self.hashes = {k: np.sort(np.array(list(x), np.int64).view(np.uint64)) for k, x in by_length.items()}
+    def __init__(self, windows: pa.Table) -> None:
+        windows = windows.sort_by([("length", "ascending"), ("hash", "ascending")]).combine_chunks()
+        self.words, self.items = (windows.column(c).combine_chunks() for c in ("words", "item_id"))
+        length, hashes = (windows.column(c).to_numpy() for c in ("length", "hash"))
+        self.of = []  # (length, its first window, its hashes)
+        for k in np.unique(length).tolist():
+            a, b = np.searchsorted(length, k), np.searchsorted(length, k, "right")
+            self.of.append((k, int(a), hashes[a:b]))
 
     def __call__(self, texts: pa.Array) -> list[pa.Array]:
         w = words_of(texts, ALPHANUMERIC)
         hit, items = np.zeros(len(w.hashes), bool), [set() for _ in range(len(texts))]
-        for k, known in self.hashes.items():
+        for k, start, known in self.of:
             first, h = grams(w, k)
-            found = first[known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h]
-            for i, o in zip(found.tolist(), (np.searchsorted(w.doc, found, "right") - 1).tolist(), strict=True):
-                names = self.items.get((k, _text(w, i, k)))
+            h = h.view(np.int64)
+            low = np.searchsorted(known, h)
+            found = np.flatnonzero(known[np.minimum(low, len(known) - 1)] == h)
+            last = np.searchsorted(known, h[found], "right")
+            owner = np.searchsorted(w.doc, first[found], "right") - 1
+            for i, o, a, b in zip(first[found].tolist(), owner.tolist(), low[found].tolist(), last.tolist(), strict=True):
+                text = _text(w, i, k)
+                names = {self.items[j].as_py() for j in range(start + a, start + b) if self.words[j].as_py() == text}
                 if names:
                     hit[i : i + k] = True
                     items[o].update(names)
@@ -98,16 +104,15 @@ def annotate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, max_windows
     At most max_windows windows are broadcast at a time. A larger benchmark is read in blocks of its windows' hashes, and each
     block's findings are added to the same documents.
     """
-    windows = benchmark_windows(benchmark, n).cache()
+    windows = written(benchmark_windows(benchmark, n), "windows")
     blocks = -(-windows.count() // max_windows) or 1
     out = docs
     for block in range(blocks):
         # the number of rows is known to be about max_windows at most
         part = windows.where(F.pmod(F.xxhash64("hash"), F.lit(blocks)) == block) if blocks > 1 else windows
-        scan = _Scan([tuple(r) for r in part.collect()])
+        scan = _Scan(part.toArrow())
         found = append_columns(out, "text", FIELDS, scan) if block == 0 else _united(out, scan)
         out = found
-    windows.unpersist()
     return out
 
 

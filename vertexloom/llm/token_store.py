@@ -27,7 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_folder
+from vertexloom.sources.scratch import shared_folder
+
 from .words import slices, text_bytes
 
 END_ID = 1
@@ -356,7 +357,7 @@ def shards(docs: DataFrame, tokenizer: str, end: int = END_ID, shard_tokens: int
 def write(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, end: int = END_ID, **more) -> str:
     """Encode docs into files at path (by default in the shared folder); returns the path."""
     spark = docs.sparkSession
-    path = path or f"{shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}/tokens-{uuid.uuid4().hex}"
+    path = path or f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/tokens-{uuid.uuid4().hex}"
     shards(docs, tokenizer or public_tokenizer(), end, **more).write.option("compression", "zstd").parquet(path)
     return path
 
