@@ -103,3 +103,75 @@ def awkward(spark):
     from pyspark.sql import functions as F
 
     return spark.createDataFrame(AWKWARD, SCHEMA).withColumn("n_words", F.lit("x")).withColumn("kept", F.lit(3)).withColumn("_row", F.lit(1))
+
+
+def symbols(text, order):
+    """Lower-case letters; every run of others after a letter is a blank; order - 1 blanks before and one after."""
+    out, before = [], False
+    for c in text or "":
+        letter = c.isalpha()
+        if letter:
+            out.append(c.lower()[0])
+        elif before:
+            out.append(" ")
+        before = letter
+    return " " * (order - 1) + "".join(out) + " "
+
+
+class KneserNey:
+    """Interpolated Kneser-Ney over characters, by its definition."""
+
+    def __init__(self, texts, alphabet, order=4):
+        self.alphabet, self.order = alphabet, order
+        c = Counter(g for t in texts for g in self.grams(t))
+        self.counts = {order: c}
+        for k in range(order - 1, 0, -1):
+            self.counts[k] = Counter(g[1:] for g in self.counts[k + 1])
+        self.discount, self.total, self.kinds = {}, {}, {}
+        for k, c in self.counts.items():
+            n1, n2 = (sum(v == i for v in c.values()) for i in (1, 2))
+            self.discount[k] = min(0.9, max(0.1, n1 / max(1, n1 + 2 * n2)))
+            self.total[k], self.kinds[k] = Counter(), Counter(g[:-1] for g in c)
+            for g, n in c.items():
+                self.total[k][g[:-1]] += n
+
+    def grams(self, text):
+        s = symbols(text, self.order)
+        return [s[i : i + self.order] for i in range(len(s) - self.order + 1)]
+
+    def p(self, g):
+        if not g:
+            return 1 / self.alphabet
+        k, rest = len(g), self.p(g[1:])
+        if not self.total[k][g[:-1]]:
+            return rest
+        c, d, total = self.counts[k][g], self.discount[k], self.total[k][g[:-1]]
+        return max(c - d, 0) / total + d * self.kinds[k][g[:-1]] / total * rest
+
+    def entropy(self, text):
+        g = self.grams(text)
+        return -sum(math.log(self.p(x)) for x in g) / len(g)
+
+
+def reputations(hosts, outcomes):
+    """{host: upper bound of its share of good pages} from [(host, domain, suffix)] and {host: (good, all)}, with priors host from domain from suffix."""
+    by = [{}, {}, {}]
+    for h, d, s in hosts:
+        k, n = outcomes.get(h, (0, 0))
+        for level, key in enumerate((h, d, s)):
+            a = by[level].get(key, (0, 0))
+            by[level][key] = (a[0] + k, a[1] + n)
+    all_k, all_n = (sum(v[i] for v in by[2].values()) for i in (0, 1))
+
+    def level(groups, prior):
+        over = sum((k - n * prior[g]) ** 2 - n * prior[g] * (1 - prior[g]) for g, (k, n) in groups.items())
+        pairs = sum(n * (n - 1) * prior[g] * (1 - prior[g]) for g, (k, n) in groups.items())
+        rho = min(0.5, max(0.001, over / pairs if pairs else 0.001))
+        s = 1 / rho - 1
+        return {g: (prior[g] * s + k, (1 - prior[g]) * s + n - k) for g, (k, n) in groups.items()}
+
+    mean = lambda ab: ab[0] / (ab[0] + ab[1])
+    suffixes = level(by[2], dict.fromkeys(by[2], (all_k + 1) / (all_n + 2)))
+    domains = level(by[1], {d: mean(suffixes[s]) for _, d, s in hosts})
+    own = level(by[0], {h: mean(domains[d]) for h, d, _ in hosts})
+    return {h: a / (a + b) + 1.645 * math.sqrt(a * b / ((a + b) ** 2 * (a + b + 1))) for h, (a, b) in own.items()}

@@ -72,3 +72,25 @@ def test_empty(spark, tmp_path):
     for t in ("documents", "benchmark"):
         spark.read.parquet(f"{SF}/{t}.parquet").where("false").write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_on_awkward_rows(spark):
+    """Nulls in every column, empty and very long texts, repeated rows and clashing columns, stage by stage."""
+    awkward = plain.awkward(spark)
+    nulls = spark.createDataFrame([(None,) * 5, (20, None, None, None, None)], plain.SCHEMA).selectExpr("*", "cast(null as string) as n_words", "3 as kept", "1 as _row")
+    docs = written(awkward.unionByName(awkward.where("doc_id in (5, 8, 13)")).unionByName(nulls), "docs")
+    stage = dict(corpus_pipeline.STAGES)
+    kept = Counter()
+    for name in ("language", "near_duplicates", "benchmark"):
+        out = written(stage[name](spark, docs, SF), name)
+        assert out.columns == docs.columns
+        ids = Counter(r["doc_id"] for r in out.collect())
+        if name == "language":  # documents without letters go, repeated rows stay
+            assert not {1, 2, 3, 16, 20} & set(ids) and ids[5] == ids[8] == ids[13] == 2 and ids[6] == 1
+        if name == "near_duplicates":  # one row of each group; a row without doc_id stays
+            assert ids[5] == ids[13] == 1 and ids[6] == 1 and not {7, 8} & set(ids) and ids[None] == 1 and max(ids.values()) == 1
+        kept[name], docs = sum(ids.values()), out
+    mixed = written(stage["mix"](spark, docs, SF), "mixed")
+    assert mixed.columns == docs.columns and mixed.count() > 0
+    got = stage["tokens"](spark, mixed, SF)
+    assert got.count() == mixed.count() and got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +40,17 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*names)
 
 
+def packed(df: DataFrame, *needed: str) -> DataFrame:
+    """The needed columns of df, and all others inside one, _rest, so that their names can't clash with what is added on the way."""
+    others = [F.col(c) for c in df.columns if c not in needed] or [F.lit(0).alias("none")]
+    return df.select(*needed, F.struct(*others).alias("_rest"))
+
+
+def unpacked(columns: list[str], needed: tuple[str, ...], **changed: Column) -> list[Column]:
+    """The columns that were packed, some of them changed."""
+    return [changed[c].alias(c) if c in changed else F.col(c) if c in needed else F.col("_rest")[c].alias(c) for c in columns]
+
+
 def append_columns(df: DataFrame, text: str, fields: list[T.StructField], fn: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
     """Add columns that fn makes from a batch of texts. A column of df with such a name is replaced."""
     df = without(df, *[f.name for f in fields])

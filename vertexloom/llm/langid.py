@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, crc_mod, written
+from .common import append_columns, crc_mod, packed, unpacked, written
 from .words import mix, slices, text_bytes
 
 ORDER = 4
@@ -320,12 +320,13 @@ class JoinedModel:
     def identified(self, docs: DataFrame) -> DataFrame:
         names = F.array(*[F.lit(x) for x in self.names])
         limits = F.array(*[F.lit(float(self.limits.get(x, math.inf))) for x in self.names])
-        out = self.entropies(docs.drop(*[f.name for f in FIELDS])).withColumn("_least", F.array_min("_e"))
+        docs = docs.drop(*[f.name for f in FIELDS])
+        out = self.entropies(packed(docs, "text")).withColumn("_least", F.array_min("_e"))
         best, some = F.array_position("_e", F.col("_least")).cast("int"), F.col("_letters") > 0
         score = 1 / F.aggregate("_e", F.lit(0.0), lambda a, x: a + F.exp(-self.sharpness * (x - F.col("_least"))))
         bad = ~some | (F.col("_letters") >= MIN_LETTERS) & (F.col("_least") > F.element_at(limits, best))
         made = [F.when(some, F.element_at(names, best)).otherwise("und").alias("lang_pred"), F.when(some, score).otherwise(0.0).alias("score"), F.when(some, F.col("_least")).alias("cross_entropy"), bad.alias("rejected")]
-        return out.select(*[c for c in out.columns if c not in ("_e", "_letters", "_least")], *made)
+        return out.select(*unpacked(docs.columns, ("text",)), *made)
 
 
 def fit(docs: DataFrame, label: str = "lang", order: int = ORDER, max_grams: int = MAX_GRAMS, held_back: Column | None = None) -> LanguageModel | JoinedModel:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, packed, unpacked, written
 
 WEIGHTS = (5, 2, 1)
 MAX_PASSES = 3
@@ -161,8 +161,8 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots
 
     A text that is taken whole stays as it is; of others the taken words are joined by blanks. n_chars, if there, follows the text.
     """
-    docs = docs.drop("slots")
-    sized = written(sizes(docs, docs.columns), "sized")
+    docs, needed = docs.drop("slots"), ("doc_id", "source", "text")
+    sized = written(sizes(packed(docs, *needed), [*needed, "_rest"]), "sized")
     _, used = _mixed(sized.select("doc_id", "source", "_size", "_hash", "_row"), block_words, shard_slots, seed, **more)
     ranges = used.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("at", "n", "places"))).alias("_ranges"), F.max(F.size("places")).cast("long").alias("_times"))
     rows = sized.join(ranges.hint("merge"), "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
@@ -170,6 +170,6 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots
     whole = F.aggregate("_own", F.lit(0).cast("long"), lambda a, r: a + r["n"]) == F.col("_size")
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     some = rows.withColumn("_words", F.when(~whole, words)).withColumn("_text", F.when(whole, F.col("text")).otherwise(F.array_join(F.flatten(F.transform("_own", lambda r: F.slice("_words", (r["at"] + 1).cast("int"), r["n"].cast("int")))), " ")))
-    n_chars = {"n_chars": F.char_length("text").cast("long")} if "n_chars" in docs.columns else {}
+    n_chars = {"n_chars": F.char_length("_text").cast("long")} if "n_chars" in docs.columns else {}
     held = F.transform("_own", lambda r: _held(F.element_at(r["places"], F.col("_copy").cast("int")), r["n"]))
-    return some.withColumn("text", F.col("_text")).withColumns(n_chars).select(*docs.columns, held.alias("slots"))
+    return some.select(*unpacked(docs.columns, needed, text=F.col("_text"), **n_chars), held.alias("slots"))

@@ -40,6 +40,8 @@ ROWS, BATCH = 5, 16
 HASHES, VALUE, LONG_ROWS = 192, 4, (8,)
 #: Bytes of a block of a bucket's members; bytes, or else pairs to compare, that one call of the last step gets at least.
 BLOCK_BYTES, CALL_BYTES, CALL_PAIRS = 2 << 20, 8 << 20, 1 << 20
+#: Shingles that one set is compared with at a time.
+STEP = 1 << 17
 
 
 def bands_for(threshold: float, miss: float = MISS, rows: int = ROWS) -> int:
@@ -205,8 +207,25 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _buckets(reps: DataFrame, rows: int, bands: int) -> DataFrame:
-    keys = F.array(*[F.xxhash64(F.lit(i), F.substring("signature", i * rows * VALUE + 1, rows * VALUE)) for i in range(bands)])
-    return reps.select(F.col("doc_id").alias("id"), F.posexplode(keys).alias("band", "bucket"))
+    """(bucket, band, id): the bands of signatures that two documents share. Others are left out by a bitmap of fixed size before they are
+    moved, but for a few that meet nobody."""
+
+    def keys(bits: np.ndarray | None) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sig = _matrix(batch.column(1))
+                n = len(sig)
+                h = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (n, bands))
+                for k in range(rows):
+                    h = mix(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, k : rows * bands : rows].astype(np.uint64))
+                h, ids, band = h.ravel(), np.repeat(batch.column(0).to_numpy(), bands), np.tile(np.arange(bands, dtype=np.int32), n)
+                keep = slice(None) if bits is None else np.flatnonzero(has(bits, h))
+                yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(band[keep]), pa.array(ids[keep])], names=["bucket", "band", "id"])
+
+        return reps.select("doc_id", "signature").mapInArrow(run, "bucket long, band int, id long")
+
+    shared = keys(None).groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b")
+    return keys(bitmap(shared, "bucket"))
 
 
 def _meeting(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -248,19 +267,34 @@ def links(docs: DataFrame, reps: DataFrame, k: int, percent: int, levels: list[t
     return labels
 
 
+def _close(own: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the other sets have 100 * intersection >= percent * union with this one, some of them at a time."""
+    size = np.array([len(s) for s in others], np.int64)
+    common, ends = np.zeros(len(others), np.int64), np.cumsum(size)
+    i = 0
+    while i < len(others):
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] - size[i] + STEP, "right")))
+        every = np.concatenate(others[i:j])
+        at = np.minimum(np.searchsorted(own, every), len(own) - 1)
+        common[i:j] = np.add.reduceat(own[at] == every, np.cumsum(size[i:j]) - size[i:j])
+        i = j
+    return np.flatnonzero(100 * common >= percent * (len(own) + size - common))
+
+
 def _across(met: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int, rows: int, bands: int) -> DataFrame:
     """The links (x, y) among members of a bucket that are of different classes, from the buckets (bucket, band, id, component)."""
     columns = met.select("bucket", "band", "id", "component")
-    sigs = _asked(reps, columns.select("id"))
-    likely = _compared(columns.join(sigs, "id").withColumn("shingles", F.lit(None).cast("binary")), percent, rows, bands, "bucket long, id long")
+    size = F.lit(VALUE * max(HASHES, rows * bands) + 64)
+    likely = _compared(columns.withColumn("size", size), _asked(reps, columns.select("id")).withColumn("shingles", F.lit(None).cast("binary")), percent, rows, bands, "bucket long, id long")
     some = written(columns.join(written(likely.distinct(), "likely"), ["bucket", "id"], "left_semi"), "some")
     sets = _sets_of(docs, k, some.select("id"))
-    return _compared(some.join(_asked(reps, some.select("id")), "id").join(sets, "id"), percent, rows, bands, "x long, y long").distinct()
+    sized = some.join(sets.select("id", (F.length("shingles") + size).alias("size")), "id")
+    return _compared(sized, _asked(reps, some.select("id")).join(sets, "id"), percent, rows, bands, "x long, y long").distinct()
 
 
-def _compared(members: DataFrame, percent: int, rows: int, bands: int, schema: str, miss: float = MISS) -> DataFrame:
-    """What comparisons of members (bucket, band, id, component, signature, shingles) across classes find: members (bucket, id) that have
-    a likely partner, or, with full sets, links (x, y).
+def _compared(members: DataFrame, content: DataFrame, percent: int, rows: int, bands: int, schema: str, miss: float = MISS) -> DataFrame:
+    """What comparisons of members (bucket, band, id, component, size) across classes find: those (bucket, id) that have a likely
+    partner, or, with full sets, links (x, y). content: id, signature, shingles; it is moved when it is known where to.
 
     A bucket's members are dealt to blocks, and those outside its largest class once more. Each block of the latter meets each block
     of all, and its members are compared with those of other classes. Where few members are outside, they are one block, so that all
@@ -283,11 +317,8 @@ def _compared(members: DataFrame, percent: int, rows: int, bands: int, schema: s
                 y = y[_likely(sig[[x]], sig[y], percent / 100, miss, 3 * BATCH)]
                 shared = (sig[y, : rows * bands] == sig[x, : rows * bands]).reshape(len(y), bands, rows).all(axis=2)
                 y = y[shared.argmax(axis=1) == band[x]]
-                if links and len(y):
-                    size, every = np.array([len(sets[i]) for i in y]), np.concatenate([sets[i] for i in y])
-                    at = np.minimum(np.searchsorted(sets[x], every), len(sets[x]) - 1)
-                    common = np.add.reduceat(sets[x][at] == every, np.cumsum(size) - size)
-                    y = y[100 * common >= percent * (len(sets[x]) + size - common)]
+                if links:
+                    y = y[_close(sets[x], [sets[i] for i in y], percent)]
                 if len(y):
                     first, second = (ids[y], np.full(len(y), ids[x])) if links else (np.full(len(y) + 1, bucket[x]), np.append(ids[y], ids[x]))
                     out.append(np.sort(np.stack([first, second], axis=1), axis=1) if links else np.stack([first, second], axis=1))
@@ -295,22 +326,21 @@ def _compared(members: DataFrame, percent: int, rows: int, bands: int, schema: s
         return pa.table(dict(zip(("x", "y") if links else ("bucket", "id"), (pa.array(v, pa.int64()) for v in pairs.T), strict=True)))
 
     members = written(members, "members")
-    size = F.length("signature") + F.coalesce(F.length("shingles"), F.lit(0)) + 64
-    sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("c"), F.sum(size).alias("bytes"))
+    sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("c"), F.sum("size").alias("bytes"))
     most = F.max_by(F.struct("component", "c", "bytes"), F.struct("c", "component"))
     blocks = lambda c: F.greatest(F.lit(1), F.ceil(c / BLOCK_BYTES)).cast("int")
     buckets = sizes.groupBy("bucket").agg(most.alias("m"), F.sum("c").alias("c"), F.sum("bytes").alias("bytes"))
-    buckets = buckets.select("bucket", F.col("m.component").alias("largest"), blocks(F.col("bytes") - F.col("m.bytes")).alias("p"), blocks(F.col("bytes")).alias("q"), ((F.col("c") - F.col("m.c")) * F.col("c")).alias("pairs"), (F.col("bytes") * blocks(F.col("bytes") - F.col("m.bytes"))).alias("moved"))
+    buckets = buckets.select("bucket", F.col("m.component").alias("largest"), blocks(F.col("bytes") - F.col("m.bytes")).alias("p"), blocks(F.col("bytes")).alias("q"), ((F.col("c") - F.col("m.c")) * F.col("c")).alias("pairs"), (F.col("bytes") * blocks(F.col("bytes") - F.col("m.bytes")) + (F.col("bytes") - F.col("m.bytes")) * blocks(F.col("bytes"))).alias("moved"))
     buckets = written(buckets, "buckets")
     place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     tile = lambda i, j, asks: F.struct((i * F.col("q") + j).alias("block"), F.lit(asks).alias("asks"))
     right = F.transform(F.sequence(F.lit(0), F.col("p") - 1), lambda i: tile(i, place("q"), False))
     left = F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda j: tile(place("p"), j, True))
-    dealt = members.join(buckets, "bucket").select("bucket", "band", "id", "component", "signature", "shingles", F.inline(F.when(F.col("component") == F.col("largest"), right).otherwise(F.concat(right, left))))
+    dealt = members.join(buckets, "bucket").select("bucket", "band", "id", "component", F.inline(F.when(F.col("component") == F.col("largest"), right).otherwise(F.concat(right, left))))
     pairs, moved = buckets.agg(F.coalesce(F.sum("pairs"), F.lit(0)), F.coalesce(F.sum("moved"), F.lit(0))).first()
     calls = 1 + max(pairs // CALL_PAIRS, moved // CALL_BYTES)
     # as many partitions as the comparisons need, however few bytes there are
-    return dealt.withColumn("call", F.pmod(F.xxhash64("bucket", "block"), F.lit(calls))).repartition(min(calls, 1 << 12), "call").groupBy("call").applyInArrow(run, schema)
+    return dealt.withColumn("call", F.pmod(F.xxhash64("bucket", "block"), F.lit(calls))).join(content.hint("merge"), "id").repartition(min(calls, 1 << 12), "call").groupBy("call").applyInArrow(run, schema)
 
 
 def classes(docs: DataFrame, k: int = SHINGLE, percent: int = round(100 * THRESHOLD), rows: int = ROWS, miss: float = MISS) -> DataFrame:
@@ -335,5 +365,5 @@ def classes(docs: DataFrame, k: int = SHINGLE, percent: int = round(100 * THRESH
 def one_of_each(docs: DataFrame, **more) -> DataFrame:
     """docs with one document of each class: the one with the smallest doc_id; of rows that repeat it, one. Rows without doc_id stay."""
     kept = classes(docs, **more).where("kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
-    one = docs.join(kept, F.col("doc_id").cast("long") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
+    one = docs.join(kept, docs["doc_id"].cast("long") == kept["_id"], "left_semi").dropDuplicates(["doc_id"])
     return one.union(docs.where("doc_id is null"))

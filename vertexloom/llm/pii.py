@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import packed, unpacked, written
 
 #: In the order in which spans are listed; the last kind is learned.
 BASE_KINDS = ["email", "ip", "card", "phone"]
@@ -244,14 +244,14 @@ def listed(kinds: list[str]) -> Column:
 
 def masked(docs: DataFrame, mark: str = "[{}]") -> DataFrame:
     """docs with every span of the text replaced by its kind; other columns stay."""
-    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    numbered = written(packed(docs, "text").withColumn("_row", F.monotonically_increasing_id()), "numbered")
     found = spans(numbered.select(F.col("_row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "_row")
     every = F.array_sort(F.flatten(F.array(*[_named(k, mark) for k in [*BASE_KINDS, SECRET]])))
     joined = numbered.join(found.select("_row", every.alias("_spans")), "_row")
     start = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
     step = lambda a, s: F.when(s["start"] < a["at"], a).otherwise(F.struct(F.concat(a["text"], F.substring("text", a["at"] + 1, s["start"] - a["at"]), s["mark"]).alias("text"), s["end"].alias("at")))
     text = F.aggregate("_spans", start, step, lambda a: F.concat(a["text"], F.substring("text", a["at"] + 1, F.char_length("text"))))
-    return joined.withColumn("text", F.when(F.size("_spans") > 0, text).otherwise(F.col("text"))).select(docs.columns)
+    return joined.select(*unpacked(docs.columns, ("text",), text=F.when(F.size("_spans") > 0, text).otherwise(F.col("text"))))
 
 
 def _named(kind: str, mark: str) -> Column:
