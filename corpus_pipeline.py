@@ -2,6 +2,12 @@
 
 Each stage takes the rows that its predecessor kept, judges all of them and returns the columns of documents, the last one the
 index of the token files. The benchmark comes from sf_dir, everything else from the documents at hand.
+
+Defined results: a null or empty text, or one without letters, has no language and goes in the first stage, whatever its other columns
+are; null lang, source and n_chars are values like others (null is a source of its own); very long texts are judged whole; of rows
+that repeat a doc_id one stays, of a group of near duplicates the one with the smallest doc_id, and a row without doc_id stays, as it has no
+group; ties of sizes and equal rows are interchangeable, so that reruns agree; empty tables give no rows; extra columns are carried
+through all stages but the last, whatever their names. The mix repeats a document as often as words of it are taken.
 """
 
 from __future__ import annotations
