@@ -102,3 +102,25 @@ def test_clashing_columns(spark):
     docs = spark.createDataFrame([(1, text, 5, "x"), (None, text, 6, "y"), (1, text, 7, "z"), (2, "w1", 8, None)], "doc_id long, text string, row int, begin string")
     got = sorted((r["doc_id"] or 0, r["begin"], r["stop"]) for r in suffix_dedup.report(docs).collect())
     assert got == [(0, 0, 70), (1, 0, 70), (1, 0, 70)]
+
+
+def test_without_repeats(spark):
+    """A passage stays in the first row; what is left of the others has no repeated passage and all of their other words."""
+    rng = random.Random(11)
+    word = lambda: f"é{rng.randrange(10**6)}"
+    passages, texts = [[word() for _ in range(n)] for n in (55, 80)], []
+    for i in range(12):
+        w = [word() for _ in range(30)]
+        w[10:10] = passages[i % 2] + ([word() for _ in range(5)] + passages[1] if i % 5 == 0 else [])
+        texts.append(" ".join(w))
+    texts += [texts[3], None, "short"]
+    docs = spark.createDataFrame([(i, t, len(t or ""), "x") for i, t in enumerate(texts)], "doc_id long, text string, n_chars long, row string").coalesce(1)
+    out = suffix_dedup.without_repeats(docs)
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert out.columns == docs.columns and got[13]["text"] is None and got[14]["text"] == "short" and got[0]["text"] == texts[0]
+    assert all(r["n_chars"] == len(r["text"] or "") and r["row"] == "x" for r in got.values()) and plain.words(got[12]["text"]) == []
+    assert brute([got[i]["text"] for i in range(15)]) == {}
+    shared = {w for p in passages for w in p}
+    for i in range(12):
+        assert [w for w in plain.words(got[i]["text"]) if w not in shared] == [w for w in plain.words(texts[i]) if w not in shared]
+    assert sum(" ".join(p) in (got[i]["text"] or "") for i in range(15) for p in passages) == 2

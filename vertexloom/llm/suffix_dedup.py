@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BITS, bitmap, has, written
+from .common import BITS, bitmap, has, packed, unpacked, written
 from .words import SPACED, Words, grams, mix, slices, words_of
 
 MIN_WORDS = 50
@@ -66,6 +66,12 @@ def minimisers(w: Words, seed: int = SEED, window: int = WINDOW) -> tuple[np.nda
     return first[keep], h[keep]
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """(row, text, doc_id): each row of docs with a number, its own _row if it has one."""
+    row = F.col("_row") if "_row" in docs.columns else F.monotonically_increasing_id()
+    return docs.select(row.alias("row"), "text", F.col("doc_id").cast("long").alias("doc_id"))
+
+
 def _seeds(docs: DataFrame) -> DataFrame:
     """(seed, row): the minimisers of each row of docs."""
 
@@ -76,7 +82,7 @@ def _seeds(docs: DataFrame) -> DataFrame:
             owner = np.searchsorted(w.doc, first, "right") - 1
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0).take(pa.array(owner))], names=["seed", "row"])
 
-    return docs.select(F.monotonically_increasing_id().alias("row"), "text").mapInArrow(run, "seed long, row long")
+    return _numbered(docs).select("row", "text").mapInArrow(run, "seed long, row long")
 
 
 def repeated_bits(docs: DataFrame, bits: int = BITS) -> np.ndarray:
@@ -111,7 +117,7 @@ def _suffixes(docs: DataFrame, bits: np.ndarray) -> DataFrame:
             columns = [pa.array(h.view(np.int64)), batch.column(0).take(own), batch.column(2).take(own), *(pa.array(x.astype(np.int32)) for x in (first - a, n_left, n_right)), left, right]
             yield pa.RecordBatch.from_arrays(columns, names=["seed", "row", "doc_id", "at", "n_left", "n_right", "left", "right"])
 
-    return docs.select(F.monotonically_increasing_id().alias("row"), "text", F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(run, _ROW)
+    return _numbered(docs).mapInArrow(run, _ROW)
 
 
 def _matrix(table: pa.Table, column: str) -> np.ndarray:
@@ -278,8 +284,7 @@ def _windows(docs: DataFrame, bits: np.ndarray, least: int) -> DataFrame:
             rows = pa.array(own)
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), batch.column(0).take(rows), batch.column(2).take(rows), pa.array((begin - w.doc[own]).astype(np.int32))], names=["hash", "row", "doc_id", "begin"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "text", F.col("doc_id").cast("long").alias("doc_id"))
-    return rows.mapInArrow(run, "hash long, row long, doc_id long, begin int")
+    return _numbered(docs).mapInArrow(run, "hash long, row long, doc_id long, begin int")
 
 
 def _every_span(docs: DataFrame, least: int) -> DataFrame:
@@ -307,18 +312,64 @@ def _every_span(docs: DataFrame, least: int) -> DataFrame:
 
 def united_spans(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """(row, doc_id, begin, stop): a document's repeated passages as spans of words that are apart from each other."""
+    return _united(_every_span(docs, least)).select("row", "doc_id", "begin", "stop")
+
+
+def _united(spans: DataFrame) -> DataFrame:
+    """Spans (row, doc_id, begin, stop) that meet, as one."""
     before = Window.partitionBy("row").orderBy("begin", "stop").rowsBetween(Window.unboundedPreceding, -1)
-    spans = _every_span(docs, least).withColumn("new", (F.col("begin") > F.coalesce(F.max("stop").over(before), F.lit(-1))).cast("int"))
+    spans = spans.withColumn("new", (F.col("begin") > F.coalesce(F.max("stop").over(before), F.lit(-1))).cast("int"))
     island = F.sum("new").over(Window.partitionBy("row").orderBy("begin", "stop").rowsBetween(Window.unboundedPreceding, 0))
     return spans.withColumn("island", island).groupBy("row", "island").agg(F.first("doc_id").alias("doc_id"), F.min("begin").alias("begin"), F.max("stop").alias("stop")).drop("island")
 
 
 def repeated_spans(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """(row, doc_id, spans): for each document with repeated passages, its spans of words (begin, stop), in order and apart."""
-    return united_spans(docs, least).groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("begin", "stop"))).alias("spans"))
+    return united_spans(docs.select("doc_id", "text"), least).groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("begin", "stop"))).alias("spans"))
 
 
 def report(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """One row for each span: doc_id, begin, stop (word numbers, the end exclusive), n_words."""
     spans = united_spans(docs.select("doc_id", "text"), least)
     return spans.select("doc_id", F.col("begin").cast("long").alias("begin"), F.col("stop").cast("long").alias("stop"), (F.col("stop") - F.col("begin")).cast("long").alias("n_words"))
+
+
+def without_repeats(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+    """docs in which a passage that repeats stands in one row only, the first in the order of the table: it is cut from the texts of the others.
+
+    Every window of `least` words inside a repeated span stays in the first row that has it. n_chars, if there, follows the text.
+    """
+    needed = ("doc_id", "text")
+    rows = written(packed(docs, *needed).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    spans = united_spans(rows.select("doc_id", "text", "_row"), least).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("begin", "stop"))).alias("spans"))
+    found = written(rows.join(spans.withColumnRenamed("row", "_row"), "_row").select("_row", "text", "spans"), "found")
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (x for every in batches for x in slices(every, 1)):
+            w = words_of(batch.column(1), SPACED, lower=False)
+            begin = [np.arange(s["begin"], s["stop"] - least + 1) + w.doc[i] for i, own in enumerate(batch.column(2).to_pylist()) for s in own]
+            begin = np.unique(np.concatenate(begin)) if begin else np.zeros(0, np.int64)
+            own = np.searchsorted(w.doc, begin, "right") - 1
+            hashes = _long_grams(w.hashes, least)[begin] if len(begin) else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), batch.column(0).take(pa.array(own)), pa.array((begin - w.doc[own]).astype(np.int32))], names=["hash", "row", "begin"])
+
+    every = written(found.mapInArrow(windows, "hash long, row long, begin int"), "windows")
+    first = written(every.groupBy("hash").agg(F.min("row").alias("first")), "first")
+    later = every.join(first, "hash").where("row > first").select("row", F.lit(None).cast("long").alias("doc_id"), "begin", (F.col("begin") + least).alias("stop"))
+    cut = _united(later).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("begin", "stop"))).alias("spans"))
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (x for every in batches for x in slices(every, 1)):
+            w, out = words_of(batch.column(1), SPACED, lower=False), []
+            for i, own in enumerate(batch.column(2).to_pylist()):
+                parts, at = [], int(w.text_at[i])
+                for s in own:
+                    a, b = int(w.starts[w.doc[i] + s["begin"]]), int(w.ends[w.doc[i] + s["stop"] - 1])
+                    parts, at = [*parts, w.data[at:a].tobytes()], b
+                out.append(b"".join([*parts, w.data[at : int(w.text_at[i + 1])].tobytes()]).decode())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["_row", "_text"])
+
+    made = written(found.select("_row", "text").join(cut.withColumnRenamed("row", "_row"), "_row").select("_row", "text", "spans").mapInArrow(texts, "_row long, _text string"), "texts")
+    text = F.coalesce("_text", "text")
+    changed = {"text": text} | ({"n_chars": F.when(F.col("_text").isNotNull(), F.char_length(text).cast("long")).otherwise(F.col("_rest")["n_chars"])} if "n_chars" in docs.columns else {})
+    return rows.join(made, "_row", "left").select(*unpacked(docs.columns, needed, **changed))
