@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, mixing, near_dedup, pii, ppm, quality_rules, suffix_dedup, token_store, url_filter
+from . import decontaminate, langid, mixing, near_dedup, periodic, pieces, pii, ppm, quality_rules, spelling, suffix_dedup, token_store, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,18 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.report(table(spark, sf_dir, "documents"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.report(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_language_id": op2_language_id,
@@ -63,6 +75,9 @@ QUERIES: dict[str, Query] = {
     "op8_pii": op8_pii,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_token_store": op10_token_store,
+    "op11_sentencepiece": op11_sentencepiece,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLES: dict[str, str] = {
