@@ -336,9 +336,9 @@ def encoded(docs: DataFrame, model: str | None = None, text: str = "text", ids:
 def decoded(df: DataFrame, model: str | None = None, ids: str = "ids", text: str = "decoded", digest: str | None = None) -> DataFrame:
     """df with the text of each array of ids; digest names a column for the SHA-256 of the ids as unsigned 32-bit integers, low bytes first."""
     path = model or public_model()
-    df = without(df, text, *[digest] * bool(digest))
+    df = without(df, *[c for c in (text, digest) if c])
     at = df.columns.index(ids)
-    added = [T.StructField(text, T.StringType())] + [T.StructField(digest, T.StringType())] * bool(digest)
+    added = [T.StructField(c, T.StringType()) for c in (text, digest) if c]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
