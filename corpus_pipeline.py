@@ -15,12 +15,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vertexloom.llm import decontaminate, langid, mixing, near_dedup, token_store
-from vertexloom.llm.common import table, written
+from vertexloom.llm.common import packed, table, unpacked, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that have a language: those that language ID rejects go."""
-    return langid.identified(docs, langid.fit(docs)).where("not rejected").select(docs.columns)
+    judged = langid.identified(packed(docs, "text"), langid.fit(docs))
+    return judged.where("not rejected").select(*unpacked(docs.columns, ("text",)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +36,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of the sources: a row for each time that words of a document are taken."""
-    return mixing.mixed_documents(docs).select(docs.columns)
+    return mixing.mixed_documents(docs, held=None)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -94,3 +94,16 @@ def test_stages_on_awkward_rows(spark):
     assert mixed.columns == docs.columns and mixed.count() > 0
     got = stage["tokens"](spark, mixed, SF)
     assert got.count() == mixed.count() and got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+def test_columns_of_users_stay(spark):
+    """Columns that are named like those that the operators add keep their types and values in every stage but the last."""
+    names = ["score", "lang_pred", "rejected", "cross_entropy", "n_words", "items", "hit_words", "hit_spans", "slots", "_rest", "_row", "_id", "_size", "_text", "kept", "component_id"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("*", *[f"concat('{n}-', doc_id) as {n}" for n in names])
+    docs, stage = written(docs, "docs"), dict(corpus_pipeline.STAGES)
+    for name in ("language", "near_duplicates", "benchmark", "mix"):
+        out = written(stage[name](spark, docs, SF), name)
+        assert [(f.name, f.dataType) for f in out.schema] == [(f.name, f.dataType) for f in docs.schema]
+        own = out.collect()
+        assert own and all(r[n] == f"{n}-{r['doc_id']}" for r in own for n in names)
+        docs = out

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, written
+from .common import append_columns, packed, unpacked, written
 from .words import ALPHANUMERIC, Words, grams, words_of
 
 WINDOW = 10
@@ -125,14 +125,18 @@ def _united(out: DataFrame, scan: _Scan) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", **more) -> DataFrame:
-    """docs without contamination: mode "documents" drops those with a hit, "spans" cuts the hit spans from the text."""
-    found = annotate(docs, benchmark, **more)
+    """docs without contamination: mode "documents" drops those with a hit, "spans" cuts the hit spans from the text.
+
+    Other columns stay as they are, whatever their names.
+    """
+    found = annotate(packed(docs, "text"), benchmark, **more)
     if mode == "documents":
-        return found.where(F.size("hit_words") == 0).select(docs.columns)
+        return found.where(F.size("hit_words") == 0).select(*unpacked(docs.columns, ("text",)))
     spans = F.array_sort("hit_spans")
     cut = F.aggregate(spans, F.struct(F.lit("").alias("text"), F.lit(0).cast("long").alias("at")), lambda a, s: F.struct(F.concat(a["text"], F.col("text").substr(a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0)))).alias("text"), F.greatest(s["end"], a["at"]).alias("at")))
     rest = F.concat(F.col("_cut.text"), F.expr("substring(text, cast(_cut.at as int) + 1)"))
-    return found.withColumn("_cut", cut).withColumn("text", F.when(F.size("hit_words") == 0, F.col("text")).otherwise(rest)).select(docs.columns)
+    text = F.when(F.size("hit_words") == 0, F.col("text")).otherwise(rest)
+    return found.withColumn("_cut", cut).select(*unpacked(docs.columns, ("text",), text=text))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **more) -> DataFrame:

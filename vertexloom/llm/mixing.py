@@ -155,13 +155,13 @@ def report(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = S
     return out.select("doc_id", "source", F.col("_size").alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), F.coalesce("slots", none).alias("slots"))
 
 
-def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 0, **more) -> DataFrame:
+def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 0, held: str | None = "slots", **more) -> DataFrame:
     """The mix as documents: for each time that words of a document are taken, a row of its columns with these words as text, and
-    slots, the (shard, slot, n) that hold the next n words of it. A column of docs of that name is replaced.
+    held, the (shard, slot, n) that hold the next n words of it. A column of docs of that name is replaced; with None none is added.
 
     A text that is taken whole stays as it is; of others the taken words are joined by blanks. n_chars, if there, follows the text.
     """
-    docs, needed = docs.drop("slots"), ("doc_id", "source", "text")
+    docs, needed = docs.drop(held) if held else docs, ("doc_id", "source", "text")
     sized = written(sizes(packed(docs, *needed), [*needed, "_rest"]), "sized")
     _, used = _mixed(sized.select("doc_id", "source", "_size", "_hash", "_row"), block_words, shard_slots, seed, **more)
     ranges = used.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("at", "n", "places"))).alias("_ranges"), F.max(F.size("places")).cast("long").alias("_times"))
@@ -170,6 +170,6 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots
     whole = F.aggregate("_own", F.lit(0).cast("long"), lambda a, r: a + r["n"]) == F.col("_size")
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     some = rows.withColumn("_words", F.when(~whole, words)).withColumn("_text", F.when(whole, F.col("text")).otherwise(F.array_join(F.flatten(F.transform("_own", lambda r: F.slice("_words", (r["at"] + 1).cast("int"), r["n"].cast("int")))), " ")))
-    n_chars = {"n_chars": F.char_length("_text").cast("long")} if "n_chars" in docs.columns else {}
-    held = F.transform("_own", lambda r: _held(F.element_at(r["places"], F.col("_copy").cast("int")), r["n"]))
-    return some.select(*unpacked(docs.columns, needed, text=F.col("_text"), **n_chars), held.alias("slots"))
+    n_chars = {"n_chars": F.char_length("_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    holds = F.transform("_own", lambda r: _held(F.element_at(r["places"], F.col("_copy").cast("int")), r["n"]))
+    return some.select(*unpacked(docs.columns, needed, text=F.col("_text"), **n_chars), *([holds.alias(held)] if held else []))
