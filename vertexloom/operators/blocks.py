@@ -8,6 +8,7 @@ from zlib import crc32
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,17 +33,49 @@ def slices(vectors: DataFrame, name: str) -> Iterator[tuple[np.ndarray, np.ndarr
             yield np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
 
 
-def dot_arrays(rows: DataFrame, vectors: np.ndarray, out: str) -> DataFrame:
-    """rows with x replaced by the array of its products with the vectors."""
+def lists(x: np.ndarray) -> pa.Array:
+    """A list of doubles for each row."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], pa.int32()), pa.array(np.ascontiguousarray(x, float).ravel()))
+
+
+def dot_arrays(rows: DataFrame, vectors: DataFrame, name: str, out: str, keep: bool = False) -> tuple[list, DataFrame]:
+    """(names, rows with the array of the products of x with all vectors (name, x), in the order of names, instead of x, or beside it).
+
+    Vectors beyond a slice's bytes take one more pass over a row for each slice; the parts are put together in the row.
+    """
     kept = rows.select(*[c for c in rows.columns if c != "x"], F.col("x").cast("array<double>").alias("x"))
+    names: list = []
+    parts = []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                p = matrix(batch.column(batch.num_columns - 1)) @ vectors.T
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(list(p), pa.list_(pa.float64()))], names=[*batch.schema.names[:-1], out])
+    def on(df: DataFrame, y: np.ndarray, part: str) -> DataFrame:
+        at = df.columns.index("x")
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields[:-1], T.StructField(out, T.ArrayType(T.DoubleType()))]))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([*batch.columns, lists(matrix(batch.column(at)) @ y.T)], names=[*batch.schema.names, part])
+
+        return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(part, T.ArrayType(T.DoubleType()))]))
+
+    for own, y in slices(vectors, name):
+        parts.append(f"_dots{len(parts)}")
+        names += own.tolist()
+        kept = on(kept, y, parts[-1])
+    order = np.argsort(np.array(names), kind="stable") if names else []
+    every = F.concat(*parts) if parts else F.expr("cast(array() as array<double>)")
+    made = every if len(parts) < 2 else F.get(F.transform(F.array(every), lambda a: F.transform(F.array(*[F.lit(int(i)) for i in order]), lambda i: F.get(a, i))), F.lit(0))
+    columns = [c for c in rows.columns if c != "x" or keep]
+    return [names[i] for i in order], kept.select(*columns, made.alias(out))
+
+
+def every_vector(vectors: DataFrame, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """(names, a row for each), all of them in the driver: for a model's directions, which its fit holds there."""
+    parts = list(slices(vectors, name))
+    if not parts:
+        raise ValueError("no directions")
+    names, rows = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    order = np.argsort(names, kind="stable")
+    return names[order], rows[order]
 
 
 def products(rows: DataFrame, vectors: DataFrame, name: str, out: str) -> DataFrame:
@@ -122,10 +155,54 @@ def summed(rows: DataFrame, by: list[str], weight: str | None = None) -> DataFra
 
     types = [to_arrow_type(f.dataType) for f in kept.schema.fields[:-2]]
 
+    return kept.mapInArrow(run, schema).groupBy(*by).applyInArrow(_adding(by), schema)
+
+
+def _adding(by: list[str]):
+    """Adds up the n and x of one group, whatever their order of arrival."""
+
     def add(table: pa.Table) -> pa.Table:
         x = matrix(table.column("x").combine_chunks())
-        order = np.argsort([crc32(r.tobytes()) for r in x], kind="stable")  # whatever the order of arrival
-        total = pa.array([x[order].sum(axis=0)], pa.list_(pa.float64()))
-        return pa.table([*[table.column(c)[:1] for c in by], pa.array([sum(table.column("n").to_pylist())]), total], names=names)
+        order = np.argsort([crc32(r.tobytes()) for r in x], kind="stable")
+        return pa.table([*[table.column(c)[:1] for c in by], pa.array([sum(table.column("n").to_pylist())]), lists(x[order].sum(axis=0)[None])], names=[*by, "n", "x"])
 
-    return kept.mapInArrow(run, schema).groupBy(*by).applyInArrow(add, schema)
+    return add
+
+
+def weighted_sums(rows: DataFrame, by: list[str], weights: str, names: list[int], name: str) -> DataFrame:
+    """(by, name, x): for each of the names, rows (by, weights, x) added up, times its place in the array of weights; a name
+    without any weight in a group has no row.
+
+    For few groups: a batch is one matrix product for each of its groups, and a task's sums leave it once.
+    """
+    kept = rows.select(*by, F.col(weights).cast("array<double>").alias("_w"), F.col("x").cast("array<double>").alias("x"))
+    schema = T.StructType([*kept.schema.fields[:-2], T.StructField(name, T.LongType()), T.StructField("n", T.LongType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
+    columns, numbers = [f.name for f in schema.fields], [int(n) for n in names]
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    types = [to_arrow_type(f.dataType) for f in kept.schema.fields[:-2]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, list] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = np.zeros(batch.num_rows, np.int64)
+            for c in batch.columns[:-2]:
+                code = c.dictionary_encode()
+                codes = codes * (len(code.dictionary) + 1) + pa.compute.fill_null(code.indices, len(code.dictionary)).to_numpy()
+            w, x = matrix(batch.column(len(by))), matrix(batch.column(len(by) + 1))
+            for code in np.unique(codes):
+                own = np.flatnonzero(codes == code)
+                key = tuple(c[int(own[0])].as_py() for c in batch.columns[:-2])
+                one = sums.setdefault(key, [np.zeros(len(numbers), np.int64), np.zeros((len(numbers), x.shape[1]))])
+                one[0] += (w[own] > 0).sum(axis=0)
+                one[1] += w[own].T @ x[own]
+        flat = [(k, numbers[i], int(n[i]), v[i]) for k, (n, v) in sums.items() for i in np.flatnonzero(n)]
+        if flat:
+            keys = [pa.array([f[0][i] for f in flat], kind) for i, kind in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array([f[1] for f in flat], pa.int64()), pa.array([f[2] for f in flat], pa.int64()), lists(np.array([f[3] for f in flat]))], names=columns)
+
+    group = [*by, name]
+    return kept.mapInArrow(run, schema).groupBy(*group).applyInArrow(_adding(group), schema).drop("n")

@@ -40,7 +40,7 @@ def coverage(rows: DataFrame, cortex: DataFrame) -> DataFrame:
     rows: vertex, subject, session, x; cortex: vertex, cortex (boolean).
     """
     n = F.broadcast(rows.agg(F.count_distinct("subject", "session").alias("n_sessions")))
-    usable = F.exists("x", lambda v: v != 0) & F.forall("x", lambda v: ~F.isnan(v))
+    usable = F.exists("x", lambda v: v != 0) & F.forall("x", lambda v: ~F.isnan(v) & (F.abs(v) != float("inf")))
     c = rows.groupBy("vertex").agg(F.count_if(usable).alias("n_usable"))
     out = cortex.join(c, "vertex", "left").join(n).withColumn("n_usable", F.coalesce("n_usable", F.lit(0).cast("long")))
     return out.select("vertex", "n_usable", "n_sessions", (F.col("cortex") & (F.col("n_usable") == F.col("n_sessions"))).alias("full"))

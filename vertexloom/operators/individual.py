@@ -27,7 +27,7 @@ from vertexloom.functions.bessel import inverse_ratio, log_normaliser
 from vertexloom.functions.vectors import total
 from vertexloom.sources.scratch import bucketed, written
 
-from .blocks import slices
+from .blocks import every_vector
 from .fit import added, array, unit_rows
 from .mixture import softmax
 
@@ -80,14 +80,14 @@ def sweep(scores: DataFrame, theta: DataFrame, potentials: DataFrame, prior: flo
 
 def fit(rows: DataFrame, edges: DataFrame, priors: Priors, settings: Settings | None = None) -> Fitted:
     """Fit rows (vertex, subject, session, x) on a mesh of edges (src, dst)."""
-    at, mu = settings or Settings(), next(slices(priors.directions, "network"))[1]
+    at, mu = settings or Settings(), every_vector(priors.directions, "network")[1]
     cells = rows.select("subject", "session").distinct().collect()  # one for each recording
-    sessions = sorted({r["session"] for r in cells})
+    sessions, known = sorted({r["session"] for r in cells}), {(r["subject"], r["session"]) for r in cells}
     size = max(1, SLICE_BYTES // (8 * mu.size * len(sessions)))
     subjects, found = sorted({r["subject"] for r in cells}), []
     for i in range(0, len(subjects), size):
         own = subjects[i : i + size]
-        there = np.array([[(s, t) in {(r["subject"], r["session"]) for r in cells} for t in sessions] for s in own])
+        there = np.array([[(s, t) in known for t in sessions] for s in own])
         found.append(_Slice(rows, edges, priors, at, mu, own, sessions, there).run())
     if not found:
         return Fitted(rows.select("vertex", "subject", F.col("x").alias("p")))

@@ -50,7 +50,7 @@ def networks_of(directions: DataFrame) -> list[int]:
 
 def dots(rows: DataFrame, directions: DataFrame) -> DataFrame:
     """rows with dots instead of x: inner products with the networks' directions."""
-    return blocks.dot_arrays(rows, next(blocks.slices(directions, "network"))[1], "dots")
+    return blocks.dot_arrays(rows, directions, "network", "dots")[1]
 
 
 def by_network(df: DataFrame, array: str, value: str, networks: list[int]) -> DataFrame:
@@ -103,8 +103,7 @@ def initial_theta(posterior: DataFrame, n: int, subjects: int) -> DataFrame:
 def weighted_data(rows: DataFrame, posterior: DataFrame, networks: list[int]) -> DataFrame:
     """(subject, session, network, x): rows summed with the posterior as weight; a network without any weight has no row."""
     joined = rows.join(posterior, ["vertex", "subject"]).select("subject", "session", "x", "p")
-    each = by_network(joined, "p", "p", networks).where("p > 0")
-    return blocks.summed(each.select("subject", "session", "network", "p", "x"), ["subject", "session", "network"], "p").drop("n")
+    return blocks.weighted_sums(joined, ["subject", "session"], "p", networks, "network")
 
 
 def kappa_update(dots: DataFrame, posterior: DataFrame, n: int, d: int, least: float) -> DataFrame:
@@ -169,17 +168,17 @@ def restarts(rows: DataFrame, starts: list[DataFrame], steps: int) -> DataFrame:
 
 def nearest(rows: DataFrame, directions: DataFrame, keep: bool = False) -> DataFrame:
     """(vertex, network): the network of the largest inner product (9 decimals), the lowest of equal ones; with keep also x."""
-    names, vectors = next(blocks.slices(directions, "network"))
+    names, out = blocks.dot_arrays(rows.select("vertex", "x"), directions, "network", "dots", keep)
     d = F.transform("dots", lambda v: F.round(v, 9))
     best = F.element_at(F.array(*[F.lit(int(n)).cast("long") for n in names]), F.array_position(d, F.array_max(d)).cast("int"))
-    own = rows.select("vertex", F.col("x").alias("_x"), "x") if keep else rows.select("vertex", "x")
-    out = blocks.dot_arrays(own, vectors, "dots")
-    return out.select("vertex", best.alias("network"), *([F.col("_x").alias("x")] if keep else [F.array_max(d).alias("dot")]))
+    return out.select("vertex", best.alias("network"), "x" if keep else F.array_max(d).alias("dot"))
 
 
 def homogeneity(labelled: DataFrame) -> DataFrame:
     """(homogeneity, n): mean cosine of members with their label's mean row; labels of fewer than two members or zero mean are skipped."""
-    members = labelled.where("label > 0")
-    m = means(members.select("label", "x"), "label").where((F.col("n") >= 2) & (norm(F.col("x")) > 0)).select("label", unit(F.col("x")).alias("_m"))
-    c = members.join(m, "label").select(dot(unit(F.col("x")), F.col("_m")).alias("c"))
-    return c.agg(F.coalesce(F.avg("c"), F.lit(0.0)).alias("homogeneity"), F.count("*").alias("n"))
+    members = labelled.where("label > 0").select(F.col("label").cast("long").alias("label"), unit(F.col("x")).alias("u"), "x")
+    # the mean cosine of a label's members is the product of the sum of their units with the mean's: two sums, no join of members
+    both = members.select("label", F.concat("x", "u").alias("x"))
+    s = blocks.summed(both, ["label"]).withColumn("_d", (F.size("x") / 2).cast("int")).select("n", F.expr("slice(x, 1, _d)").alias("m"), F.expr("slice(x, _d + 1, _d)").alias("u"))
+    c = s.where((F.col("n") >= 2) & (norm(F.col("m")) > 0)).select("n", dot(F.col("u"), unit(F.col("m"))).alias("c"))
+    return c.agg(F.coalesce(F.sum("c") / F.sum("n"), F.lit(0.0)).alias("homogeneity"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n"))

@@ -122,11 +122,11 @@ def finite_series(bold: DataFrame) -> DataFrame:
     return marked.select("vertex", "frame", F.when(F.col("odd"), F.lit(0.0)).otherwise(F.col("value")).alias("value"))
 
 
-def hemispheres(left: DataFrame, right: DataFrame, size: int) -> DataFrame:
+def hemispheres(left: DataFrame, right: DataFrame, size: int, right_size: int | None = None) -> DataFrame:
     """The rows of both hemispheres (vertex, ...): the right one's vertices follow the `size` of the left one. Vertices outside a
-    hemisphere are an error."""
-    at = F.when(F.col("vertex").between(0, size - 1), F.col("vertex")).otherwise(F.raise_error(F.lit("a vertex is outside its hemisphere")))
-    return left.withColumn("vertex", at).unionByName(right.withColumn("vertex", at + F.lit(size)))
+    hemisphere are an error; the right one has as many as the left one unless right_size says otherwise."""
+    inside = lambda n: F.when(F.col("vertex").between(0, n - 1), F.col("vertex")).otherwise(F.raise_error(F.lit("a vertex is outside its hemisphere")))
+    return left.withColumn("vertex", inside(size)).unionByName(right.withColumn("vertex", inside(size if right_size is None else right_size) + F.lit(size)))
 
 
 def expanded(rows: DataFrame, vertices: DataFrame, fill: str = "0") -> DataFrame:

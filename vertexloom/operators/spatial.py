@@ -32,6 +32,14 @@ def potentials(edges: DataFrame, posterior: DataFrame, n: int, same: float = 0.0
     return sums.select(F.col("src").alias("vertex"), "subject", v.alias("v"))
 
 
+def edge_potentials(edges: DataFrame, posterior: DataFrame, n: int) -> DataFrame:
+    """(vertex, subject, v): as potentials(), with costs of each edge of its own: edges (src, dst, same, differ)."""
+    near = edges.join(posterior.withColumnRenamed("vertex", "dst"), "dst")
+    mass = total(F.col("p"))
+    own = F.array(*[F.sum((F.col("same") - F.col("differ")) * F.get("p", F.lit(i)) + F.col("differ") * F.col("_mass")) for i in range(n)])
+    return near.withColumn("_mass", mass).groupBy(F.col("src").alias("vertex"), "subject").agg(own.alias("v"))
+
+
 def nearest(points: DataFrame, seeds: DataFrame) -> DataFrame:
     """(vertex, seed, distance): the nearest of seeds (seed, x, y, z) to points (vertex, x, y, z), the lowest of equal ones.
 
@@ -116,14 +124,14 @@ def placed(df: DataFrame, column: str) -> DataFrame:
     return runs.join(sizes, "_run").withColumn("place", place).drop("_run", "_first")
 
 
-def scattered(mask: DataFrame, values: DataFrame) -> DataFrame:
+def scattered(mask: DataFrame, values: DataFrame, strict: bool = False) -> DataFrame:
     """mask (voxel, inside) with the values (place, value) put into the voxels inside, in their order; others are zero.
 
-    Numbers of voxels and values that differ are an error.
+    The shorter of both decides: values beyond the voxels are left out, voxels beyond the values are zero. With strict, numbers
+    that differ are an error.
     """
     inside = written(placed(mask.where("inside").select("voxel"), "voxel"), "inside")
-    n, m = inside.count(), values.count()
-    if n != m:
+    if strict and (n := inside.count()) != (m := values.count()):
         raise ValueError(f"{m} values for {n} voxels inside the mask")
     found = inside.join(values, "place").select("voxel", "value")
     return mask.select("voxel").join(found, "voxel", "left").select("voxel", F.coalesce("value", F.lit(0.0)).alias("value"))

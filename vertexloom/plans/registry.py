@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,37 +50,56 @@ def _directions(s: SparkSession, d: str) -> DataFrame:
     return mixture.label_centroids(views.vectors(s, d))
 
 
-def _dots(s: SparkSession, d: str) -> DataFrame:
-    return mixture.dots(_rows(s, d).drop("label"), _directions(s, d))
+class _Model:
+    """Parts of the mixture that a query uses more than once: each is made once."""
 
+    def __init__(self, s: SparkSession, d: str) -> None:
+        self.s, self.d = s, d
+        self.rows = _rows(s, d).drop("label")
 
-def _networks(s: SparkSession, d: str) -> list[int]:
-    return mixture.networks_of(views.vectors(s, d).where("label <> 0").select(F.col("label").alias("network")).distinct())
+    @cached_property
+    def directions(self) -> DataFrame:
+        return written(_directions(self.s, self.d), "directions")
 
+    @cached_property
+    def networks(self) -> list[int]:
+        return mixture.networks_of(self.directions)
 
-def _scores(s: SparkSession, d: str, n: int) -> DataFrame:
-    return mixture.likelihoods(_dots(s, d), n, KAPPA, LOG_C)
+    @property
+    def n(self) -> int:
+        return len(self.networks)
 
+    def fresh_dots(self) -> DataFrame:
+        return mixture.dots(self.rows, self.directions)
 
-def _posterior(s: SparkSession, d: str) -> DataFrame:
-    """Written, as most queries use it more than once."""
-    return written(mixture.posteriors(_scores(s, d, len(_networks(s, d)))), "posterior")
+    @cached_property
+    def dots(self) -> DataFrame:
+        return written(self.fresh_dots(), "dots")
 
+    def scores(self) -> DataFrame:
+        return mixture.likelihoods(self.fresh_dots(), self.n, KAPPA, LOG_C)
 
-def _theta(s: SparkSession, d: str, posterior: DataFrame) -> DataFrame:
-    return mixture.theta_mean(posterior, len(_networks(s, d)), 2)
+    @cached_property
+    def posterior(self) -> DataFrame:
+        return written(mixture.posteriors(self.scores()), "posterior")
 
+    @cached_property
+    def theta(self) -> DataFrame:
+        return mixture.theta_mean(self.posterior, self.n, 2)
 
-def _weighted(s: SparkSession, d: str) -> DataFrame:
-    return mixture.weighted_data(_rows(s, d).drop("label"), _posterior(s, d), _networks(s, d))
+    def weighted(self) -> DataFrame:
+        return mixture.weighted_data(self.rows, self.posterior, self.networks)
 
+    @cached_property
+    def sessions(self) -> DataFrame:
+        return written(mixture.session_directions(self.weighted(), self.directions, KAPPA, SIGMA), "sessions")
 
-def _sessions(s: SparkSession, d: str) -> DataFrame:
-    return written(mixture.session_directions(_weighted(s, d), _directions(s, d), KAPPA, SIGMA), "sessions")
+    def subjects(self) -> DataFrame:
+        return mixture.subject_directions(self.sessions, self.directions, SIGMA, EPSILON)
 
-
-def _subjects(s: SparkSession, d: str, sessions: DataFrame | None = None) -> DataFrame:
-    return mixture.subject_directions(_sessions(s, d) if sessions is None else sessions, _directions(s, d), SIGMA, EPSILON)
+    def each(self, df: DataFrame, array: str, value: str) -> DataFrame:
+        """df with a row for each network, its value rounded."""
+        return _r(mixture.by_network(df, array, value, self.networks), value)
 
 
 def bold_grid(s: SparkSession, d: str) -> DataFrame:
@@ -142,69 +162,70 @@ def valid_vertices(s: SparkSession, d: str) -> DataFrame:
     return evaluation.valid_vertices(views.tensor(s, d).withColumn("x", zero))
 
 
-def _each(df: DataFrame, array: str, value: str, s: SparkSession, d: str) -> DataFrame:
-    """df with a row for each network, its value rounded."""
-    return _r(mixture.by_network(df, array, value, _networks(s, d)), value)
-
-
 def vmf_dot(s: SparkSession, d: str) -> DataFrame:
-    return _each(_dots(s, d), "dots", "dot", s, d)
+    m = _Model(s, d)
+    return m.each(m.fresh_dots(), "dots", "dot")
 
 
 def posterior_softmax(s: SparkSession, d: str) -> DataFrame:
-    n = len(_networks(s, d))
-    return _each(mixture.posteriors(_scores(s, d, n)), "p", "p", s, d)
+    m = _Model(s, d)
+    return m.each(mixture.posteriors(m.scores()), "p", "p")
 
 
 def flagship_labels(s: SparkSession, d: str) -> DataFrame:
     """Labels of every vertex and subject: centroids of labelled profiles, likelihoods, posterior, argmax."""
-    networks = _networks(s, d)
-    return mixture.labels(mixture.posteriors(_scores(s, d, len(networks))), networks)
+    m = _Model(s, d)
+    return mixture.labels(mixture.posteriors(m.scores()), m.networks)
 
 
 def theta_mean(s: SparkSession, d: str) -> DataFrame:
-    return _each(_theta(s, d, _posterior(s, d)), "theta", "theta", s, d)
+    m = _Model(s, d)
+    return m.each(m.theta, "theta", "theta")
 
 
 def initial_theta(s: SparkSession, d: str) -> DataFrame:
-    return _each(mixture.initial_theta(_posterior(s, d), len(_networks(s, d)), 2), "theta", "theta", s, d)
+    m = _Model(s, d)
+    return m.each(mixture.initial_theta(mixture.posteriors(m.scores()), m.n, 2), "theta", "theta")
 
 
 def weighted_data(s: SparkSession, d: str) -> DataFrame:
-    return _long(_weighted(s, d), "subject", "session", "network")
+    return _long(_Model(s, d).weighted(), "subject", "session", "network")
 
 
 def kappa_update(s: SparkSession, d: str) -> DataFrame:
-    return _r(mixture.kappa_update(_dots(s, d), _posterior(s, d), len(_networks(s, d)), DIMENSION, 5.0), "numerator", "mass", "rbar", "kappa", digits=5)
+    m = _Model(s, d)
+    return _r(mixture.kappa_update(m.dots, written(mixture.posteriors(mixture.likelihoods(m.dots, m.n, KAPPA, LOG_C)), "posterior"), m.n, DIMENSION, 5.0), "numerator", "mass", "rbar", "kappa", digits=5)
 
 
 def inverse_ratio(s: SparkSession, d: str) -> DataFrame:
-    each = mixture.by_network(_dots(s, d), "dots", "dot", _networks(s, d))
+    m = _Model(s, d)
+    each = mixture.by_network(m.fresh_dots(), "dots", "dot", m.networks)
     dots = each.where("dot between -0.99 and 0.99").groupBy("network").agg(F.avg(F.abs("dot")).alias("rbar"))
     return _r(dots.select("network", "rbar", V.inverse_ratio(F.col("rbar"), DIMENSION).alias("kappa")), "rbar", "kappa")
 
 
 def session_direction(s: SparkSession, d: str) -> DataFrame:
-    return _long(_sessions(s, d), "subject", "session", "network")
+    return _long(_Model(s, d).sessions, "subject", "session", "network")
 
 
 def subject_direction(s: SparkSession, d: str) -> DataFrame:
-    return _long(_subjects(s, d), "subject", "network")
+    return _long(_Model(s, d).subjects(), "subject", "network")
 
 
 def group_direction(s: SparkSession, d: str) -> DataFrame:
-    return _long(mixture.group_directions(_subjects(s, d)), "network")
+    return _long(mixture.group_directions(_Model(s, d).subjects()), "network")
 
 
 def sigma_update(s: SparkSession, d: str) -> DataFrame:
-    every = _sessions(s, d)
-    sessions = every.where("not (subject = 1 and session = 1 and network <= 3)")
-    return _r(mixture.sigma_update(sessions, _subjects(s, d, every), 2, DIMENSION), "rbar", "sigma", digits=4)
+    m = _Model(s, d)
+    sessions = m.sessions.where("not (subject = 1 and session = 1 and network <= 3)")
+    return _r(mixture.sigma_update(sessions, m.subjects(), 2, DIMENSION), "rbar", "sigma", digits=4)
 
 
 def em_cost(s: SparkSession, d: str) -> DataFrame:
-    p = _posterior(s, d)
-    return _r(mixture.em_cost(_dots(s, d), p, _theta(s, d, p), len(_networks(s, d)), KAPPA, LOG_C), "cost", digits=3)
+    m = _Model(s, d)
+    p = written(mixture.posteriors(mixture.likelihoods(m.dots, m.n, KAPPA, LOG_C)), "posterior")
+    return _r(mixture.em_cost(m.dots, p, mixture.theta_mean(p, m.n, 2), m.n, KAPPA, LOG_C), "cost", digits=3)
 
 
 def em_full_fit(s: SparkSession, d: str) -> DataFrame:
@@ -223,27 +244,36 @@ def _edges(s: SparkSession, d: str) -> DataFrame:
 
 
 def mrf_potential(s: SparkSession, d: str) -> DataFrame:
-    return _each(spatial.potentials(_edges(s, d), _posterior(s, d), len(_networks(s, d))), "v", "v", s, d)
+    m = _Model(s, d)
+    return m.each(spatial.potentials(_edges(s, d), m.posterior, m.n), "v", "v")
 
 
 def mrf_potential_general(s: SparkSession, d: str) -> DataFrame:
-    return _each(spatial.potentials(_edges(s, d), _posterior(s, d), len(_networks(s, d)), 0.25, 1.5, fast=False), "v", "v", s, d)
+    m = _Model(s, d)
+    return m.each(spatial.potentials(_edges(s, d), m.posterior, m.n, 0.25, 1.5, fast=False), "v", "v")
+
+
+def mrf_potential_edges(s: SparkSession, d: str) -> DataFrame:
+    """Costs of each edge of its own."""
+    m = _Model(s, d)
+    edges = _edges(s, d).selectExpr("src", "dst", "(src + dst) % 3 * 0.25 as same", "1.0 + (src + 2 * dst) % 5 * 0.5 as differ")
+    return m.each(spatial.edge_potentials(edges, m.posterior, m.n), "v", "v")
 
 
 def individual_estep(s: SparkSession, d: str) -> DataFrame:
     """One sweep of every subject: likelihood, group prior with weight 2 and smoothing with weight 3, as posterior."""
-    p, n = _posterior(s, d), len(_networks(s, d))
-    sweep = individual.sweep(_scores(s, d, n), _theta(s, d, p), spatial.potentials(_edges(s, d), p, n), 2.0, 3.0)
-    return _each(sweep, "p", "p", s, d)
+    m = _Model(s, d)
+    scores = mixture.likelihoods(m.dots, m.n, KAPPA, LOG_C)
+    p = written(mixture.posteriors(scores), "posterior")
+    return m.each(individual.sweep(scores, mixture.theta_mean(p, m.n, 2), spatial.potentials(_edges(s, d), p, m.n), 2.0, 3.0), "p", "p")
 
 
 def individual_fit(s: SparkSession, d: str) -> DataFrame:
     """The individual fit of every subject from the group's directions and prior, with few steps of each kind: labels."""
-    p, networks = _posterior(s, d), _networks(s, d)
-    priors = individual.Priors(_directions(s, d), _theta(s, d, p), KAPPA * 10, KAPPA * 10)
-    rows = _rows(s, d).select("vertex", "subject", "session", "x")
-    found = individual.fit(rows, _edges(s, d), priors, individual.Settings(start=KAPPA * 10, prior=2.0, smooth=3.0, outer=2, inner=2, numerical=3, sweeps=3))
-    return mixture.labels(found.posterior, networks)
+    m = _Model(s, d)
+    priors = individual.Priors(m.directions, m.theta, KAPPA * 10, KAPPA * 10)
+    found = individual.fit(m.rows.select("vertex", "subject", "session", "x"), _edges(s, d), priors, individual.Settings(start=KAPPA * 10, prior=2.0, smooth=3.0, outer=2, inner=2, numerical=3, sweeps=3))
+    return mixture.labels(found.posterior, m.networks)
 
 
 def winner_take_all(s: SparkSession, d: str) -> DataFrame:
@@ -268,7 +298,8 @@ def homogeneity(s: SparkSession, d: str) -> DataFrame:
 
 def _two_labels(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     t = views.tensor(s, d)
-    return tuple(t.where(f"subject = {k} and session = 0").select("vertex", "label") for k in (0, 1))
+    cell = F.struct("vertex", "session").alias("vertex")
+    return tuple(t.where(f"subject = {k}").select(cell, "label") for k in (0, 1))
 
 
 def dice_report(s: SparkSession, d: str) -> DataFrame:
@@ -394,7 +425,7 @@ def expanded_labels(s: SparkSession, d: str) -> DataFrame:
 
 def hemisphere_concat(s: SparkSession, d: str) -> DataFrame:
     """Subject 0 stands for the left hemisphere, subject 1 for the right one."""
-    t = views.tensor(s, d).where("session = 0").select("vertex", "subject", "label")
+    t = views.tensor(s, d).select("vertex", "session", "subject", "label")
     size = t.agg(F.max("vertex") + 1).first()[0] or 0
     return series.hemispheres(t.where("subject = 0").drop("subject"), t.where("subject = 1").drop("subject"), size)
 
@@ -452,7 +483,7 @@ QUERIES: dict[str, Query] = {
         bold_grid, bold_censor, validate_constant, seed_timeseries, pearson_profile, fisher_z_profile, cutoff_value, binary_profile,
         normalize_row_l2, normalize_centred_literal, avg_profile, label_centroids, label_centroids_mean, valid_vertices, vmf_dot,
         posterior_softmax, flagship_labels, theta_mean, initial_theta, weighted_data, kappa_update, inverse_ratio, session_direction,
-        subject_direction, group_direction, sigma_update, em_cost, em_full_fit, kmeans_lloyd, mrf_potential, mrf_potential_general,
+        subject_direction, group_direction, sigma_update, em_cost, em_full_fit, kmeans_lloyd, mrf_potential, mrf_potential_general, mrf_potential_edges,
         individual_estep, individual_fit, winner_take_all, vol2surf_fc, homogeneity, dice_report, agreement_report, tolerance_report, neighbours,
         nearest_seed, boundary_fill, coverage_counts, support_masks, entity_parse, run_pairing, session_numbering, profile_list_grid,
         manifest_json, requested_missing, run_discovery, run_filters, censor_once, nonfinite_to_zero, cortex_mask, expanded_labels,

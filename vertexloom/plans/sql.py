@@ -91,6 +91,9 @@ k{i + 1} AS (SELECT network, f, y / sqrt(sum(y * y) OVER (PARTITION BY network))
 SELECT src AS vertex, subject, network, round(any_value(n) - sum(p), 6) + 0.0 AS v FROM edges JOIN post ON post.vertex = dst JOIN n USING (src) GROUP BY src, subject, network""",
     "mrf_potential_general": _with(*MODEL, EDGES) + """, n AS (SELECT src, subject, sum(p) AS n FROM edges JOIN post ON post.vertex = dst GROUP BY src, subject)
 SELECT src AS vertex, subject, network, round(-1.25 * sum(p) + 1.5 * any_value(n), 6) + 0.0 AS v FROM edges JOIN post ON post.vertex = dst JOIN n USING (src, subject) GROUP BY src, subject, network""",
+    "mrf_potential_edges": _with(*MODEL, EDGES) + """, n AS (SELECT vertex, subject, sum(p) AS n FROM post GROUP BY ALL),
+c AS (SELECT src, dst, (src + dst) % 3 * 0.25::DOUBLE AS a, 1.0::DOUBLE + (src + 2 * dst) % 5 * 0.5::DOUBLE AS b FROM edges)
+SELECT src AS vertex, subject, network, round(sum((a - b) * p + b * n), 6) + 0.0 AS v FROM c JOIN post ON post.vertex = dst JOIN n USING (vertex, subject) GROUP BY src, subject, network""",
     "individual_estep": _with(*MODEL, THETA, EDGES) + """, n AS (SELECT src, count(*) AS n FROM edges GROUP BY src),
 v AS (SELECT src AS vertex, subject, network, any_value(n) - sum(p) AS v FROM edges JOIN post ON post.vertex = dst JOIN n USING (src) GROUP BY src, subject, network),
 j AS (SELECT vertex, subject, network, s + 2.0 * ln(greatest(theta, 2.2250738585072014e-308)) - 6.0 * v AS s FROM score JOIN theta USING (vertex, network) JOIN v USING (vertex, subject, network)),
@@ -109,11 +112,11 @@ SELECT vertex, seed, round(sum(atanh(greatest(-0.999999, least(0.999999, r)))) /
 big AS (SELECT label FROM embeddings WHERE label > 0 GROUP BY label HAVING count(*) >= 2),
 c AS (SELECT vec_id, sum(x * y) / nullif(sqrt(sum(x * x)), 0) AS c FROM p JOIN u USING (label, f) SEMI JOIN big USING (label) WHERE y IS NOT NULL GROUP BY vec_id)
 SELECT round(coalesce(avg(coalesce(c, 0)), 0), 6) + 0.0 AS homogeneity, count(*) AS n FROM c""",
-    "dice_report": """WITH l AS (SELECT vec_id // 4 AS vertex, vec_id % 2 AS subject, CAST(label AS BIGINT) AS label FROM embeddings WHERE (vec_id // 2) % 2 = 0),
+    "dice_report": """WITH l AS (SELECT vec_id // 2 AS vertex, vec_id % 2 AS subject, CAST(label AS BIGINT) AS label FROM embeddings),
 a AS (SELECT vertex, label FROM l WHERE subject = 0), b AS (SELECT vertex, label FROM l WHERE subject = 1), k AS (SELECT DISTINCT label FROM l WHERE label > 0),
 c AS (SELECT k.label, (SELECT count(*) FROM a WHERE a.label = k.label) AS n_a, (SELECT count(*) FROM b WHERE b.label = k.label) AS n_b, (SELECT count(*) FROM a JOIN b USING (vertex) WHERE a.label = k.label AND b.label = k.label) AS n_both FROM k)
 SELECT label, n_a, n_b, n_both, round(2 * n_both / (n_a + n_b), 6) + 0.0 AS dice FROM c""",
-    "agreement_report": """WITH l AS (SELECT vec_id // 4 AS vertex, vec_id % 2 AS subject, label FROM embeddings WHERE (vec_id // 2) % 2 = 0), j AS (SELECT a.label AS la, b.label AS lb FROM l a JOIN l b ON a.vertex = b.vertex AND a.subject = 0 AND b.subject = 1)
+    "agreement_report": """WITH l AS (SELECT vec_id // 2 AS vertex, vec_id % 2 AS subject, label FROM embeddings), j AS (SELECT a.label AS la, b.label AS lb FROM l a JOIN l b ON a.vertex = b.vertex AND a.subject = 0 AND b.subject = 1)
 SELECT count(*) AS n, count(*) FILTER (la = lb) AS n_equal, round(count(*) FILTER (la = lb) / count(*), 6) + 0.0 AS agreement,
 round(count(*) FILTER (la = lb AND la > 0) / nullif(count(*) FILTER (la > 0 OR lb > 0), 0), 6) + 0.0 AS union_agreement FROM j""",
     "tolerance_report": _with(P) + """, m AS (SELECT vec_id % 2 AS subject, label AS network, f, avg(x) AS v FROM p WHERE label BETWEEN 1 AND 9 GROUP BY ALL),
@@ -147,7 +150,7 @@ SELECT s.subject, n.k AS session_number, coalesce(h.path, 'NONE') AS path FROM (
     "nonfinite_to_zero": _with(DAYS, GRID) + "SELECT vertex, frame, CASE WHEN max(value) OVER (PARTITION BY vertex) > 400 THEN 0.0 ELSE round(value, 6) + 0.0 END AS value FROM grid",
     "cortex_mask": _with(P, T) + "SELECT vertex, subject, session, f AS feature, CASE WHEN vertex % 11 = 0 THEN 0.0 ELSE round(x, 6) + 0.0 END AS x FROM t",
     "expanded_labels": "SELECT v.vertex, CASE WHEN v.vertex % 11 = 0 THEN 0 ELSE coalesce(l.label, 0) END AS label FROM (SELECT DISTINCT vec_id // 4 AS vertex FROM embeddings) v LEFT JOIN (SELECT vec_id // 4 AS vertex, CAST(label AS BIGINT) AS label FROM embeddings WHERE vec_id % 2 = 0 AND (vec_id // 2) % 2 = 0) l USING (vertex)",
-    "hemisphere_concat": "SELECT vec_id // 4 + (vec_id % 2) * (SELECT max(vec_id // 4) + 1 FROM embeddings WHERE (vec_id // 2) % 2 = 0) AS vertex, CAST(label AS BIGINT) AS label FROM embeddings WHERE (vec_id // 2) % 2 = 0",
+    "hemisphere_concat": "SELECT vec_id // 4 + (vec_id % 2) * (SELECT max(vec_id // 4) + 1 FROM embeddings) AS vertex, (vec_id // 2) % 2 AS session, CAST(label AS BIGINT) AS label FROM embeddings",
     "mask_partition": "SELECT vec_id // 4 AS vertex, count(*) FILTER (label > 2) AS n FROM embeddings GROUP BY ALL HAVING count(*) FILTER (label > 2) <> 1",
     "mask_intersection": "SELECT vec_id // 4 AS vertex FROM embeddings GROUP BY ALL HAVING count(DISTINCT vec_id % 4) FILTER (label > 2) = 4",
     "scatter_into_mask": "SELECT c_custkey AS voxel, CASE WHEN c_nationkey < 20 THEN round(c_acctbal, 6) + 0.0 ELSE 0.0 END AS value FROM customer",
