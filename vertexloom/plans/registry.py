@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vertexloom.functions import vectors as V
-from vertexloom.operators import blocks, evaluation, fit, individual, mixture, runs, series, spatial
+from vertexloom.operators import blocks, evaluation, fit, individual, mixture, recordings, runs, series, spatial
 from vertexloom.sources import views
 from vertexloom.sources.scratch import written
 
@@ -292,6 +292,38 @@ def vol2surf_fc(s: SparkSession, d: str) -> DataFrame:
     return _r(z[0].union(z[1]).groupBy("vertex", "seed").agg((F.sum("z") / 2).alias("z")), "z")
 
 
+def _recordings(s: SparkSession, d: str) -> DataFrame:
+    """A recording for each kind of event."""
+    return recordings.grid(views.recordings(s, d), ["recording"])
+
+
+def _run_profiles(s: SparkSession, d: str) -> DataFrame:
+    b = _recordings(s, d)
+    return recordings.profiles(b, b.select("vertex").distinct().where(F.col("vertex") < SEEDS), ["recording"])
+
+
+def run_profiles(s: SparkSession, d: str) -> DataFrame:
+    """Correlations of every recording with its own seeds."""
+    return _r(recordings.by_seed(_run_profiles(s, d), ["recording"], "r", "r"), "r")
+
+
+def run_cutoffs(s: SparkSession, d: str) -> DataFrame:
+    return _r(recordings.cutoffs(_run_profiles(s, d), ["recording"], digits=9), "cutoff", digits=9)
+
+
+def run_binary_profiles(s: SparkSession, d: str) -> DataFrame:
+    return recordings.by_seed(recordings.binary(_run_profiles(s, d), ["recording"], digits=9), ["recording"], "bits", "bit")
+
+
+def run_problems(s: SparkSession, d: str) -> DataFrame:
+    """Recordings without their zeros' series: users without an event in a recording do not vary."""
+    b = _recordings(s, d)
+    users = views.bold(s, d).select("vertex").distinct()
+    every = users.join(F.broadcast(b.select("recording", "frame").distinct())).join(b, ["recording", "vertex", "frame"], "left").select("recording", "vertex", "frame", F.coalesce("value", F.lit(0.0)).alias("value"))
+    cortex = users.withColumn("cortex", F.col("vertex") % 11 != 0)
+    return recordings.problems(every, ["recording"], cortex, users.where(F.col("vertex") < SEEDS))
+
+
 def homogeneity(s: SparkSession, d: str) -> DataFrame:
     return _r(mixture.homogeneity(views.vectors(s, d)), "homogeneity")
 
@@ -488,7 +520,7 @@ QUERIES: dict[str, Query] = {
         nearest_seed, boundary_fill, coverage_counts, support_masks, entity_parse, run_pairing, session_numbering, profile_list_grid,
         manifest_json, requested_missing, run_discovery, run_filters, censor_once, nonfinite_to_zero, cortex_mask, expanded_labels,
         hemisphere_concat, mask_partition, mask_intersection, scatter_into_mask, face_majority, boundary_fill_zero, kmeans_restarts,
-        relative_change,
+        relative_change, run_profiles, run_cutoffs, run_binary_profiles, run_problems,
     )
 }
 

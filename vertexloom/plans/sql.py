@@ -18,6 +18,17 @@ n0 AS (SELECT vertex, sqrt(sum(c * c)) AS n FROM c0 GROUP BY vertex),
 z0 AS (SELECT vertex, frame, CASE WHEN n > 0 THEN c / n ELSE 0.0 END AS z FROM c0 JOIN n0 USING (vertex)),
 corr AS (SELECT a.vertex, b.vertex AS seed, sum(a.z * b.z) AS r FROM z0 a JOIN z0 b ON a.frame = b.frame WHERE b.vertex < 10 GROUP BY ALL)"""
 CUT = """cut AS (SELECT rank, v AS cutoff FROM (SELECT round(r, 9) AS v, row_number() OVER (ORDER BY round(r, 9) DESC) AS k, CAST(floor(count(*) OVER () * 0.1 + 0.5) AS BIGINT) AS rank FROM corr) WHERE k = rank AND v > 0)"""
+# recordings, by kind of event
+RUN_GRID = """rd AS (SELECT event_type AS recording, user_id AS vertex, CAST(CAST(ts AS DATE) - (SELECT min(CAST(ts AS DATE)) FROM events) AS BIGINT) AS frame, sum(value) AS value FROM events GROUP BY ALL),
+rl AS (SELECT recording, max(frame) AS l FROM rd GROUP BY recording),
+rf AS (SELECT recording, unnest(range(l + 1)) AS frame FROM rl)"""
+RUNS = """rg AS (SELECT v.recording, v.vertex, f.frame, coalesce(d.value, 0.0) AS value FROM (SELECT DISTINCT recording, vertex FROM rd) v JOIN rf f USING (recording) LEFT JOIN rd d ON d.recording = v.recording AND d.vertex = v.vertex AND d.frame = f.frame),
+rc AS (SELECT recording, vertex, frame, value - avg(value) OVER (PARTITION BY recording, vertex) AS c FROM rg),
+rn AS (SELECT recording, vertex, sqrt(sum(c * c)) AS n FROM rc GROUP BY ALL),
+rz AS (SELECT recording, vertex, frame, CASE WHEN n > 0 THEN c / n ELSE 0.0 END AS z FROM rc JOIN rn USING (recording, vertex)),
+rr AS (SELECT a.recording, a.vertex, b.vertex AS seed, sum(a.z * b.z) AS r FROM rz a JOIN rz b ON a.recording = b.recording AND a.frame = b.frame WHERE b.vertex < 10 GROUP BY ALL)"""
+RUN_CUT = """rk AS (SELECT recording, round(r, 9) AS v, row_number() OVER (PARTITION BY recording ORDER BY round(r, 9) DESC) AS k, CAST(floor(count(*) OVER (PARTITION BY recording) * 0.1 + 0.5) AS BIGINT) AS rank FROM rr),
+rcut AS (SELECT recording, rank, v AS cutoff FROM rk WHERE k = rank)"""
 # centred rows of length one, label directions
 ROWS = """c1 AS (SELECT vec_id, vertex, subject, session, label, f, x - avg(x) OVER (PARTITION BY vec_id) AS c FROM t),
 u1 AS (SELECT vec_id, vertex, subject, session, label, f, coalesce(c / nullif(sqrt(sum(c * c) OVER (PARTITION BY vec_id)), 0), 0) AS x FROM c1)"""
@@ -108,6 +119,13 @@ SELECT voxel, label, round(CASE WHEN next IS NULL THEN 1.0 ELSE 1 - next / n END
 n AS (SELECT vertex, run, sqrt(sum(c * c)) AS n FROM c GROUP BY ALL), z AS (SELECT vertex, run, frame, CASE WHEN n > 0 THEN c / n ELSE 0.0 END AS z FROM c JOIN n USING (vertex, run)),
 r AS (SELECT a.vertex, b.vertex AS seed, a.run, sum(a.z * b.z) AS r FROM z a JOIN z b ON a.frame = b.frame WHERE b.vertex < 10 AND a.vertex <> b.vertex GROUP BY ALL)
 SELECT vertex, seed, round(sum(atanh(greatest(-0.999999, least(0.999999, r)))) / 2, 6) + 0.0 AS z FROM r GROUP BY ALL""",
+    "run_profiles": _with(RUN_GRID, RUNS) + "SELECT recording, vertex, seed, round(r, 6) + 0.0 AS r FROM rr",
+    "run_cutoffs": _with(RUN_GRID, RUNS, RUN_CUT) + "SELECT recording, rank, round(cutoff, 9) + 0.0 AS cutoff FROM rcut",
+    "run_binary_profiles": _with(RUN_GRID, RUNS, RUN_CUT) + "SELECT recording, vertex, seed, CAST(round(r, 9) >= cutoff AS BIGINT) AS bit FROM rr JOIN rcut USING (recording)",
+    "run_problems": _with(RUN_GRID) + """, u AS (SELECT DISTINCT vertex FROM rd),
+s AS (SELECT f.recording, u.vertex, max(coalesce(value, 0)) = min(coalesce(value, 0)) AS flat, bool_and(coalesce(value, 0) = 0) AS zero FROM rf f CROSS JOIN u LEFT JOIN rd ON rd.recording = f.recording AND rd.frame = f.frame AND rd.vertex = u.vertex GROUP BY ALL),
+k AS (SELECT recording, CASE WHEN vertex < 10 THEN 'a seed that does not vary' WHEN zero THEN 'a series of zeros' ELSE 'a series that does not vary' END AS problem FROM s WHERE flat AND vertex % 11 <> 0)
+SELECT recording, problem, count(*) AS n FROM k GROUP BY ALL""",
     "homogeneity": _with(P) + """, m AS (SELECT label, f, avg(x) AS y FROM p WHERE label > 0 GROUP BY ALL), u AS (SELECT label, f, y / nullif(sqrt(sum(y * y) OVER (PARTITION BY label)), 0) AS y FROM m),
 big AS (SELECT label FROM embeddings WHERE label > 0 GROUP BY label HAVING count(*) >= 2),
 c AS (SELECT vec_id, sum(x * y) / nullif(sqrt(sum(x * x)), 0) AS c FROM p JOIN u USING (label, f) SEMI JOIN big USING (label) WHERE y IS NOT NULL GROUP BY vec_id)

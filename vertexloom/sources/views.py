@@ -35,6 +35,13 @@ def bold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(F.broadcast(first)).groupBy("vertex", F.date_diff("day", "first").cast("long").alias("frame")).agg(F.sum("value").alias("value"))
 
 
+def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(recording, vertex, frame, value): as bold(), a recording for each kind of event."""
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("recording"), F.col("user_id").alias("vertex"), F.to_date("ts").alias("day"), "value")
+    first = e.agg(F.min("day").alias("first"))
+    return e.join(F.broadcast(first)).groupBy("recording", "vertex", F.date_diff("day", "first").cast("long").alias("frame")).agg(F.sum("value").alias("value"))
+
+
 def template(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(vertex, label): labels of the first session of subject 0."""
     return tensor(spark, sf_dir).where("subject = 0 and session = 0").select("vertex", "label")
