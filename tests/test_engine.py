@@ -194,8 +194,11 @@ def test_errors_of_geometry(spark):
     finer = spark.createDataFrame([(2, 0, 1.4), (3, 0, 1.6)], "vertex long, source long, distance double")
     got = {r["vertex"]: (r["source"], r["distance"]) for r in spatial.boundary_filled(v, edges, one, 1.5, zero=True, refined=finer).collect()}
     assert got == {0: (0, 0.0), 1: (0, 1.0), 2: (0, 1.4), 3: (-1, None)}
+    mask, one_value = v.select(F.col("vertex").alias("voxel"), F.lit(True).alias("inside")), spark.createDataFrame([(0, 1.0)], "place long, value double")
     with pytest.raises(ValueError):
-        spatial.scattered(v.select(F.col("vertex").alias("voxel"), F.lit(True).alias("inside")), spark.createDataFrame([(0, 1.0)], "place long, value double"))
+        spatial.scattered(mask, one_value, strict=True)
+    assert {r["voxel"]: r["value"] for r in spatial.scattered(mask, one_value).collect()} == {0: 1.0, 1: 0.0, 2: 0.0, 3: 0.0}
+    assert {r["vertex"] for r in series.hemispheres(side.where("vertex = 0"), side, 2, 6).collect()} == {0, 2, 7}
 
 
 def test_nearest_far_away(spark):
@@ -220,9 +223,25 @@ def test_shared_folder(monkeypatch):
 
 
 def test_saved_model(spark, tmp_path):
-    m = fit.Model(np.eye(2, 3), np.ones((1, 2, 3)), np.ones((1, 1, 2, 3)), np.full(2, 5.0), np.full(2, 6.0), 7.0, np.ones((1, 1), bool), [1.0, 2.0])
+    """Subjects and sessions keep their ids; labels come back for those that are asked for."""
+    rng = np.random.default_rng(3)
+    directions = np.linalg.qr(rng.standard_normal((9, 2)))[0].T
+    rows = [(v, s, t, x.tolist()) for v in range(12) for s, t in ((7, "x"), (9, "x"), (9, "y")) for x in [directions[v % 2] + 0.02 * rng.standard_normal(9)]]
+    df = spark.createDataFrame(rows, "vertex long, subject long, session string, x array<double>")
+    start = spark.createDataFrame([(k + 1, d.tolist()) for k, d in enumerate(directions)], "network long, x array<double>")
+    m = fit.group_fit(df, start, fit.Settings(start=20.0, outer=1, middle=1, inner=2))
     fit.save(m, spark, f"{tmp_path}/m")
-    t = fit.load(spark, f"{tmp_path}/m", posterior=False)
-    assert t["directions"].count() == 6 and t["record"].count() == 2 and t["concentrations"].first()["sigma"] == 6.0
+    t = fit.load(spark, f"{tmp_path}/m")
+    assert {(r["subject"], r["session"]) for r in t["directions"].where("kind = 'session'").collect()} == {(7, "x"), (9, "x"), (9, "y")}
+    assert {r["subject"] for r in t["posterior"].collect()} == {7, 9} and t["record"].count() == 1 and t["prior"].count() == 12
+    got = {(r["vertex"], r["subject"]): r["label"] for r in fit.results(spark, f"{tmp_path}/m", [9]).collect()}
+    assert got == {(v, 9): v % 2 + 1 for v in range(12)}
+    with pytest.raises(ValueError, match="no subjects"):
+        fit.results(spark, f"{tmp_path}/m", [8])
+    m.posterior = None
+    fit.save(m, spark, f"{tmp_path}/n")
     with pytest.raises(ValueError, match="posterior"):
-        fit.load(spark, f"{tmp_path}/m")
+        fit.load(spark, f"{tmp_path}/n")
+    assert [fit.starting(d) for d in (1199, 1200, 1799)] == [500.0, 650.0, 650.0]
+    with pytest.raises(ValueError):
+        fit.starting(1800)

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 
 from vertexloom.functions.bessel import inverse_ratio, log_normaliser
 from vertexloom.functions.vectors import total
-from vertexloom.sources.scratch import bucketed, written
+from vertexloom.sources.scratch import bucketed, bucketed_away, discarded, kept_path, written
 
 from .blocks import every_vector
-from .fit import added, array, unit_rows
+from .fit import added, array, starting, unit_rows
 from .mixture import softmax
 
 #: Bytes of the session directions of the subjects that are fitted at a time.
@@ -48,7 +48,7 @@ class Priors:
 
 @dataclass
 class Settings:
-    start: float = 500.0
+    start: float | None = None
     prior: float = 100.0
     smooth: float = 50.0
     outer: int = 50
@@ -81,6 +81,7 @@ def sweep(scores: DataFrame, theta: DataFrame, potentials: DataFrame, prior: flo
 def fit(rows: DataFrame, edges: DataFrame, priors: Priors, settings: Settings | None = None) -> Fitted:
     """Fit rows (vertex, subject, session, x) on a mesh of edges (src, dst)."""
     at, mu = settings or Settings(), every_vector(priors.directions, "network")[1]
+    at = replace(at, start=starting(mu.shape[1] - 1) if at.start is None else at.start)
     cells = rows.select("subject", "session").distinct().collect()  # one for each recording
     sessions, known = sorted({r["session"] for r in cells}), {(r["subject"], r["session"]) for r in cells}
     size = max(1, SLICE_BYTES // (8 * mu.size * len(sessions)))
@@ -177,7 +178,7 @@ class _Slice:
         out = j.select("vertex", "s", F.when(moved, new).otherwise(F.col("p")).alias("p"), "valid", F.col("p").alias("_p"))
         out = written(out.select("vertex", "s", "p", "valid", total(F.zip_with("p", "_p", lambda a, b: F.abs(a - b))).alias("change")), "posterior")
         change = {r["s"]: r["c"] for r in out.where(moved).groupBy("s").agg((F.sum("change") / (F.count("*") * n_l)).alias("c")).collect()}
-        return out.drop("change"), change
+        return kept_path(out.drop("change"), out), change
 
     def costs(self, p: DataFrame, score: DataFrame) -> np.ndarray:
         """For each subject: likelihood, prior without weight, entropy."""
@@ -211,13 +212,19 @@ class _Slice:
             mass = {r["s"]: r["m"] for r in p.groupBy("s").agg(F.sum(total(F.col("p"))).alias("m")).collect()}
             for s in np.flatnonzero(running):
                 self.m_step(w, mass.get(int(s), 0.0), int(s))
-            new = self.likelihoods(running)
-            score = new if score is None or running.all() else written(self._of(score, ~running).union(new), "score")
-            if k == 0 and not running.all():
-                score = written(self._of(self.likelihoods(np.ones(self.n_s, bool)), ~running).union(new), "score")
+            new, old = self.likelihoods(running), score
+            if running.all():
+                score = new
+            else:  # subjects that have converged keep theirs
+                rest = self.likelihoods(~running) if old is None else self._of(old, ~running)
+                score = written(rest.union(new), "score")
+                discarded(new)
+            discarded(old)
             open_ = running.copy()
             for _ in range(self.at.sweeps):
-                p, change = self.swept(p, score, open_)
+                new, change = self.swept(p, score, open_)
+                discarded(p)
+                p = new
                 open_ &= np.array([change.get(s, 0.0) > self.at.epsilon for s in range(self.n_s)])
                 if not open_.any():
                     break
@@ -232,11 +239,12 @@ class _Slice:
         return p, score
 
     def run(self) -> Fitted:
-        at, p, active, cost = self.at, self.start(), np.ones(self.n_s, bool), np.zeros(self.n_s)
+        at, p, active, cost, score = self.at, self.start(), np.ones(self.n_s, bool), np.zeros(self.n_s), None
         costs: dict[int, list[float]] = {s: [] for s in range(self.n_s)}
         for step in range(at.outer):
             self.kappa[active] = at.start
             self.nu[active] = self.mu
+            discarded(score)
             p, score = self.inner(p, active)
             here = self.there[:, :, None, None]
             psi = unit_rows((self.sigma * self.nu * here).sum(axis=1) + self.epsilon * self.mu)
@@ -249,6 +257,8 @@ class _Slice:
             cost = update
             if not active.any():
                 break
+        discarded(score)
+        bucketed_away(self.rows)
         name = lambda values: dict(zip(self.subjects, values, strict=True))
         subject = F.get(F.array(*[F.lit(x) for x in self.subjects]), F.col("s"))
         return Fitted(p.select("vertex", subject.alias("subject"), "p"), name(self.kappa.tolist()), name(costs[s] for s in range(self.n_s)))

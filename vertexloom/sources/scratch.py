@@ -25,7 +25,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def kept_path(df: DataFrame, of: DataFrame) -> DataFrame:
+    """df, derived from the written table `of`, which goes when df is discarded."""
+    df._scratch = getattr(of, "_scratch", None)
+    return df
+
+
+def discarded(*tables: DataFrame | None) -> None:
+    """Delete written tables that nothing reads any more, such as the state before the last one of an iteration."""
+    for df in tables:
+        path = getattr(df, "_scratch", None)
+        if path:
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(conf).delete(target, True)
+
+
+def bucketed_away(df: DataFrame) -> None:
+    """Take a table of bucketed() out of the session's catalog, and its files away."""
+    name = getattr(df, "_table", None)
+    if name:
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+        discarded(df)
 
 
 def bucketed(df: DataFrame, name: str, keys: list[str], buckets: int | None = None) -> DataFrame:
@@ -34,4 +60,6 @@ def bucketed(df: DataFrame, name: str, keys: list[str], buckets: int | None = No
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{table}"
     df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
-    return spark.table(table)
+    out = spark.table(table)
+    out._scratch, out._table = path, table
+    return out
