@@ -2,7 +2,6 @@
 
 import math
 import os
-import time
 
 import duckdb
 import numpy as np
@@ -155,32 +154,6 @@ def test_dimension_and_assets(spark):
             evaluation.verified_labels(odd)
 
 
-def test_discovery(spark, tmp_path):
-    names = ["sub-1/func/sub-1_task-rest_hemi-L_bold.func.gii", "sub-1/func/sub-1_task-rest_hemi-R_bold.func.gii", "sub-2/ses-a/func/sub-2_ses-a_hemi-L_bold.func.gii", "sub-2/ses-b/func/sub-2_ses-a_hemi-L_bold.func.gii", "other/sub-3_hemi-L_bold.func.gii"]
-    for n in names:
-        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
-        (tmp_path / n).write_text("x")
-    got = runs.discovered(runs.listed(spark, str(tmp_path)))
-    assert {(r["subject"], r["session"], r["hemi"]) for r in got.collect()} == {("1", None, "L"), ("1", None, "R"), ("2", "a", "L")}
-    assert runs.chosen(got, subject=["sub-1"]).count() == 2 and runs.chosen(got, session=["ses-a"], subject=["1", "2"]).count() == 1
-    with pytest.raises(ValueError):
-        runs.chosen(got, subject=["sub-1_x"])
-    (tmp_path / "sub-1/func/sub-1_task-rest_hemi-L_desc-x_bold.func.gii").write_text("x")
-    with pytest.raises(Exception, match="two files"):
-        runs.discovered(runs.listed(spark, str(tmp_path))).collect()
-    (tmp_path / "list.txt").write_text("a/b\n\nNONE\n c \n")
-    assert [r["line"] for r in runs.profile_list(spark, str(tmp_path / "list.txt")).orderBy("place").collect()] == ["a/b", None, "c"]
-
-
-def test_publish(spark, tmp_path):
-    df = spark.range(100).selectExpr("id", "cast(id as string) as t")
-    assert runs.publish(df, f"{tmp_path}/out").first()["n_rows"] == 100
-    with pytest.raises(Exception, match="exist"):
-        runs.publish(df, f"{tmp_path}/out")
-    with pytest.raises(ValueError):
-        runs.publish(df.withColumn("t", F.udf(lambda i: str(time.time_ns()))("id")), f"{tmp_path}/other")
-
-
 def test_errors_of_geometry(spark):
     side = spark.createDataFrame([(0, 1), (5, 2)], "vertex long, label long")
     assert {r["vertex"] for r in series.hemispheres(side, side, 6).collect()} == {0, 5, 6, 11}

@@ -7,12 +7,12 @@ that likelihoods become posteriors and labels within the row.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vertexloom.functions.vectors import centred, dot, inverse_ratio, let, norm, total, unit
-
-from vertexloom.sources.scratch import written
+from vertexloom.sources.scratch import discarded, written
 
 from . import blocks
 
@@ -166,6 +166,63 @@ def restarts(rows: DataFrame, starts: list[DataFrame], steps: int) -> DataFrame:
     return found[max(range(len(sums)), key=lambda i: (round(sums[i], 9), -i))].select("vertex", "network")
 
 
+def _uniform(seed: int, step: int, vertex: str = "vertex") -> Column:
+    """A number from 0 to 1 for each vertex, the same in every run."""
+    text = F.md5(F.concat(F.lit(f"{seed}:{step}:"), F.col(vertex).cast("string")).cast("binary"))
+    return F.conv(F.substring(text, 1, 12), 16, 10).cast("double") / float(16**12)
+
+
+def seeded(rows: DataFrame, k: int, seed: int = 0, rounds: int = 5, oversampling: float = 2.0, attempts: int = 8) -> DataFrame:
+    """(network, x): k starting directions for rows (vertex, x) of length one, spread as k-means++ spreads them, by k-means||.
+
+    From one vertex on, each of a few rounds takes every vertex with a chance in proportion to its squared distance from the
+    nearest one taken before, oversampling * k of them to be expected. The vertices nearest to each are counted; of a few attempts of k-means++
+    with these weights on what was taken, in the driver, the one of the least cost gives the directions. Chances come from hashes of vertices: reruns agree. Rows of zeros
+    do not count; fewer than k different rows are an error.
+    """
+    rows = rows.where(F.exists("x", lambda v: v != 0)).select("vertex", "x")
+    order = F.struct(_uniform(seed, 0), F.col("vertex"))
+    first = rows.agg(F.min_by("x", order).alias("x")).first()["x"]
+    if first is None:
+        raise ValueError("no rows to start from")
+    taken = [list(first)]
+    spark = rows.sparkSession
+    table = lambda: spark.createDataFrame(list(enumerate(taken)), "network long, x array<double>")  # noqa: E731  about rounds * oversampling * k rows
+    for step in range(1, rounds + 1):
+        away = written(nearest(rows, table()).select("vertex", F.greatest(F.lit(0.0), 2 - 2 * F.col("dot")).alias("d")), "away")
+        cost = away.agg(F.sum("d")).first()[0]
+        if not cost:
+            break
+        lucky = away.where(_uniform(seed, step) * cost < oversampling * k * F.col("d")).select("vertex")
+        taken += [list(r["x"]) for r in rows.join(lucky, "vertex", "left_semi").orderBy("vertex").collect()]
+        discarded(away)
+    count = {r["network"]: r["n"] for r in nearest(rows, table()).groupBy("network").agg(F.count("*").alias("n")).collect()}
+    x, weight = np.array(taken), np.array([count.get(i, 0) for i in range(len(taken))], float)
+    x, weight, rng = x[weight > 0], weight[weight > 0], np.random.default_rng(seed)
+    found = [_spread(x, weight, k, rng, polish=10) for _ in range(attempts)]
+    centres = min(found, key=lambda c: float((weight * (2 - 2 * (x @ c.T).max(axis=1))).sum()))
+    return spark.createDataFrame([(i + 1, c.tolist()) for i, c in enumerate(centres)], "network long, x array<double>")
+
+
+def _spread(x: np.ndarray, weight: np.ndarray, k: int, rng: np.random.Generator, polish: int) -> np.ndarray:
+    """k directions among weighted rows: k-means++, and a few steps of weighted k-means."""
+    centres = [x[rng.choice(len(x), p=weight / weight.sum())]]
+    away = 2 - 2 * x @ centres[0]
+    for _ in range(k - 1):
+        chance = weight * np.maximum(away, 0)
+        if chance.sum() <= 1e-12 * weight.sum():
+            raise ValueError(f"fewer than {k} different rows")
+        centres.append(x[rng.choice(len(x), p=chance / chance.sum())])
+        away = np.minimum(away, 2 - 2 * x @ centres[-1])
+    out = np.array(centres)
+    for _ in range(polish):
+        own = (x @ out.T).argmax(axis=1)
+        sums = np.array([(weight[own == i, None] * x[own == i]).sum(axis=0) for i in range(k)])
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        out = np.where(size > 0, sums / np.where(size > 0, size, 1), out)
+    return out
+
+
 def nearest(rows: DataFrame, directions: DataFrame, keep: bool = False) -> DataFrame:
     """(vertex, network): the network of the largest inner product (9 decimals), the lowest of equal ones; with keep also x."""
     names, out = blocks.dot_arrays(rows.select("vertex", "x"), directions, "network", "dots", keep)

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vertexloom.functions.vectors import total
-from vertexloom.sources.scratch import written
+from vertexloom.sources.scratch import discarded, written
+
+#: Seeds of a cell in the search for the nearest.
+CELL_SEEDS = 64
 
 
 def neighbours(faces: DataFrame) -> DataFrame:
@@ -40,56 +48,117 @@ def edge_potentials(edges: DataFrame, posterior: DataFrame, n: int) -> DataFrame
     return near.withColumn("_mass", mass).groupBy(F.col("src").alias("vertex"), "subject").agg(own.alias("v"))
 
 
-def nearest(points: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(vertex, seed, distance): the nearest of seeds (seed, x, y, z) to points (vertex, x, y, z), the lowest of equal ones.
+def cells(seeds: DataFrame, size: int = CELL_SEEDS) -> DataFrame:
+    """(seed, x, y, z, cell): seeds in cells of at most `size`; of seeds at one place the lowest stays.
 
-    Space is cut into cells of about one seed each. A point meets the seeds of its own cell and the cells around it; when the nearest
-    of them is nearer than a cell is wide, no other can be. Points for which it is not go on with cells of twice the width.
+    Cells are cut in two at a quantile of their widest side until they are small enough, so that they follow the seeds' density: a level of cuts
+    is one pass, whatever their number.
     """
-    box = seeds.agg(F.count("*").alias("n"), *[F.max(c).alias(f"max_{c}") for c in "xyz"], *[F.min(c).alias(f"min_{c}") for c in "xyz"]).first()
-    if not box["n"]:
-        return points.sparkSession.createDataFrame([], "vertex long, seed long, distance double")
-    spans = [box[f"max_{c}"] - box[f"min_{c}"] for c in "xyz"]
-    width = max(max(spans) / max(1.0, box["n"] ** (1 / 3)), 1e-9)
-    far = points.agg(*[F.max(F.greatest(F.abs(F.col(c) - box[f"min_{c}"]), F.abs(F.col(c) - box[f"max_{c}"]))).alias(c) for c in "xyz"]).first()
-    furthest = max([v or 0.0 for v in far])
-    cell = lambda c: F.floor(F.col(c) / width)
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
-    open_, done = points.select("vertex", *"xyz"), []
+    own = written(seeds.groupBy("x", "y", "z").agg(F.min("seed").alias("seed")).select("seed", *"xyz", F.lit(0).cast("long").alias("cell")), "cells")
     while True:
-        of = seeds.select("seed", *[F.col(c).alias(f"s{c}") for c in "xyz"], *[cell(c).alias(f"c{c}") for c in "xyz"])
-        asked = open_.select("*", F.explode(around).alias("o")).select("vertex", *"xyz", *[(cell(c) + F.col(f"o.{o}")).alias(f"c{c}") for c, o in zip("xyz", "ijk", strict=True)])
-        d = F.sqrt(sum(((F.col(c) - F.col(f"s{c}")) ** 2 for c in "xyz"), F.lit(0.0)))
-        best = F.min(F.struct(F.round(d, 9).alias("distance"), F.col("seed")))
-        found = asked.join(of, ["cx", "cy", "cz"]).groupBy("vertex").agg(best.alias("b"))
-        step = written(open_.join(found, "vertex", "left"), "nearest")
-        sure = F.col("b.distance") < width
-        done.append(step.where(sure).select("vertex", "b.seed", "b.distance"))
-        open_ = step.where(~F.coalesce(sure, F.lit(False))).drop("b")
-        if not open_.limit(1).count():
-            break
-        width = min(2 * width, 2 * furthest + 1) if width <= 2 * furthest else 2 * width
-    out = done[0]
-    for more in done[1:]:
-        out = out.union(more)
-    return out
-
-
-def filled(edges: DataFrame, valid: DataFrame, limit: float) -> DataFrame:
+        box = own.groupBy("cell").agg(F.count("*").alias("n"), *[(F.max(c) - F.min(c)).alias(f"w{c}") for c in "xyz"])
+        large = box.where(F.col("n") > size)
+        if large.isEmpty():
+            return own
+        widest = F.greatest(*[f"w{c}" for c in "xyz"])
+        side = F.when(F.col("wx") == widest, 0).when(F.col("wy") == widest, 1).otherwise(2)
+        value = F.get(F.array(*"xyz"), F.col("side"))
+        at = own.join(large.select("cell", side.alias("side")), "cell").withColumn("v", value).groupBy("cell", "side").agg(F.percentile_approx("v", 0.5, 1000).alias("q"), F.max("v").alias("top"))
+        # what lies on the cut goes left, unless nothing would be right of it
+        right = F.when(F.col("q") < F.col("top"), value > F.col("q")).otherwise(value >= F.col("q"))
+        cut = own.join(at, "cell", "left").select("seed", *"xyz", (2 * F.col("cell") + F.coalesce(right, F.lit(False)).cast("long")).alias("cell"))
+        before, own = own, written(cut, "cells")
+        discarded(before)
+
+
+def nearest(points: DataFrame, seeds: DataFrame, size: int = CELL_SEEDS) -> DataFrame:
+    """(vertex, seed, distance): the nearest of seeds (seed, x, y, z) to points (vertex, x, y, z) by 9 decimals, the lowest of equal ones.
+
+    A point meets the seeds of the cell whose box is nearest, which bounds its distance, and then those of the other cells whose boxes are
+    not beyond that bound. Boxes, one for `size` seeds, travel to the points. A point without three finite coordinates has no seed.
+    """
+    own = cells(seeds.select("seed", *"xyz"), size)
+    box = own.groupBy("cell").agg(*[f(c).alias(f"{n}{c}") for n, f in (("a", F.min), ("b", F.max)) for c in "xyz"])
+    rows = sorted(box.collect(), key=lambda r: r["cell"])  # one for each `size` seeds, about
+    if not rows:
+        return points.select("vertex", F.lit(None).cast("long").alias("seed"), F.lit(None).cast("double").alias("distance"))
+    names = np.array([r["cell"] for r in rows])
+    low, high = (np.array([[r[f"{n}{c}"] for c in "xyz"] for r in rows], float) for n in "ab")
+    step = max(1, (1 << 21) // len(rows))
+
+    def boxes(at: np.ndarray) -> np.ndarray:
+        return np.sqrt((np.maximum(0, np.maximum(low[None] - at[:, None], at[:, None] - high[None])) ** 2).sum(axis=2))
+
+    def columns(batch: pa.RecordBatch) -> np.ndarray:
+        return np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in (1, 2, 3)], axis=1)
+
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, step) for b in batches for i in range(0, b.num_rows, step)):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names[boxes(columns(batch)).argmin(axis=1)])], names=["vertex", *"xyz", "cell"])
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, step) for b in batches for i in range(0, b.num_rows, step)):
+            near = boxes(columns(batch)) <= batch.column(4).to_numpy()[:, None] + 1e-9
+            near &= batch.column(5).to_numpy()[:, None] != names[None]
+            i, j = np.nonzero(near)
+            rest = batch.take(pa.array(i))
+            yield pa.RecordBatch.from_arrays([*rest.columns[:4], pa.array(names[j])], names=["vertex", *"xyz", "cell"])
+
+    finite = F.lit(True)
+    for c in "xyz":
+        finite = finite & F.coalesce(~F.isnan(c) & (F.abs(c) != float("inf")), F.lit(False))
+    kind = points.schema["vertex"].dataType.simpleString()
+    asked = points.select("vertex", *[F.col(c).cast("double").alias(c) for c in "xyz"])
+    within = own.groupBy("cell").agg(F.collect_list(F.struct("seed", *"xyz")).alias("seeds"))  # at most `size` of a cell
+    away = lambda q: F.round(F.sqrt(sum(((F.col(c) - q[c]) ** 2 for c in "xyz"), F.lit(0.0))), 9)
+    best = F.array_min(F.transform("seeds", lambda q: F.struct(away(q).alias("distance"), q["seed"].alias("seed"))))
+    first = asked.where(finite).mapInArrow(home, f"vertex {kind}, x double, y double, z double, cell long")
+    first = written(first.join(within, "cell").select("vertex", *"xyz", "cell", best.alias("b")), "nearest")
+    more = first.select("vertex", *"xyz", "b.distance", "cell").mapInArrow(others, f"vertex {kind}, x double, y double, z double, cell long")
+    more = more.join(within, "cell").select("vertex", best.alias("b"))
+    found = first.select("vertex", "b").unionByName(more).groupBy("vertex").agg(F.min("b").alias("b")).select("vertex", "b.seed", "b.distance")
+    return found.unionByName(asked.where(~finite).select("vertex"), allowMissingColumns=True)
+
+
+def filled(edges: DataFrame, valid: DataFrame, limit: float, width: float | None = None) -> DataFrame:
     """(vertex, source, distance): for every vertex within `limit` along edges (src, dst, length), the nearest valid vertex.
 
-    Distances grow from the valid vertices, one edge a round, until no vertex comes nearer; equal ones go to the lowest source.
+    Delta stepping: vertices whose distance has got smaller wait in buckets of `width` (the mean edge's length unless given); the nearest bucket's go
+    over their edges, until none waits. Only they and the vertices they reach are moved: what is known is a growing list of such
+    improvements, from which those of the vertices at hand are looked up. Equal distances (9 decimals) go to the lowest source.
     """
-    known = valid.select("vertex", F.col("vertex").alias("source"), F.lit(0.0).alias("distance"))
-    n = -1
-    best = F.min(F.struct("distance", "source"))
+    edges = written(edges.select("src", "dst", "length").where(F.col("length") <= limit), "edges")
+    width = width or edges.agg(F.avg("length")).first()[0] or 1.0
+    best = F.min(F.struct("distance", "source")).alias("b")
+    open_ = written(valid.select("vertex", F.col("vertex").alias("source"), F.lit(0.0).alias("distance")).distinct(), "front")
+    known, fronts = [open_], []
     while True:
-        step = known.join(edges, known.vertex == edges.src).select(F.col("dst").alias("vertex"), "source", F.round(F.col("distance") + F.col("length"), 9).alias("distance")).where(F.col("distance") <= limit)
-        known = written(known.union(step).groupBy("vertex").agg(best.alias("b")).select("vertex", "b.source", "b.distance"), "known")
-        now = known.agg(F.count("*"), F.round(F.sum("distance"), 6), F.sum("source")).first()
-        if now == n:
-            return known
-        n = now
+        low = open_.agg(F.min("distance")).first()[0]
+        if low is None:
+            break
+        bound = (math.floor(low / width) + 1) * width
+        now, later = open_.where(F.col("distance") < bound), open_.where(F.col("distance") >= bound)
+        reached = now.join(edges, now["vertex"] == edges["src"]).select(F.col("dst").alias("vertex"), "source", F.round(F.col("distance") + F.col("length"), 9).alias("distance"))
+        reached = reached.where(F.col("distance") <= limit).groupBy("vertex").agg(best)
+        before = _all(known).join(reached.select("vertex"), "vertex", "left_semi").groupBy("vertex").agg(best).select("vertex", F.col("b").alias("k"))
+        better = reached.join(before, "vertex", "left").where(F.col("k").isNull() | (F.col("b") < F.col("k"))).select("vertex", "b.source", "b.distance")
+        better = written(better, "front")
+        known.append(better)
+        front = written(later.unionByName(better).groupBy("vertex").agg(best).select("vertex", "b.source", "b.distance"), "front")
+        discarded(*fronts)
+        open_, fronts = front, [front]
+        if len(known) > 16:  # one table again
+            whole = written(_all(known).groupBy("vertex").agg(best).select("vertex", "b.source", "b.distance"), "known")
+            discarded(*known)
+            known = [whole]
+    return _all(known).groupBy("vertex").agg(best).select("vertex", "b.source", "b.distance")
+
+
+def _all(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for more in tables[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def boundary_filled(vertices: DataFrame, edges: DataFrame, valid: DataFrame, limit: float, zero: bool = False, refined: DataFrame | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vertexloom.functions import vectors as V
-from vertexloom.operators import blocks, evaluation, fit, individual, mixture, recordings, runs, series, spatial
+from vertexloom.operators import blocks, evaluation, fit, individual, mixture, recordings, runs, series, spatial, store
 from vertexloom.sources import views
 from vertexloom.sources.scratch import written
 
@@ -384,7 +384,7 @@ def support_masks(s: SparkSession, d: str) -> DataFrame:
 
 def _files(s: SparkSession, d: str) -> DataFrame:
     o = views.table(s, d, "orders")
-    path = F.format_string("in/sub-%02d/func/sub-%02d_ses-%d_task-rest_run-%d_hemi-%s_bold.func.gii", F.col("o_custkey") % 40, F.col("o_custkey") % 40, F.col("o_orderkey") % 12, F.expr("o_orderkey div 12 % 7"), F.when(F.col("o_totalprice") > 150000, "L").otherwise("R"))
+    path = F.format_string("in/sub-%02d/ses-%d/func/sub-%02d_ses-%d_task-rest_run-%d_hemi-%s_bold.func.gii", F.col("o_custkey") % 40, F.col("o_orderkey") % 12, F.col("o_custkey") % 40, F.col("o_orderkey") % 12, F.expr("o_orderkey div 12 % 7"), F.when(F.col("o_totalprice") > 150000, "L").otherwise("R"))
     return o.select(path.alias("path")).distinct()
 
 
@@ -421,11 +421,11 @@ def requested_missing(s: SparkSession, d: str) -> DataFrame:
 
 
 def run_discovery(s: SparkSession, d: str) -> DataFrame:
-    return runs.discovered(_files(s, d))
+    return runs.discovered(_files(s, d)).drop("acq", "dir")
 
 
 def run_filters(s: SparkSession, d: str) -> DataFrame:
-    return runs.chosen(runs.discovered(_files(s, d)), subject=["sub-03", "17", "21"], session=["1", "ses-10"])
+    return runs.chosen(runs.discovered(_files(s, d)), subject=["sub-03", "17", "21"], session=["1", "ses-10"]).drop("acq", "dir")
 
 
 def censor_once(s: SparkSession, d: str) -> DataFrame:
@@ -504,6 +504,29 @@ def kmeans_restarts(s: SparkSession, d: str) -> DataFrame:
     return mixture.restarts(v, starts, 2)
 
 
+def _pages_as_files(s: SparkSession, d: str, table: str = "pages") -> DataFrame:
+    """Web pages stand for files: the url is the name, the page the content."""
+    p = views.table(s, d, table)
+    return p.select(F.concat(F.col("page_id").cast("string"), F.lit(" "), F.coalesce("url", F.lit(""))).alias("name"), F.octet_length("html").cast("long").alias("size"), F.sha2(F.col("html").cast("binary"), 256).alias("sha256"), "page_id")
+
+
+def content_differences(s: SparkSession, d: str) -> DataFrame:
+    """Pages against a manifest in which some are missing, some changed and some unknown."""
+    files = _pages_as_files(s, d)
+    pinned = files.where("page_id % 17 <> 3").select("name", F.when(F.col("page_id") % 13 == 5, F.sha2(F.col("name").cast("binary"), 256)).otherwise(F.col("sha256")).alias("sha256"))
+    return store.differences(files.where("page_id % 19 <> 4"), pinned)
+
+
+def content_tree(s: SparkSession, d: str) -> DataFrame:
+    return store.tree_digest(_pages_as_files(s, d))
+
+
+def kmeans_seeded(s: SparkSession, d: str) -> DataFrame:
+    """Networks after two steps of k-means from directions that k-means|| has spread."""
+    v = views.vectors(s, d).select(F.col("vec_id").alias("vertex"), V.unit(F.col("x")).alias("x"))
+    return mixture.lloyd(v, mixture.seeded(v, NETWORKS, seed=3), 2)
+
+
 def relative_change(s: SparkSession, d: str) -> DataFrame:
     """Totals of the days stand for the costs of a fit's steps."""
     return _r(runs.record_changes(_grid(s, d).groupBy(F.col("frame").alias("step")).agg(F.round(F.sum("value"), 6).alias("cost"))), "cost", "change")
@@ -520,7 +543,7 @@ QUERIES: dict[str, Query] = {
         nearest_seed, boundary_fill, coverage_counts, support_masks, entity_parse, run_pairing, session_numbering, profile_list_grid,
         manifest_json, requested_missing, run_discovery, run_filters, censor_once, nonfinite_to_zero, cortex_mask, expanded_labels,
         hemisphere_concat, mask_partition, mask_intersection, scatter_into_mask, face_majority, boundary_fill_zero, kmeans_restarts,
-        relative_change, run_profiles, run_cutoffs, run_binary_profiles, run_problems,
+        kmeans_seeded, content_differences, content_tree, relative_change, run_profiles, run_cutoffs, run_binary_profiles, run_problems,
     )
 }
 

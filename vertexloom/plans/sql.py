@@ -47,7 +47,7 @@ SUBJECTS = """p0 AS (SELECT subject, network, f, sum(20.0 * sd.x) + 40.0 * any_v
 pd AS (SELECT subject, network, f, coalesce(y / nullif(sqrt(sum(y * y) OVER (PARTITION BY subject, network)), 0), 0) AS x FROM p0)"""
 EDGES = """verts AS (SELECT DISTINCT vec_id // 4 AS vertex FROM embeddings), half AS (SELECT CAST(floor((max(vertex) + 1) / 2) AS BIGINT) AS h FROM verts),
 edges AS (SELECT a.vertex AS src, b.vertex AS dst FROM verts a JOIN verts b ON abs(a.vertex - b.vertex) = 1, half WHERE (a.vertex < h) = (b.vertex < h))"""
-FILES = """files AS (SELECT DISTINCT printf('in/sub-%02d/func/sub-%02d_ses-%d_task-rest_run-%d_hemi-%s_bold.func.gii', o_custkey % 40, o_custkey % 40, o_orderkey % 12, o_orderkey // 12 % 7, CASE WHEN o_totalprice > 150000 THEN 'L' ELSE 'R' END) AS path FROM orders),
+FILES = """files AS (SELECT DISTINCT printf('in/sub-%02d/ses-%d/func/sub-%02d_ses-%d_task-rest_run-%d_hemi-%s_bold.func.gii', o_custkey % 40, o_orderkey % 12, o_custkey % 40, o_orderkey % 12, o_orderkey // 12 % 7, CASE WHEN o_totalprice > 150000 THEN 'L' ELSE 'R' END) AS path FROM orders),
 runs AS (SELECT path, regexp_extract(path, '/sub-([^_/]*)_', 1) AS subject, regexp_extract(path, '_ses-([^_]*)_', 1) AS session, regexp_extract(path, '_task-([^_]*)_', 1) AS task, regexp_extract(path, '_run-([^_]*)_', 1) AS run, regexp_extract(path, '_hemi-([^_]*)_', 1) AS hemi FROM files)"""
 BITS = "CAST(count(*) AS BIGINT)"
 INVERSE = "62 * rbar / (1 - rbar * rbar) + 63 * rbar / 62"
@@ -126,6 +126,12 @@ SELECT vertex, seed, round(sum(atanh(greatest(-0.999999, least(0.999999, r)))) /
 s AS (SELECT f.recording, u.vertex, max(coalesce(value, 0)) = min(coalesce(value, 0)) AS flat, bool_and(coalesce(value, 0) = 0) AS zero FROM rf f CROSS JOIN u LEFT JOIN rd ON rd.recording = f.recording AND rd.frame = f.frame AND rd.vertex = u.vertex GROUP BY ALL),
 k AS (SELECT recording, CASE WHEN vertex < 10 THEN 'a seed that does not vary' WHEN zero THEN 'a series of zeros' ELSE 'a series that does not vary' END AS problem FROM s WHERE flat AND vertex % 11 <> 0)
 SELECT recording, problem, count(*) AS n FROM k GROUP BY ALL""",
+    "content_differences": """WITH f AS (SELECT page_id, page_id || ' ' || coalesce(url, '') AS name, sha256(html) AS sha256 FROM pages),
+p AS (SELECT name, CASE WHEN page_id % 13 = 5 THEN sha256(name) ELSE sha256 END AS want FROM f WHERE page_id % 17 <> 3), g AS (SELECT name, sha256 FROM f WHERE page_id % 19 <> 4)
+SELECT name, CASE WHEN sha256 IS NULL THEN 'missing' WHEN want IS NULL THEN 'unknown' ELSE 'changed' END AS problem FROM g FULL JOIN p USING (name) WHERE sha256 IS DISTINCT FROM want""",
+    "content_tree": """WITH f AS (SELECT page_id || ' ' || coalesce(url, '') AS name, strlen(html) AS size, sha256(html) AS sha256 FROM pages),
+g AS (SELECT substr(sha256(name), 1, 3) AS g, sha256(string_agg(name || chr(10) || size || chr(10) || sha256, chr(10) || chr(10) ORDER BY name || chr(10) || size || chr(10) || sha256)) AS d, count(*) AS n, sum(size) AS s FROM f GROUP BY ALL)
+SELECT CAST(sum(n) AS BIGINT) AS n_files, CAST(sum(s) AS BIGINT) AS size, sha256(string_agg(g || ':' || d, chr(10) ORDER BY g)) AS digest FROM g""",
     "homogeneity": _with(P) + """, m AS (SELECT label, f, avg(x) AS y FROM p WHERE label > 0 GROUP BY ALL), u AS (SELECT label, f, y / nullif(sqrt(sum(y * y) OVER (PARTITION BY label)), 0) AS y FROM m),
 big AS (SELECT label FROM embeddings WHERE label > 0 GROUP BY label HAVING count(*) >= 2),
 c AS (SELECT vec_id, sum(x * y) / nullif(sqrt(sum(x * x)), 0) AS c FROM p JOIN u USING (label, f) SEMI JOIN big USING (label) WHERE y IS NOT NULL GROUP BY vec_id)
