@@ -433,7 +433,7 @@ def best_labels(rows: DataFrame) -> DataFrame:
 def group_labels(rows: DataFrame, directions: DataFrame, settings: Settings | None = None) -> DataFrame:
     """(vertex, subject, label) of the fit, for all vertices and subjects; 0 where a subject has no row."""
     m = group_fit(rows, directions, settings)
-    every = m.prior.select("vertex").join(_subjects(m).select("subject"))  # the few subjects of each vertex
+    every = m.prior.select("vertex", F.explode(F.array(*[F.lit(x) for x in m.subjects])).alias("subject"))
     return every.join(best_labels(posterior(m)), ["vertex", "subject"], "left").select("vertex", "subject", F.coalesce("label", F.lit(0).cast("long")).alias("label"))
 
 

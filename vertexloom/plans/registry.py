@@ -316,10 +316,12 @@ def run_binary_profiles(s: SparkSession, d: str) -> DataFrame:
 
 
 def run_problems(s: SparkSession, d: str) -> DataFrame:
-    """Recordings without their zeros' series: users without an event in a recording do not vary."""
-    b = _recordings(s, d)
+    """All users in all recordings: those without an event in one do not vary there."""
+    b = views.recordings(s, d)
     users = views.bold(s, d).select("vertex").distinct()
-    every = users.join(F.broadcast(b.select("recording", "frame").distinct())).join(b, ["recording", "vertex", "frame"], "left").select("recording", "vertex", "frame", F.coalesce("value", F.lit(0.0)).alias("value"))
+    last = b.groupBy("recording").agg(F.max("frame").alias("last")).agg(F.collect_list(F.struct("recording", "last")).alias("all"))  # one row
+    every = users.join(F.broadcast(last)).select("vertex", F.inline("all")).select("recording", "vertex", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("frame"))
+    every = every.join(b, ["recording", "vertex", "frame"], "left").select("recording", "vertex", "frame", F.coalesce("value", F.lit(0.0)).alias("value"))
     cortex = users.withColumn("cortex", F.col("vertex") % 11 != 0)
     return recordings.problems(every, ["recording"], cortex, users.where(F.col("vertex") < SEEDS))
 
