@@ -175,3 +175,26 @@ def reputations(hosts, outcomes):
     domains = level(by[1], {d: mean(suffixes[s]) for _, d, s in hosts})
     own = level(by[0], {h: mean(domains[d]) for h, d, _ in hosts})
     return {h: a / (a + b) + 1.645 * math.sqrt(a * b / ((a + b) ** 2 * (a + b + 1))) for h, (a, b) in own.items()}
+
+
+def ppm_scores(texts, learned, context=5):
+    """The log10 probability of each text by prediction by partial matching: method C, symbol exclusion, over bytes with an end."""
+    lines = [[0xFE] * context + [b + 32 if 65 <= b <= 90 else b for b in (t or "").encode()] + [0xFF] for t in texts]
+    table = {}
+    for line, on in zip(lines, learned, strict=True):
+        for i in range(context, len(line) if on else 0):
+            for k in range(context + 1):
+                table.setdefault(tuple(line[i - k : i]), Counter())[line[i]] += 1
+
+    def price(before, symbol):
+        gone, p = set(), 0.0
+        for k in range(context, -1, -1):
+            own = {s: n for s, n in table.get(tuple(before[context - k :]), {}).items() if s not in gone}
+            room = sum(own.values()) + len(own)
+            if symbol in own:
+                return p + math.log10(own[symbol] / room)
+            p += math.log10(len(own) / room) if own else 0.0
+            gone |= set(own)
+        return p - math.log10(max(1, 256 - len(gone)))
+
+    return [sum(price(line[i - context : i], line[i]) for i in range(context, len(line))) for line in lines]

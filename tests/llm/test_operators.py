@@ -347,6 +347,18 @@ def test_lm_prices_every_ngram(docs):
         assert max(abs(a - b) for a, b in zip(got, want, strict=True)) < 1e-3
 
 
+def test_lm_by_definition(spark):
+    """Scores against the method's definition, one symbol after another, whatever is broadcast."""
+    texts = [t for t in plain.AWKWARD if len(t[1] or "") < 2000][:12]
+    texts += [(100 + i, t, None, None, 0) for i, t in enumerate(["abracadabra", "ABRA cadabra", "", None, "abracadabra abracadabra banana", "\u00e9\u00e8 \U0001f600 \x00", "zzzz", "aaaaaaaaaaaaaaaa", "the cat sat on the mat " * 8])]
+    learned = [i % 3 != 0 for i in range(len(texts))]
+    df = spark.createDataFrame([(i, t[1], on) for i, (t, on) in enumerate(zip(texts, learned, strict=True))], "doc_id long, text string, on boolean").repartition(3)
+    want = plain.ppm_scores([t[1] for t in texts], learned)
+    for max_nodes in (10, ppm.MAX_NODES):
+        got = {r["doc_id"]: r["score"] for r in ppm.scored(df, F.col("on"), max_nodes=max_nodes).collect()}
+        assert all(abs(got[i] - w) < 1e-6 * max(1, abs(w)) for i, w in enumerate(want))
+
+
 def test_lm_counts_are_exact_above_float32():
     import numpy as np
 
