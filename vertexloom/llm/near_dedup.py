@@ -308,7 +308,7 @@ def _compared(members: DataFrame, content: DataFrame, percent: int, rows: int, b
         sig, order = _matrix(c["signature"]), np.lexsort((block, bucket))
         edges = np.flatnonzero(np.concatenate([[True], (bucket[order][1:] != bucket[order][:-1]) | (block[order][1:] != block[order][:-1]), [True]]))
         sets = [np.frombuffer(x, np.uint64) for x in c["shingles"].to_pylist()] if links else []
-        out = []
+        out, marked = [], np.zeros(len(ids), bool)
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             own = order[a:b]
             right = own[~asks[own]]
@@ -319,9 +319,14 @@ def _compared(members: DataFrame, content: DataFrame, percent: int, rows: int, b
                 y = y[shared.argmax(axis=1) == band[x]]
                 if links:
                     y = y[_close(sets[x], [sets[i] for i in y], percent)]
-                if len(y):
-                    first, second = (ids[y], np.full(len(y), ids[x])) if links else (np.full(len(y) + 1, bucket[x]), np.append(ids[y], ids[x]))
-                    out.append(np.sort(np.stack([first, second], axis=1), axis=1) if links else np.stack([first, second], axis=1))
+                    if len(y):
+                        out.append(np.sort(np.stack([ids[y], np.full(len(y), ids[x])], axis=1), axis=1))
+                elif len(y):
+                    marked[y] = marked[x] = True
+            if not links:  # documents with a likely partner, not the pairs of them
+                hit = np.unique(ids[own[marked[own]]])
+                out.append(np.stack([np.full(len(hit), bucket[own[0]]), hit], axis=1))
+                marked[own] = False
         pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
         return pa.table(dict(zip(("x", "y") if links else ("bucket", "id"), (pa.array(v, pa.int64()) for v in pairs.T), strict=True)))
 
