@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vertexloom.operators import blocks, mixture, recordings
+from vertexloom.sources.scratch import written
 
 KEYS = ["subject", "session"]
 
@@ -35,10 +36,10 @@ def runs():
 @pytest.mark.parametrize("small", [False, True])
 def test_profiles_and_cutoffs(spark, monkeypatch, runs, small):
     if small:  # many parts and slices
-        monkeypatch.setattr(recordings, "PART_VERTICES", 5)
-        monkeypatch.setattr(recordings, "SLICE_BYTES", 8 * 25 * 2)
+        monkeypatch.setattr(recordings, "PART_VERTICES", 8)
+        monkeypatch.setattr(recordings, "SLICE_BYTES", 8 * 25 * 3)
     seeds = spark.createDataFrame([(v,) for v in (0, 3, 4, 7, 30)], "vertex long")
-    rows = recordings.profiles(table(spark, runs), seeds, KEYS)
+    rows = written(recordings.profiles(table(spark, runs), seeds, KEYS), "rows")
     got = {(r["subject"], r["session"], r["vertex"], r["seed"]): r["r"] for r in recordings.by_seed(rows, KEYS, "r", "r").collect()}
     bits = {tuple(r)[:4]: r["bit"] for r in recordings.by_seed(recordings.binary(rows, KEYS, digits=9), KEYS, "bits", "bit").select(*KEYS, "vertex", "seed", "bit").collect()}
     at = {(r["subject"], r["session"]): (r["rank"], r["cutoff"]) for r in recordings.cutoffs(rows, KEYS, digits=9).collect()}
@@ -106,7 +107,7 @@ def test_directions_beyond_a_slice(spark, monkeypatch):
     x, y = rng.normal(size=(40, 6)), rng.normal(size=(7, 6))
     rows = spark.createDataFrame([(v, a.tolist()) for v, a in enumerate(x)], "vertex long, x array<double>")
     directions = spark.createDataFrame([(k + 3, a.tolist()) for k, a in enumerate(y)], "network long, x array<double>").repartition(3)
-    for size in (32 << 20, 100, 1):
+    for size in (32 << 20, 100, 50):
         monkeypatch.setattr(blocks, "SLICE_BYTES", size)
         got = {r["vertex"]: r["dots"] for r in mixture.dots(rows, directions).collect()}
         assert all(np.allclose(got[v], y @ x[v]) for v in range(40))
