@@ -75,7 +75,7 @@ def bitmap(df: DataFrame, column: str, bits: int = BITS) -> np.ndarray:
     value = F.pmod(column, F.lit(bits)) + 1
     maps = df.groupBy(F.bitmap_bucket_number(value).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(value)).alias("map"))
     out = np.zeros(bits // 8, np.uint8)
-    for r in maps.toLocalIterator():  # bits / 32768 rows at most, of 4 KB each
+    for r in maps.collect():  # bits / 32768 rows at most, of 4 KB each; in one job, where an iterator takes one for each partition
         own = np.frombuffer(r["map"], np.uint8)
         at = (r["bucket"] - 1) * len(own)  # buckets, and values in them, are numbered from 1
         out[at : at + len(own)] = own
